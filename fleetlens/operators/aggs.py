@@ -79,14 +79,30 @@ def group_consensus(df: DataFrame, key: str | Sequence[str], col: str,
             .withColumn("n_rows", F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint")))
 
 
+def role_count_exprs(role_col: str, master_roles: Iterable[str] = ("master",),
+                     slave_roles: Iterable[str] = ("slave",)) -> list[Column]:
+    """Aggregate expressions ``masters`` and ``slaves`` (compose with others
+    in one ``agg`` so a single pass computes a whole cluster summary)."""
+    role = F.col(role_col)
+    return [F.count_if(role.isin(list(master_roles))).alias("masters"),
+            F.count_if(role.isin(list(slave_roles))).alias("slaves")]
+
+
 def role_counts(df: DataFrame, key: str | Sequence[str], role_col: str,
                 master_roles: Iterable[str] = ("master",),
                 slave_roles: Iterable[str] = ("slave",)) -> DataFrame:
     """Masters, slaves and nodes per group."""
-    role = F.col(role_col)
-    masters = F.count_if(role.isin(list(master_roles))).alias("masters")
-    slaves = F.count_if(role.isin(list(slave_roles))).alias("slaves")
-    return (df.groupBy(*_cols(key)).agg(masters, slaves)
+    return (df.groupBy(*_cols(key)).agg(*role_count_exprs(role_col, master_roles, slave_roles))
+            .withColumn("nodes", F.col("masters") + F.col("slaves")))
+
+
+def describe_groups(df: DataFrame, key: str | Sequence[str], state_col: str, role_col: str,
+                    master_roles: Iterable[str] = ("master",),
+                    slave_roles: Iterable[str] = ("slave",)) -> DataFrame:
+    """Cluster summary in one aggregate: consensus state and role counts."""
+    return (df.groupBy(*_cols(key))
+            .agg(consensus_expr(state_col).alias("state"),
+                 *role_count_exprs(role_col, master_roles, slave_roles))
             .withColumn("nodes", F.col("masters") + F.col("slaves")))
 
 

@@ -22,14 +22,13 @@ CONSENSUS_SQL = """CASE WHEN count({c}) = 0 THEN NULL
 def describe_fleet(spark, sf_dir):
     """Flagship: every customer with orders since 2001 as a cluster, its
     state by consensus of order status and its node counts, by name."""
-    orders = read_table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    orders = read_table(spark, sf_dir, "orders").filter(
+        F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
     live = filters.inventory_filter(orders, any_of={"o_orderstatus": ["F", "O", "P"], "o_custkey": []})
-    state = aggs.group_consensus(live, "o_custkey", "o_orderstatus")
-    counts = aggs.role_counts(live, "o_custkey", "o_orderpriority",
-                              master_roles=["1-URGENT"],
-                              slave_roles=["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
-    out = (state.join(counts, "o_custkey")
-           .select(F.col("o_custkey").alias("cluster"), "state", "masters", "slaves", "nodes"))
+    summary = aggs.describe_groups(live, "o_custkey", "o_orderstatus", "o_orderpriority",
+                                   master_roles=["1-URGENT"],
+                                   slave_roles=["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+    out = summary.select(F.col("o_custkey").alias("cluster"), "state", "masters", "slaves", "nodes")
     return filters.order_by_name(out, "cluster")
 
 
