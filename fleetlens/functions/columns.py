@@ -219,22 +219,28 @@ def flatten_settings(df: DataFrame, col: str, id_cols: Sequence[str], max_depth:
     Objects are descended into (``-`` becomes ``_`` in keys only); any
     other value (string, number, list) is a leaf, rendered as text
     (strings raw, lists as JSON). An empty object yields no row; text that
-    is not JSON yields no row. Each level is one ``explode`` in the same
-    stage: no union, no exchange.
+    is not JSON yields no row. Each level is one ``explode_outer`` of the
+    node's object entries (leaves pass through as the outer row) in the
+    same stage: no union, no exchange, no higher-order function.
     """
-    node = F.struct(F.lit("").alias("path"), F.try_parse_json(F.col(col)).alias("v"))
-    cur = df.select(*id_cols, node.alias("_n")).filter(F.col("_n.v").isNotNull())
+    def norm(k):
+        return F.replace(k, F.lit("-"), F.lit("_"))
+
+    cur = (df.select(*id_cols, F.lit("").alias("_path"), F.try_parse_json(F.col(col)).alias("_v"))
+           .filter(F.col("_v").isNotNull()))
     for _ in range(max_depth):
-        obj = F.try_variant_get(F.col("_n.v"), "$", "map<string,variant>")
-        children = F.transform(F.map_entries(obj), lambda e: F.struct(
-            F.when(F.col("_n.path") == "", F.replace(e["key"], F.lit("-"), F.lit("_")))
-            .otherwise(F.concat(F.col("_n.path"), F.lit(sep), F.replace(e["key"], F.lit("-"), F.lit("_"))))
-            .alias("path"),
-            e["value"].alias("v")))
-        step = F.when(obj.isNotNull(), children).otherwise(F.array(F.col("_n")))
-        cur = cur.select(*id_cols, F.explode(step).alias("_n"))
-    return cur.select(*id_cols, F.col("_n.path").alias("path"),
-                      F.try_variant_get(F.col("_n.v"), "$", "string").alias("value"))
+        obj = F.try_variant_get(F.col("_v"), "$", "map<string,variant>")
+        step = cur.select(*id_cols, "_path", "_v", obj.isNull().alias("_leaf"),
+                          F.explode_outer(obj).alias("_k", "_c"))
+        leaf = F.col("_leaf")
+        child_path = F.when(F.col("_path") == "", norm(F.col("_k"))).otherwise(
+            F.concat(F.col("_path"), F.lit(sep), norm(F.col("_k"))))
+        cur = step.filter(leaf | F.col("_k").isNotNull()).select(
+            *id_cols,
+            F.when(leaf, F.col("_path")).otherwise(child_path).alias("_path"),
+            F.when(leaf, F.col("_v")).otherwise(F.col("_c")).alias("_v"))
+    return cur.select(*id_cols, F.col("_path").alias("path"),
+                      F.try_variant_get(F.col("_v"), "$", "string").alias("value"))
 
 
 # ------------------------------------------------------- X8 storage layout

@@ -13,9 +13,22 @@ TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """Lazy scan of ``<sf_dir>/<name>.parquet``; projections and filters
-    applied later are pushed into the scan by Catalyst."""
+    applied later are pushed into the scan by Catalyst.
+
+    A scan yields one task per file split (row group). A small table
+    stored as a single row group would run every later per-row step in
+    one task, so when the scan has fewer splits than the cluster has
+    cores, its rows are spread round-robin over ``defaultParallelism``
+    partitions. Catalyst still pushes filters and column pruning below
+    that exchange. Large tables have many splits and are left alone.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
