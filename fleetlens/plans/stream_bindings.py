@@ -96,6 +96,6 @@ FROM l GROUP BY cluster
 """)
 def q_track_state(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("cluster", F.col("user_id") % 10)
-    changes = streams.run_available(
+    changes = streams.run_available_updates(
         streams.track_state(e, "user_id", "cluster", "event_type"), "track_state")
     return streams.cluster_status(changes, "purchase")

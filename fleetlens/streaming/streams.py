@@ -64,6 +64,31 @@ def run_available(sdf: DataFrame, name: str, output_mode: str = "append",
     return spark.read.schema(sdf.schema).parquet(out)
 
 
+def run_available_updates(sdf: DataFrame, name: str, timeout_s: float | None = None) -> DataFrame:
+    """Run an update-mode streaming plan over all available input. Each
+    micro-batch's updated rows are written to ``batch_id=<n>`` under the
+    sink folder; rewriting a batch after a retry overwrites the same
+    folder, so the sink is idempotent. Returns every update with its
+    ``batch_id``."""
+    spark = sdf.sparkSession
+    base = scratch_path(spark, os.path.join("streams", name))
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+
+    q = (sdf.writeStream.outputMode("update").foreachBatch(write_batch)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream {name} did not finish")
+    if q.exception() is not None:
+        raise q.exception()
+    schema = T.StructType(sdf.schema.fields + [T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(out)
+
+
 def _ntz(col: str):
     return F.col(col).cast("timestamp_ntz")
 
@@ -138,16 +163,15 @@ class NewestState(StatefulProcessor):
             if pdf.empty:
                 continue
             top = pdf.sort_values(["ts", "event_id"]).iloc[-1]
-            cand = (top["ts"], int(top["event_id"]), top["state"], int(top["cluster"]))
-            if best is None or (cand[0], cand[1]) > (best[0], best[1]):
+            cand = (pd.Timestamp(top["ts"]), int(top["event_id"]), top["state"], int(top["cluster"]))
+            if best is None or cand[:2] > best[:2]:
                 best = cand
         if best is None:
             return
-        if self.latest.exists():
-            ts, eid, _ = self.latest.get()
-            if (pd.Timestamp(ts), eid) >= (pd.Timestamp(best[0]), best[1]):
-                return
-        self.latest.update((pd.Timestamp(best[0]).to_pydatetime(), best[1], best[2]))
+        stored = self.latest.get()  # one round trip; None when absent
+        if stored is not None and (pd.Timestamp(stored[0]), stored[1]) >= best[:2]:
+            return
+        self.latest.update((best[0].to_pydatetime(), best[1], best[2]))
         yield pd.DataFrame({"member": [int(key[0])], "cluster": [best[3]], "ts": [best[0]],
                             "event_id": [best[1]], "state": [best[2]]})
 
@@ -157,7 +181,22 @@ class NewestState(StatefulProcessor):
 
 def track_state(events: DataFrame, member_col: str, cluster_col: str, state_col: str,
                 ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Stream of newest-state changes per member (transformWithState)."""
+    """Stream of newest-state changes per member, with the built-in
+    streaming aggregate ``max_by`` (update mode: a member's row is emitted
+    in every micro-batch that brings it a newer state). State is one row
+    per member in the state store; the work stays in the JVM."""
+    latest = events.groupBy(F.col(member_col).alias("member")).agg(F.max_by(
+        F.struct(F.col(cluster_col).alias("cluster"), F.col(ts_col).alias("ts"),
+                 F.col(id_col).alias("event_id"), F.col(state_col).alias("state")),
+        F.struct(F.col(ts_col), F.col(id_col))).alias("l"))
+    return latest.select("member", "l.cluster", "l.ts", "l.event_id", "l.state")
+
+
+def track_state_processor(events: DataFrame, member_col: str, cluster_col: str, state_col: str,
+                          ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """The same stream of newest-state changes with a custom stateful
+    processor (``transformWithStateInPandas``, append mode), for state
+    logic that a built-in aggregate cannot express."""
     spark = events.sparkSession
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != provider:
