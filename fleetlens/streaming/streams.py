@@ -32,15 +32,28 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def ntz_to_instant(col: str):
+    """TIMESTAMP_NTZ read as UTC wall-clock time to a TIMESTAMP instant,
+    independent of the session time zone (via epoch microseconds)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, F.col(col)))
+
+
+def instant_to_ntz(col: str):
+    """TIMESTAMP instant back to UTC wall-clock TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(col)), _EPOCH)
+
+
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
                  schema: T.StructType = EVENT_SCHEMA, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming scan of Parquet event files in ``folder``, with ``event_time``
-    (TIMESTAMP, UTC) derived from ``ts``."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    (TIMESTAMP instant of ``ts`` read as UTC) for watermarks and windows."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return reader.parquet(folder).withColumn("event_time", ntz_to_instant("ts"))
 
 
 def run_available(sdf: DataFrame, name: str, output_mode: str = "append",
@@ -90,7 +103,7 @@ def run_available_updates(sdf: DataFrame, name: str, timeout_s: float | None = N
 
 
 def _ntz(col: str):
-    return F.col(col).cast("timestamp_ntz")
+    return instant_to_ntz(col)
 
 
 # ------------------------------------------------------------------ T2

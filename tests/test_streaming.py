@@ -34,7 +34,7 @@ def _stream(spark, folder):
     # one file per micro-batch; files live in sub-folders f0, f1, f2
     return (spark.readStream.schema(streams.EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
             .option("recursiveFileLookup", "true").parquet(folder)
-            .withColumn("event_time", F.col("ts").cast("timestamp")))
+            .withColumn("event_time", streams.ntz_to_instant("ts")))
 
 
 def _batch_status(ev):
