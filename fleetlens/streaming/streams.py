@@ -32,18 +32,19 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def ntz_to_instant(col: str):
     """TIMESTAMP_NTZ read as UTC wall-clock time to a TIMESTAMP instant,
     independent of the session time zone (via epoch microseconds)."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, F.col(col)))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(col)))
 
 
 def instant_to_ntz(col: str):
     """TIMESTAMP instant back to UTC wall-clock TIMESTAMP_NTZ."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(col)), _EPOCH)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(col)), _epoch())
 
 
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
