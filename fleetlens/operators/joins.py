@@ -42,13 +42,14 @@ def in_use(mounts: DataFrame, devices: DataFrame, device_col: str,
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Split requested inserts: names already present are ``rejected``, the
-    rest ``accepted``. One semi and one anti join on the same key; Spark
-    reuses the exchange of ``existing`` for both."""
+    rest ``accepted``. One left join against the distinct existing keys
+    (marked with a flag) decides both, so each side is shuffled once; the
+    distinct keys are at most one row per key, so no request is duplicated."""
     keys = _cols(key)
-    ex = existing.select(*keys).distinct()
-    accepted = new.join(ex, keys, "left_anti").withColumn("status", F.lit("accepted"))
-    rejected = new.join(ex, keys, "left_semi").withColumn("status", F.lit("rejected"))
-    return accepted.unionByName(rejected)
+    ex = existing.select(*keys).distinct().withColumn("_exists", F.lit(True))
+    return (new.join(ex, keys, "left")
+            .withColumn("status", F.when(F.col("_exists"), F.lit("rejected")).otherwise(F.lit("accepted")))
+            .drop("_exists"))
 
 
 # --- access rules ---------------------------------------------------------
@@ -104,8 +105,10 @@ def expand_rules(sources: DataFrame, services: Iterable[str] = ("hdfs", "spark")
 
 
 def _network_of(ip_col: str, len_col: str):
-    """First address of the ``len``-bit network that contains ``ip``."""
-    return F.expr(f"shiftleft(shiftright({ip_col}, 32 - {len_col}), 32 - {len_col})")
+    """First address of the ``len``-bit network that contains ``ip`` (as a
+    64-bit value, so that a shift by 32 for /0 yields 0)."""
+    ip = f"CAST({ip_col} AS BIGINT)"
+    return F.expr(f"shiftleft(shiftright({ip}, 32 - {len_col}), 32 - {len_col})")
 
 
 def rule_prefix_lengths(rules: DataFrame, len_col: str) -> list[int]:

@@ -110,8 +110,8 @@ def q_dedupe_rules(spark, sf_dir):
 
 @query("pick_victims", "W1", sql="""
 SELECT c_nationkey, c_custkey, victim_rank FROM (
-  SELECT c_nationkey, c_custkey, row_number() OVER (
-      PARTITION BY c_nationkey ORDER BY (c_acctbal < 0) DESC, c_custkey) AS victim_rank
+  SELECT c_nationkey, c_custkey, CAST(row_number() OVER (
+      PARTITION BY c_nationkey ORDER BY (c_acctbal < 0) DESC, c_custkey) AS INTEGER) AS victim_rank
   FROM customer) WHERE victim_rank <= 3
 """)
 def q_pick_victims(spark, sf_dir):
