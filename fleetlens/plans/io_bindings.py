@@ -73,7 +73,8 @@ def q_read_key_value_lines(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages").select("page_id", "url")
     query_text = F.try_parse_url(F.col("url"), F.lit("QUERY"))
     line = F.regexp_replace(F.replace(query_text, F.lit("&"), F.lit(" ")), "([^ =]+)=([^ ]*)", '$1="$2"')
-    return text.read_key_value_lines(p.select("page_id", line.alias("line")), "line", ["page_id"])
+    return text.read_key_value_lines(p.select("page_id", line.alias("line")), "line", ["page_id"],
+                                     lower_values=True)
 
 
 # ------------------------------------------------------------------ S4
@@ -101,7 +102,7 @@ MESSAGE = "concat(event_type, ' cents=', CAST(CAST(floor(value * 100) AS BIGINT)
 
 def _log_line(time_text: str) -> str:
     return (f"CASE WHEN event_id % 101 = 0 THEN concat('Traceback (most recent call last): ', event_type) "
-            f"ELSE concat({time_text}, ' - flintrock.', rpad({MODULE}, 9, ' '), ' - ', rpad({LEVEL}, 5, ' '), "
+            f"ELSE concat({time_text}, ' - fleet.', rpad({MODULE}, 9, ' '), ' - ', rpad({LEVEL}, 5, ' '), "
             f"' - [', {HOST}, '] ', {MESSAGE}) END")
 
 
@@ -109,7 +110,7 @@ def _log_line(time_text: str) -> str:
 SELECT event_id,
        CASE WHEN event_id % 101 = 0 THEN 'invalid' ELSE 'ok' END AS status,
        CASE WHEN event_id % 101 = 0 THEN NULL ELSE date_trunc('millisecond', ts) END AS ts,
-       CASE WHEN event_id % 101 = 0 THEN NULL ELSE concat('flintrock.', {MODULE}) END AS logger,
+       CASE WHEN event_id % 101 = 0 THEN NULL ELSE concat('fleet.', {MODULE}) END AS logger,
        CASE WHEN event_id % 101 = 0 THEN NULL ELSE {LEVEL} END AS level,
        CASE WHEN event_id % 101 = 0 THEN NULL ELSE {HOST} END AS host,
        CASE WHEN event_id % 101 = 0 THEN NULL ELSE {MESSAGE} END AS message

@@ -24,10 +24,11 @@ PAIR_RE = r'([A-Za-z0-9_]+)="([^"]*)"'
 
 
 def read_key_value_lines(df: DataFrame, col: str, id_cols: Sequence[str],
-                         lower_values: bool = True) -> DataFrame:
+                         lower_values: bool = False) -> DataFrame:
     """``KEY="value" KEY2="value2"`` lines to one row per pair
-    (``id..., key, value``). Keys are lower-cased; values too unless
-    ``lower_values`` is off (device listings lower-case both)."""
+    (``id..., key, value``). Keys are lower-cased. Values keep their case
+    unless ``lower_values`` is set (the device-listing parser lower-cases
+    them too, which also changes the case of mount paths)."""
     keys = F.regexp_extract_all(F.col(col), F.lit(PAIR_RE), 1)
     values = F.regexp_extract_all(F.col(col), F.lit(PAIR_RE), 2)
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))

@@ -254,3 +254,60 @@ def test_compose_groups_chunks_large_groups(spark):
     for k in (0, 1):
         members = sorted(m for r in out if r.k == k for m in r.members)
         assert members == sorted(str(i) for i in range(k, 1000, 2))
+
+
+# ------------------------------------------------------ S3 / S4 / S5 lines
+def test_key_value_lines_case(spark):
+    from fleetlens.sources import text
+    df = spark.createDataFrame([(1, 'KNAME="/dev/XVDB" MOUNTPOINT="/Media/X" SIZE="1073741824"')],
+                               "id int, line string")
+    keep = {r.key: r.value for r in text.read_key_value_lines(df, "line", ["id"]).collect()}
+    assert keep == {"kname": "/dev/XVDB", "mountpoint": "/Media/X", "size": "1073741824"}
+    low = {r.key: r.value for r in text.read_key_value_lines(df, "line", ["id"], lower_values=True).collect()}
+    assert low["mountpoint"] == "/media/x"
+
+
+def test_read_fields_quarantines_wrong_arity(spark):
+    from fleetlens.sources import text
+    df = spark.createDataFrame([("/dev/xvdb /media/ephemeral0 ext4 defaults 0 0",), ("/dev/xvdc /mnt",)], "l string")
+    names = ["device_name", "mount_point", "filesystem_type", "mount_options", "dump", "pass_number"]
+    out = text.read_fields(df, "l", names).collect()
+    assert out[0].status == "ok" and out[0].mount_point == "/media/ephemeral0"
+    assert out[1].status == "invalid" and out[1].device_name is None
+
+
+def test_operation_log_line(spark):
+    from fleetlens.sources import text
+    line = "2024-01-01 00:00:07,179 - fleet.ssh           - ERROR - [10.0.0.8] SSH timeout."
+    df = spark.createDataFrame([(line,), ("garbage",)], "l string")
+    ok, bad = text.read_operation_log(df, "l").collect()
+    assert (ok.logger, ok.level, ok.host, ok.message) == ("fleet.ssh", "ERROR", "10.0.0.8", "SSH timeout.")
+    assert str(ok.ts) == "2024-01-01 00:00:07.179000"
+    assert bad.status == "invalid" and bad.ts is None
+
+
+def test_manifest_round_trip(spark):
+    from fleetlens.sources import manifests
+    rows = spark.createDataFrame([("c1", "HDFS", "3.3.6", 11), ("c1", "Spark", "3.5.0", 11)],
+                                 "cluster string, service string, version string, java int")
+    doc = manifests.write_manifests(rows, "cluster", "service", ["version"], "java").collect()[0].manifest
+    assert doc == ('{"java_version":11,"services":[["HDFS",{"version":"3.3.6"}],'
+                   '["Spark",{"version":"3.5.0"}]]}')
+    back = manifests.read_manifests(spark.createDataFrame([("c1", doc)], "c string, doc string"), "doc", ["c"])
+    assert sorted((r.service, r.version, r.java_version) for r in back.collect()) == [
+        ("HDFS", "3.3.6", 11), ("Spark", "3.5.0", 11)]
+
+
+def test_map_rows_fail_fast(spark):
+    from fleetlens.operators import rowmap
+
+    def fn(row):
+        if row["x"] == 2:
+            raise ValueError("boom")
+        return {"y": row["x"] * 10}
+
+    df = spark.createDataFrame([(1,), (2,), (3,)], "x long")
+    got = sorted((r.x, r.y, r.error) for r in rowmap.map_rows(df, fn, "y long", keep=["x"]).collect())
+    assert got == [(1, 10, None), (2, None, "ValueError: boom"), (3, 30, None)]
+    with pytest.raises(Exception):
+        rowmap.map_rows(df, fn, "y long", keep=["x"], fail_fast=True).collect()
