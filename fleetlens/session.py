@@ -60,8 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, durable folder
-    and is used as is. Only when it is unset (local tests) a private
-    temporary folder is created and registered.
+    and is used as is. Only a local-mode session (tests) with the setting
+    unset gets a private temporary folder; on a cluster an unset setting
+    is an error, since a machine-local folder would not survive the loss
+    of that machine.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None)
@@ -71,6 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # not set in the SQL conf either
             path = None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or an object store)")
         path = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
