@@ -107,13 +107,16 @@ def describe_groups(df: DataFrame, key: str | Sequence[str], state_col: str, rol
 
 
 def split_roles(df: DataFrame, key: str | Sequence[str], role_col: str, host_col: str,
-                master_role: str = "master", slave_roles: Iterable[str] = ("slave",)) -> DataFrame:
+                master_role: str = "master", slave_roles: Iterable[str] = ("slave",),
+                with_slaves: bool = False, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """Master and slave split per group, with violations as values.
 
     No master is legal. More than one master, or a role that is neither
     master nor slave, is reported in ``violation`` instead of failing the
     job. ``master`` is the master host when there is exactly one.
-    Slave members are listed by ``compose_groups`` (bounded chunks).
+    With ``with_slaves`` the slave hosts are added as a sorted array,
+    in bounded chunks (``compose_groups``): one row per (group, chunk),
+    chunk 0 with an empty array for a group without slaves.
     """
     keys = _cols(key)
     role = F.col(role_col)
@@ -128,9 +131,17 @@ def split_roles(df: DataFrame, key: str | Sequence[str], role_col: str, host_col
     )
     violation = (F.when(F.col("n_masters") > 1, F.lit("multiple masters"))
                  .when(F.col("n_unknown") > 0, F.lit("unknown role")))
-    return (agg.withColumn("violation", violation)
-            .withColumn("master", F.when(F.col("n_masters") == 1, F.col("first_master")))
-            .drop("first_master"))
+    out = (agg.withColumn("violation", violation)
+           .withColumn("master", F.when(F.col("n_masters") == 1, F.col("first_master")))
+           .drop("first_master"))
+    if not with_slaves:
+        return out
+    host_type = df.schema[host_col].dataType.simpleString()
+    slaves = compose_groups(df.filter(role.isin(slave_roles)), keys, host_col, chunk_size) \
+        .select(*keys, "chunk", F.col("members").alias("slaves"))
+    return (out.join(slaves, keys, "left")
+            .withColumn("chunk", F.coalesce(F.col("chunk"), F.lit(0)))
+            .withColumn("slaves", F.coalesce(F.col("slaves"), F.array().cast(f"array<{host_type}>"))))
 
 
 def all_reached(df: DataFrame, key: str | Sequence[str], state_col: str, target: str,

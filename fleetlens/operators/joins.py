@@ -32,6 +32,28 @@ def missing_names(requested: DataFrame, found: DataFrame, name_col: str,
             .join(f, F.col("name") == F.col("_found"), "left_anti").distinct())
 
 
+# Message prefix for missing names; "s" is added to the noun
+# when more than one name is missing, then ": " and the names.
+MISSING_PREFIX = "Could not find the following "
+
+
+def missing_message(missing: DataFrame, what: str = "security group", name_col: str = "name",
+                    chunk_size: int = 1000) -> DataFrame:
+    """The missing names as message text, names sorted and joined with ", ".
+
+    The names are listed in chunks of at most ``chunk_size`` (one row each,
+    ``chunk`` 0, 1, ...) so a huge miss list never becomes one string
+    built in one task; a short list is a single row.
+    """
+    from fleetlens.operators.aggs import compose_groups
+    grouped = compose_groups(missing.select(F.lit(0).alias("_all"), F.col(name_col)), "_all",
+                             name_col, chunk_size=chunk_size)
+    plural = F.when(F.col("n_members") == 1, F.lit("")).otherwise(F.lit("s"))
+    text = F.concat(F.lit(MISSING_PREFIX + what), plural, F.lit(": "),
+                    F.array_join("members", ", "))
+    return grouped.select("chunk", F.col("n_members").alias("missing"), text.alias("message"))
+
+
 def in_use(mounts: DataFrame, devices: DataFrame, device_col: str,
            devices_col: str | None = None) -> DataFrame:
     """Mounts whose device is in the device list (left semi join)."""

@@ -311,3 +311,18 @@ def test_map_rows_fail_fast(spark):
     assert got == [(1, 10, None), (2, None, "ValueError: boom"), (3, 30, None)]
     with pytest.raises(Exception):
         rowmap.map_rows(df, fn, "y long", keep=["x"], fail_fast=True).collect()
+
+
+def test_missing_message(spark):
+    one = spark.createDataFrame([("sg-a",)], "name string")
+    two = spark.createDataFrame([("sg-b",), ("sg-a",)], "name string")
+    assert joins.missing_message(one).collect()[0].message == "Could not find the following security group: sg-a"
+    assert joins.missing_message(two).collect()[0].message == \
+        "Could not find the following security groups: sg-a, sg-b"
+
+
+def test_split_roles_with_slaves(spark):
+    df = spark.createDataFrame([("a", "master", "h1"), ("a", "slave", "h3"), ("a", "slave", "h2"),
+                                ("b", "master", "h4")], "k string, role string, host string")
+    out = {r.k: (r.master, r.slaves) for r in aggs.split_roles(df, "k", "role", "host", with_slaves=True).collect()}
+    assert out == {"a": ("h1", ["h2", "h3"]), "b": ("h4", [])}
