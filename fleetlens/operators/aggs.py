@@ -24,7 +24,7 @@ def _cols(keys: str | Sequence[str]) -> list[str]:
 
 
 def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
-                   chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+                   chunk_size: int = DEFAULT_CHUNK, sizes: DataFrame | None = None) -> DataFrame:
     """Members of each group as a sorted array.
 
     Output: ``key..., chunk, members, n_members`` where ``n_members`` is
@@ -32,10 +32,13 @@ def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
     members is one row (``chunk = 0``). Larger groups are split by a hash
     of the member into ``ceil(n / chunk_size)`` chunks, so no single array
     (and no single task) has to hold an unbounded group. Every member
-    appears in exactly one chunk.
+    appears in exactly one chunk. ``sizes`` (``key..., n_members``) may be
+    passed when the caller already has the group sizes from another
+    aggregate, saving a pass over ``df``.
     """
     keys = _cols(key)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
     with_size = df.select(*keys, member).join(sizes, keys)
     chunks = F.ceil(F.col("n_members") / F.lit(chunk_size)).cast("int")
     chunk = F.when(F.col("n_members") <= chunk_size, F.lit(0)).otherwise(

@@ -28,12 +28,16 @@ def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: s
                  host_col: str, master_role: str = "master", slave_role: str = "slave",
                  chunk_size: int = 10_000, path: str | None = None) -> DataFrame:
     is_master = F.col(role_col) == F.lit(master_role)
+    is_slave = F.col(role_col) == F.lit(slave_role)
     summary = nodes.groupBy(cluster_col).agg(
         consensus_expr(state_col).alias("state"),
         F.count(F.lit(1)).alias("node_count"),
+        F.count_if(is_slave).alias("n_members"),
         F.min(F.when(is_master, F.col(host_col))).alias("master"))
-    slaves = compose_groups(nodes.filter(F.col(role_col) == F.lit(slave_role)), cluster_col,
-                            host_col, chunk_size=chunk_size).select(cluster_col, "chunk", "members")
+    # Slave lists only for running clusters; their sizes come from the summary.
+    running_sizes = summary.filter(F.col("state") == F.lit("running")).select(cluster_col, "n_members")
+    slaves = compose_groups(nodes.filter(is_slave), cluster_col, host_col, chunk_size=chunk_size,
+                            sizes=running_sizes).select(cluster_col, "chunk", "members")
     running = F.col("state") == F.lit("running")
     header = F.concat(
         F.col(cluster_col).cast("string"), F.lit(":\n  state: "), F.coalesce(F.col("state"), F.lit("None")),
@@ -43,9 +47,8 @@ def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: s
     head_rows = summary.select(F.col(cluster_col).alias("cluster"), F.lit(0).alias("chunk"),
                                header.alias("report"))
     items = F.array_join(F.transform("members", lambda h: F.concat(F.lit("\n    - "), h)), "")
-    slave_rows = (slaves.join(summary.filter(running).select(cluster_col), cluster_col, "left_semi")
-                  .select(F.col(cluster_col).alias("cluster"), (F.col("chunk") + 1).alias("chunk"),
-                          items.alias("report")))
+    slave_rows = slaves.select(F.col(cluster_col).alias("cluster"), (F.col("chunk") + 1).alias("chunk"),
+                               items.alias("report"))
     out = head_rows.unionByName(slave_rows)
     if path is not None:
         out.orderBy("cluster", "chunk").select(F.col("report").alias("value")).write.mode("overwrite").text(path)

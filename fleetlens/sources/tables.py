@@ -13,7 +13,10 @@ TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+SPREAD_CONF = "fleetlens.spreadSmallScans"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
     """Lazy scan of ``<sf_dir>/<name>.parquet``; projections and filters
     applied later are pushed into the scan by Catalyst.
 
@@ -23,10 +26,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     cores, its rows are spread round-robin over ``defaultParallelism``
     partitions. Catalyst still pushes filters and column pruning below
     that exchange. Large tables have many splits and are left alone.
+    The session setting ``fleetlens.spreadSmallScans=false`` turns this off.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread is None:
+        spread = spark.conf.get(SPREAD_CONF, "true").lower() == "true"
     if spread:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
