@@ -140,7 +140,8 @@ def split_roles(df: DataFrame, key: str | Sequence[str], role_col: str, host_col
     if not with_slaves:
         return out
     host_type = df.schema[host_col].dataType.simpleString()
-    slaves = compose_groups(df.filter(role.isin(slave_roles)), keys, host_col, chunk_size) \
+    sizes = out.filter(F.col("n_slaves") > 0).select(*keys, F.col("n_slaves").alias("n_members"))
+    slaves = compose_groups(df.filter(role.isin(slave_roles)), keys, host_col, chunk_size, sizes=sizes) \
         .select(*keys, "chunk", F.col("members").alias("slaves"))
     return (out.join(slaves, keys, "left")
             .withColumn("chunk", F.coalesce(F.col("chunk"), F.lit(0)))
