@@ -223,6 +223,92 @@ def track_state_processor(events: DataFrame, member_col: str, cluster_col: str,
         outputMode="Append", timeMode="None")
 
 
+CLUSTER_STATUS_SCHEMA = T.StructType([
+    T.StructField("cluster", T.LongType()),
+    T.StructField("version", T.LongType()),
+    T.StructField("members", T.LongType()),
+    T.StructField("laggards", T.LongType()),
+    T.StructField("all_reached", T.BooleanType()),
+])
+
+
+class ClusterProgress(StatefulProcessor):
+    """Per cluster: each member's newest (ts, id, state) in a map state
+    (RocksDB-backed, so a large cluster's members spill to disk) plus
+    running member and laggard counts, updated incrementally. Emits the
+    cluster's status, with an increasing ``version``, in every micro-batch
+    that changes it; ``all_reached`` is true once every member's newest
+    state is the target."""
+
+    def __init__(self, target: str):
+        self.target = target
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.members = handle.getMapState(
+            "members", T.StructType([T.StructField("member", T.LongType())]),
+            T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("event_id", T.LongType()),
+                          T.StructField("state", T.StringType())]))
+        self.counts = handle.getValueState(
+            "counts", T.StructType([T.StructField("version", T.LongType()),
+                                    T.StructField("members", T.LongType()),
+                                    T.StructField("laggards", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = [pdf for pdf in rows if not pdf.empty]
+        if not frames:
+            return
+        batch = pd.concat(frames).sort_values(["member", "ts", "event_id"])
+        newest = batch.groupby("member", sort=False).tail(1)
+        version, n, lag = self.counts.get() or (0, 0, 0)
+        changed = False
+        for row in newest.itertuples(index=False):
+            mkey = (int(row.member),)
+            cand = (pd.Timestamp(row.ts), int(row.event_id))
+            prev = self.members.getValue(mkey) if self.members.containsKey(mkey) else None
+            if prev is not None and (pd.Timestamp(prev[0]), prev[1]) >= cand:
+                continue
+            if prev is None:
+                n += 1
+            else:
+                lag -= int(prev[2] != self.target)
+            lag += int(row.state != self.target)
+            self.members.updateValue(mkey, (cand[0].to_pydatetime(), cand[1], row.state))
+            changed = True
+        if not changed:
+            return
+        version += 1
+        self.counts.update((version, n, lag))
+        yield pd.DataFrame({"cluster": [int(key[0])], "version": [version], "members": [n],
+                            "laggards": [lag], "all_reached": [lag == 0]})
+
+    def close(self) -> None:
+        pass
+
+
+def track_cluster(events: DataFrame, member_col: str, cluster_col: str, state_col: str,
+                  target: str, ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """Stream of cluster status changes (members, laggards, all_reached),
+    emitted by a stateful processor keyed by cluster. The newest status of
+    a cluster is its row with the highest ``version``."""
+    spark = events.sparkSession
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != provider:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    rows = events.select(F.col(member_col).alias("member"), F.col(cluster_col).alias("cluster"),
+                         F.col(ts_col).alias("ts"), F.col(id_col).alias("event_id"),
+                         F.col(state_col).alias("state"))
+    return rows.groupBy("cluster").transformWithStateInPandas(
+        statefulProcessor=ClusterProgress(target), outputStructType=CLUSTER_STATUS_SCHEMA,
+        outputMode="Append", timeMode="None")
+
+
+def newest_status(statuses: DataFrame) -> DataFrame:
+    """Newest row per cluster of a ``track_cluster`` output (``max_by`` version)."""
+    latest = statuses.groupBy("cluster").agg(
+        F.max_by(F.struct("members", "laggards", "all_reached"), F.col("version")).alias("s"))
+    return latest.select("cluster", "s.members", "s.laggards", "s.all_reached")
+
+
 def cluster_status(changes: DataFrame, target: str) -> DataFrame:
     """Fold state changes into per-cluster status: members, laggards and
     whether every member's newest state is ``target`` (partial aggregates)."""

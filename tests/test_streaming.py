@@ -84,3 +84,13 @@ def test_health_windows_closed_windows_equal_batch(spark, split_events):
     want = {r.window_start: (r.probes, r.successes) for r in b.collect()
             if r.window_start + dt.timedelta(hours=2) <= closed}
     assert {r.window_start: (r.probes, r.successes) for r in got.collect()} == want
+
+
+def test_track_cluster_emits_progress(spark, split_events):
+    ev, _, shuffled = split_events
+    s = _stream(spark, shuffled).withColumn("cluster", F.col("user_id") % 10)
+    statuses = streams.run_available(
+        streams.track_cluster(s, "user_id", "cluster", "event_type", "purchase"), "t1_test_cluster")
+    assert statuses.groupBy("cluster").count().filter("count > 1").count() > 0  # several versions
+    got = {r.cluster: (r.members, r.laggards) for r in streams.newest_status(statuses).collect()}
+    assert got == _batch_status(ev)
