@@ -152,7 +152,7 @@ def match_rules(flows: DataFrame, rules: DataFrame, ip_col: str, port_col: str,
     the match becomes an equi-join on (length, network), then a port
     filter. Work grows with flows x distinct lengths (at most 33), and the
     join shuffles (or broadcasts, if small) like any equi-join.
-    ``rules[net_col]`` must be the network start (host bits zero).
+    A rule network with host bits set is reduced to its network start.
     """
     if lengths is None:
         lengths = rule_prefix_lengths(rules, len_col)
@@ -160,7 +160,8 @@ def match_rules(flows: DataFrame, rules: DataFrame, ip_col: str, port_col: str,
         lengths = [0]
     keyed = (flows.withColumn("_len", F.explode(F.array(*[F.lit(int(x)) for x in lengths])))
              .withColumn("_net", _network_of(ip_col, "_len")))
-    r = rules.withColumnRenamed(len_col, "_rlen").withColumnRenamed(net_col, "_rnet")
+    r = (rules.withColumn(net_col, _network_of(net_col, len_col))
+         .withColumnRenamed(len_col, "_rlen").withColumnRenamed(net_col, "_rnet"))
     joined = keyed.join(r, (F.col("_len") == F.col("_rlen")) & (F.col("_net") == F.col("_rnet")))
     return (joined.filter(F.col(port_col).between(F.col(lo_col), F.col(hi_col)))
             .drop("_len", "_net")
@@ -281,8 +282,9 @@ def dedupe_rules(df: DataFrame, keys: str | Sequence[str],
     """
     keys = _cols(keys)
     if not keep_first_by:
-        return df.select(*keys, *carry).dropDuplicates(keys) if not carry else \
-            df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in carry], F.count(F.lit(1)).alias("copies"))
+        if carry:
+            raise ValueError("carry needs keep_first_by: carried values must come from one row")
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     order = F.struct(*[F.col(c) for c in keep_first_by])
     first = F.min_by(F.struct(*[F.col(c) for c in carry]), order) if carry else None
     aggs = [F.count(F.lit(1)).alias("copies")]
