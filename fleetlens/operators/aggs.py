@@ -64,16 +64,37 @@ def consensus_expr(col: str) -> Column:
             .otherwise(F.lit(INCONSISTENT)))
 
 
+def _state_counts(df: DataFrame, keys: list[str], col: str, extra: list[Column] = ()) -> DataFrame:
+    """Phase 1 of consensus: rows per (group, value), NULL value included.
+    Grouping by the string value keeps every aggregate buffer fixed-width,
+    so this runs as a hash aggregate with a map-side partial."""
+    return df.groupBy(*keys, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), *extra)
+
+
+def _consensus_of_counts(keys: list[str]) -> list[Column]:
+    """Phase 2 over at most (groups x distinct values) rows: the value, or
+    'inconsistent', with the group's row count."""
+    n_all = F.sum("_n")
+    n_set = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
+    state = (F.when(F.coalesce(n_set, F.lit(0)) == 0, F.lit(None).cast("string"))
+             .when((F.count("_v") == 1) & (n_set == n_all), F.min("_v").cast("string"))
+             .otherwise(F.lit(INCONSISTENT)))
+    return [state, n_all.cast("bigint")]
+
+
 def group_consensus(df: DataFrame, key: str | Sequence[str], col: str,
                     clusters: DataFrame | None = None, out: str = "state") -> DataFrame:
     """One row per group with the agreed value of ``col`` (or 'inconsistent').
 
-    With ``clusters`` (a list of group keys) the result is left-joined onto
-    it, and a group with no rows at all is 'inconsistent'.
+    Two hash aggregates: rows per (group, value), then the decision per
+    group over that small table. A group holding a third of all rows is
+    pre-aggregated on the map side in phase 1. With ``clusters`` (a list
+    of group keys) the result is left-joined onto it, and a group with no
+    rows at all is 'inconsistent'.
     """
     keys = _cols(key)
-    agg = df.groupBy(*keys).agg(consensus_expr(col).alias(out),
-                                F.count(F.lit(1)).alias("n_rows"))
+    state, n_all = _consensus_of_counts(keys)
+    agg = _state_counts(df, keys, col).groupBy(*keys).agg(state.alias(out), n_all.alias("n_rows"))
     if clusters is None:
         return agg
     return (clusters.select(*keys).join(agg, keys, "left")
@@ -102,10 +123,20 @@ def role_counts(df: DataFrame, key: str | Sequence[str], role_col: str,
 def describe_groups(df: DataFrame, key: str | Sequence[str], state_col: str, role_col: str,
                     master_roles: Iterable[str] = ("master",),
                     slave_roles: Iterable[str] = ("slave",)) -> DataFrame:
-    """Cluster summary in one aggregate: consensus state and role counts."""
-    return (df.groupBy(*_cols(key))
-            .agg(consensus_expr(state_col).alias("state"),
-                 *role_count_exprs(role_col, master_roles, slave_roles))
+    """Cluster summary: consensus state and role counts, from one scan.
+
+    Phase 1 counts rows and roles per (cluster, state) in a hash aggregate;
+    phase 2 folds those few rows per cluster into the state and the counts.
+    """
+    keys = _cols(key)
+    role = F.col(role_col)
+    per_state = _state_counts(df, keys, state_col, [
+        F.count_if(role.isin(list(master_roles))).alias("_m"),
+        F.count_if(role.isin(list(slave_roles))).alias("_s")])
+    state, _ = _consensus_of_counts(keys)
+    return (per_state.groupBy(*keys)
+            .agg(state.alias("state"), F.sum("_m").cast("bigint").alias("masters"),
+                 F.sum("_s").cast("bigint").alias("slaves"))
             .withColumn("nodes", F.col("masters") + F.col("slaves")))
 
 
