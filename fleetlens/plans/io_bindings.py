@@ -141,7 +141,7 @@ SELECT cluster, 0 AS chunk,
                    ELSE '' END) AS report
 FROM s
 UNION ALL
-SELECT cluster, 1 AS chunk, string_agg(concat(chr(10), '    - ', host), '' ORDER BY host) AS report
+SELECT cluster, 1 AS chunk, string_agg(concat('    - ', host), chr(10) ORDER BY host) AS report
 FROM n WHERE role = 'slave' AND cluster IN (SELECT cluster FROM s WHERE state = 'running')
 GROUP BY cluster
 """)

@@ -12,8 +12,9 @@ Layout (fixed format)::
 State is the consensus of member states. The slave list is built with
 ``compose_groups``, so a very large cluster yields several consecutive
 text rows (``chunk`` 0, 1, ...) instead of one unbounded string; the
-header is chunk 0 and slave lists are chunks 1, 2, ... Concatenating the rows in (cluster, chunk) order
-gives the whole document.
+header is chunk 0 and slave lists are chunks 1, 2, ... Joining the rows
+with newlines in (cluster, chunk) order (as ``path=`` writes them) gives
+the whole document.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: s
                                  F.lit("\n  slaves:"))).otherwise(F.lit("")))
     head_rows = summary.select(F.col(cluster_col).alias("cluster"), F.lit(0).alias("chunk"),
                                header.alias("report"))
-    items = F.array_join(F.transform("members", lambda h: F.concat(F.lit("\n    - "), h)), "")
+    items = F.array_join(F.transform("members", lambda h: F.concat(F.lit("    - "), h)), "\n")
     slave_rows = slaves.select(F.col(cluster_col).alias("cluster"), (F.col("chunk") + 1).alias("chunk"),
                                items.alias("report"))
     out = head_rows.unionByName(slave_rows)
