@@ -96,13 +96,13 @@ def q_choose_address(spark, sf_dir):
             .select("c_custkey", "ip", "host"))
 
 
-MASTER_HOST = "concat('master-', lower(n_name), '.internal')"
+MASTER_HOST = "concat('master-', CAST(c_custkey AS STRING), '.internal')"
 
 
-@query("project_hosts", "F5", sql=f"SELECT n_name AS name, {MASTER_HOST} AS master_host FROM nation")
+@query("project_hosts", "F5", sql=f"SELECT c_name AS name, {MASTER_HOST} AS master_host FROM customer")
 def q_project_hosts(spark, sf_dir):
-    n = read_table(spark, sf_dir, "nation").withColumn("master_host", d.col(MASTER_HOST))
-    return filters.project_hosts(n, "n_name", "master_host")
+    c = read_table(spark, sf_dir, "customer").withColumn("master_host", d.col(MASTER_HOST))
+    return filters.project_hosts(c, "c_name", "master_host")
 
 
 @query("transfer_warning", "F6", sql="""
@@ -117,15 +117,15 @@ def q_transfer_warning(spark, sf_dir):
                                     "source", "n_chars", "lang", limit=300_000)
 
 
-PATHS = "array(concat('/media/ephemeral', CAST(n_nationkey % 3 AS STRING)), '/media/ephemeral0', '/media/data')"
+PATHS = "array(concat('/media/ephemeral', CAST(c_custkey % 3 AS STRING)), '/media/ephemeral0', '/media/data')"
 
 
 @query("order_by_name", "O1", sql=f"""
-SELECT n_name AS name, list_sort({PATHS.replace("array(", "list_value(", 1)}) AS paths FROM nation ORDER BY name
+SELECT c_name AS name, list_sort({PATHS.replace("array(", "list_value(", 1)}) AS paths FROM customer ORDER BY name
 """)
 def q_order_by_name(spark, sf_dir):
-    n = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), d.col(PATHS).alias("paths"))
-    return filters.order_by_name(n, "name", array_cols=["paths"])
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), d.col(PATHS).alias("paths"))
+    return filters.order_by_name(c, "name", array_cols=["paths"])
 
 
 @query("sample_first", "O2", sql="""
