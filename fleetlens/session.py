@@ -86,3 +86,46 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "fleetlens", kind, uuid.uuid4().hex)
+
+
+def scale_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 8,
+               target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+    """Settings to submit with a job over ``input_bytes`` of Parquet.
+
+    - Shuffle partitions: enough that a partition is about
+      ``target_partition_bytes`` even before AQE coalescing, and at least
+      2x the cluster's task slots. AQE then merges small partitions and
+      splits skewed ones (a key with a third of the rows).
+    - Scan splits of ``target_partition_bytes``, so one task's input fits
+      in its share of executor memory.
+    - A 64 MiB automatic broadcast limit: a join side is broadcast only
+      when the planner's size estimate is under it.
+    - RocksDB state for streams (state off the JVM heap, incremental
+      changelog checkpoints).
+    - Executor loss: decommissioning migrates shuffle and cached blocks
+      off a leaving executor, and failed tasks are retried.
+    """
+    slots = executors * cores_per_executor
+    partitions = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    mib = target_partition_bytes // (1024 ** 2)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{mib}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * mib}m",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": f"{mib}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.decommission.enabled": "true",
+        "spark.storage.decommission.enabled": "true",
+        "spark.storage.decommission.shuffleBlocks.enabled": "true",
+        "spark.storage.decommission.rddBlocks.enabled": "true",
+        "spark.task.maxFailures": "8",
+        "spark.ui.enabled": "false",
+    }
