@@ -99,3 +99,56 @@ def test_version_classes_match_tuple_order(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     got = {r.i: r.hadoop_build for r in X.version_audit(df, "v").collect()}
     assert got == {i: _python_build(v) for i, v in enumerate(values)}
+
+
+def _python_java_major(banner):
+    tokens = banner.split()
+    if len(tokens) >= 3:
+        parts = tokens[2].strip('"').split(".")
+        try:
+            if len(parts) >= 2:
+                return int(parts[1]) if parts[0] == "1" else int(parts[0])
+            return int(parts[0])  # deliberate change: a bare "17" is 17
+        except ValueError:
+            return None
+    return None
+
+
+def test_java_major_matches_python_rule(spark):
+    rnd = random.Random(4)
+    heads = ["openjdk version", "java version", "bash: java:", "", "openjdk"]
+    vers = ['"1.8.0_252"', '"11.0.7"', '"17"', '"21.0.1"', '"1.7.0"', "x", '"9"', '"abc.1"', '""']
+    values = [" ".join(t for t in (rnd.choice(heads), rnd.choice(vers), rnd.choice(["", "2020-04-14"])) if t)
+              for _ in range(1000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, b string")
+    got = {r.i: r.m for r in df.select("i", X.java_major("b").alias("m")).collect()}
+    want = {i: _python_java_major(v) for i, v in enumerate(values)}
+    bad = [(values[i], got[i], want[i]) for i in want if got[i] != want[i]]
+    assert not bad, bad[:10]
+
+
+def _python_requires(scope, option, when_value, all_of, any_of):
+    """The reference's rule, re-typed: trigger on a truthy option (equal to
+    the value if given); all_of needs truthy values, any_of one non-None."""
+    out = []
+    v = scope[option]
+    if v and (when_value is None or v == when_value):
+        out += [("requires_all", r) for r in all_of if not scope[r]]
+        if any_of and all(scope[r] is None for r in any_of):
+            out.append(("requires_any", ", ".join(any_of)))
+    return sorted(out)
+
+
+def test_requires_matches_python_rule(spark):
+    from fleetlens.operators import quality
+    rnd = random.Random(8)
+    choices = [None, "", "x", "magic"]
+    rows = [(i, *[rnd.choice(choices) for _ in range(4)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "i int, o string, a string, b string, c string")
+    for when in (None, "magic"):
+        got = {}
+        for r in quality.requires(df, ["i"], "o", all_of=["a", "b"], any_of=["b", "c"], when_value=when).collect():
+            got.setdefault(r.i, []).append((r.rule, r.missing))
+        for i, o, a, b, c in rows:
+            want = _python_requires({"o": o, "a": a, "b": b, "c": c}, "o", when, ["a", "b"], ["b", "c"])
+            assert sorted(got.get(i, [])) == want, (o, a, b, c, when)
