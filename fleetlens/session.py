@@ -122,6 +122,8 @@ def scale_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # merge session windows inside each partition before the shuffle (hot hosts)
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.decommission.enabled": "true",
         "spark.storage.decommission.enabled": "true",
         "spark.storage.decommission.shuffleBlocks.enabled": "true",
