@@ -46,7 +46,7 @@ def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
     return (with_size.withColumn("chunk", chunk.cast("int"))
             .groupBy(*keys, "chunk")
             .agg(F.array_sort(F.collect_list(member)).alias("members"),
-                 F.first("n_members").alias("n_members")))
+                 F.max("n_members").alias("n_members")))
 
 
 def consensus_expr(col: str) -> Column:
