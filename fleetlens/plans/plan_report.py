@@ -17,7 +17,7 @@ import sys
 
 from fleetlens.plans.registry import operators, queries
 
-STREAMING = {"health_windows", "health_windows_sliding", "attempt_sessions", "stream_dedupe",
+STREAMING = {"health_windows", "health_windows_sliding", "attempt_sessions", "stream_dedupe", "track_cluster",
              "admit_stream", "track_state"}
 
 KEEP = {"Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",

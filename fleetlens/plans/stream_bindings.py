@@ -99,3 +99,17 @@ def q_track_state(spark, sf_dir):
     changes = streams.run_available_updates(
         streams.track_state(e, "user_id", "cluster", "event_type"), "track_state")
     return streams.cluster_status(changes, "purchase")
+
+
+@query("track_cluster", "T1", sql="""
+WITH l AS (SELECT user_id, user_id % 10 AS cluster, event_type FROM events
+           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT cluster, count(*) AS members, count(*) FILTER (WHERE event_type <> 'purchase') AS laggards,
+       count(*) FILTER (WHERE event_type <> 'purchase') = 0 AS all_reached
+FROM l GROUP BY cluster
+""")
+def q_track_cluster(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("cluster", F.col("user_id") % 10)
+    statuses = streams.run_available(
+        streams.track_cluster(e, "user_id", "cluster", "event_type", "purchase"), "track_cluster")
+    return streams.newest_status(statuses)
