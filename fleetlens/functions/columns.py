@@ -129,17 +129,21 @@ def _map_literal(d: dict) -> Column:
     return F.create_map(*items)
 
 
-_OCTET = r"^(0|[1-9][0-9]{0,2})$"
+_OCT = "(0|[1-9][0-9]{0,2})"
+_IPV4_RE = rf"^{_OCT}\.{_OCT}\.{_OCT}\.{_OCT}$"
 
 
 def ipv4_int(text: Column) -> Column:
-    """Dotted IPv4 text to an integer; NULL if any octet is malformed
-    (not 4 parts, leading zeros, over 255)."""
-    parts = F.split(text, r"\.", -1)
-    ok = (F.size(parts) == 4) & F.forall(parts, lambda p: p.rlike(_OCTET) & (p.try_cast("int") <= 255))
-    value = F.aggregate(parts, F.lit(0).cast("bigint"),
-                        lambda acc, p: acc * 256 + p.try_cast("bigint"))
-    return F.when(F.coalesce(ok, F.lit(False)), value)
+    """Dotted IPv4 text to an integer; NULL if malformed (not 4 parts,
+    leading zeros, an octet over 255). One anchored regex, no array
+    lambdas, so it stays inside whole-stage codegen."""
+    ok = text.rlike(_IPV4_RE)
+    octets = [F.regexp_extract(text, _IPV4_RE, i).try_cast("bigint") for i in range(1, 5)]
+    in_range = octets[0] <= 255
+    for o in octets[1:]:
+        in_range = in_range & (o <= 255)
+    value = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+    return F.when(F.coalesce(ok, F.lit(False)) & in_range, value)
 
 
 def ingest_sources(df: DataFrame, col: str) -> DataFrame:
