@@ -243,7 +243,9 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: str | Sequence[str]
     """added / removed / changed / kept between two snapshots.
 
     Full outer join on the keys; ``compare`` columns are compared null-safe
-    (``<=>``), so NULL to NULL is unchanged.
+    (``<=>``), so NULL to NULL is unchanged. ``keys`` must identify one row
+    per snapshot (as instance ids do); reduce a snapshot with repeated keys
+    first (``dedupe_rules`` or an aggregate), or its rows would pair up.
     """
     keys = _cols(keys)
     b = before.select(*keys, *[F.col(c).alias(f"before_{c}") for c in compare]).withColumn("_b", F.lit(True))
