@@ -133,17 +133,24 @@ _OCT = "(0|[1-9][0-9]{0,2})"
 _IPV4_RE = rf"^{_OCT}\.{_OCT}\.{_OCT}\.{_OCT}$"
 
 
+def ipv4_octets(text: Column) -> Column:
+    """The four octet strings of a well-formed dotted IPv4 text (no leading
+    zeros, at most 3 digits each), else NULL."""
+    return F.when(text.rlike(_IPV4_RE), F.split(text, r"\."))
+
+
+def ipv4_value(octets: Column) -> Column:
+    """Integer value of ``ipv4_octets`` output; NULL if an octet is over 255.
+    Pass a column (not an expression) so the split is computed once."""
+    o = [F.get(octets, i).cast("bigint") for i in range(4)]
+    in_range = (o[0] <= 255) & (o[1] <= 255) & (o[2] <= 255) & (o[3] <= 255)
+    return F.when(in_range, ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3])
+
+
 def ipv4_int(text: Column) -> Column:
     """Dotted IPv4 text to an integer; NULL if malformed (not 4 parts,
-    leading zeros, an octet over 255). One anchored regex, no array
-    lambdas, so it stays inside whole-stage codegen."""
-    ok = text.rlike(_IPV4_RE)
-    octets = [F.regexp_extract(text, _IPV4_RE, i).try_cast("bigint") for i in range(1, 5)]
-    in_range = octets[0] <= 255
-    for o in octets[1:]:
-        in_range = in_range & (o <= 255)
-    value = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
-    return F.when(F.coalesce(ok, F.lit(False)) & in_range, value)
+    leading zeros, an octet over 255)."""
+    return ipv4_value(ipv4_octets(text))
 
 
 def ingest_sources(df: DataFrame, col: str) -> DataFrame:
@@ -154,35 +161,41 @@ def ingest_sources(df: DataFrame, col: str) -> DataFrame:
     with leading zeros or over 255 are invalid. Output: ``kind``,
     ``source_value`` (group id or normalized CIDR), ``prefix_len``,
     ``net_start``, ``net_end``.
+
+    The parse is staged in columns (split, octets, value, length, host
+    bits), each computed once per row; this keeps every projection small
+    enough for whole-stage code generation.
     """
     s = F.col(col)
-    halves = F.split(s, "/", -1)
-    n_halves = F.size(halves)
-    addr = ipv4_int(F.get(halves, 0))
-    pfx = F.get(halves, 1)
-    mask_int = ipv4_int(pfx)
-    plen = (F.when(n_halves == 1, F.lit(32))
+    out = df.withColumn("_h", F.split(s, "/", -1))
+    out = (out.withColumn("_ao", ipv4_octets(F.get(F.col("_h"), 0)))
+              .withColumn("_mo", ipv4_octets(F.get(F.col("_h"), 1))))
+    out = (out.withColumn("_addr", ipv4_value(F.col("_ao")))
+              .withColumn("_mask", ipv4_value(F.col("_mo"))))
+    pfx = F.get(F.col("_h"), 1)
+    plen = (F.when(F.size("_h") == 1, F.lit(32))
             .when(pfx.rlike("^[0-9]+$"),
                   F.when(pfx.try_cast("int") <= 32, pfx.try_cast("int")))
-            .otherwise(F.coalesce(F.try_element_at(_map_literal(NETMASKS), mask_int),
-                                  F.try_element_at(_map_literal(HOSTMASKS), mask_int))))
-    host_bits = F.pow(F.lit(2), 32 - plen).cast("bigint") - 1
-    start = addr
-    valid_net = (n_halves <= 2) & addr.isNotNull() & plen.isNotNull() & \
-        ((addr.bitwiseAND(host_bits)) == 0)
-    kind = (F.when(s.startswith("sg-"), F.lit("group"))
-            .when(F.coalesce(valid_net, F.lit(False)), F.lit("cidr"))
-            .otherwise(F.lit("invalid")))
-    dotted = F.concat_ws(".", *[
-        (F.shiftright(start, sh).bitwiseAND(255)).cast("string") for sh in (24, 16, 8, 0)])
-    out = df.withColumn("kind", kind)
+            .otherwise(F.coalesce(F.try_element_at(_map_literal(NETMASKS), F.col("_mask")),
+                                  F.try_element_at(_map_literal(HOSTMASKS), F.col("_mask")))))
+    out = out.withColumn("_plen", plen)
+    out = out.withColumn("_hb", F.pow(F.lit(2), 32 - F.col("_plen")).cast("bigint") - 1)
+    addr, hb = F.col("_addr"), F.col("_hb")
+    valid_net = (F.size("_h") <= 2) & addr.isNotNull() & F.col("_plen").isNotNull() & \
+        (addr.bitwiseAND(hb) == 0)
+    out = out.withColumn("kind", F.when(s.startswith("sg-"), F.lit("group"))
+                         .when(F.coalesce(valid_net, F.lit(False)), F.lit("cidr"))
+                         .otherwise(F.lit("invalid")))
     is_cidr = F.col("kind") == "cidr"
-    return (out.withColumn("prefix_len", F.when(is_cidr, plen))
-            .withColumn("net_start", F.when(is_cidr, start))
-            .withColumn("net_end", F.when(is_cidr, start + host_bits))
+    dotted = F.concat_ws(".", *[(F.shiftright(addr, sh).bitwiseAND(255)).cast("string")
+                                for sh in (24, 16, 8, 0)])
+    return (out.withColumn("prefix_len", F.when(is_cidr, F.col("_plen")))
+            .withColumn("net_start", F.when(is_cidr, addr))
+            .withColumn("net_end", F.when(is_cidr, addr + hb))
             .withColumn("source_value",
                         F.when(F.col("kind") == "group", s)
-                        .when(is_cidr, F.concat(dotted, F.lit("/"), plen.cast("string")))))
+                        .when(is_cidr, F.concat(dotted, F.lit("/"), F.col("_plen").cast("string"))))
+            .drop("_h", "_ao", "_mo", "_addr", "_mask", "_plen", "_hb"))
 
 
 # ------------------------------------------------------------------ X6 URLs

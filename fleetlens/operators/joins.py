@@ -116,8 +116,10 @@ def expand_rules(sources: DataFrame, services: Iterable[str] = ("hdfs", "spark")
         F.struct(F.lit(s).alias("service"), F.lit(p).alias("protocol"),
                  F.lit(lo).alias("from_port"), F.lit(hi).alias("to_port"))
         for s, p, lo, hi in service_rules(services, hdfs_major)])
-    valid = sources.filter(F.col(kind_col).isin("group", "cidr"))
-    out = valid.withColumn("_rule", F.explode(templates))
+    # Invalid sources explode a NULL array (no rows). This is not a Filter,
+    # which Catalyst would push below the parsing projections, inlining them.
+    valid = F.col(kind_col).isin("group", "cidr")
+    out = sources.withColumn("_rule", F.explode(F.when(valid, templates)))
     return out.select(
         *[c for c in sources.columns if c not in (kind_col,)],
         F.col("_rule.service").alias("service"), F.col("_rule.protocol").alias("protocol"),
