@@ -98,8 +98,10 @@ def scale_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int
       splits skewed ones (a key with a third of the rows).
     - Scan splits of ``target_partition_bytes``, so one task's input fits
       in its share of executor memory.
-    - A 64 MiB automatic broadcast limit: a join side is broadcast only
-      when the planner's size estimate is under it.
+    - Broadcasts: the planner may broadcast on its own estimate only below
+      10 MiB; between 10 and 64 MiB a side is broadcast only after AQE
+      has materialized it and knows its exact size. Larger sides are
+      shuffled (sort-merge, with AQE skew splitting).
     - RocksDB state for streams (state off the JVM heap, incremental
       changelog checkpoints).
     - Executor loss: decommissioning migrates shuffle and cached blocks
@@ -117,7 +119,8 @@ def scale_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * mib}m",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": f"{mib}m",
-        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
