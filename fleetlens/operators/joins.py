@@ -14,7 +14,6 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _cols(keys: str | Sequence[str]) -> list[str]:
