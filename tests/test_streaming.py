@@ -94,3 +94,35 @@ def test_track_cluster_emits_progress(spark, split_events):
     assert statuses.groupBy("cluster").count().filter("count > 1").count() > 0  # several versions
     got = {r.cluster: (r.members, r.laggards) for r in streams.newest_status(statuses).collect()}
     assert got == _batch_status(ev)
+
+
+def test_attempt_sessions_across_batches_equal_batch(spark, split_events):
+    import datetime as dt
+    ev, ordered, _ = split_events
+    s = _stream(spark, ordered).withColumn("ok", F.col("event_type") != "error")
+    got = streams.run_available(streams.attempt_sessions(s, "user_id", "ok", "4 hours", watermark="1 hour"),
+                                "t3_test")
+    assert got.count() > 0
+    gap = dt.timedelta(hours=4)
+    closed = ev.agg(F.max("ts")).first()[0] - dt.timedelta(hours=1)
+    by_user = {}
+    for r in ev.select("user_id", "ts", "event_id", "event_type").collect():
+        by_user.setdefault(r.user_id, []).append((r.ts, r.event_id, r.event_type))
+    want = set()
+    for u, rows in by_user.items():
+        rows.sort()
+        start = last = None
+        n = fails = 0
+        for ts, _, et in rows + [(None, None, None)]:
+            if start is not None and (ts is None or ts - last >= gap):
+                if last + gap <= closed:
+                    want.add((u, start, last + gap, n, fails))
+                start = None
+            if ts is None:
+                break
+            if start is None:
+                start, n, fails = ts, 0, 0
+            last = ts
+            n += 1
+            fails += et == "error"
+    assert {(r.user_id, r.session_start, r.session_end, r.attempts, r.failures) for r in got.collect()} == want
