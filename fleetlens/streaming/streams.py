@@ -264,7 +264,7 @@ class ClusterProgress(StatefulProcessor):
         for row in newest.itertuples(index=False):
             mkey = (int(row.member),)
             cand = (pd.Timestamp(row.ts), int(row.event_id))
-            prev = self.members.getValue(mkey) if self.members.containsKey(mkey) else None
+            prev = self.members.getValue(mkey)  # None when absent: one round trip
             if prev is not None and (pd.Timestamp(prev[0]), prev[1]) >= cand:
                 continue
             if prev is None:
