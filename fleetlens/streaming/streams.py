@@ -1,11 +1,17 @@
 """Structured Streaming versions of the fleet polling loops.
 
-Sources are ``readStream`` scans with an explicit schema; event time is
-the ``ts`` column, cast to TIMESTAMP for watermarks (watermarks reject
-TIMESTAMP_NTZ). Every stateful operator is bounded by a watermark, so
-state is dropped as event time advances; outputs are append-only and go
-to a file sink with a checkpoint in the shared checkpoint folder, so a
-restarted query (or a lost executor) resumes exactly once.
+Sources are ``readStream`` scans with an explicit schema. Event time is
+the ``ts`` column (TIMESTAMP_NTZ, UTC wall clock) turned into a TIMESTAMP
+instant through epoch microseconds, since watermarks reject
+TIMESTAMP_NTZ and a cast would depend on the session time zone.
+
+Windows, sessions and dedupe (T2-T4) keep state only until the watermark
+passes, and append to a file sink. State tracking (T1) keeps one state
+row per member (or per cluster), bounded by the fleet size rather than
+by time, and writes its updates per micro-batch through an idempotent
+``foreachBatch`` sink (or appends, for the processors). Every query
+checkpoints in the shared checkpoint folder, so a restarted query (or a
+lost executor) resumes exactly once.
 """
 
 from __future__ import annotations
