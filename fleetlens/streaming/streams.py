@@ -202,9 +202,10 @@ class NewestState(StatefulProcessor):
 def track_state(events: DataFrame, member_col: str, cluster_col: str, state_col: str,
                 ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
     """Stream of newest-state changes per member, with the built-in
-    streaming aggregate ``max_by`` (update mode: a member's row is emitted
-    in every micro-batch that brings it a newer state). State is one row
-    per member in the state store; the work stays in the JVM."""
+    streaming aggregate ``max_by`` (update mode: a member's current newest
+    state is emitted in every micro-batch that has rows for it, so late,
+    older rows never replace a newer state). State is one row per member in
+    the state store; the work stays in the JVM."""
     latest = events.groupBy(F.col(member_col).alias("member")).agg(F.max_by(
         F.struct(F.col(cluster_col).alias("cluster"), F.col(ts_col).alias("ts"),
                  F.col(id_col).alias("event_id"), F.col(state_col).alias("state")),
