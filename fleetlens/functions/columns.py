@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 HEX40 = "^[0-9a-f]{40}$"
 
+# Hadoop build of Spark by Hadoop version, as (lower bound
+# inclusive, build): below 2.7, from 2.7 below 3.0, from 3.0.
+HADOOP_BUILDS = (((0, 0), "hadoop2.6"), ((2, 7), "hadoop2.7"), ((3, 0), "hadoop3.2"))
+
 
 def version_key(col: str) -> Column:
     """'3.5.0' -> [3, 5, 0]; a part that is not an integer becomes NULL."""
@@ -40,11 +44,9 @@ def version_audit(df: DataFrame, col: str) -> DataFrame:
               .when(numeric, F.lit("release"))
               .otherwise(F.lit("invalid")))
     short = F.when(F.instr(v, ".") > 0, F.substring_index(v, ".", 2)).otherwise(v)
-    lit27 = F.array(F.lit(2), F.lit(7))
-    lit30 = F.array(F.lit(3), F.lit(0))
-    build = (F.when(key < lit27, F.lit("hadoop2.6"))
-             .when(key < lit30, F.lit("hadoop2.7"))
-             .otherwise(F.lit("hadoop3.2")))
+    build = F.lit(HADOOP_BUILDS[0][1])
+    for (major, minor), name in HADOOP_BUILDS[1:]:
+        build = F.when(key >= F.array(F.lit(major), F.lit(minor)), F.lit(name)).otherwise(build)
     return (df.withColumn("status", status)
             .withColumn("version_key", F.when(F.col("status") == "release", key))
             .withColumn("short_version", F.when(F.col("status") != "empty", short))
@@ -200,6 +202,7 @@ def ingest_sources(df: DataFrame, col: str) -> DataFrame:
 
 # ------------------------------------------------------------------ X6 URLs
 
+# A download URL ending in one of these names a file, not a folder.
 ARCHIVE_SUFFIXES = (".gz", ".tgz")
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The state reported for a group whose members disagree.
 INCONSISTENT = "inconsistent"
 
 DEFAULT_CHUNK = 10_000
