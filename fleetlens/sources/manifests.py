@@ -15,6 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Manifest layout. Top-level keys "java_version" (int) and
+# "services" (list of [service name, settings object] pairs); the service
+# version is the settings key "version".
+JAVA_KEY = "java_version"
+SERVICES_KEY = "services"
+VERSION_KEY = "version"
+
 
 def read_manifests(df: DataFrame, json_col: str, id_cols: Sequence[str],
                    fields: dict[str, str] | None = None) -> DataFrame:
@@ -25,18 +32,18 @@ def read_manifests(df: DataFrame, json_col: str, id_cols: Sequence[str],
     """
     fields = fields or {}
     doc = F.try_parse_json(F.col(json_col))
-    services = F.try_variant_get(doc, "$.services", "array<variant>")
+    services = F.try_variant_get(doc, f"$.{SERVICES_KEY}", "array<variant>")
     base = df.select(*id_cols, doc.alias("_doc"), services.alias("_services"))
     exploded = base.select(
         *id_cols,
         F.when(F.col("_services").isNull(), F.lit("invalid")).otherwise(F.lit("ok")).alias("status"),
-        F.try_variant_get(F.col("_doc"), "$.java_version", "int").alias("java_version"),
+        F.try_variant_get(F.col("_doc"), f"$.{JAVA_KEY}", "int").alias("java_version"),
         F.explode_outer("_services").alias("_pair"))
     pair = F.col("_pair")
     return exploded.select(
         *id_cols, "status", "java_version",
         F.try_variant_get(pair, "$[0]", "string").alias("service"),
-        F.try_variant_get(pair, "$[1].version", "string").alias("version"),
+        F.try_variant_get(pair, f"$[1].{VERSION_KEY}", "string").alias("version"),
         *[F.try_variant_get(pair, f"$[1].{name}", typ).alias(name) for name, typ in fields.items()])
 
 
@@ -60,8 +67,8 @@ def write_manifests(df: DataFrame, cluster_col: str, service_col: str,
                    .agg(F.max(java_col).alias("_java"),
                         F.array_sort(F.collect_list(F.struct(F.col(service_col).alias("s"),
                                                              pair.alias("p")))).alias("_pairs")))
-    doc = F.concat(F.lit('{"java_version":'), F.col("_java").cast("string"),
-                   F.lit(',"services":['),
+    doc = F.concat(F.lit('{"' + JAVA_KEY + '":'), F.col("_java").cast("string"),
+                   F.lit(',"' + SERVICES_KEY + '":['),
                    F.array_join(F.transform("_pairs", lambda x: x["p"]), ","),
                    F.lit("]}"))
     out = per_cluster.select(F.col(cluster_col).alias("cluster"), doc.alias("manifest"))

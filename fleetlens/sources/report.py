@@ -1,6 +1,7 @@
 """Fleet report: one YAML block per cluster.
 
-Layout (fixed format)::
+Fixed values: the report layout (key names, two-space indent, "- " list
+items; master and slaves only for a running cluster)::
 
     <cluster>:
       state: <state>
