@@ -226,11 +226,13 @@ def decision_table(spark: SparkSession, rows: Iterable[tuple] = COMMAND_DECISION
 def admit_commands(cmds: DataFrame, command_col: str, state_col: str,
                    decisions: DataFrame | None = None) -> DataFrame:
     """Decide each (command, cluster state) request: ok / nothing-to-do /
-    invalid, with the exit code. The decision table is a fixed literal of
-    a dozen rows, broadcast; a pair missing from it is invalid."""
+    invalid, with the exit code; a pair missing from the decision table is
+    invalid. The built-in decision table is a fixed literal of a dozen rows
+    and is broadcast; a caller's own table is joined like any other side
+    (broadcast by the planner only if its size estimate is small)."""
     spark = cmds.sparkSession
-    dec = decisions if decisions is not None else decision_table(spark)
-    dec = F.broadcast(dec.withColumnRenamed("command", "_cmd").withColumnRenamed("state", "_state"))
+    dec = decisions if decisions is not None else F.broadcast(decision_table(spark))
+    dec = dec.withColumnRenamed("command", "_cmd").withColumnRenamed("state", "_state")
     j = cmds.join(dec, (F.col(command_col) == F.col("_cmd")) & (F.col(state_col) == F.col("_state")), "left")
     return (j.withColumn("decision", F.coalesce(F.col("decision"), F.lit("invalid")))
             .withColumn("exit_code", F.coalesce(F.col("exit_code"), F.lit(INVALID_EXIT)))
