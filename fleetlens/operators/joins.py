@@ -38,11 +38,12 @@ MISSING_PREFIX = "Could not find the following "
 
 def missing_message(missing: DataFrame, what: str = "security group", name_col: str = "name",
                     chunk_size: int = 1000) -> DataFrame:
-    """The missing names as message text, names sorted and joined with ", ".
+    """The missing names as message text, joined with ", ".
 
-    The names are listed in chunks of at most ``chunk_size`` (one row each,
-    ``chunk`` 0, 1, ...) so a huge miss list never becomes one string
-    built in one task; a short list is a single row.
+    A short list is one row with the names sorted. A list longer than
+    ``chunk_size`` is split by a hash of the name into rows (``chunk`` 0,
+    1, ..., names sorted within each), so a huge miss list never becomes
+    one string built in one task.
     """
     from fleetlens.operators.aggs import compose_groups
     grouped = compose_groups(missing.select(F.lit(0).alias("_all"), F.col(name_col)), "_all",
