@@ -25,7 +25,8 @@ def _cols(keys: str | Sequence[str]) -> list[str]:
 
 
 def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
-                   chunk_size: int = DEFAULT_CHUNK, sizes: DataFrame | None = None) -> DataFrame:
+                   chunk_size: int = DEFAULT_CHUNK, sizes: DataFrame | None = None,
+                   salts: int = 32) -> DataFrame:
     """Members of each group as a sorted array.
 
     Output: ``key..., chunk, members, n_members`` where ``n_members`` is
@@ -40,11 +41,16 @@ def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
     keys = _cols(key)
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
-    with_size = df.select(*keys, member).join(sizes, keys)
+    from fleetlens.operators.joins import salted_join
+    # Salted on the member: a hot group is spread over ``salts`` join tasks.
+    with_size = salted_join(df.select(*keys, member), sizes, keys, "inner", salts, salt_by=[member])
     chunks = F.ceil(F.col("n_members") / F.lit(chunk_size)).cast("int")
     chunk = F.when(F.col("n_members") <= chunk_size, F.lit(0)).otherwise(
         F.pmod(F.xxhash64(F.col(member)), chunks))
+    # Shuffle on (key, chunk) explicitly, so the aggregate never inherits a
+    # partitioning on the key alone (which would put a hot group in one task).
     return (with_size.withColumn("chunk", chunk.cast("int"))
+            .repartition(*keys, "chunk")
             .groupBy(*keys, "chunk")
             .agg(F.array_sort(F.collect_list(member)).alias("members"),
                  F.max("n_members").alias("n_members")))

@@ -20,6 +20,29 @@ def _cols(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+# --- skew -----------------------------------------------------------------
+
+DEFAULT_SALTS = 32
+
+
+def salted_join(big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",
+                salts: int = DEFAULT_SALTS, salt_by: Sequence[str] | None = None) -> DataFrame:
+    """Join a large table to a table with at most one row per key.
+
+    Each row of ``big`` gets a salt from a hash of ``salt_by`` (default: all
+    its columns) and ``per_key`` is repeated once per salt, so the join
+    runs on (key, salt): a key holding a third of ``big`` is spread over
+    ``salts`` tasks instead of one. AQE's own skew split cannot do this
+    when ``per_key`` is an aggregate. The small side grows ``salts`` times
+    (one row per key and salt). Valid for inner, left, semi and anti joins.
+    """
+    keys = list(keys)
+    cols = [F.col(c) for c in (salt_by or big.columns)]
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    s = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(s, [*keys, "_salt"], how).drop("_salt")
+
+
 # --- membership -----------------------------------------------------------
 
 def missing_names(requested: DataFrame, found: DataFrame, name_col: str,
@@ -62,14 +85,16 @@ def in_use(mounts: DataFrame, devices: DataFrame, device_col: str,
                        F.col(device_col) == F.col("_dev"), "left_semi")
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def insert_if_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str],
+                     salts: int = DEFAULT_SALTS) -> DataFrame:
     """Split requested inserts: names already present are ``rejected``, the
     rest ``accepted``. One left join against the distinct existing keys
-    (marked with a flag) decides both, so each side is shuffled once; the
-    distinct keys are at most one row per key, so no request is duplicated."""
+    (marked with a flag) decides both; the distinct keys are at most one
+    row per key, so no request is duplicated, and the join is salted so a
+    name requested a huge number of times is spread over tasks."""
     keys = _cols(key)
     ex = existing.select(*keys).distinct().withColumn("_exists", F.lit(True))
-    return (new.join(ex, keys, "left")
+    return (salted_join(new, ex, keys, "left", salts)
             .withColumn("status", F.when(F.col("_exists"), F.lit("rejected")).otherwise(F.lit("accepted")))
             .drop("_exists"))
 

@@ -114,3 +114,59 @@ def test_match_rules_equals_theta_join(spark):
     want = sorted((fid, rid) for fid, ip, port in flows for rid, net, plen, lo, hi in rules
                   if net <= ip < net + (1 << (32 - plen)) and lo <= port <= hi)
     assert got == want and len(want) > 0
+
+
+def _final_plan(df):
+    df.collect()  # run this DataFrame's own plan, so explain shows AQE's final plan
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
+
+
+def test_hot_key_joins_are_split_by_aqe(spark):
+    """With broadcasts off and low skew thresholds, the sort-merge joins of
+    J5 (one /16 network holds most flows) and A1 (one cluster holds most
+    members) are planned with AQE's skew split."""
+    from fleetlens.operators import aggs
+    from pyspark.sql import functions as F
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        hot = (10 << 24) + (7 << 16)
+        flows = spark.range(0, 40000).select(
+            F.col("id").alias("fid"),
+            F.when(F.col("id") % 10 < 8, F.lit(hot) + F.col("id") % 65536)
+            .otherwise((F.col("id") * 7919) % (1 << 32)).alias("ip"),
+            (F.col("id") % 100).cast("int").alias("port"))
+        rules = spark.range(0, 2000).select(
+            F.col("id").alias("rid"),
+            F.when(F.col("id") == 0, F.lit(hot)).otherwise((F.col("id") * 65536) % (1 << 32)).alias("net"),
+            F.lit(16).alias("plen"), F.lit(0).alias("lo"), F.lit(99).alias("hi"))
+        plan = _final_plan(joins.match_rules(flows, rules, "ip", "port", "net", "plen", "lo", "hi"))
+        assert "skew=true" in plan.replace(" ", "").lower() or "isSkewJoin=true" in plan
+
+        members = spark.range(0, 40000).select(
+            F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 500).alias("k"),
+            F.col("id").cast("string").alias("m"))
+        out = aggs.compose_groups(members, "k", "m", chunk_size=1000)
+        plan = _final_plan(out)
+        # the member/size join is salted: its keys include the salt
+        assert "_salt" in plan
+        hot = out.filter("k = 0").collect()
+        assert len(hot) == 32 and sum(len(r.members) for r in hot) == 32000
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
