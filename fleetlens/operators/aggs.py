@@ -43,7 +43,8 @@ def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
     from fleetlens.operators.joins import salted_join
     # Salted on the member: a hot group is spread over ``salts`` join tasks.
-    with_size = salted_join(df.select(*keys, member), sizes, keys, "inner", salts, salt_by=[member])
+    with_size = salted_join(df.select(*keys, member), sizes, keys, "inner", salts, salt_by=[member],
+                            null_safe=True)
     chunks = F.ceil(F.col("n_members") / F.lit(chunk_size)).cast("int")
     chunk = F.when(F.col("n_members") <= chunk_size, F.lit(0)).otherwise(
         F.pmod(F.xxhash64(F.col(member)), chunks))

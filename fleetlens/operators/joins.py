@@ -26,7 +26,8 @@ DEFAULT_SALTS = 32
 
 
 def salted_join(big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = DEFAULT_SALTS, salt_by: Sequence[str] | None = None) -> DataFrame:
+                salts: int = DEFAULT_SALTS, salt_by: Sequence[str] | None = None,
+                null_safe: bool = False) -> DataFrame:
     """Join a large table to a table with at most one row per key.
 
     Each row of ``big`` gets a salt from a hash of ``salt_by`` (default: all
@@ -35,12 +36,22 @@ def salted_join(big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: st
     ``salts`` tasks instead of one. AQE's own skew split cannot do this
     when ``per_key`` is an aggregate. The small side grows ``salts`` times
     (one row per key and salt). Valid for inner, left, semi and anti joins.
+    With ``null_safe`` a NULL key matches a NULL key (as ``groupBy`` groups
+    them); otherwise SQL equality applies.
     """
     keys = list(keys)
     cols = [F.col(c) for c in (salt_by or big.columns)]
     b = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
     s = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [*keys, "_salt"], how).drop("_salt")
+    if not null_safe:
+        return b.join(s, [*keys, "_salt"], how).drop("_salt")
+    for k in keys:
+        s = s.withColumnRenamed(k, f"_r_{k}")
+    s = s.withColumnRenamed("_salt", "_r_salt")
+    cond = F.col("_salt") == F.col("_r_salt")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return b.join(s, cond, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
 # --- membership -----------------------------------------------------------

@@ -326,3 +326,9 @@ def test_split_roles_with_slaves(spark):
                                 ("b", "master", "h4")], "k string, role string, host string")
     out = {r.k: (r.master, r.slaves) for r in aggs.split_roles(df, "k", "role", "host", with_slaves=True).collect()}
     assert out == {"a": ("h1", ["h2", "h3"]), "b": ("h4", [])}
+
+
+def test_compose_groups_keeps_null_group(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), ("x", "c")], "k string, m string")
+    out = {r.k: r.members for r in aggs.compose_groups(df, "k", "m").collect()}
+    assert out == {None: ["a", "b"], "x": ["c"]}
