@@ -74,9 +74,9 @@ def _block(ts_col: str, block: str):
                       F.lit("0001-01-01 00:00:00").cast("timestamp"))
 
 
-def _join_back(rows: DataFrame, small: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Inner join on ``cols`` that treats NULL keys as equal (a NULL group
-    key is a group like any other, as in ``groupBy``)."""
+def _join_back(rows: DataFrame, small: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``cols`` that treats NULL keys as equal (a NULL group key is
+    a group like any other, as in ``groupBy``)."""
     r = small
     for c in cols:
         r = r.withColumnRenamed(c, f"_r_{c}")
@@ -84,11 +84,49 @@ def _join_back(rows: DataFrame, small: DataFrame, cols: Sequence[str]) -> DataFr
     for c in cols:
         term = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
         cond = term if cond is None else cond & term
-    return rows.join(r, cond).drop(*[f"_r_{c}" for c in cols])
+    return rows.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
+
+
+_FINER = {"week": "day", "day": "hour", "hour": "minute", "minute": "second"}
+# A dense-block marker table up to this many rows is broadcast (its size is
+# known from an exact count, not an estimate).
+MAX_BROADCAST_BLOCKS = 1_000_000
+
+
+def _assign_blocks(df: DataFrame, keys: list[str], ts_col: str, block: str,
+                   max_block_rows: int | None) -> DataFrame:
+    """Time block per row, refined where a (key, block) is dense.
+
+    Starting from ``block``, every (key, block) holding more than
+    ``max_block_rows`` rows is split at the next finer unit (day, hour,
+    minute, second), repeatedly while dense blocks remain. A finer block
+    starts inside its coarse block, so block order stays the time order.
+    Each round counts the dense blocks first; there are at most
+    rows / ``max_block_rows`` of them, and the exact count decides whether
+    their marker table is broadcast.
+    """
+    out = df.withColumn("_blk", _block(ts_col, block))
+    unit = block
+    while max_block_rows and unit in _FINER:
+        dense = (out.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+                 .filter(F.col("_n") > max_block_rows).select(*keys, "_blk")
+                 .withColumn("_dense", F.lit(True)))
+        n_dense = dense.count()
+        if n_dense == 0:
+            break
+        if n_dense <= MAX_BROADCAST_BLOCKS:
+            dense = F.broadcast(dense)
+        finer = _FINER[unit]
+        out = (_join_back(out, dense, [*keys, "_blk"], how="left")
+               .withColumn("_blk", F.when(F.col("_dense"), _block(ts_col, finer)).otherwise(F.col("_blk")))
+               .drop("_dense"))
+        unit = finer
+    return out
 
 
 def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: str,
-                 success_col: str, limit: int, block: str = "hour") -> DataFrame:
+                 success_col: str, limit: int, block: str = "hour",
+                 max_block_rows: int | None = None) -> DataFrame:
     """Group attempts into chains that end at a success.
 
     The chain id of an attempt is the number of successes before it in its
@@ -103,11 +141,12 @@ def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: s
     small per-key table; (3) successes before each row inside its block, a
     window partitioned by (key, block). Chain id = (2) + (3).
     Only (3) shuffles the rows; (1) is a partial aggregate whose exchange
-    carries one row per (key, block) per map task.
+    carries one row per (key, block) per map task. With ``max_block_rows``
+    a block denser than that is split at finer time units first.
     """
     keys = _cols(key)
     ok = F.coalesce(F.col(success_col), F.lit(False)).cast("bigint")
-    base = df.withColumns({"_ok": ok, "_blk": _block(ts_col, block)})
+    base = _assign_blocks(df.withColumn("_ok", ok), keys, ts_col, block, max_block_rows)
     per_block = base.groupBy(*keys, "_blk").agg(F.sum("_ok").alias("_succ"))
     before_block = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.withColumn("_offset", F.coalesce(F.sum("_succ").over(before_block), F.lit(0))) \
@@ -131,7 +170,7 @@ def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: s
 
 def time_to_state(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: str,
                   state_col: str, start_states: Iterable[str], target: str,
-                  block: str = "hour") -> DataFrame:
+                  block: str = "hour", max_block_rows: int | None = None) -> DataFrame:
     """For each request row (state in ``start_states``), the next time the
     group reaches ``target`` after it, and the wait in seconds.
 
@@ -141,11 +180,12 @@ def time_to_state(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col:
     reverse block order); inside a block, the next target after a row is a
     running minimum over the block's rows in reverse order. The answer is
     the in-block value, else the later-block value. Every frame is a
-    running one, so each block is one linear pass.
+    running one, so each block is one linear pass. ``max_block_rows``
+    refines dense blocks as in ``retry_chains``.
     """
     keys = _cols(key)
     hit = F.when(F.col(state_col) == F.lit(target), F.col(ts_col))
-    base = df.withColumns({"_hit": hit, "_blk": _block(ts_col, block)})
+    base = _assign_blocks(df.withColumn("_hit", hit), keys, ts_col, block, max_block_rows)
     firsts = base.groupBy(*keys, "_blk").agg(F.min("_hit").alias("_first"))
     later = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     after_block = firsts.withColumn("_later", F.min("_first").over(later)).drop("_first")

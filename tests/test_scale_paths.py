@@ -41,12 +41,13 @@ def _groups(rows):
     return out
 
 
-@pytest.mark.parametrize("block", ["hour", "day"])
-def test_retry_chains_blocked_matches_brute_force(spark, block):
+@pytest.mark.parametrize("block,dense", [("hour", None), ("day", None), ("day", 20)])
+def test_retry_chains_blocked_matches_brute_force(spark, block, dense):
     rows = _events()
     df = spark.createDataFrame(rows, SCHEMA).withColumn("ok", spark_col("state <> 'error'"))
     got = sorted((r.k or "", r.chain, r.attempts, r.outcome) for r in
-                 windows.retry_chains(df, "k", "ts", "id", "ok", limit=3, block=block).collect())
+                 windows.retry_chains(df, "k", "ts", "id", "ok", limit=3, block=block,
+                                      max_block_rows=dense).collect())
     want = []
     for k, g in _groups(rows).items():
         chains = {}
@@ -66,12 +67,13 @@ def spark_col(expr):
     return F.expr(expr)
 
 
-@pytest.mark.parametrize("block", ["hour", "day"])
-def test_time_to_state_blocked_matches_brute_force(spark, block):
+@pytest.mark.parametrize("block,dense", [("hour", None), ("day", None), ("day", 20)])
+def test_time_to_state_blocked_matches_brute_force(spark, block, dense):
     rows = [r for r in _events(seed=11) if r[1] is not None]
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted((r.id, r.next_target_ts) for r in windows.time_to_state(
-        df, "k", "ts", "id", "state", ["signup", "purchase"], "purchase", block=block).collect())
+        df, "k", "ts", "id", "state", ["signup", "purchase"], "purchase", block=block,
+        max_block_rows=dense).collect())
     want = []
     for _, g in _groups(rows).items():
         for i, r in enumerate(g):
