@@ -166,6 +166,29 @@ STATE_CHANGE_SCHEMA = T.StructType([
 ])
 
 
+def _newest_per_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side combine for the state processors: within one partition of a
+    micro-batch keep only each member's newest row. Memory is one row per
+    member seen in the partition."""
+    best: dict = {}
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        top = pdf.sort_values(["member", "ts", "event_id"]).groupby("member", sort=False).tail(1)
+        for row in top.itertuples(index=False):
+            cur = best.get(row.member)
+            if cur is None or (row.ts, row.event_id) > (cur.ts, cur.event_id):
+                best[row.member] = row
+    if best:
+        yield pd.DataFrame(list(best.values()), columns=["member", "cluster", "ts", "event_id", "state"])
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    """Rows reduced to the newest per member in each partition (stateless,
+    so allowed before a stateful operator in a stream)."""
+    return rows.mapInPandas(_newest_per_member, STATE_CHANGE_SCHEMA)
+
+
 class NewestState(StatefulProcessor):
     """Keeps each member's newest (ts, id, state) in a value state and
     emits a row whenever a newer state arrives. Keyed by member, so state
@@ -225,7 +248,7 @@ def track_state_processor(events: DataFrame, member_col: str, cluster_col: str,
     rows = events.select(F.col(member_col).alias("member"), F.col(cluster_col).alias("cluster"),
                          F.col(ts_col).alias("ts"), F.col(id_col).alias("event_id"),
                          F.col(state_col).alias("state"))
-    return rows.groupBy("member").transformWithStateInPandas(
+    return _combined(rows).groupBy("member").transformWithStateInPandas(
         statefulProcessor=NewestState(), outputStructType=STATE_CHANGE_SCHEMA,
         outputMode="Append", timeMode="None")
 
@@ -304,7 +327,9 @@ def track_cluster(events: DataFrame, member_col: str, cluster_col: str, state_co
     rows = events.select(F.col(member_col).alias("member"), F.col(cluster_col).alias("cluster"),
                          F.col(ts_col).alias("ts"), F.col(id_col).alias("event_id"),
                          F.col(state_col).alias("state"))
-    return rows.groupBy("cluster").transformWithStateInPandas(
+    # Map-side combine first: a hot cluster ships at most one row per member
+    # per partition and micro-batch, not every event.
+    return _combined(rows).groupBy("cluster").transformWithStateInPandas(
         statefulProcessor=ClusterProgress(target), outputStructType=CLUSTER_STATUS_SCHEMA,
         outputMode="Append", timeMode="None")
 
