@@ -28,3 +28,13 @@ def test_entry_contract():
     for name, sql in sqls.items():
         # every oracle names its output columns (no unaliased expressions)
         assert "SELECT" in sql.upper(), name
+
+
+def test_scale_conf_sizes_partitions():
+    from fleetlens.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600          # 100 TiB / 256 MiB
+    small = scale_conf(10 * 1024 ** 3, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80           # at least 2x the slots
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert c["spark.sql.autoBroadcastJoinThreshold"] == "10m"
