@@ -34,27 +34,30 @@ def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
     members is one row (``chunk = 0``). Larger groups are split by a hash
     of the member into ``ceil(n / chunk_size)`` chunks, so no single array
     (and no single task) has to hold an unbounded group. Every member
-    appears in exactly one chunk. ``sizes`` (``key..., n_members``) may be
-    passed when the caller already has the group sizes from another
-    aggregate, saving a pass over ``df``.
+    appears in exactly one chunk.
+
+    Only the large groups need their size to pick chunks: the rows are
+    left-joined to that short list (salted, so a hot group is spread over
+    tasks, and usually broadcast), and every other row gets chunk 0.
+    ``sizes`` (``key..., n_members``) may be passed when the caller already
+    has the group sizes from another aggregate, saving a pass over ``df``.
     """
     keys = _cols(key)
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
+    large = sizes.filter(F.col("n_members") > chunk_size).select(*keys, F.col("n_members").alias("_n"))
     from fleetlens.operators.joins import salted_join
-    # Salted on the member: a hot group is spread over ``salts`` join tasks.
-    with_size = salted_join(df.select(*keys, member), sizes, keys, "inner", salts, salt_by=[member],
-                            null_safe=True)
-    chunks = F.ceil(F.col("n_members") / F.lit(chunk_size)).cast("int")
-    chunk = F.when(F.col("n_members") <= chunk_size, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(F.col(member)), chunks))
+    rows = salted_join(df.select(*keys, member), large, keys, "left", salts, salt_by=[member],
+                       null_safe=True)
+    chunks = F.ceil(F.col("_n") / F.lit(chunk_size)).cast("int")
+    chunk = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(member)), chunks))
     # Shuffle on (key, chunk) explicitly, so the aggregate never inherits a
     # partitioning on the key alone (which would put a hot group in one task).
-    return (with_size.withColumn("chunk", chunk.cast("int"))
+    return (rows.withColumn("chunk", chunk.cast("int"))
             .repartition(*keys, "chunk")
             .groupBy(*keys, "chunk")
             .agg(F.array_sort(F.collect_list(member)).alias("members"),
-                 F.max("n_members").alias("n_members")))
+                 F.coalesce(F.max("_n"), F.count(F.lit(1))).cast("bigint").alias("n_members")))
 
 
 def consensus_expr(col: str) -> Column:

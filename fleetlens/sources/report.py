@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.aggs import compose_groups, consensus_expr
+from fleetlens.operators.joins import salted_join
 
 
 def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: str,
@@ -36,9 +37,12 @@ def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: s
         F.count(F.lit(1)).alias("node_count"),
         F.count_if(is_slave).alias("n_members"),
         F.min(F.when(is_master, F.col(host_col))).alias("master"))
-    # Slave lists only for running clusters; their sizes come from the summary.
+    # Slave lists only for running clusters (a salted semi join against the
+    # per-cluster summary); their sizes come from the summary.
     running_sizes = summary.filter(F.col("state") == F.lit("running")).select(cluster_col, "n_members")
-    slaves = compose_groups(nodes.filter(is_slave), cluster_col, host_col, chunk_size=chunk_size,
+    running_slaves = salted_join(nodes.filter(is_slave), running_sizes.select(cluster_col), [cluster_col],
+                                 "left_semi", salt_by=[host_col], null_safe=True)
+    slaves = compose_groups(running_slaves, cluster_col, host_col, chunk_size=chunk_size,
                             sizes=running_sizes).select(cluster_col, "chunk", "members")
     running = F.col("state") == F.lit("running")
     header = F.concat(
