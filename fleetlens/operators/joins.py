@@ -23,26 +23,57 @@ def _cols(keys: str | Sequence[str]) -> list[str]:
 # --- skew -----------------------------------------------------------------
 
 DEFAULT_SALTS = 32
+# A key with more rows than this on the large side of a join counts as hot.
+HOT_ROWS = 100_000
+
+
+def _mark(df: DataFrame, marker: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    """Left join a ``_hot`` flag from ``marker`` (distinct keys) onto ``df``."""
+    if not null_safe:
+        return df.join(marker, list(keys), "left")
+    m = marker
+    for k in keys:
+        m = m.withColumnRenamed(k, f"_m_{k}")
+    cond = None
+    for k in keys:
+        term = F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+        cond = term if cond is None else cond & term
+    return df.join(m, cond, "left").drop(*[f"_m_{k}" for k in keys])
 
 
 def salted_join(big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",
                 salts: int = DEFAULT_SALTS, salt_by: Sequence[str] | None = None,
-                null_safe: bool = False) -> DataFrame:
+                null_safe: bool = False, hot: DataFrame | None = None) -> DataFrame:
     """Join a large table to a table with at most one row per key.
 
-    Each row of ``big`` gets a salt from a hash of ``salt_by`` (default: all
-    its columns) and ``per_key`` is repeated once per salt, so the join
-    runs on (key, salt): a key holding a third of ``big`` is spread over
-    ``salts`` tasks instead of one. AQE's own skew split cannot do this
-    when ``per_key`` is an aggregate. The small side grows ``salts`` times
-    (one row per key and salt). Valid for inner, left, semi and anti joins.
-    With ``null_safe`` a NULL key matches a NULL key (as ``groupBy`` groups
+    Rows of ``big`` get a salt from a hash of ``salt_by`` (default: all its
+    columns) and the matching ``per_key`` row is repeated once per salt, so
+    the join runs on (key, salt): a key holding a third of ``big`` is
+    spread over ``salts`` tasks instead of one. AQE's own skew split cannot
+    do this when ``per_key`` is an aggregate.
+
+    With ``hot`` (a DataFrame of the keys to spread, e.g. keys with more
+    than ``HOT_ROWS`` rows) only those keys are salted and only their
+    ``per_key`` rows are repeated; every other key joins on salt 0 with one
+    copy, so a huge ``per_key`` table is not multiplied. Without ``hot``
+    every key is salted. Valid for inner, left, semi and anti joins. With
+    ``null_safe`` a NULL key matches a NULL key (as ``groupBy`` groups
     them); otherwise SQL equality applies.
     """
     keys = list(keys)
     cols = [F.col(c) for c in (salt_by or big.columns)]
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
-    s = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is None:
+        b = big.withColumn("_salt", spread)
+        s = per_key.withColumn("_salt", F.explode(every))
+    else:
+        marker = hot.select(*keys).distinct().withColumn("_hot", F.lit(True))
+        b = (_mark(big, marker, keys, null_safe)
+             .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot"))
+        s = (_mark(per_key, marker, keys, null_safe)
+             .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
+             .drop("_hot"))
     if not null_safe:
         return b.join(s, [*keys, "_salt"], how).drop("_salt")
     for k in keys:
@@ -97,15 +128,17 @@ def in_use(mounts: DataFrame, devices: DataFrame, device_col: str,
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str],
-                     salts: int = DEFAULT_SALTS) -> DataFrame:
+                     salts: int = DEFAULT_SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Split requested inserts: names already present are ``rejected``, the
     rest ``accepted``. One left join against the distinct existing keys
     (marked with a flag) decides both; the distinct keys are at most one
-    row per key, so no request is duplicated, and the join is salted so a
-    name requested a huge number of times is spread over tasks."""
+    row per key, so no request is duplicated. A name requested more than
+    ``hot_rows`` times (found by a partial count) is salted over tasks;
+    other names join unsalted, so the existing-key table is not copied."""
     keys = _cols(key)
     ex = existing.select(*keys).distinct().withColumn("_exists", F.lit(True))
-    return (salted_join(new, ex, keys, "left", salts)
+    hot = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    return (salted_join(new, ex, keys, "left", salts, hot=hot)
             .withColumn("status", F.when(F.col("_exists"), F.lit("rejected")).otherwise(F.lit("accepted")))
             .drop("_exists"))
 

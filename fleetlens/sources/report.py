@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.aggs import compose_groups, consensus_expr
-from fleetlens.operators.joins import salted_join
+from fleetlens.operators.joins import HOT_ROWS, salted_join
 
 
 def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: str,
@@ -40,8 +40,9 @@ def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: s
     # Slave lists only for running clusters (a salted semi join against the
     # per-cluster summary); their sizes come from the summary.
     running_sizes = summary.filter(F.col("state") == F.lit("running")).select(cluster_col, "n_members")
+    hot = running_sizes.filter(F.col("n_members") > HOT_ROWS).select(cluster_col)
     running_slaves = salted_join(nodes.filter(is_slave), running_sizes.select(cluster_col), [cluster_col],
-                                 "left_semi", salt_by=[host_col], null_safe=True)
+                                 "left_semi", salt_by=[host_col], null_safe=True, hot=hot)
     slaves = compose_groups(running_slaves, cluster_col, host_col, chunk_size=chunk_size,
                             sizes=running_sizes).select(cluster_col, "chunk", "members")
     running = F.col("state") == F.lit("running")

@@ -172,3 +172,25 @@ def test_hot_key_joins_are_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_salted_join_equals_plain_join(spark, how, null_safe):
+    """Salting every key, or only the hot ones, gives the plain join's rows."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(12)
+    big = spark.createDataFrame(
+        [("hot" if rnd.random() < 0.6 else rnd.choice(["a", "b", "z", None]), i) for i in range(600)],
+        "k string, v int")
+    small = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), (None, 4)], "k string, w int")
+    hot = big.groupBy("k").count().filter(F.col("count") > 50)
+    if null_safe:
+        plain = big.join(small.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), how).drop("_k")
+    else:
+        plain = big.join(small, ["k"], how)
+    want = sorted(map(repr, plain.select(*sorted(plain.columns)).collect()))
+    for h in (None, hot):
+        got_df = joins.salted_join(big, small, ["k"], how, salts=8, null_safe=null_safe, hot=h)
+        got = sorted(map(repr, got_df.select(*sorted(got_df.columns)).collect()))
+        assert got == want
