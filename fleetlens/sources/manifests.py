@@ -63,10 +63,15 @@ def write_manifests(df: DataFrame, cluster_col: str, service_col: str,
     settings = F.to_json(F.struct(*[F.col(c) for c in sorted(setting_cols)]),
                          {"ignoreNullFields": "false"})
     pair = F.concat(F.lit("["), _json_string(F.col(service_col)), F.lit(","), settings, F.lit("]"))
-    per_cluster = (df.groupBy(cluster_col)
-                   .agg(F.max(java_col).alias("_java"),
-                        F.array_sort(F.collect_list(F.struct(F.col(service_col).alias("s"),
-                                                             pair.alias("p")))).alias("_pairs")))
+    # One entry per (cluster, service) first (repeated rows fold into the
+    # greatest settings text), so a cluster's list is bounded by the number
+    # of distinct services, whatever the input repeats.
+    per_service = (df.groupBy(cluster_col, F.col(service_col).alias("_s"))
+                   .agg(F.max(java_col).alias("_java"), F.max(pair).alias("_p")))
+    per_cluster = (per_service.groupBy(cluster_col)
+                   .agg(F.max("_java").alias("_java"),
+                        F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"),
+                                                             F.col("_p").alias("p")))).alias("_pairs")))
     doc = F.concat(F.lit('{"' + JAVA_KEY + '":'), F.col("_java").cast("string"),
                    F.lit(',"' + SERVICES_KEY + '":['),
                    F.array_join(F.transform("_pairs", lambda x: x["p"]), ","),
