@@ -152,3 +152,65 @@ def test_requires_matches_python_rule(spark):
         for i, o, a, b, c in rows:
             want = _python_requires({"o": o, "a": a, "b": b, "c": c}, "o", when, ["a", "b"], ["b", "c"])
             assert sorted(got.get(i, [])) == want, (o, a, b, c, when)
+
+
+def test_resolve_settings_matches_layering(spark):
+    """Later layer wins; a NULL value does not set anything; ties by order."""
+    from fleetlens.operators import joins
+    rnd = random.Random(31)
+    rows = [(rnd.randrange(5), rnd.choice(["a", "b"]), rnd.choice([None, "x", "y", "z"]),
+             rnd.randrange(3), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "scope int, key string, value string, rank int, seq int")
+    got = {(r.scope, r.key): (r.value, r.layer)
+           for r in joins.resolve_settings(df, "scope", "key", "value", "rank", tiebreak=["seq"]).collect()}
+    want = {}
+    for scope, key, value, rank, seq in sorted(rows, key=lambda r: (r[3], r[4])):
+        if value is not None:
+            want[(scope, key)] = (value, rank)
+    assert got == want
+
+
+def test_snapshot_diff_matches_dict_diff(spark):
+    from fleetlens.operators import joins
+    rnd = random.Random(32)
+    before = {i: rnd.choice(["running", "stopped", None]) for i in rnd.sample(range(300), 200)}
+    after = {i: rnd.choice(["running", "stopped", None]) for i in rnd.sample(range(300), 200)}
+    b = spark.createDataFrame(list(before.items()), "id int, state string")
+    a = spark.createDataFrame(list(after.items()), "id int, state string")
+    got = {r.id: r.change for r in joins.snapshot_diff(b, a, "id", ["state"]).collect()}
+    want = {}
+    for i in set(before) | set(after):
+        if i not in before:
+            want[i] = "added"
+        elif i not in after:
+            want[i] = "removed"
+        else:
+            want[i] = "kept" if before[i] == after[i] else "changed"
+    assert got == want
+
+
+def test_pick_victims_matches_sorted_slice(spark):
+    from fleetlens.operators import windows
+    rnd = random.Random(33)
+    rows = [(rnd.choice(["c1", "c2", "c3"]), i, rnd.random() < 0.3) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, id int, spot boolean")
+    for n in (0, 1, 5, 500):
+        got = sorted((r.k, r.id) for r in windows.pick_victims(df, "k", n, "spot", "id").collect())
+        want = []
+        for k in {r[0] for r in rows}:
+            members = sorted((r for r in rows if r[0] == k), key=lambda r: (not r[2], r[1]))
+            want += [(k, r[1]) for r in members[:n]]
+        assert got == sorted(want)
+
+
+def test_group_consensus_matches_set_rule(spark):
+    from fleetlens.operators import aggs
+    rnd = random.Random(34)
+    rows = [(rnd.randrange(60), rnd.choice(["running", "running", "stopped", None])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k int, s string")
+    got = {r.k: r.state for r in aggs.group_consensus(df, "k", "s").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        states = {r[1] for r in rows if r[0] == k}
+        want[k] = states.pop() if len(states) == 1 else "inconsistent"
+    assert got == want
