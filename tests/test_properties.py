@@ -214,3 +214,27 @@ def test_group_consensus_matches_set_rule(spark):
         states = {r[1] for r in rows if r[0] == k}
         want[k] = states.pop() if len(states) == 1 else "inconsistent"
     assert got == want
+
+
+def test_url_parts_match_urllib(spark):
+    """Scheme, authority (netloc) and trailing-slash-trimmed path as Python's
+    urlparse gives them."""
+    from urllib.parse import urlparse
+    rnd = random.Random(5)
+
+    def url():
+        return "".join([
+            rnd.choice(["http", "https", "s3", "ftp"]), "://",
+            rnd.choice(["", "user@", "u:p@"]),
+            rnd.choice(["www.apache.org", "archive.apache.org", "mirror.example.com", "10.0.0.1"]),
+            rnd.choice(["", ":8080", ":443"]),
+            rnd.choice(["", "/", "/dist/spark", "/dist/spark/", "/a/spark-3.5.0-bin-hadoop3.tgz", "/x.tar.gz"]),
+            rnd.choice(["", "?action=download", "?a=1&b=2"]),
+            rnd.choice(["", "#top"])])
+
+    urls = [url() for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, u string")
+    got = {r.i: (r.scheme, r.authority, r.path) for r in X.url_parts(df, "u").collect()}
+    for i, u in enumerate(urls):
+        p = urlparse(u)
+        assert got[i] == (p.scheme, p.netloc, p.path.rstrip("/")), u
