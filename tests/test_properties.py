@@ -238,3 +238,55 @@ def test_url_parts_match_urllib(spark):
     for i, u in enumerate(urls):
         p = urlparse(u)
         assert got[i] == (p.scheme, p.netloc, p.path.rstrip("/")), u
+
+
+def test_key_value_lines_match_pair_split(spark):
+    """Device listing lines (no spaces inside values) parse like a
+    whitespace split into KEY="value" pairs, keys lower-cased."""
+    from fleetlens.sources import text
+    rnd = random.Random(41)
+    lines = []
+    for i in range(300):
+        pairs = [("KNAME", f"/dev/xvd{chr(97 + rnd.randrange(6))}"),
+                 ("MOUNTPOINT", rnd.choice(["", "/", "/media/ephemeral0", "/Mnt/Data"])),
+                 ("SIZE", str(rnd.randrange(1, 1 << 41)))]
+        rnd.shuffle(pairs)
+        lines.append(" ".join(f'{k}="{v}"' for k, v in pairs))
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    got = {}
+    for r in text.read_key_value_lines(df, "line", ["i"]).collect():
+        got.setdefault(r.i, {})[r.key] = r.value
+    for i, line in enumerate(lines):
+        want = {}
+        for pair in line.split():
+            k, v = pair.split("=")
+            want[k.lower()] = v.strip('"')
+        assert got[i] == want, line
+
+
+def test_operation_log_parses_python_logging_lines(spark):
+    """Lines written by Python's logging with the fixed layout parse back."""
+    import datetime as dt
+    import logging
+    import time
+    from fleetlens.sources import text
+    fmt = logging.Formatter("%(asctime)s - fleet.%(module)-9s - %(levelname)-5s - %(message)s")
+    fmt.converter = time.gmtime
+    rnd = random.Random(42)
+    rows, want = [], {}
+    for i in range(200):
+        created = 1704067200 + rnd.randrange(0, 30 * 86400) + rnd.randrange(0, 1000) / 1000
+        host = f"10.0.{rnd.randrange(256)}.{rnd.randrange(256)}"
+        msg = rnd.choice([f"[{host}] SSH online.", f"[{host}] Installing Spark...", "Launching 3 instances..."])
+        rec = logging.LogRecord("fleet", rnd.choice([logging.DEBUG, logging.INFO, logging.ERROR]),
+                                f"/x/{rnd.choice(['ssh', 'core', 'ec2', 'services'])}.py", 1, msg, None, None)
+        rec.created, rec.msecs = created, int(round((created % 1) * 1000)) % 1000
+        line = fmt.format(rec)
+        rows.append((i, line))
+        ts = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=int(created), milliseconds=rec.msecs)
+        has_host = msg.startswith("[")
+        want[i] = (ts, f"fleet.{rec.module}", rec.levelname, host if has_host else None,
+                   msg.split("] ", 1)[1] if has_host else msg)
+    df = spark.createDataFrame(rows, "i int, line string")
+    got = {r.i: (r.ts, r.logger, r.level, r.host, r.message) for r in text.read_operation_log(df, "line").collect()}
+    assert got == want
