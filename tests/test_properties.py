@@ -290,3 +290,52 @@ def test_operation_log_parses_python_logging_lines(spark):
     df = spark.createDataFrame(rows, "i int, line string")
     got = {r.i: (r.ts, r.logger, r.level, r.host, r.message) for r in text.read_operation_log(df, "line").collect()}
     assert got == want
+
+
+def test_storage_layout_matches_posixpath(spark):
+    import posixpath
+    rnd = random.Random(51)
+    rows = []
+    for i in range(300):
+        root = rnd.choice(["/media/root", "/media/root/", "/data"])
+        eph = [rnd.choice(["/media/ephemeral0", "/media/ephemeral1/", "/mnt/x"]) for _ in range(rnd.randrange(0, 4))]
+        rows.append((i, root, eph))
+    df = spark.createDataFrame(rows, "i int, root string, eph array<string>")
+    got = {r.i: (r.spark_root_ephemeral_dirs, r.hadoop_root_ephemeral_dirs)
+           for r in X.storage_layout(df, "root", "eph").collect()}
+    for i, root, eph in rows:
+        want = []
+        for svc in ("spark", "hadoop"):
+            dirs = ",".join(posixpath.join(p, svc) for p in eph)
+            want.append(dirs if dirs else posixpath.join(root, svc))
+        assert got[i] == tuple(want)
+
+
+def test_decode_payload_matches_base64(spark):
+    import base64
+    rnd = random.Random(52)
+    texts = ["".join(rnd.choice("abcé漢字 \n") for _ in range(rnd.randrange(0, 40))) for _ in range(200)]
+    payloads = [base64.b64encode(t.encode()).decode() for t in texts]
+    payloads += [base64.b64encode(b"\xff\xfe\xfd").decode(), None]   # not UTF-8, missing
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, p string")
+    got = {r.i: r.decoded for r in X.decode_payload(df, "p").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == t
+    assert got[len(texts)] == "" and got[len(texts) + 1] == ""
+
+
+def test_capacity_matches_integer_division(spark):
+    from fleetlens.operators import aggs
+    rnd = random.Random(53)
+    rows = [(rnd.choice(["r1", "r2"]), rnd.choice(["c1", "c2", "c3"]), rnd.choice([2, 4, 8, 16, 36]),
+             rnd.choice([1, 2, 3, 0])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "region string, cluster string, cores int, executors int")
+    got = {(r.region, r.cluster): (r.nodes, r.worker_cores, r.executors, r.executor_cores)
+           for r in aggs.capacity(df, ["region", "cluster"], "cores", "executors").collect()}
+    want = {}
+    for region, cluster, cores, ex in rows:
+        for key in ((region, cluster), (region, None), (None, None)):
+            n, c, e, ec = want.get(key, (0, 0, 0, None))
+            q = cores // ex if ex else None              # no executors: no quotient
+            want[key] = (n + 1, c + cores, e + ex, (ec or 0) + q if q is not None else ec)
+    assert got == want
