@@ -237,8 +237,9 @@ def flatten_settings(df: DataFrame, col: str, id_cols: Sequence[str], max_depth:
     """Nested JSON settings to (path, value) rows.
 
     Objects are descended into (``-`` becomes ``_`` in keys only); any
-    other value (string, number, list) is a leaf, rendered as text
-    (strings raw, lists as JSON). An empty object yields no row; text that
+    other value (string, number, boolean, list) is a leaf, rendered as
+    text: strings raw, everything else as JSON of the same value (a number
+    may be respelled, e.g. ``2.0`` as ``2``); JSON null is NULL. An empty object yields no row; text that
     is not JSON yields no row. Each level is one ``explode_outer`` of the
     node's object entries (leaves pass through as the outer row) in the
     same stage: no union, no exchange, no higher-order function.

@@ -339,3 +339,52 @@ def test_capacity_matches_integer_division(spark):
             q = cores // ex if ex else None              # no executors: no quotient
             want[key] = (n + 1, c + cores, e + ex, (ec or 0) + q if q is not None else ec)
     assert got == want
+
+
+def _flatten_py(obj, prefix=""):
+    """Descend into dicts only, '-' to '_' in keys; leaves keep their value."""
+    out = {}
+    for k, v in obj.items():
+        path = (prefix + "." if prefix else "") + k.replace("-", "_")
+        if isinstance(v, dict):
+            out.update(_flatten_py(v, path))
+        else:
+            out[path] = v
+    return out
+
+
+def _leaf_equal(text, value):
+    """A string leaf is its raw text; any other leaf is JSON text of an equal
+    value (a number may be spelled differently, e.g. 2.0 as 2)."""
+    import json
+    if value is None or isinstance(value, str):
+        return text == value
+    return text is not None and json.loads(text) == value
+
+
+def test_flatten_settings_matches_python(spark):
+    import json
+    rnd = random.Random(61)
+
+    def value(depth):
+        r = rnd.random()
+        if depth < 3 and r < 0.3:
+            return {rnd.choice(["spot-price", "key-name", "a", "b-c", "d"]) + str(rnd.randrange(3)): value(depth + 1)
+                    for _ in range(rnd.randrange(0, 4))}
+        return rnd.choice([rnd.randrange(-5, 100), "text-" + str(rnd.randrange(9)), True, None,
+                           ["x-y", 1], rnd.randrange(1, 9) / 4])
+
+    docs = []
+    for i in range(300):
+        doc = {rnd.choice(["java-version", "ec2", "tags", "services", "x"]) + str(j): value(0)
+               for j in range(rnd.randrange(1, 5))}
+        docs.append((i, json.dumps(doc)))
+    df = spark.createDataFrame(docs, "i int, doc string")
+    got = {}
+    for r in X.flatten_settings(df, "doc", ["i"]).collect():
+        got.setdefault(r.i, {})[r.path] = r.value
+    for i, text in docs:
+        want = _flatten_py(json.loads(text))
+        have = got.get(i, {})
+        assert set(have) == set(want), text
+        assert all(_leaf_equal(have[p], want[p]) for p in want), text
