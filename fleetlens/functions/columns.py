@@ -109,8 +109,10 @@ def tags_to_map(df: DataFrame, tags_col: str, out: str = "tag_map") -> DataFrame
     """
     entries = F.transform(F.col(tags_col), lambda x, i: F.struct(
         x["Key"].alias("k"), x["Value"].alias("v"), i.alias("i")))
+    # Null-safe comparison: a NULL key elsewhere in the array must not turn
+    # the "later duplicate exists" test into NULL (three-valued logic).
     keep = F.filter(entries, lambda e: e["k"].isNotNull() & ~F.exists(
-        entries, lambda o: (o["k"] == e["k"]) & (o["i"] > e["i"])))
+        entries, lambda o: o["k"].eqNullSafe(e["k"]) & (o["i"] > e["i"])))
     return df.withColumn(out, F.map_from_entries(
         F.transform(keep, lambda e: F.struct(e["k"], e["v"]))))
 

@@ -388,3 +388,38 @@ def test_flatten_settings_matches_python(spark):
         have = got.get(i, {})
         assert set(have) == set(want), text
         assert all(_leaf_equal(have[p], want[p]) for p in want), text
+
+
+def test_tags_to_map_matches_dict_build(spark):
+    rnd = random.Random(71)
+    rows = []
+    for i in range(300):
+        tags = [(rnd.choice(["Name", "role", "env", None]), rnd.choice(["a", "b", None]))
+                for _ in range(rnd.randrange(0, 6))]
+        rows.append((i, tags))
+    df = spark.createDataFrame(rows, "i int, tags array<struct<Key:string, Value:string>>")
+    got = {r.i: r.tag_map for r in X.tags_to_map(df, "tags").collect()}
+    for i, tags in rows:
+        want = {}
+        for k, v in tags:       # later duplicates win; NULL keys cannot be map keys
+            if k is not None:
+                want[k] = v
+        assert got[i] == want, tags
+
+
+def test_read_fields_matches_split(spark):
+    from fleetlens.sources import text
+    rnd = random.Random(72)
+    names = ["device_name", "mount_point", "filesystem_type", "mount_options", "dump", "pass_number"]
+    words = ["/dev/xvdb", "/media/ephemeral0", "ext4", "defaults,noatime", "0", "1"]
+    lines = [("  " if rnd.random() < 0.2 else "") +
+             (" " * rnd.randrange(1, 3)).join(rnd.choice(words) for _ in range(rnd.choice([5, 6, 6, 7])))
+             for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, l string")
+    got = {r.i: r for r in text.read_fields(df, "l", names).collect()}
+    for i, line in enumerate(lines):
+        parts = line.split()
+        if len(parts) == len(names):
+            assert got[i].status == "ok" and [got[i][n] for n in names] == parts
+        else:
+            assert got[i].status == "invalid"
