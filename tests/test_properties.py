@@ -423,3 +423,64 @@ def test_read_fields_matches_split(spark):
             assert got[i].status == "ok" and [got[i][n] for n in names] == parts
         else:
             assert got[i].status == "invalid"
+
+
+def test_mutually_exclusive_truthiness_across_types(spark):
+    from fleetlens.operators import quality
+    rnd = random.Random(81)
+    rows = [(i, rnd.choice([None, "", "x"]), rnd.choice([None, 0, 5]), rnd.choice([None, False, True]),
+             rnd.choice([None, [], ["a"]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, s string, n int, b boolean, a array<string>")
+    got = {r.i: r.used for r in quality.mutually_exclusive(df, ["i"], ["s", "n", "b", "a"]).collect()}
+    want = {}
+    for i, *vals in rows:
+        used = [name for name, v in zip(["s", "n", "b", "a"], vals) if v]     # Python truthiness
+        if len(used) > 1:
+            want[i] = ",".join(used)
+    assert got == want
+
+
+def test_fold_outcomes_matches_python(spark):
+    import datetime as dt
+    from fleetlens.operators import aggs
+    rnd = random.Random(82)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rnd.randrange(20), rnd.randrange(50), rnd.choice([True, True, False, None]),
+             t0 + dt.timedelta(seconds=rnd.randrange(0, 100))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "op int, host int, ok boolean, finished timestamp_ntz")
+    got = {r.op: (r.hosts, r.failures, r.failed, r.first_failed_host)
+           for r in aggs.fold_outcomes(df, "op", "host", "ok", "finished").collect()}
+    want = {}
+    for op in {r[0] for r in rows}:
+        rs = [r for r in rows if r[0] == op]
+        fails = sorted((r[3], r[1]) for r in rs if not r[2])       # a missing outcome is a failure
+        want[op] = (len(rs), len(fails), bool(fails), fails[0][1] if fails else None)
+    assert got == want
+
+
+def test_latest_state_matches_python(spark):
+    import datetime as dt
+    from fleetlens.operators import windows
+    rnd = random.Random(83)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rnd.randrange(30), t0 + dt.timedelta(minutes=rnd.randrange(0, 50)), i,
+             rnd.choice(["running", "stopped", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "m int, ts timestamp_ntz, id int, state string")
+    got = {r.m: (r.ts, r.state) for r in windows.latest_state(df, "m", "ts", ["state"], tiebreak="id").collect()}
+    want = {}
+    for m, ts, i, state in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[m] = (ts, state)
+    assert got == want
+
+
+def test_missing_and_new_members_match_set_difference(spark):
+    from fleetlens.operators import joins
+    rnd = random.Random(84)
+    req = [rnd.choice(["c" + str(k) for k in range(40)] + [None]) for _ in range(300)]
+    found = [rnd.choice(["c" + str(k) for k in range(25, 60)] + [None]) for _ in range(200)]
+    r = spark.createDataFrame([(x,) for x in req], "name string")
+    f = spark.createDataFrame([(x,) for x in found], "name string")
+    assert sorted(x.name for x in joins.missing_names(r, f, "name").collect()) == \
+        sorted({x for x in req if x is not None} - set(found))
+    got = sorted(x.name for x in joins.new_members(r, f).collect() if x.name is not None)
+    assert got == sorted({x for x in req if x is not None} - set(found))
