@@ -91,6 +91,8 @@ _FINER = {"week": "day", "day": "hour", "hour": "minute", "minute": "second"}
 # A dense-block marker table up to this many rows is broadcast (its size is
 # known from an exact count, not an estimate).
 MAX_BROADCAST_BLOCKS = 1_000_000
+# Default ceiling on rows per (key, time block) before a block is refined.
+MAX_BLOCK_ROWS = 5_000_000
 
 
 def _assign_blocks(df: DataFrame, keys: list[str], ts_col: str, block: str,
@@ -126,7 +128,7 @@ def _assign_blocks(df: DataFrame, keys: list[str], ts_col: str, block: str,
 
 def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: str,
                  success_col: str, limit: int, block: str = "hour",
-                 max_block_rows: int | None = None) -> DataFrame:
+                 max_block_rows: int | None = MAX_BLOCK_ROWS) -> DataFrame:
     """Group attempts into chains that end at a success.
 
     The chain id of an attempt is the number of successes before it in its
@@ -170,7 +172,7 @@ def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: s
 
 def time_to_state(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: str,
                   state_col: str, start_states: Iterable[str], target: str,
-                  block: str = "hour", max_block_rows: int | None = None) -> DataFrame:
+                  block: str = "hour", max_block_rows: int | None = MAX_BLOCK_ROWS) -> DataFrame:
     """For each request row (state in ``start_states``), the next time the
     group reaches ``target`` after it, and the wait in seconds.
 
