@@ -38,3 +38,25 @@ def test_scale_conf_sizes_partitions():
     assert int(small["spark.sql.shuffle.partitions"]) == 80           # at least 2x the slots
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert c["spark.sql.autoBroadcastJoinThreshold"] == "10m"
+
+
+def test_executors_need_no_install(tmp_path):
+    """A driver outside the repo (package only on the driver's sys.path)
+    can still run package functions on executors: they ship by value."""
+    import subprocess
+    import sys
+    script = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+from fleetlens.operators import rowmap
+from fleetlens.plans.history_bindings import document_stats
+df = spark.createDataFrame([(1, "en", "a\\nb"), (2, "de", "x")], "doc_id long, lang string, text string")
+rows = sorted(rowmap.map_rows(df, document_stats, "n_bytes long, n_lines long", keep=["doc_id"]).collect())
+print("RESULT", [(r.doc_id, r.n_lines, r.error) for r in rows])
+"""
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True,
+                         timeout=600)
+    assert "RESULT [(1, 2, None), (2, None, 'ValueError: unsupported language de')]" in out.stdout, out.stderr[-2000:]
