@@ -484,3 +484,50 @@ def test_missing_and_new_members_match_set_difference(spark):
         sorted({x for x in req if x is not None} - set(found))
     got = sorted(x.name for x in joins.new_members(r, f).collect() if x.name is not None)
     assert got == sorted({x for x in req if x is not None} - set(found))
+
+
+def test_retry_chains_limits_and_null_outcomes(spark):
+    import datetime as dt
+    from fleetlens.operators import windows
+    rnd = random.Random(91)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rnd.choice(["h1", "h2"]), t0 + dt.timedelta(minutes=i), i, rnd.choice([True, False, False, None]))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int, ok boolean")
+    for limit in (1, 2, 5):
+        got = sorted((r.k, r.chain, r.attempts, r.outcome)
+                     for r in windows.retry_chains(df, "k", "ts", "id", "ok", limit=limit).collect())
+        want = []
+        for k in ("h1", "h2"):
+            chain, attempts, succeeded = 0, 0, False
+            out = []
+            for _, _, _, ok in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+                attempts += 1
+                if ok:                                   # a missing outcome is not a success
+                    out.append((k, chain, attempts, "succeeded" if attempts <= limit else "late"))
+                    chain, attempts = chain + 1, 0
+            if attempts:
+                out.append((k, chain, attempts, "exhausted" if attempts >= limit else "open"))
+            want += out
+        assert got == sorted(want), limit
+
+
+def test_duration_summary_matches_truncation(spark):
+    import datetime as dt
+    from fleetlens.operators import aggs
+    rnd = random.Random(92)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for _ in range(300):
+        s = t0 + dt.timedelta(microseconds=rnd.randrange(0, 10 ** 9))
+        rows.append((rnd.choice(["launch", "stop"]), s, s + dt.timedelta(microseconds=rnd.randrange(0, 10 ** 8)),
+                     rnd.choice([True, True, False])))
+    df = spark.createDataFrame(rows, "op string, s timestamp_ntz, e timestamp_ntz, ok boolean")
+    got = {r.op: (r.ops, r.min_seconds, r.max_seconds, r.total_seconds)
+           for r in aggs.duration_summary(df, "op", "s", "e", "ok").collect()}
+    want = {}
+    for op in ("launch", "stop"):
+        secs = [int((e.replace(microsecond=0) - s.replace(microsecond=0)).total_seconds())
+                for o, s, e, ok in rows if o == op and ok]
+        want[op] = (len(secs), min(secs), max(secs), sum(secs))
+    assert got == want
