@@ -531,3 +531,18 @@ def test_duration_summary_matches_truncation(spark):
                 for o, s, e, ok in rows if o == op and ok]
         want[op] = (len(secs), min(secs), max(secs), sum(secs))
     assert got == want
+
+
+def test_all_reached_matches_python(spark):
+    from fleetlens.operators import aggs
+    rnd = random.Random(93)
+    rows = [(rnd.randrange(25), i, rnd.choice(["running", "running", "pending", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "c int, id int, s string")
+    got = {r.c: (r.members, r.laggards, r.all_reached, r.sample_laggards)
+           for r in aggs.all_reached(df, "c", "s", "running", "id").collect()}
+    want = {}
+    for c in {r[0] for r in rows}:
+        rs = [r for r in rows if r[0] == c]
+        lag = sorted(r[1] for r in rs if r[2] != "running")     # missing state is a laggard
+        want[c] = (len(rs), len(lag), not lag, lag[:3])
+    assert got == want
