@@ -546,3 +546,44 @@ def test_all_reached_matches_python(spark):
         lag = sorted(r[1] for r in rs if r[2] != "running")     # missing state is a laggard
         want[c] = (len(rs), len(lag), not lag, lag[:3])
     assert got == want
+
+
+def test_in_use_and_dedupe_match_python(spark):
+    from fleetlens.operators import joins
+    rnd = random.Random(94)
+    mounts = [(i, rnd.choice(["/dev/a", "/dev/b", "/dev/c", None])) for i in range(300)]
+    devices = [(d,) for d in ("/dev/a", "/dev/c", None)]
+    m = spark.createDataFrame(mounts, "i int, dev string")
+    d = spark.createDataFrame(devices, "dev string")
+    got = sorted(r.i for r in joins.in_use(m, d, "dev").collect())
+    assert got == sorted(i for i, dev in mounts if dev in ("/dev/a", "/dev/c"))   # NULL never matches
+
+    rules = [(rnd.choice(["tcp", "udp"]), rnd.choice([22, 80]), rnd.randrange(1000), i) for i in range(300)]
+    r = spark.createDataFrame(rules, "proto string, port int, added int, seq int")
+    got = {(x.proto, x.port): (x.copies, x.added, x.seq)
+           for x in joins.dedupe_rules(r, ["proto", "port"], keep_first_by=["added", "seq"],
+                                       carry=["added", "seq"]).collect()}
+    want = {}
+    for proto, port, added, seq in sorted(rules, key=lambda t: (t[2], t[3])):
+        key = (proto, port)
+        if key not in want:
+            want[key] = [0, added, seq]
+        want[key][0] += 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_runtime_compliance_counts_match_python(spark):
+    rnd = random.Random(95)
+    banners = ['openjdk version "1.8.0_252"', 'openjdk version "11.0.7" 2020-04-14', 'java version "17"',
+               "command not found", 'openjdk version "21.0.1"']
+    rows = [(rnd.choice(["c1", "c2", "c3"]), rnd.choice(banners)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "cluster string, banner string")
+    got = {r.cluster: (r.n_equal, r.n_newer, r.n_older, r.n_missing)
+           for r in X.runtime_compliance(df, "banner", "cluster", 11).collect()}
+    major = {banners[0]: 8, banners[1]: 11, banners[2]: 17, banners[3]: None, banners[4]: 21}
+    want = {}
+    for c, b in rows:
+        e, n, o, m = want.get(c, (0, 0, 0, 0))
+        j = major[b]
+        want[c] = (e + (j == 11), n + (j is not None and j > 11), o + (j is not None and j < 11), m + (j is None))
+    assert got == want
