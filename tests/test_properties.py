@@ -587,3 +587,32 @@ def test_runtime_compliance_counts_match_python(spark):
         j = major[b]
         want[c] = (e + (j == 11), n + (j is not None and j > 11), o + (j is not None and j < 11), m + (j is None))
     assert got == want
+
+
+def test_role_counts_at_most_one_distinct_and_transfer(spark):
+    from pyspark.sql import functions as F
+    from fleetlens.operators import aggs, filters, quality
+    rnd = random.Random(96)
+    rows = [(rnd.randrange(15), rnd.choice(["master", "slave", "slave", "witch", None]), f"h{rnd.randrange(40)}")
+            for _ in range(300)]
+    df = spark.createDataFrame(rows, "c int, role string, host string")
+    got = {r.c: (r.masters, r.slaves, r.nodes) for r in aggs.role_counts(df, "c", "role").collect()}
+    want = {}
+    for c, role, _ in rows:
+        m, s, n = want.get(c, (0, 0, 0))
+        want[c] = (m + (role == "master"), s + (role == "slave"), n + (role in ("master", "slave")))
+    assert got == want
+    got = {r.c: r.matches for r in quality.at_most_one(df, "c", F.col("role") == "master").collect()}
+    assert got == {c: v[0] for c, v in want.items() if v[0] > 1}
+    assert sorted(r.name for r in aggs.distinct_names(df, "host").collect()) == sorted({h for _, _, h in rows})
+
+    files = [(rnd.randrange(10), rnd.randrange(1, 5000)) for _ in range(200)]
+    nodes = [(rnd.randrange(10), f"n{rnd.randrange(6)}") for _ in range(200)]
+    f = spark.createDataFrame(files, "c int, size long")
+    n = spark.createDataFrame(nodes, "c int, node string")
+    got = {r.c: r.transfer_bytes for r in filters.transfer_warning(f, n, "c", "size", "node", limit=40000).collect()}
+    totals = {}
+    for c, size in files:
+        totals[c] = totals.get(c, 0) + size
+    counts = {c: len({x for cc, x in nodes if cc == c}) for c in {c for c, _ in nodes}}
+    assert got == {c: t * counts[c] for c, t in totals.items() if c in counts and t * counts[c] > 40000}
