@@ -616,3 +616,31 @@ def test_role_counts_at_most_one_distinct_and_transfer(spark):
         totals[c] = totals.get(c, 0) + size
     counts = {c: len({x for cc, x in nodes if cc == c}) for c in {c for c, _ in nodes}}
     assert got == {c: t * counts[c] for c, t in totals.items() if c in counts and t * counts[c] > 40000}
+
+
+def test_address_failures_volume_and_paths(spark):
+    from fleetlens.operators import filters
+    from fleetlens.sources import text
+    rnd = random.Random(97)
+    rows = [(i, rnd.choice([True, False, None]), f"10.0.0.{i}", f"54.0.0.{i}", f"ip-{i}", f"ec2-{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "i int, private boolean, pip string, qip string, ph string, qh string")
+    got = {r.i: (r.ip, r.host) for r in filters.choose_address(df, "private", "pip", "qip", "ph", "qh").collect()}
+    assert got == {i: ((pip, ph) if p else (qip, qh)) for i, p, pip, qip, ph, qh in rows}
+
+    kinds = [rnd.choice([k for k, _, _ in X.FAILURE_KINDS] + ["disk-full", None]) for _ in range(200)]
+    fdf = spark.createDataFrame(list(enumerate(kinds)), "i int, kind string")
+    table = {k: (a, c) for k, a, c in X.FAILURE_KINDS}
+    got = {r.i: (r.action, r.exit_code) for r in X.classify_failures(fdf, "kind").collect()}
+    assert got == {i: table.get(k, X.UNKNOWN_FAILURE) for i, k in enumerate(kinds)}
+
+    vols = [(i, rnd.choice([1, 8, 30, 100]), rnd.choice(["standard", "io1"]), True) for i in range(100)]
+    vdf = spark.createDataFrame([(i, (s, t, e)) for i, s, t, e in vols],
+                                "i int, ebs struct<VolumeSize:int, VolumeType:string, Encrypted:boolean>")
+    got = {r.i: tuple(r.ebs) for r in X.raise_volume_floor(vdf, "ebs", 30).collect()}
+    assert got == {i: ((30, "gp2") if s < 30 else (s, t)) for i, s, t, _ in vols}
+
+    paths = [rnd.choice(["s3://b/k", "s3n://b/k", "s3a://b/k", "hdfs://nn/p", "/local/p"]) for _ in range(100)]
+    pdf = spark.createDataFrame(list(enumerate(paths)), "i int, p string")
+    got = {r.i: r.p for r in text.normalize_object_paths(pdf, "p").collect()}
+    assert got == {i: ("s3a://" + p.split("://", 1)[1] if p.startswith(("s3://", "s3n://")) else p)
+                   for i, p in enumerate(paths)}
