@@ -644,3 +644,21 @@ def test_address_failures_volume_and_paths(spark):
     got = {r.i: r.p for r in text.normalize_object_paths(pdf, "p").collect()}
     assert got == {i: ("s3a://" + p.split("://", 1)[1] if p.startswith(("s3://", "s3n://")) else p)
                    for i, p in enumerate(paths)}
+
+
+def test_ordering_and_filters_match_python(spark):
+    from pyspark.sql import functions as F
+    from fleetlens.operators import filters
+    rnd = random.Random(98)
+    rows = [(i, f"c{rnd.randrange(50):02d}", rnd.choice(["running", "stopped", "terminated"]),
+             rnd.randrange(-100, 100)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, name string, state string, bal int")
+    assert [r.name for r in filters.order_by_name(df, "name").collect()] == sorted(r[1] for r in rows)
+    first = [(r.bal, r.i) for r in filters.sample_first(df, 7, ["bal", "i"]).collect()]
+    assert first == sorted((r[3], r[0]) for r in rows)[:7]
+    got = sorted(r.i for r in filters.inventory_filter(
+        df, equals={"state": "running"}, any_of={"name": ["c01", "c02", "c03"], "bal": []}).collect())
+    assert got == sorted(r[0] for r in rows if r[2] == "running" and r[1] in ("c01", "c02", "c03"))
+    tagged = df.withColumn("tags", F.create_map(F.lit("state"), F.col("state")))
+    got = sorted(r.i for r in filters.tag_filter(tagged, "tags", "state", ["stopped"]).collect())
+    assert got == sorted(r[0] for r in rows if r[2] == "stopped")
