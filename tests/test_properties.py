@@ -662,3 +662,25 @@ def test_ordering_and_filters_match_python(spark):
     tagged = df.withColumn("tags", F.create_map(F.lit("state"), F.col("state")))
     got = sorted(r.i for r in filters.tag_filter(tagged, "tags", "state", ["stopped"]).collect())
     assert got == sorted(r[0] for r in rows if r[2] == "stopped")
+
+
+def test_manifest_round_trip_random(spark):
+    from fleetlens.sources import manifests
+    rnd = random.Random(99)
+    rows = []
+    for c in range(40):
+        java = rnd.choice([8, 11, 17])
+        for svc in rnd.sample(["HDFS", "Spark", "Hive"], rnd.randrange(1, 4)):
+            for _ in range(rnd.randrange(1, 3)):                 # repeated service rows fold into one
+                rows.append((f"c{c}", svc, rnd.choice(["3.3.6", "3.5.0", None]), java))
+    df = spark.createDataFrame(rows, "cluster string, service string, version string, java int")
+    docs = manifests.write_manifests(df, "cluster", "service", ["version"], "java")
+    back = manifests.read_manifests(docs, "manifest", ["cluster"]).collect()
+    got = {(r.cluster, r.service): (r.version, r.java_version) for r in back}
+    want = {}
+    for c, svc, ver, java in rows:        # the writer keeps the greatest settings text per service
+        prev = want.get((c, svc))
+        text = '{"version":' + ('null' if ver is None else '"' + ver + '"') + '}'
+        if prev is None or text > prev[0]:
+            want[(c, svc)] = (text, ver, java)
+    assert got == {k: (v[1], v[2]) for k, v in want.items()}
