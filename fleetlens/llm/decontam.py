@@ -182,7 +182,7 @@ class Items:
             if not len(h):
                 continue
             at = np.flatnonzero(table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h)
-            hit[np.maximum(at - (c["high"] + edits_allowed(c["high"])), 0)] += 1
+            np.add.at(hit, np.maximum(at - (c["high"] + edits_allowed(c["high"])), 0), 1)
             hit[at + 1] -= 1
         return np.flatnonzero((np.cumsum(hit[:-1]) > 0) & (flat != END))
 

@@ -96,11 +96,13 @@ class Models:
         self.mean = np.zeros(len(self.langs))
         self.sigma = np.ones(len(self.langs))
         self.limit = np.full(len(self.langs), np.inf)
-        per = [self._types(counts[lang]) for lang in self.langs]
         self.grams: list[np.ndarray] = []
         self.prob: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
         self.weight: list[np.ndarray] = []
+        per = [self._types(counts[lang]) for lang in self.langs]
+        if not per:
+            return
         for k in range(order):
             merged = [p[k] for p in per]
             grams, first = np.unique(np.concatenate([t["gram"] for t in merged]), return_index=True)
