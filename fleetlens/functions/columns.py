@@ -242,7 +242,9 @@ def flatten_settings(df: DataFrame, col: str, id_cols: Sequence[str], max_depth:
     other value (string, number, boolean, list) is a leaf, rendered as
     text: strings raw, everything else as JSON of the same value (a number
     may be respelled, e.g. ``2.0`` as ``2``); JSON null is NULL. An empty object yields no row; text that
-    is not JSON yields no row. Each level is one ``explode_outer`` of the
+    is not JSON yields no row. ``status`` is ``ok``, or ``too-deep`` for an
+    object below ``max_depth`` levels, given whole as JSON: it is reported,
+    never dropped; pass a larger ``max_depth``. Each level is one ``explode_outer`` of the
     node's object entries (leaves pass through as the outer row) in the
     same stage: no union, no exchange, no higher-order function.
     """
@@ -262,8 +264,59 @@ def flatten_settings(df: DataFrame, col: str, id_cols: Sequence[str], max_depth:
             *id_cols,
             F.when(leaf, F.col("_path")).otherwise(child_path).alias("_path"),
             F.when(leaf, F.col("_v")).otherwise(F.col("_c")).alias("_v"))
+    deep = F.schema_of_variant(F.col("_v")).startswith("OBJECT")
     return cur.select(*id_cols, F.col("_path").alias("path"),
-                      F.try_variant_get(F.col("_v"), "$", "string").alias("value"))
+                      F.try_variant_get(F.col("_v"), "$", "string").alias("value"),
+                      F.when(F.coalesce(deep, F.lit(False)), F.lit("too-deep")).otherwise(F.lit("ok")).alias("status"))
+
+
+# Settings sections. ``services.<name>.<key>`` becomes
+# ``<name>_<key>``, ``providers.ec2.<key>`` becomes ``ec2_<key>`` and
+# ``launch.<key>`` keeps its key. The command ``launch`` takes all three, the
+# other commands take the provider's settings only.
+PROVIDER = "ec2"
+LAUNCH = "launch"
+OTHER_COMMANDS = ("describe", "destroy", "login", "start", "stop", "add-slaves", "remove-slaves",
+                  "run-command", "copy-file")
+
+
+def command_defaults(df: DataFrame, col: str, id_cols: Sequence[str]) -> DataFrame:
+    """Per-command option defaults of a settings document: ``id..., command, option, value``.
+
+    Keys below an option's name stay part of its value (as JSON). Where two
+    sections give ``launch`` one option, a service's value is taken before
+    the provider's and the provider's before launch's own. Empty sections
+    give nothing; a document that is not JSON gives no row.
+    """
+    def norm(k):
+        return F.replace(k, F.lit("-"), F.lit("_"))
+
+    doc = F.try_parse_json(F.col(col))
+
+    def section(path: str, kind: str):
+        return F.try_variant_get(doc, path, kind)
+
+    def options(entries, prefix, rank):
+        return F.transform(F.coalesce(F.map_entries(entries), F.array().cast("array<struct<key:string,value:variant>>")),
+                           lambda e: F.struct(F.concat(prefix, norm(e["key"])).alias("option"),
+                                              F.try_variant_get(e["value"], "$", "string").alias("value"),
+                                              F.lit(rank).alias("rank")))
+
+    services = F.map_entries(section("$.services", "map<string,variant>"))
+    of_services = F.flatten(F.transform(
+        F.coalesce(services, F.array().cast("array<struct<key:string,value:variant>>")),
+        lambda s: options(F.try_variant_get(s["value"], "$", "map<string,variant>"),
+                          F.concat(norm(s["key"]), F.lit("_")), 2)))
+    rows = df.select(*id_cols, F.explode(F.concat(
+        options(section(f"$.{LAUNCH}", "map<string,variant>"), F.lit(""), 0),
+        options(section(f"$.providers.{PROVIDER}", "map<string,variant>"), F.lit(PROVIDER + "_"), 1),
+        of_services)).alias("_o"))
+    commands = F.when(F.col("_o.rank") == 1, F.array(*[F.lit(c) for c in (LAUNCH, *OTHER_COMMANDS)])).otherwise(
+        F.array(F.lit(LAUNCH)))
+    return (rows.withColumn("command", F.explode(commands))
+            .groupBy(*id_cols, "command", F.col("_o.option").alias("option"))
+            .agg(F.max_by(F.struct("_o.value"), F.col("_o.rank")).alias("_v"))
+            .select(*id_cols, "command", "option", F.col("_v.value").alias("value")))
 
 
 # ------------------------------------------------------- X8 storage layout
@@ -335,7 +388,7 @@ def raise_volume_floor(df: DataFrame, col: str, min_size: int, volume_type: str
     """Raise a nested volume size to ``min_size`` (and set its type when
     raised), and drop one field, without unpacking the struct."""
     s = F.col(col)
-    small = s[size_field] < F.lit(min_size)
+    small = F.coalesce(s[size_field] < F.lit(min_size), F.lit(True))  # an unknown size is raised too
     new = (s.withField(type_field, F.when(small, F.lit(volume_type)).otherwise(s[type_field]))
             .withField(size_field, F.greatest(s[size_field], F.lit(min_size))))
     if drop_field:

@@ -14,6 +14,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.session import materialize
+
 # The state reported for a group whose members disagree.
 INCONSISTENT = "inconsistent"
 
@@ -25,39 +27,26 @@ def _cols(keys: str | Sequence[str]) -> list[str]:
 
 
 def compose_groups(df: DataFrame, key: str | Sequence[str], member: str,
-                   chunk_size: int = DEFAULT_CHUNK, sizes: DataFrame | None = None,
-                   salts: int = 32) -> DataFrame:
-    """Members of each group as a sorted array.
+                   chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """Members of each group as sorted arrays.
 
     Output: ``key..., chunk, members, n_members`` where ``n_members`` is
-    the size of the whole group. A group with at most ``chunk_size``
-    members is one row (``chunk = 0``). Larger groups are split by a hash
-    of the member into ``ceil(n / chunk_size)`` chunks, so no single array
-    (and no single task) has to hold an unbounded group. Every member
-    appears in exactly one chunk.
-
-    Only the large groups need their size to pick chunks: the rows are
-    left-joined to that short list (salted, so a hot group is spread over
-    tasks, and usually broadcast), and every other row gets chunk 0.
-    ``sizes`` (``key..., n_members``) may be passed when the caller already
-    has the group sizes from another aggregate, saving a pass over ``df``.
+    the size of the whole group. Chunk ``i`` holds the members with sorted
+    positions ``i * chunk_size`` up to the next chunk's, at every group
+    size, so reading a group's chunks in order gives its sorted list, and no
+    array (and no task) holds more than ``chunk_size`` members. Positions
+    come from ``assign_ordinals``, which spreads a hot group over tasks.
     """
+    from fleetlens.operators.windows import _join_back, assign_ordinals
     keys = _cols(key)
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
-    large = sizes.filter(F.col("n_members") > chunk_size).select(*keys, F.col("n_members").alias("_n"))
-    from fleetlens.operators.joins import salted_join
-    rows = salted_join(df.select(*keys, member), large, keys, "left", salts, salt_by=[member],
-                       null_safe=True)
-    chunks = F.ceil(F.col("_n") / F.lit(chunk_size)).cast("int")
-    chunk = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(member)), chunks))
-    # Shuffle on (key, chunk) explicitly, so the aggregate never inherits a
-    # partitioning on the key alone (which would put a hot group in one task).
-    return (rows.withColumn("chunk", chunk.cast("int"))
-            .repartition(*keys, "chunk")
-            .groupBy(*keys, "chunk")
-            .agg(F.array_sort(F.collect_list(member)).alias("members"),
-                 F.coalesce(F.max("_n"), F.count(F.lit(1))).cast("bigint").alias("n_members")))
+    rows = assign_ordinals(df.select(*keys, member), keys, member)
+    chunks = (rows.withColumn("chunk", F.floor(F.col("ordinal") / F.lit(chunk_size)).cast("int"))
+              # an explicit shuffle on (key, chunk): the aggregate must not inherit one on the key alone
+              .repartition(*keys, "chunk").groupBy(*keys, "chunk")
+              .agg(F.array_sort(F.collect_list(member)).alias("members"), F.max("ordinal").alias("_last")))
+    chunks = materialize(chunks, "groups")
+    sizes = chunks.groupBy(*keys).agg((F.max("_last") + 1).alias("n_members"))
+    return _join_back(chunks.drop("_last"), sizes, keys)
 
 
 def consensus_expr(col: str) -> Column:
@@ -108,7 +97,8 @@ def group_consensus(df: DataFrame, key: str | Sequence[str], col: str,
     agg = _state_counts(df, keys, col).groupBy(*keys).agg(state.alias(out), n_all.alias("n_rows"))
     if clusters is None:
         return agg
-    return (clusters.select(*keys).join(agg, keys, "left")
+    from fleetlens.operators.windows import _join_back
+    return (_join_back(clusters.select(*keys), agg, keys, "left")
             .withColumn(out, F.when(F.col("n_rows").isNull(), F.lit(INCONSISTENT))
                         .otherwise(F.col(out)))
             .withColumn("n_rows", F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint")))
@@ -181,11 +171,11 @@ def split_roles(df: DataFrame, key: str | Sequence[str], role_col: str, host_col
            .drop("first_master"))
     if not with_slaves:
         return out
+    from fleetlens.operators.windows import _join_back
     host_type = df.schema[host_col].dataType.simpleString()
-    sizes = out.filter(F.col("n_slaves") > 0).select(*keys, F.col("n_slaves").alias("n_members"))
-    slaves = compose_groups(df.filter(role.isin(slave_roles)), keys, host_col, chunk_size, sizes=sizes) \
+    slaves = compose_groups(df.filter(role.isin(slave_roles)), keys, host_col, chunk_size) \
         .select(*keys, "chunk", F.col("members").alias("slaves"))
-    return (out.join(slaves, keys, "left")
+    return (_join_back(out, slaves, keys, "left")
             .withColumn("chunk", F.coalesce(F.col("chunk"), F.lit(0)))
             .withColumn("slaves", F.coalesce(F.col("slaves"), F.array().cast(f"array<{host_type}>"))))
 
@@ -212,7 +202,8 @@ def all_reached(df: DataFrame, key: str | Sequence[str], state_col: str, target:
               .filter(F.col("_rn") <= sample)
               .groupBy(*keys).agg(F.array_sort(F.collect_list(id_col)).alias("sample_laggards")))
     id_type = df.schema[id_col].dataType.simpleString()
-    return (summary.join(firsts, keys, "left")
+    from fleetlens.operators.windows import _join_back
+    return (_join_back(summary, firsts, keys, "left")
             .withColumn("sample_laggards",
                         F.coalesce(F.col("sample_laggards"), F.array().cast(f"array<{id_type}>"))))
 
@@ -239,6 +230,12 @@ def distinct_names(df: DataFrame, col: str, out: str = "name") -> DataFrame:
     return df.select(F.col(col).alias(out)).filter(F.col(out).isNotNull()).distinct()
 
 
+def unnamed_rows(df: DataFrame, col: str, id_cols: Sequence[str]) -> DataFrame:
+    """Rows without a name, as violations (``id..., problem``): a member must
+    carry a name, so ``distinct_names`` alone would hide it."""
+    return df.filter(F.col(col).isNull()).select(*id_cols, F.lit("missing name").alias("problem"))
+
+
 def capacity(df: DataFrame, keys: Sequence[str], cores_col: str, executors_col: str) -> DataFrame:
     """Worker cores, executors and cores per executor (integer quotient),
     summed per cluster with a ``rollup`` over ``keys`` (e.g. region, cluster).
@@ -266,7 +263,7 @@ def duration_summary(ops: DataFrame, key: str | Sequence[str], start_col: str, e
                      ok_col: str) -> DataFrame:
     """Count, min, max and sum of whole-second durations of successful operations."""
     d = whole_seconds(start_col, end_col)
-    return (ops.filter(F.coalesce(F.col(ok_col), F.lit(False)))
+    return (ops.filter(F.col(ok_col))
             .withColumn("seconds", d)
             .groupBy(*_cols(key)).agg(
                 F.count(F.lit(1)).alias("ops"),

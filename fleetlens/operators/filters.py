@@ -12,6 +12,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.session import materialize
+
 # Instance states that a fleet listing shows (terminated
 # and shutting-down machines are hidden).
 LIVE_STATES = ("pending", "running", "stopping", "stopped")
@@ -71,6 +73,24 @@ def choose_address(df: DataFrame, private_col: str, private_ip: str, public_ip:
     })
 
 
+def cluster_addresses(nodes: DataFrame, cluster_col: str, id_col: str, role_col: str, private_col: str,
+                      private_ip: str, public_ip: str, private_host: str, public_host: str,
+                      master_role: str = "master") -> DataFrame:
+    """Address to reach each node, decided once per cluster: by the master's
+    subnet, or the first node's (by id) if there is no master. ``nodes`` gains
+    ``ip`` and ``host``.
+
+    The deciding row is a partial aggregate per cluster, written once, so
+    the join back runs between two plain scans and AQE can split a hot cluster.
+    """
+    first = F.struct(F.coalesce(F.col(role_col) != F.lit(master_role), F.lit(True)).alias("n"), F.col(id_col).alias("i"))
+    private = F.coalesce(F.col(private_col), F.lit(False))
+    decided = materialize(nodes.groupBy(F.col(cluster_col).alias("_c"))
+                          .agg(F.min_by(private, first).alias("_private")), "cluster-addresses")
+    joined = nodes.join(decided, F.col(cluster_col).eqNullSafe(F.col("_c")), "left").drop("_c")
+    return choose_address(joined, "_private", private_ip, public_ip, private_host, public_host).drop("_private")
+
+
 def project_hosts(df: DataFrame, name_col: str = "name", master_col: str = "master_host") -> DataFrame:
     """Name and master host only (column pruning reaches the scan)."""
     return df.select(F.col(name_col).alias("name"), F.col(master_col).alias("master_host"))

@@ -91,7 +91,7 @@ def missing_names(requested: DataFrame, found: DataFrame, name_col: str,
                   found_col: str | None = None) -> DataFrame:
     """Requested names that were not found (left anti join), one row per name."""
     found_col = found_col or name_col
-    f = found.select(F.col(found_col).alias("_found")).filter(F.col("_found").isNotNull())
+    f = found.select(F.col(found_col).alias("_found")).filter(F.col("_found").isNotNull()).distinct()
     return (requested.select(F.col(name_col).alias("name")).filter(F.col("name").isNotNull())
             .join(f, F.col("name") == F.col("_found"), "left_anti").distinct())
 
@@ -105,10 +105,8 @@ def missing_message(missing: DataFrame, what: str = "security group", name_col:
                     chunk_size: int = 1000) -> DataFrame:
     """The missing names as message text, joined with ", ".
 
-    A short list is one row with the names sorted. A list longer than
-    ``chunk_size`` is split by a hash of the name into rows (``chunk`` 0,
-    1, ..., names sorted within each), so a huge miss list never becomes
-    one string built in one task.
+    One row per ``chunk_size`` names in sorted order (``chunk`` 0, 1, ...),
+    so a huge miss list never becomes one string built in one task.
     """
     from fleetlens.operators.aggs import compose_groups
     grouped = compose_groups(missing.select(F.lit(0).alias("_all"), F.col(name_col)), "_all",
@@ -204,38 +202,42 @@ def _network_of(ip_col: str, len_col: str):
     return F.expr(f"shiftleft(shiftright({ip}, 32 - {len_col}), 32 - {len_col})")
 
 
-def rule_prefix_lengths(rules: DataFrame, len_col: str) -> list[int]:
-    """Distinct prefix lengths of a rule table. The domain is 0..32, so the
-    result has at most 33 values whatever the size of ``rules``."""
-    return sorted(int(r[0]) for r in rules.select(len_col).distinct().collect()
-                  if r[0] is not None)
+def _valid_length(col: str):
+    return F.coalesce(F.col(col).between(0, 32), F.lit(False))
+
+
+def invalid_rules(rules: DataFrame, len_col: str) -> DataFrame:
+    """Rules whose prefix length is missing or outside 0..32, for quarantine.
+    They admit nothing."""
+    return rules.filter(~_valid_length(len_col))
 
 
 def match_rules(flows: DataFrame, rules: DataFrame, ip_col: str, port_col: str,
                 net_col: str, len_col: str, lo_col: str, hi_col: str,
-                lengths: Sequence[int] | None = None) -> DataFrame:
+                lengths: Sequence[int] = tuple(range(33))) -> DataFrame:
     """Flows admitted by a rule: source IP inside the rule's CIDR and port
     inside its range.
 
     A CIDR test is a range condition, which Spark can only plan as a
-    nested-loop join. Each flow is instead expanded once per prefix length
-    present in the rules and its network number computed for that length;
-    the match becomes an equi-join on (length, network), then a port
-    filter. Work grows with flows x distinct lengths (at most 33), and the
-    join shuffles (or broadcasts, if small) like any equi-join.
-    A rule network with host bits set is reduced to its network start.
+    nested-loop join. Each distinct address is instead expanded once per
+    prefix length (``lengths``, by default the whole domain 0..32) and its
+    network number computed; the match becomes an equi-join on (length,
+    network). Flows then join their address's rules and keep those whose
+    port range holds. A rule network with host bits set is reduced to its
+    network start; rules outside 0..32 admit nothing (``invalid_rules``).
     """
-    if lengths is None:
-        lengths = rule_prefix_lengths(rules, len_col)
-    if not lengths:
-        lengths = [0]
-    keyed = (flows.withColumn("_len", F.explode(F.array(*[F.lit(int(x)) for x in lengths])))
-             .withColumn("_net", _network_of(ip_col, "_len")))
-    r = (rules.withColumn(net_col, _network_of(net_col, len_col))
+    bad = [x for x in lengths if not 0 <= int(x) <= 32]
+    if bad:
+        raise ValueError(f"prefix lengths {bad} are outside 0..32")
+    keyed = (flows.select(F.col(ip_col).alias("_ip")).filter(F.col("_ip").isNotNull()).distinct()
+             .withColumn("_len", F.explode(F.array(*[F.lit(int(x)) for x in lengths])))
+             .withColumn("_net", _network_of("_ip", "_len")))
+    r = (rules.filter(_valid_length(len_col)).withColumn(net_col, _network_of(net_col, len_col))
          .withColumnRenamed(len_col, "_rlen").withColumnRenamed(net_col, "_rnet"))
-    joined = keyed.join(r, (F.col("_len") == F.col("_rlen")) & (F.col("_net") == F.col("_rnet")))
-    return (joined.filter(F.col(port_col).between(F.col(lo_col), F.col(hi_col)))
-            .drop("_len", "_net")
+    by_address = (keyed.join(r, (F.col("_len") == F.col("_rlen")) & (F.col("_net") == F.col("_rnet")))
+                  .drop("_len", "_net"))
+    return (flows.join(by_address, F.col(ip_col) == F.col("_ip"))
+            .filter(F.col(port_col).between(F.col(lo_col), F.col(hi_col))).drop("_ip")
             .withColumnRenamed("_rlen", len_col).withColumnRenamed("_rnet", net_col))
 
 
@@ -267,22 +269,22 @@ def stack_layers(layers: Mapping[int, DataFrame]) -> DataFrame:
 
 # --- commands -------------------------------------------------------------
 
-# What a command does to a cluster in a given state. Any
-# pair not listed (including a missing cluster) is invalid.
+# What a command does to a cluster in a given state. A state
+# of "*" stands for any state of an existing cluster; any pair not listed
+# (including a missing cluster, whose state is NULL) is invalid.
 #   (command, state, decision, exit_code)
+ANY_STATE = "*"
 COMMAND_DECISIONS = (
     ("start", "running", "nothing-to-do", 0),
     ("start", "stopped", "ok", 0),
     ("stop", "stopped", "nothing-to-do", 0),
     ("stop", "running", "ok", 0),
     ("add-slaves", "running", "ok", 0),
-    ("remove-slaves", "running", "ok", 0),
     ("run-command", "running", "ok", 0),
     ("copy-file", "running", "ok", 0),
-    ("describe", "running", "ok", 0),
-    ("describe", "stopped", "ok", 0),
-    ("destroy", "running", "ok", 0),
-    ("destroy", "stopped", "ok", 0),
+    ("remove-slaves", ANY_STATE, "ok", 0),
+    ("describe", ANY_STATE, "ok", 0),
+    ("destroy", ANY_STATE, "ok", 0),
 )
 INVALID_EXIT = 1
 
@@ -297,13 +299,14 @@ def admit_commands(cmds: DataFrame, command_col: str, state_col: str,
                    decisions: DataFrame | None = None) -> DataFrame:
     """Decide each (command, cluster state) request: ok / nothing-to-do /
     invalid, with the exit code; a pair missing from the decision table is
-    invalid. The built-in decision table is a fixed literal of a dozen rows
+    invalid. A table lists for a command either states or "*". The built-in decision table is a fixed literal of a dozen rows
     and is broadcast; a caller's own table is joined like any other side
     (broadcast by the planner only if its size estimate is small)."""
     spark = cmds.sparkSession
     dec = decisions if decisions is not None else F.broadcast(decision_table(spark))
     dec = dec.withColumnRenamed("command", "_cmd").withColumnRenamed("state", "_state")
-    j = cmds.join(dec, (F.col(command_col) == F.col("_cmd")) & (F.col(state_col) == F.col("_state")), "left")
+    fits = (F.col(state_col) == F.col("_state")) | (F.col(state_col).isNotNull() & (F.col("_state") == F.lit(ANY_STATE)))
+    j = cmds.join(dec, (F.col(command_col) == F.col("_cmd")) & fits, "left")
     return (j.withColumn("decision", F.coalesce(F.col("decision"), F.lit("invalid")))
             .withColumn("exit_code", F.coalesce(F.col("exit_code"), F.lit(INVALID_EXIT)))
             .drop("_cmd", "_state"))
@@ -323,7 +326,13 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: str | Sequence[str]
     keys = _cols(keys)
     b = before.select(*keys, *[F.col(c).alias(f"before_{c}") for c in compare]).withColumn("_b", F.lit(True))
     a = after.select(*keys, *[F.col(c).alias(f"after_{c}") for c in compare]).withColumn("_a", F.lit(True))
-    j = b.join(a, keys, "full_outer")
+    for k in keys:
+        a = a.withColumnRenamed(k, f"_after_{k}")
+    match = F.lit(True)
+    for k in keys:  # a NULL key is a key like any other
+        match = match & F.col(k).eqNullSafe(F.col(f"_after_{k}"))
+    j = b.join(a, match, "full_outer")
+    j = j.withColumns({k: F.coalesce(k, f"_after_{k}") for k in keys}).drop(*[f"_after_{k}" for k in keys])
     same = F.lit(True)
     for c in compare:
         same = same & F.col(f"before_{c}").eqNullSafe(F.col(f"after_{c}"))

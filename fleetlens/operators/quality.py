@@ -104,5 +104,5 @@ def exactly_one(df: DataFrame, id_cols: Sequence[str], cols: Sequence[str]) -> D
 def at_most_one(df: DataFrame, key: str | Sequence[str], pred: Column) -> DataFrame:
     """Groups where more than one row matches ``pred`` (e.g. two masters)."""
     keys = [key] if isinstance(key, str) else list(key)
-    return (df.groupBy(*keys).agg(F.count_if(F.coalesce(pred, F.lit(False))).alias("matches"))
+    return (df.filter(pred).groupBy(*keys).agg(F.count(F.lit(1)).alias("matches"))
             .filter(F.col("matches") > 1))

@@ -1,8 +1,8 @@
 """Run a user function over every row on the executors (M1).
 
 The function sees one row as a dict and returns a dict of output
-values. Rows travel to Python in Arrow batches (``mapInPandas``), one
-batch per partition slice, so the work spreads over all tasks like any
+values. Rows travel to Python in Arrow batches (``mapInArrow``), so integers
+keep all their digits and a missing value is ``None``; one batch at a time, so the work spreads over all tasks like any
 narrow transformation. Per row, an exception is either captured in the
 ``error`` column (default) or fails the job (``fail_fast``) — the two
 behaviours of a run-on-every-host helper. Pair with ``aggs.fold_outcomes``
@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], out_schema: T.StructType | str,
@@ -32,28 +33,22 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], out_schema: T.StructType
         fields.append(T.StructField(error_col, T.StringType(), True))
     schema = T.StructType(fields)
     out_names = [f.name for f in out_schema.fields]
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pdf.to_dict("records")
-            out = {name: [] for name in keep + out_names}
-            errors = []
-            for row in rows:
-                for k in keep:
-                    out[k].append(row[k])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in arrow]
+            for row in batch.to_pylist():
+                err = None
                 try:
                     res = fn(row) or {}
-                    err = None
                 except Exception as e:  # captured per row
                     if fail_fast:
                         raise
                     res, err = {}, f"{type(e).__name__}: {e}"
-                for name in out_names:
-                    out[name].append(res.get(name))
-                errors.append(err)
-            frame = pd.DataFrame(out, columns=keep + out_names)
-            if not fail_fast:
-                frame[error_col] = errors
-            yield frame
-
-    return df.mapInPandas(run, schema)
+                values = [row[k] for k in keep] + [res.get(n) for n in out_names] + [err] * (not fail_fast)
+                for c, v in zip(columns, values):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, schema)

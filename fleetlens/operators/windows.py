@@ -17,6 +17,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleetlens.session import materialize
 
 
 def _cols(keys: str | Sequence[str]) -> list[str]:
@@ -42,30 +45,48 @@ def assign_ordinals(df: DataFrame, key: str | Sequence[str], name_col: str,
                     range_partitions: int | None = None) -> DataFrame:
     """0-based number per member in name order (e.g. ``/media/ephemeral0``).
 
-    The ordinal of a row is the number of rows of its group that sort
-    before it. Rows are range-partitioned on (key, name, tiebreak), so a
+    The ordinal (BIGINT) of a row is the number of rows of its group that
+    sort before it. Rows are range-partitioned on (key, name, tiebreak), so a
     very large group is spread over several contiguous partitions; each
     partition numbers its rows locally and adds the count of the group's
-    rows in earlier partitions (a small per-(key, partition) table).
+    rows in earlier partitions (a small per-(key, partition) table). The
+    partitioning samples its bounds, so it runs once: the rows are written
+    with their partition number to the shared checkpoint folder, and both
+    the numbering and the counts read that. Rows equal in key, name and
+    tie-break are ordered by a hash of the whole row, which also lets the
+    range bounds split a long run of them.
     """
     keys = _cols(key)
     order = [F.col(name_col), *[F.col(c) for c in tiebreak]]
     n = range_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-              .withColumn("_part", F.spark_partition_id()))
+    hashable = [f.name for f in df.schema.fields if _hashable(f.dataType)]
+    order.append(F.col("_row"))
+    ranged = materialize(
+        df.withColumn("_row", F.xxhash64(*hashable))
+        .repartitionByRange(n, *[F.col(k) for k in keys], *order)
+        .withColumn("_part", F.spark_partition_id()), "ordinals")
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
     sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     out = (_join_back(local, offsets, [*keys, "_part"])
-           .withColumn("ordinal", (F.col("_offset") + F.col("_local")).cast("int"))
-           .drop("_part", "_local", "_offset"))
+           .withColumn("ordinal", (F.col("_offset") + F.col("_local")).cast("bigint"))
+           .drop("_part", "_row", "_local", "_offset"))
     if prefix is not None:
         out = out.withColumn("mount_path", F.concat(F.lit(prefix), F.col("ordinal").cast("string")))
     return out
 
 
+def _hashable(t: T.DataType) -> bool:
+    """Whether ``xxhash64`` takes the type (maps and variants it does not)."""
+    if isinstance(t, T.ArrayType):
+        return _hashable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_hashable(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
 def _block(ts_col: str, block: str):
     """Time block of a row: ``date_trunc(block, ts)`` (e.g. 'hour', 'day').
     A NULL time sorts first, as in the window order, so it gets the
@@ -87,48 +108,8 @@ def _join_back(rows: DataFrame, small: DataFrame, cols: Sequence[str], how: str
     return rows.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
-_FINER = {"week": "day", "day": "hour", "hour": "minute", "minute": "second"}
-# A dense-block marker table up to this many rows is broadcast (its size is
-# known from an exact count, not an estimate).
-MAX_BROADCAST_BLOCKS = 1_000_000
-# Default ceiling on rows per (key, time block) before a block is refined.
-MAX_BLOCK_ROWS = 5_000_000
-
-
-def _assign_blocks(df: DataFrame, keys: list[str], ts_col: str, block: str,
-                   max_block_rows: int | None) -> DataFrame:
-    """Time block per row, refined where a (key, block) is dense.
-
-    Starting from ``block``, every (key, block) holding more than
-    ``max_block_rows`` rows is split at the next finer unit (day, hour,
-    minute, second), repeatedly while dense blocks remain. A finer block
-    starts inside its coarse block, so block order stays the time order.
-    Each round counts the dense blocks first; there are at most
-    rows / ``max_block_rows`` of them, and the exact count decides whether
-    their marker table is broadcast.
-    """
-    out = df.withColumn("_blk", _block(ts_col, block))
-    unit = block
-    while max_block_rows and unit in _FINER:
-        dense = (out.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-                 .filter(F.col("_n") > max_block_rows).select(*keys, "_blk")
-                 .withColumn("_dense", F.lit(True)))
-        n_dense = dense.count()
-        if n_dense == 0:
-            break
-        if n_dense <= MAX_BROADCAST_BLOCKS:
-            dense = F.broadcast(dense)
-        finer = _FINER[unit]
-        out = (_join_back(out, dense, [*keys, "_blk"], how="left")
-               .withColumn("_blk", F.when(F.col("_dense"), _block(ts_col, finer)).otherwise(F.col("_blk")))
-               .drop("_dense"))
-        unit = finer
-    return out
-
-
 def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: str,
-                 success_col: str, limit: int, block: str = "hour",
-                 max_block_rows: int | None = MAX_BLOCK_ROWS) -> DataFrame:
+                 success_col: str, limit: int, block: str = "hour") -> DataFrame:
     """Group attempts into chains that end at a success.
 
     The chain id of an attempt is the number of successes before it in its
@@ -143,12 +124,13 @@ def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: s
     small per-key table; (3) successes before each row inside its block, a
     window partitioned by (key, block). Chain id = (2) + (3).
     Only (3) shuffles the rows; (1) is a partial aggregate whose exchange
-    carries one row per (key, block) per map task. With ``max_block_rows``
-    a block denser than that is split at finer time units first.
+    carries one row per (key, block) per map task. For keys that are dense
+    in time pass a finer ``block`` (``minute``, ``second``): the answer is
+    the same, and the blocks hold fewer rows.
     """
     keys = _cols(key)
     ok = F.coalesce(F.col(success_col), F.lit(False)).cast("bigint")
-    base = _assign_blocks(df.withColumn("_ok", ok), keys, ts_col, block, max_block_rows)
+    base = df.withColumn("_ok", ok).withColumn("_blk", _block(ts_col, block))
     per_block = base.groupBy(*keys, "_blk").agg(F.sum("_ok").alias("_succ"))
     before_block = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.withColumn("_offset", F.coalesce(F.sum("_succ").over(before_block), F.lit(0))) \
@@ -172,7 +154,7 @@ def retry_chains(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: s
 
 def time_to_state(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col: str,
                   state_col: str, start_states: Iterable[str], target: str,
-                  block: str = "hour", max_block_rows: int | None = MAX_BLOCK_ROWS) -> DataFrame:
+                  block: str = "hour") -> DataFrame:
     """For each request row (state in ``start_states``), the next time the
     group reaches ``target`` after it, and the wait in seconds.
 
@@ -182,12 +164,12 @@ def time_to_state(df: DataFrame, key: str | Sequence[str], ts_col: str, id_col:
     reverse block order); inside a block, the next target after a row is a
     running minimum over the block's rows in reverse order. The answer is
     the in-block value, else the later-block value. Every frame is a
-    running one, so each block is one linear pass. ``max_block_rows``
-    refines dense blocks as in ``retry_chains``.
+    running one, so each block is one linear pass. ``block`` is chosen as
+    in ``retry_chains``.
     """
     keys = _cols(key)
     hit = F.when(F.col(state_col) == F.lit(target), F.col(ts_col))
-    base = _assign_blocks(df.withColumn("_hit", hit), keys, ts_col, block, max_block_rows)
+    base = df.withColumn("_hit", hit).withColumn("_blk", _block(ts_col, block))
     firsts = base.groupBy(*keys, "_blk").agg(F.min("_hit").alias("_first"))
     later = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     after_block = firsts.withColumn("_later", F.min("_first").over(later)).drop("_first")

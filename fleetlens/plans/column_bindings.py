@@ -204,17 +204,38 @@ SETTINGS_DOC = """concat('{"java-version": ', CAST(8 + user_id % 3 AS STRING),
 
 
 @query("flatten_settings", "X7", sql="""
-SELECT event_id, 'java_version' AS path, CAST(8 + user_id % 3 AS VARCHAR) AS value FROM events
-UNION ALL SELECT event_id, 'ec2.spot_price', CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) FROM events
-UNION ALL SELECT event_id, 'ec2.key_name', concat('key-', CAST(user_id AS VARCHAR)) FROM events
-UNION ALL SELECT event_id, 'tags', '["a-b","c"]' FROM events
-UNION ALL SELECT event_id, 'props.k', json_extract_string(props, '$.k') FROM events
+SELECT event_id, 'java_version' AS path, CAST(8 + user_id % 3 AS VARCHAR) AS value, 'ok' AS status FROM events
+UNION ALL SELECT event_id, 'ec2.spot_price', CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR), 'ok' FROM events
+UNION ALL SELECT event_id, 'ec2.key_name', concat('key-', CAST(user_id AS VARCHAR)), 'ok' FROM events
+UNION ALL SELECT event_id, 'tags', '["a-b","c"]', 'ok' FROM events
+UNION ALL SELECT event_id, 'props.k', json_extract_string(props, '$.k'), 'ok' FROM events
 """)
 def q_flatten_settings(spark, sf_dir):
     e = read_table(spark, sf_dir, "events").select("event_id", d.col(SETTINGS_DOC).alias("doc"))
     return X.flatten_settings(e, "doc", ["event_id"])
 
 
+SECTIONS_DOC = """concat('{"launch": {"num-slaves": ', CAST(user_id % 5 AS STRING), ', "java-version": 11}, ',
+  '"providers": {"ec2": {"key-name": "key-', CAST(user_id AS STRING), '", "region": null}}, ',
+  '"services": {"spark": {"version": "3.', CAST(event_id % 6 AS STRING), '.0"}, "hdfs": ',
+  CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '{"download-source": "s"}' END, '}}')"""
+
+
+@query("command_defaults", "X7", sql="""
+WITH c(command) AS (VALUES ('launch'), ('describe'), ('destroy'), ('login'), ('start'), ('stop'), ('add-slaves'),
+                           ('remove-slaves'), ('run-command'), ('copy-file'))
+SELECT event_id, 'launch' AS command, 'num_slaves' AS option, CAST(user_id % 5 AS VARCHAR) AS value FROM events
+UNION ALL SELECT event_id, 'launch', 'java_version', '11' FROM events
+UNION ALL SELECT event_id, command, 'ec2_key_name', concat('key-', CAST(user_id AS VARCHAR)) FROM events CROSS JOIN c
+UNION ALL SELECT event_id, command, 'ec2_region', NULL FROM events CROSS JOIN c
+UNION ALL SELECT event_id, 'launch', 'spark_version', concat('3.', CAST(event_id % 6 AS VARCHAR), '.0') FROM events
+UNION ALL SELECT event_id, 'launch', 'hdfs_download_source', 's' FROM events WHERE event_id % 3 <> 0
+""")
+def q_command_defaults(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_id", d.col(SECTIONS_DOC).alias("doc"))
+    return X.command_defaults(e, "doc", ["event_id"])
+
+
 # ------------------------------------------------------------------ X8
 EPHEMERAL = ("slice(array('/media/ephemeral0', '/media/ephemeral1/', '/media/ephemeral2'), 1, "
              "CAST(s_suppkey % 4 AS INT))")
@@ -249,7 +270,11 @@ def _kind_case(k: str) -> str:
     return f"CASE {k} % {len(FAILURE_KIND_BY_K)} {whens} END"
 
 
-_FAILURE_VALUES = ", ".join(f"('{k}', '{a}', {c})" for k, a, c in X.FAILURE_KINDS)
+# written out by hand, not taken from the library's table
+_FAILURE_VALUES = """('timeout', 'retry', 1), ('connection-refused', 'retry', 1), ('authentication', 'retry', 1),
+  ('connection-error', 'fatal', 1), ('ssh-protocol', 'fatal', 1), ('cluster-not-found', 'fatal', 1),
+  ('cluster-invalid-state', 'fatal', 1), ('nothing-to-do', 'none', 0), ('usage', 'fatal', 2),
+  ('unsupported-provider', 'fatal', 2)"""
 
 
 @query("classify_failures", "X9", sql=f"""

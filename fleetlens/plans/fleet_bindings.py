@@ -20,10 +20,9 @@ CONSENSUS_SQL = """CASE WHEN count({c}) = 0 THEN NULL
 
 
 def describe_fleet(spark, sf_dir):
-    """Flagship: every customer with orders since 2001 as a cluster, its
-    state by consensus of order status and its node counts, by name."""
-    orders = read_table(spark, sf_dir, "orders").filter(
-        F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    """Flagship: every customer with orders as a cluster, its state by
+    consensus of order status and its node counts, by name."""
+    orders = read_table(spark, sf_dir, "orders")
     live = filters.inventory_filter(orders, any_of={"o_orderstatus": ["F", "O", "P"], "o_custkey": []})
     summary = aggs.describe_groups(live, "o_custkey", "o_orderstatus", "o_orderpriority",
                                    master_roles=["1-URGENT"],
@@ -38,7 +37,7 @@ SELECT o_custkey AS cluster, {CONSENSUS_SQL.format(c='o_orderstatus')} AS state,
        count(*) FILTER (WHERE o_orderpriority IN ('2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW')) AS slaves,
        count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW')) AS nodes
 FROM orders
-WHERE o_orderdate >= TIMESTAMP '2001-01-01' AND o_orderstatus IN ('F','O','P')
+WHERE o_orderstatus IN ('F','O','P')
 GROUP BY o_custkey ORDER BY cluster
 """)(describe_fleet)
 
@@ -96,6 +95,38 @@ def q_choose_address(spark, sf_dir):
             .select("c_custkey", "ip", "host"))
 
 
+@query("cluster_addresses", "F4", sql=f"""
+WITH n AS (SELECT *, {d.CUSTOMER_PRIVATE} AS private, c_mktsegment = 'BUILDING' AS is_master FROM customer),
+d AS (SELECT c_nationkey, arg_min(private, struct_pack(n := NOT is_master, i := c_custkey)) AS private FROM n GROUP BY c_nationkey)
+SELECT c_custkey, c_nationkey,
+       CASE WHEN d.private THEN {d.CUSTOMER_PRIVATE_IP} ELSE {d.CUSTOMER_PUBLIC_IP} END AS ip,
+       CASE WHEN d.private THEN {d.CUSTOMER_PRIVATE_HOST} ELSE {d.CUSTOMER_PUBLIC_HOST} END AS host
+FROM customer JOIN d USING (c_nationkey)
+""")
+def q_cluster_addresses(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", "c_mktsegment", d.col(d.CUSTOMER_PRIVATE).alias("private"),
+        d.col(d.CUSTOMER_PRIVATE_IP).alias("private_ip"), d.col(d.CUSTOMER_PUBLIC_IP).alias("public_ip"),
+        d.col(d.CUSTOMER_PRIVATE_HOST).alias("private_host"),
+        d.col(d.CUSTOMER_PUBLIC_HOST).alias("public_host"))
+    return filters.cluster_addresses(c, "c_nationkey", "c_custkey", "c_mktsegment", "private", "private_ip", "public_ip",
+                                     "private_host", "public_host", master_role="BUILDING") \
+        .select("c_custkey", "c_nationkey", "ip", "host")
+
+
+LIVE_STATE = """CASE o_orderstatus WHEN 'F' THEN 'terminated' WHEN 'O' THEN 'running'
+  ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'shutting-down' ELSE 'pending' END END"""
+
+
+@query("live_instances", "F1", sql=f"""
+WITH i AS (SELECT o_orderkey, {LIVE_STATE} AS state FROM orders)
+SELECT o_orderkey, state FROM i WHERE state IN ('pending', 'running', 'stopping', 'stopped')
+""")
+def q_live_instances(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", d.col(LIVE_STATE).alias("state"))
+    return filters.live_instances(o, "state")
+
+
 MASTER_HOST = "concat('master-', CAST(c_custkey AS STRING), '.internal')"
 
 
@@ -137,12 +168,14 @@ def q_sample_first(spark, sf_dir):
 
 
 @query("compose_groups", "A1", sql="""
-SELECT s_nationkey, 0 AS chunk, list(s_name ORDER BY s_name) AS members, count(*) AS n_members
-FROM supplier GROUP BY s_nationkey
+WITH n AS (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1 AS i,
+                  count(*) OVER (PARTITION BY c_nationkey) AS n_members FROM customer)
+SELECT c_nationkey, CAST(i // 20 AS INTEGER) AS chunk, list(c_name ORDER BY c_name) AS members, any_value(n_members) AS n_members
+FROM n GROUP BY c_nationkey, i // 20
 """)
 def q_compose_groups(spark, sf_dir):
-    s = read_table(spark, sf_dir, "supplier")
-    return aggs.compose_groups(s, "s_nationkey", "s_name")
+    c = read_table(spark, sf_dir, "customer")
+    return aggs.compose_groups(c, "c_nationkey", "c_name", chunk_size=20)
 
 
 @query("group_consensus", "A2", sql=f"""
@@ -151,12 +184,11 @@ SELECT c.c_custkey AS o_custkey,
        coalesce(o.n_rows, 0) AS n_rows
 FROM customer c LEFT JOIN (
   SELECT o_custkey, {CONSENSUS_SQL.format(c='o_orderstatus')} AS state, count(*) AS n_rows
-  FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY o_custkey) o
+  FROM orders GROUP BY o_custkey) o
 ON c.c_custkey = o.o_custkey
 """)
 def q_group_consensus(spark, sf_dir):
-    orders = read_table(spark, sf_dir, "orders").filter(
-        F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    orders = read_table(spark, sf_dir, "orders")
     clusters = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return aggs.group_consensus(orders, "o_custkey", "o_orderstatus", clusters=clusters)
 
@@ -181,6 +213,15 @@ def q_distinct_names(spark, sf_dir):
     return aggs.distinct_names(p, "host")
 
 
+NAME_TAG = "CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END"
+
+
+@query("unnamed_rows", "A7", sql=f"SELECT p_partkey, 'missing name' AS problem FROM part WHERE ({NAME_TAG}) IS NULL")
+def q_unnamed_rows(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part").select("p_partkey", d.col(NAME_TAG).alias("name"))
+    return aggs.unnamed_rows(p, "name", ["p_partkey"])
+
+
 WORKER_CORES = "(4 * (1 + s_suppkey % 4))"
 EXECUTORS = "(1 + s_suppkey % 3)"
 

@@ -105,7 +105,5 @@ SELECT doc_id,
 FROM documents
 """)
 def q_map_rows(spark, sf_dir):
-    # Documents are whole texts of up to ~20,000 words; keep Arrow batches small.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return rowmap.map_rows(docs, document_stats, "n_bytes long, n_lines long", keep=["doc_id"])

@@ -41,7 +41,7 @@ WITH c AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey)
 SELECT n_name AS cluster, concat('{{"java_version":', CAST({JAVA} AS VARCHAR),
   ',"services":[["HDFS",{{"executor_instances":null,"version":"3.', CAST(n_regionkey AS VARCHAR), '.0"}}],',
   '["Spark",{{"executor_instances":', CAST(coalesce(c.n, 0) AS VARCHAR), ',"version":"3.',
-  CAST(n_nationkey % 6 AS VARCHAR), '.0"}}]]}}') AS manifest
+  CAST(n_nationkey % 6 AS VARCHAR), '.0"}}]]}}') AS manifest, false AS conflict
 FROM nation LEFT JOIN c ON n_nationkey = c.s_nationkey
 """)
 def q_write_manifests(spark, sf_dir):
@@ -77,6 +77,20 @@ def q_read_key_value_lines(spark, sf_dir):
                                      lower_values=True)
 
 
+DEVICE_LINE = ("concat('NAME=\"sda', CAST(p_partkey AS STRING), '\" MAJ:MIN=\"8:1\" SIZE=\"', CAST(p_size AS STRING), '\"', "
+               "CASE WHEN p_size % 2 = 0 THEN concat(' MOUNTPOINT=\"/', p_brand, '\"') ELSE '' END)")
+
+
+@query("read_device_lines", "S3", sql="""
+SELECT p_partkey, concat('sda', CAST(p_partkey AS VARCHAR)) AS name, CAST(p_size AS VARCHAR) AS size,
+       CASE WHEN p_size % 2 = 0 THEN lower(concat('/', p_brand)) END AS mountpoint, '8:1' AS "maj:min"
+FROM part
+""")
+def q_read_device_lines(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part").select("p_partkey", d.col(DEVICE_LINE).alias("line"))
+    return text.read_device_lines(p, "line", ["name", "size", "mountpoint", "maj:min"], ["p_partkey"])
+
+
 # ------------------------------------------------------------------ S4
 FIELD_LINE = "CASE WHEN p_size > 45 THEN concat(p_name, ' ', p_brand) ELSE p_name END"
 

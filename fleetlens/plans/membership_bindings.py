@@ -6,34 +6,45 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators import joins, windows
+from fleetlens.plans import derived as d
 from fleetlens.plans.registry import query
 from fleetlens.sources.tables import read_table
 
 
-def orders_in_year(spark, sf_dir, year: int):
-    """Orders of one calendar year, as a range predicate the scan can push."""
-    lo = F.lit(f"{year}-01-01").cast("timestamp_ntz")
-    hi = F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
-    o = read_table(spark, sf_dir, "orders")
-    return o.filter((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi))
+# Two snapshots of the whole order book: before and after a date.
+SPLIT = "1998-01-01"
 
 
-YEAR_SQL = "o_orderdate >= TIMESTAMP '{y}-01-01' AND o_orderdate < TIMESTAMP '{y1}-01-01'"
+def snapshot(spark, sf_dir, after: bool):
+    o = read_table(spark, sf_dir, "orders")
+    date = F.lit(SPLIT).cast("timestamp_ntz")
+    return o.filter(F.col("o_orderdate") >= date if after else F.col("o_orderdate") < date)
 
 
-def year_sql(y: int) -> str:
-    return YEAR_SQL.format(y=y, y1=y + 1)
+BEFORE, AFTER = f"o_orderdate < TIMESTAMP '{SPLIT}'", f"o_orderdate >= TIMESTAMP '{SPLIT}'"
+REQUESTED = "concat('Customer#', lpad(CAST(user_id * 13 AS STRING), 9, '0'))"
 
 
 @query("missing_names", "J1", sql=f"""
-SELECT DISTINCT c_name AS name FROM customer c
-WHERE NOT EXISTS (SELECT 1 FROM orders o JOIN customer c2 ON o.o_custkey = c2.c_custkey
-                  WHERE {year_sql(1997)} AND c2.c_name = c.c_name)
+SELECT DISTINCT {REQUESTED.replace("STRING", "VARCHAR")} AS name FROM events
+EXCEPT SELECT c_name FROM customer
 """)
 def q_missing_names(spark, sf_dir):
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    found = orders_in_year(spark, sf_dir, 1997).join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    return joins.missing_names(cust, found, "c_name")
+    requested = read_table(spark, sf_dir, "events").select(d.col(REQUESTED).alias("c_name"))
+    return joins.missing_names(requested, read_table(spark, sf_dir, "customer"), "c_name")
+
+
+@query("missing_message", "J1", sql=f"""
+WITH m AS (SELECT DISTINCT {REQUESTED.replace("STRING", "VARCHAR")} AS name FROM events
+           EXCEPT SELECT c_name FROM customer),
+n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS missing FROM m)
+SELECT CAST(i // 10 AS INTEGER) AS chunk, any_value(missing) AS missing,
+       concat('Could not find the following security group', CASE WHEN any_value(missing) = 1 THEN '' ELSE 's' END, ': ',
+              string_agg(name, ', ' ORDER BY name)) AS message
+FROM n GROUP BY i // 10
+""")
+def q_missing_message(spark, sf_dir):
+    return joins.missing_message(q_missing_names(spark, sf_dir), chunk_size=10)
 
 
 @query("in_use", "J2", sql="""
@@ -48,39 +59,36 @@ def q_in_use(spark, sf_dir):
 
 @query("insert_if_absent", "J3", sql=f"""
 SELECT c_custkey, c_name,
-       CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE {year_sql(1998)})
+       CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE {BEFORE})
             THEN 'rejected' ELSE 'accepted' END AS status
-FROM customer WHERE c_mktsegment = 'BUILDING'
+FROM customer
 """)
 def q_insert_if_absent(spark, sf_dir):
-    new = read_table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING") \
-        .select("c_custkey", "c_name")
-    existing = orders_in_year(spark, sf_dir, 1998).select(F.col("o_custkey").alias("c_custkey"))
+    new = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    existing = snapshot(spark, sf_dir, after=False).select(F.col("o_custkey").alias("c_custkey"))
     return joins.insert_if_absent(new, existing, "c_custkey")
 
 
 @query("snapshot_diff", "J8", sql=f"""
-WITH b AS (SELECT o_custkey, max(o_orderstatus) AS status FROM orders WHERE {year_sql(1997)} GROUP BY o_custkey),
-     a AS (SELECT o_custkey, max(o_orderstatus) AS status FROM orders WHERE {year_sql(1998)} GROUP BY o_custkey)
+WITH b AS (SELECT o_custkey, max(o_orderstatus) AS status FROM orders WHERE {BEFORE} GROUP BY o_custkey),
+     a AS (SELECT o_custkey, max(o_orderstatus) AS status FROM orders WHERE {AFTER} GROUP BY o_custkey)
 SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, b.status AS before_status, a.status AS after_status,
        CASE WHEN b.o_custkey IS NULL THEN 'added' WHEN a.o_custkey IS NULL THEN 'removed'
             WHEN b.status IS NOT DISTINCT FROM a.status THEN 'kept' ELSE 'changed' END AS change
 FROM b FULL OUTER JOIN a ON b.o_custkey = a.o_custkey
 """)
 def q_snapshot_diff(spark, sf_dir):
-    def snap(y):
-        return orders_in_year(spark, sf_dir, y).groupBy("o_custkey").agg(F.max("o_orderstatus").alias("status"))
-    return joins.snapshot_diff(snap(1997), snap(1998), "o_custkey", ["status"])
+    def snap(after):
+        return snapshot(spark, sf_dir, after).groupBy("o_custkey").agg(F.max("o_orderstatus").alias("status"))
+    return joins.snapshot_diff(snap(False), snap(True), "o_custkey", ["status"])
 
 
 @query("new_members", "U1", sql=f"""
-SELECT o_custkey FROM orders WHERE {year_sql(1998)}
-EXCEPT SELECT o_custkey FROM orders WHERE {year_sql(1997)}
+SELECT o_custkey FROM orders WHERE {AFTER} EXCEPT SELECT o_custkey FROM orders WHERE {BEFORE}
 """)
 def q_new_members(spark, sf_dir):
-    now = orders_in_year(spark, sf_dir, 1998).select("o_custkey")
-    before = orders_in_year(spark, sf_dir, 1997).select("o_custkey")
-    return joins.new_members(now, before)
+    return joins.new_members(snapshot(spark, sf_dir, True).select("o_custkey"),
+                             snapshot(spark, sf_dir, False).select("o_custkey"))
 
 
 @query("combine_rules", "U2", sql="""
@@ -122,12 +130,12 @@ def q_pick_victims(spark, sf_dir):
 
 
 @query("assign_ordinals", "W2", sql="""
-SELECT s_nationkey, s_suppkey,
-       CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) - 1 AS INTEGER) AS ordinal,
+SELECT s_nationkey, s_suppkey, s_acctbal,
+       row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) - 1 AS ordinal,
        concat('/media/ephemeral', CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) - 1 AS VARCHAR)) AS mount_path
 FROM supplier
 """)
 def q_assign_ordinals(spark, sf_dir):
-    s = read_table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    s = read_table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
     return windows.assign_ordinals(s, "s_nationkey", "s_name", prefix="/media/ephemeral",
                                    tiebreak=["s_suppkey"]).drop("s_name")

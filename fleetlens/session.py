@@ -12,16 +12,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
-
-# Settings the operators rely on for correct results, applied to any session.
-RESULT_CONF = {
-    # Durations and windows are computed on wall-clock UTC.
-    "spark.sql.session.timeZone": "UTC",
-}
+from pyspark.sql import DataFrame, SparkSession
 
 # Execution settings for sessions this module creates (tests, bench).
 LOCAL_CONF = {
+    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -51,8 +46,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
             builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         spark = builder.getOrCreate()
         spark.sparkContext.setLogLevel("ERROR")
-    for k, v in RESULT_CONF.items():
-        spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -88,6 +81,15 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return os.path.join(base, "fleetlens", kind, uuid.uuid4().hex)
 
 
+def materialize(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back: the
+    rows are computed once, however often they are used, and survive the loss
+    of any executor."""
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scale_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 8,
                target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
     """Settings to submit with a job over ``input_bytes`` of Parquet.

@@ -57,26 +57,30 @@ def write_manifests(df: DataFrame, cluster_col: str, service_col: str,
     """Service rows to one canonical JSON manifest per cluster.
 
     Settings become a JSON object with sorted keys (NULL kept as ``null``);
-    services are sorted by name. With ``path`` the documents are also
+    services are sorted by name, a missing Java version is ``null``. Rows
+    that disagree are all kept as entries of the list, the greatest Java
+    version is taken, and ``conflict`` is true. With ``path`` the documents are also
     written as text files, one line per cluster.
     """
     settings = F.to_json(F.struct(*[F.col(c) for c in sorted(setting_cols)]),
                          {"ignoreNullFields": "false"})
     pair = F.concat(F.lit("["), _json_string(F.col(service_col)), F.lit(","), settings, F.lit("]"))
-    # One entry per (cluster, service) first (repeated rows fold into the
-    # greatest settings text), so a cluster's list is bounded by the number
-    # of distinct services, whatever the input repeats.
-    per_service = (df.groupBy(cluster_col, F.col(service_col).alias("_s"))
-                   .agg(F.max(java_col).alias("_java"), F.max(pair).alias("_p")))
-    per_cluster = (per_service.groupBy(cluster_col)
-                   .agg(F.max("_java").alias("_java"),
+    # One entry per (cluster, service, settings) first, so a cluster's list is
+    # bounded by its different entries, whatever the input repeats.
+    entries = (df.groupBy(cluster_col, F.col(service_col).alias("_s"), pair.alias("_p"))
+               .agg(F.max(java_col).alias("_java"), F.min(java_col).alias("_java_min")))
+    per_cluster = (entries.groupBy(cluster_col)
+                   .agg(F.max("_java").alias("_java"), F.min("_java_min").alias("_java_min"),
                         F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"),
                                                              F.col("_p").alias("p")))).alias("_pairs")))
-    doc = F.concat(F.lit('{"' + JAVA_KEY + '":'), F.col("_java").cast("string"),
+    names = F.transform("_pairs", lambda x: x["s"])
+    conflict = (F.coalesce(F.col("_java") != F.col("_java_min"), F.lit(False))
+                | (F.size(F.array_distinct(names)) < F.size(names)))
+    doc = F.concat(F.lit('{"' + JAVA_KEY + '":'), F.coalesce(F.col("_java").cast("string"), F.lit("null")),
                    F.lit(',"' + SERVICES_KEY + '":['),
                    F.array_join(F.transform("_pairs", lambda x: x["p"]), ","),
                    F.lit("]}"))
-    out = per_cluster.select(F.col(cluster_col).alias("cluster"), doc.alias("manifest"))
+    out = per_cluster.select(F.col(cluster_col).alias("cluster"), doc.alias("manifest"), conflict.alias("conflict"))
     if path is not None:
         out.select(F.concat_ws("\t", "cluster", "manifest").alias("value")).write.mode("overwrite").text(path)
     return out

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.aggs import compose_groups, consensus_expr
-from fleetlens.operators.joins import HOT_ROWS, salted_join
+from fleetlens.session import materialize
 
 
 def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: str,
@@ -35,16 +35,14 @@ def fleet_report(nodes: DataFrame, cluster_col: str, state_col: str, role_col: s
     summary = nodes.groupBy(cluster_col).agg(
         consensus_expr(state_col).alias("state"),
         F.count(F.lit(1)).alias("node_count"),
-        F.count_if(is_slave).alias("n_members"),
         F.min(F.when(is_master, F.col(host_col))).alias("master"))
-    # Slave lists only for running clusters (a salted semi join against the
-    # per-cluster summary); their sizes come from the summary.
-    running_sizes = summary.filter(F.col("state") == F.lit("running")).select(cluster_col, "n_members")
-    hot = running_sizes.filter(F.col("n_members") > HOT_ROWS).select(cluster_col)
-    running_slaves = salted_join(nodes.filter(is_slave), running_sizes.select(cluster_col), [cluster_col],
-                                 "left_semi", salt_by=[host_col], null_safe=True, hot=hot)
-    slaves = compose_groups(running_slaves, cluster_col, host_col, chunk_size=chunk_size,
-                            sizes=running_sizes).select(cluster_col, "chunk", "members")
+    # One row per cluster, written once: the headers and the slave filter both read it.
+    summary = materialize(summary, "fleet-summary")
+    # Slave lists only for running clusters; between two plain scans AQE can split a hot cluster.
+    names = summary.filter(F.col("state") == F.lit("running")).select(F.col(cluster_col).alias("_running"))
+    running_slaves = nodes.filter(is_slave).join(names, F.col(cluster_col).eqNullSafe(F.col("_running")), "left_semi")
+    slaves = compose_groups(running_slaves, cluster_col, host_col, chunk_size=chunk_size) \
+        .select(cluster_col, "chunk", "members")
     running = F.col("state") == F.lit("running")
     header = F.concat(
         F.col(cluster_col).cast("string"), F.lit(":\n  state: "), F.coalesce(F.col("state"), F.lit("None")),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -13,43 +11,9 @@ TABLES = (
 )
 
 
-SPREAD_CONF = "fleetlens.spreadSmallScans"
-# Below this size a single-split table is cheaper to process in one task
-# than to shuffle first.
-SPREAD_MIN_BYTES = 1024 ** 2
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    """Lazy scan of ``<sf_dir>/<name>.parquet``; projections and filters
-    applied later are pushed into the scan by Catalyst.
-
-    A scan yields one task per file split (row group). A small table
-    stored as a single row group would run every later per-row step in
-    one task, so when the scan has fewer splits than the cluster has
-    cores (and the file is at least ``SPREAD_MIN_BYTES``), its rows are
-    spread round-robin over ``defaultParallelism`` partitions. Catalyst
-    still pushes filters and column pruning below that exchange. Large
-    tables have many splits and are left alone.
-    The session setting ``fleetlens.spreadSmallScans=false`` turns this off.
-    """
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy scan of ``<sf_dir>/<name>.parquet`` (any path Spark can read);
+    projections and filters applied later are pushed into the scan."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    if spread is None:
-        spread = spark.conf.get(SPREAD_CONF, "true").lower() == "true"
-    if spread and _local_size(path) >= SPREAD_MIN_BYTES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
-
-
-def _local_size(path: str) -> int:
-    """Size of a local file or folder; remote paths report 0 (their tables
-    are large and already split)."""
-    if not os.path.exists(path):
-        return 0
-    if os.path.isfile(path):
-        return os.path.getsize(path)
-    return sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(path) for f in fs)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -20,7 +20,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-PAIR_RE = r'([A-Za-z0-9_]+)="([^"]*)"'
+PAIR_RE = r'([^\s="]+)="([^"]*)"'
+
+
+def read_device_lines(df: DataFrame, col: str, names: Sequence[str], id_cols: Sequence[str] = (),
+                      lower_values: bool = True) -> DataFrame:
+    """``KEY="value"`` lines as one row per line with the columns ``names``.
+
+    Keys are matched in lower case; a key that a line does not carry is
+    NULL, a repeated key keeps its last value, and other keys are ignored.
+    """
+    line = F.col(col)
+    keys = F.transform(F.regexp_extract_all(line, F.lit(PAIR_RE), 1), F.lower)
+    values = F.regexp_extract_all(line, F.lit(PAIR_RE), 2)
+    out = df.select(*id_cols, keys.alias("_k"), values.alias("_v"))
+
+    def value(name: str):
+        # the last place of the key: its first place from the end
+        place = F.size("_k") - F.array_position(F.reverse("_k"), name.lower()) + 1
+        v = F.when(F.array_contains("_k", name.lower()), F.get("_v", (place - 1).cast("int")))
+        return F.lower(v) if lower_values else v
+
+    return out.select(*id_cols, *[value(n).alias(n) for n in names])
 
 
 def read_key_value_lines(df: DataFrame, col: str, id_cols: Sequence[str],
@@ -54,26 +75,31 @@ def read_fields(df: DataFrame, col: str, names: Sequence[str]) -> DataFrame:
 # asctime as "YYYY-MM-DD HH:MM:SS,mmm"; host messages start with "[host] ".
 LOG_RE = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - ([^ ]+?) *"
           r" - ([A-Z]+) * - (?:\[([^\]]*)\] )?(.*)$")
-LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
+LOG_PARTS = "$1\u0001$2\u0001$3\u0001$4\u0001$5"
 
 
 def read_operation_log(df: DataFrame, col: str) -> DataFrame:
-    """Operation log lines to (ts, logger, level, host, message)."""
-    line = F.col(col)
-    ok = line.rlike(LOG_RE)
+    """Operation log lines to (status, ts, logger, level, host, message).
+
+    One pattern pass cuts a line into its parts. A line of another layout,
+    or whose time is not a time, is ``invalid`` with NULL parts.
+    """
+    parts = F.split(F.regexp_replace(F.col(col), LOG_RE, LOG_PARTS), "\u0001", 5)
+    cut = df.withColumn("_parts", F.when(F.size(parts) == 5, parts))
+    ts = F.replace(F.get("_parts", 0), F.lit(","), F.lit(".")).try_cast("timestamp_ntz")
+    cut = cut.withColumn("ts", ts)
+    ok = F.col("ts").isNotNull()
 
-    def grp(i):
-        return F.when(ok, F.regexp_extract(line, LOG_RE, i))
+    def part(i):
+        return F.when(ok, F.get("_parts", i))
 
-    host = grp(4)
-    return df.withColumns({
+    return cut.withColumns({
         "status": F.when(ok, F.lit("ok")).otherwise(F.lit("invalid")),
-        "ts": F.when(ok, F.to_timestamp_ntz(grp(1), F.lit(LOG_TIME_FORMAT))),
-        "logger": grp(2),
-        "level": grp(3),
-        "host": F.when(host != "", host),
-        "message": grp(5),
-    })
+        "logger": part(1),
+        "level": part(2),
+        "host": F.when(part(3) != "", part(3)),
+        "message": part(4),
+    }).drop("_parts")
 
 
 def normalize_object_paths(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -10,8 +10,9 @@ passes, and append to a file sink. State tracking (T1) keeps one state
 row per member (or per cluster), bounded by the fleet size rather than
 by time, and writes its updates per micro-batch through an idempotent
 ``foreachBatch`` sink (or appends, for the processors). Every query
-checkpoints in the shared checkpoint folder, so a restarted query (or a
-lost executor) resumes exactly once.
+checkpoints in a folder of the caller's, or a fresh one in the shared
+checkpoint folder: a query that is started again on the caller's folders
+resumes exactly once (a fresh folder starts from the beginning).
 """
 
 from __future__ import annotations
@@ -53,58 +54,103 @@ def instant_to_ntz(col: str):
     return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(col)), _epoch())
 
 
-def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
-                 schema: T.StructType = EVENT_SCHEMA, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming scan of Parquet event files in ``folder``, with ``event_time``
-    (TIMESTAMP instant of ``ts`` read as UTC) for watermarks and windows."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+def _as_glob(path: str) -> str:
+    """``path`` as a pattern that matches just it: a streaming source takes a
+    single file only through a pattern, and a table folder either way."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
+def event_stream(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming scan of a Parquet event table (a file or a folder of part
+    files), with ``event_time`` (TIMESTAMP instant of ``ts`` read as UTC) for
+    watermarks and windows."""
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder).withColumn("event_time", ntz_to_instant("ts"))
+    return reader.parquet(_as_glob(path)).withColumn("event_time", ntz_to_instant("ts"))
+
+
+# The type of the row that ends an input: it carries no host.
+HEARTBEAT = "heartbeat"
+
+
+def write_arrivals(events: DataFrame, path: str, batches: int = 4, heartbeat: str | None = None) -> str:
+    """Land an event table in ``path`` as it would arrive: ``batches`` appends
+    of equal spans of time, oldest first.
+
+    With ``heartbeat`` (a delay, e.g. ``2 days``) a last file brings one row
+    of type ``heartbeat`` that much after the newest event. It moves the
+    watermark past every open window and session, so an append-mode stream
+    emits all of them. A source that is never quiet needs no such row.
+    """
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        events.write.mode("append").parquet(path)
+        return path
+    step = (last - first) / batches
+    for i in range(batches):
+        part = events.filter(F.col("ts") >= F.lit(first + i * step).cast("timestamp_ntz")) if i else events
+        if i + 1 < batches:
+            part = part.filter(F.col("ts") < F.lit(first + (i + 1) * step).cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(path)
+    if heartbeat:
+        end = events.sparkSession.range(1).select(*[
+            (F.lit(last).cast("timestamp_ntz") + F.expr(f"INTERVAL {heartbeat}")).alias(f.name) if f.name == "ts"
+            else F.lit(HEARTBEAT if f.name == "event_type" else None).cast(f.dataType).alias(f.name)
+            for f in events.schema.fields])
+        end.write.mode("append").parquet(path)
+    return path
+
+
+def _await(query, name: str, timeout_s: float | None) -> None:
+    query.awaitTermination(timeout_s)
+    if query.isActive:
+        query.stop()
+        raise TimeoutError(f"stream {name} did not finish")
+    if query.exception() is not None:
+        raise query.exception()
 
 
-def run_available(sdf: DataFrame, name: str, output_mode: str = "append",
-                  timeout_s: float | None = None) -> DataFrame:
-    """Run a streaming plan over all available input, once, into a Parquet
-    sink under the shared checkpoint folder; return the sink as a batch
-    DataFrame. ``trigger(availableNow=True)`` processes the backlog in
-    micro-batches and stops; the checkpoint makes reruns exactly-once."""
+def _places(spark: SparkSession, name: str, out: str | None, checkpoint: str | None) -> tuple[str, str]:
+    """Sink and checkpoint folders: the caller's, or fresh ones in the shared checkpoint folder."""
+    if (out is None) != (checkpoint is None):
+        raise ValueError("give both a sink and a checkpoint folder, or neither")
+    base = scratch_path(spark, os.path.join("streams", name)) if out is None else ""
+    return out or os.path.join(base, "out"), checkpoint or os.path.join(base, "checkpoint")
+
+
+def run_available(sdf: DataFrame, name: str, output_mode: str = "append", timeout_s: float | None = None,
+                  out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a streaming plan over all available input into a Parquet sink;
+    return the sink as a batch DataFrame. ``trigger(availableNow=True)``
+    processes the backlog in micro-batches and stops. A later run with the
+    same ``out`` and ``checkpoint`` folders goes on where the last one ended
+    and adds only what new input gives; without them a run starts afresh."""
     spark = sdf.sparkSession
-    base = scratch_path(spark, os.path.join("streams", name))
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    q = (sdf.writeStream.format("parquet").outputMode(output_mode)
-         .option("path", out).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    out, checkpoint = _places(spark, name, out, checkpoint)
+    _await(sdf.writeStream.format("parquet").outputMode(output_mode)
+           .option("path", out).option("checkpointLocation", checkpoint)
+           .trigger(availableNow=True).start(), name, timeout_s)
     return spark.read.schema(sdf.schema).parquet(out)
 
 
-def run_available_updates(sdf: DataFrame, name: str, timeout_s: float | None = None) -> DataFrame:
+def run_available_updates(sdf: DataFrame, name: str, timeout_s: float | None = None,
+                          out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run an update-mode streaming plan over all available input. Each
     micro-batch's updated rows are written to ``batch_id=<n>`` under the
     sink folder; rewriting a batch after a retry overwrites the same
     folder, so the sink is idempotent. Returns every update with its
-    ``batch_id``."""
+    ``batch_id``. ``out`` and ``checkpoint`` as in ``run_available``."""
     spark = sdf.sparkSession
-    base = scratch_path(spark, os.path.join("streams", name))
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    out, checkpoint = _places(spark, name, out, checkpoint)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
 
-    q = (sdf.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    _await(sdf.writeStream.outputMode("update").foreachBatch(write_batch)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), name, timeout_s)
     schema = T.StructType(sdf.schema.fields + [T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(out)
 
@@ -143,9 +189,12 @@ def attempt_sessions(events: DataFrame, key: str, ok_col: str, gap: str,
 
 
 # ------------------------------------------------------------------ T4
-def stream_dedupe(events: DataFrame, keys: Iterable[str], watermark: str = "1 hour") -> DataFrame:
-    """Drop repeated events (same ``keys``) while their first copy is within
-    the watermark delay; state for a key expires with the watermark."""
+def stream_dedupe(events: DataFrame, keys: Iterable[str], watermark: str | None = None) -> DataFrame:
+    """Drop repeated events (same ``keys``): a rule that exists is ignored,
+    however long ago it came. State is one row per key. With ``watermark``
+    a key is forgotten after that delay, and may come again."""
+    if watermark is None:
+        return events.dropDuplicates(list(keys))
     return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -166,10 +215,14 @@ STATE_CHANGE_SCHEMA = T.StructType([
 ])
 
 
+COMBINE_ROWS = 100_000
+
+
 def _newest_per_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Map-side combine for the state processors: within one partition of a
-    micro-batch keep only each member's newest row. Memory is one row per
-    member seen in the partition."""
+    micro-batch keep only each member's newest row, passing them on when
+    ``COMBINE_ROWS`` members are held."""
+    names = ["member", "cluster", "ts", "event_id", "state"]
     best: dict = {}
     for pdf in batches:
         if pdf.empty:
@@ -179,8 +232,11 @@ def _newest_per_member(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             cur = best.get(row.member)
             if cur is None or (row.ts, row.event_id) > (cur.ts, cur.event_id):
                 best[row.member] = row
+        if len(best) >= COMBINE_ROWS:
+            yield pd.DataFrame(list(best.values()), columns=names)
+            best = {}
     if best:
-        yield pd.DataFrame(list(best.values()), columns=["member", "cluster", "ts", "event_id", "state"])
+        yield pd.DataFrame(list(best.values()), columns=names)
 
 
 def _combined(rows: DataFrame) -> DataFrame:
@@ -255,6 +311,7 @@ def track_state_processor(events: DataFrame, member_col: str, cluster_col: str,
 
 CLUSTER_STATUS_SCHEMA = T.StructType([
     T.StructField("cluster", T.LongType()),
+    T.StructField("bucket", T.IntegerType()),
     T.StructField("version", T.LongType()),
     T.StructField("members", T.LongType()),
     T.StructField("laggards", T.LongType()),
@@ -263,10 +320,9 @@ CLUSTER_STATUS_SCHEMA = T.StructType([
 
 
 class ClusterProgress(StatefulProcessor):
-    """Per cluster: each member's newest (ts, id, state) in a map state
-    (RocksDB-backed, so a large cluster's members spill to disk) plus
-    running member and laggard counts, updated incrementally. Emits the
-    cluster's status, with an increasing ``version``, in every micro-batch
+    """Per bucket of a cluster's members: each member's newest (ts, id, state) in a map state
+    (RocksDB-backed, so many members spill to disk) plus running member
+    and laggard counts, updated incrementally. Emits the bucket's status, with an increasing ``version``, in every micro-batch
     that changes it; ``all_reached`` is true once every member's newest
     state is the target."""
 
@@ -284,14 +340,12 @@ class ClusterProgress(StatefulProcessor):
                                     T.StructField("laggards", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [pdf for pdf in rows if not pdf.empty]
-        if not frames:
-            return
-        batch = pd.concat(frames).sort_values(["member", "ts", "event_id"])
-        newest = batch.groupby("member", sort=False).tail(1)
         version, n, lag = self.counts.get() or (0, 0, 0)
         changed = False
-        for row in newest.itertuples(index=False):
+        newest = (row for pdf in rows if not pdf.empty
+                  for row in pdf.sort_values(["member", "ts", "event_id"]).groupby("member", sort=False).tail(1)
+                  .itertuples(index=False))
+        for row in newest:  # one Arrow batch at a time
             mkey = (int(row.member),)
             cand = (pd.Timestamp(row.ts), int(row.event_id))
             prev = self.members.getValue(mkey)  # None when absent: one round trip
@@ -308,7 +362,7 @@ class ClusterProgress(StatefulProcessor):
             return
         version += 1
         self.counts.update((version, n, lag))
-        yield pd.DataFrame({"cluster": [int(key[0])], "version": [version], "members": [n],
+        yield pd.DataFrame({"cluster": [int(key[0])], "bucket": [int(key[1])], "version": [version], "members": [n],
                             "laggards": [lag], "all_reached": [lag == 0]})
 
     def close(self) -> None:
@@ -316,10 +370,11 @@ class ClusterProgress(StatefulProcessor):
 
 
 def track_cluster(events: DataFrame, member_col: str, cluster_col: str, state_col: str,
-                  target: str, ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Stream of cluster status changes (members, laggards, all_reached),
-    emitted by a stateful processor keyed by cluster. The newest status of
-    a cluster is its row with the highest ``version``."""
+                  target: str, ts_col: str = "ts", id_col: str = "event_id", buckets: int = 16) -> DataFrame:
+    """Stream of status changes (members, laggards, all_reached) per bucket
+    of a cluster's members, emitted by a stateful processor keyed by
+    (cluster, bucket): a cluster's members, state and per-batch work are
+    spread over ``buckets`` tasks. ``newest_status`` sums the buckets."""
     spark = events.sparkSession
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != provider:
@@ -329,16 +384,19 @@ def track_cluster(events: DataFrame, member_col: str, cluster_col: str, state_co
                          F.col(state_col).alias("state"))
     # Map-side combine first: a hot cluster ships at most one row per member
     # per partition and micro-batch, not every event.
-    return _combined(rows).groupBy("cluster").transformWithStateInPandas(
+    spread = _combined(rows).withColumn("bucket", F.pmod(F.xxhash64("member"), F.lit(buckets)).cast("int"))
+    return spread.groupBy("cluster", "bucket").transformWithStateInPandas(
         statefulProcessor=ClusterProgress(target), outputStructType=CLUSTER_STATUS_SCHEMA,
         outputMode="Append", timeMode="None")
 
 
 def newest_status(statuses: DataFrame) -> DataFrame:
-    """Newest row per cluster of a ``track_cluster`` output (``max_by`` version)."""
-    latest = statuses.groupBy("cluster").agg(
-        F.max_by(F.struct("members", "laggards", "all_reached"), F.col("version")).alias("s"))
-    return latest.select("cluster", "s.members", "s.laggards", "s.all_reached")
+    """Status per cluster from a ``track_cluster`` output: each bucket's newest
+    row (``max_by`` version), summed."""
+    latest = statuses.groupBy("cluster", "bucket").agg(
+        F.max_by(F.struct("members", "laggards"), F.col("version")).alias("s"))
+    return (latest.groupBy("cluster").agg(F.sum("s.members").alias("members"), F.sum("s.laggards").alias("laggards"))
+            .withColumn("all_reached", F.col("laggards") == 0))
 
 
 def cluster_status(changes: DataFrame, target: str) -> DataFrame:

@@ -126,3 +126,49 @@ def test_attempt_sessions_across_batches_equal_batch(spark, split_events):
             n += 1
             fails += et == "error"
     assert {(r.user_id, r.session_start, r.session_end, r.attempts, r.failures) for r in got.collect()} == want
+
+
+def test_event_table_as_a_folder_or_a_file(spark, tmp_path):
+    """A table of many part files streams the same rows as one file."""
+    ev = spark.read.parquet(os.path.join(SMALL_SF, "events.parquet"))
+    folder = str(tmp_path / "events.parquet")
+    ev.repartition(5).write.parquet(folder)
+    want = sorted(map(tuple, ev.select("event_id", "event_type").collect()))
+    for n, path in enumerate((folder, os.path.join(SMALL_SF, "events.parquet"))):
+        s = streams.event_stream(spark, path).select("event_id", "event_type")
+        assert sorted(map(tuple, streams.run_available(s, f"paths{n}").collect())) == want
+
+
+def test_dedupe_does_not_depend_on_batches(spark, split_events):
+    ev, ordered, shuffled = split_events
+    want = sorted(map(tuple, ev.select("user_id", "event_type").distinct().collect()))
+    for folder in (ordered, shuffled):
+        s = _stream(spark, folder)
+        out = streams.stream_dedupe(s, ["user_id", "event_type"]).select("user_id", "event_type")
+        assert sorted(map(tuple, streams.run_available(out, "t4_test").collect())) == want
+
+
+def test_heartbeat_closes_every_window(spark, tmp_path):
+    ev = spark.read.parquet(os.path.join(SMALL_SF, "events.parquet"))
+    path = streams.write_arrivals(ev, str(tmp_path / "in"), 3, "2 days")
+    s = streams.event_stream(spark, path, max_files_per_trigger=1).withColumn("ok", F.col("event_type") != "error")
+    got = streams.run_available(streams.health_windows(s, "ok", "1 hour"), "t2_all")
+    assert got.agg(F.sum("probes")).first()[0] == ev.count()
+    empty = streams.write_arrivals(ev.limit(0), str(tmp_path / "none"), 3, "2 days")
+    assert streams.run_available(streams.event_stream(spark, empty), "t_empty").collect() == []
+
+
+def test_restart_goes_on_from_the_checkpoint(spark, tmp_path):
+    ev = spark.read.parquet(os.path.join(SMALL_SF, "events.parquet"))
+    first, second = ev.filter("event_id % 2 = 0"), ev.filter("event_id % 2 = 1")
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+
+    def run():
+        s = streams.event_stream(spark, src)
+        return streams.run_available(s.select("event_id"), "restart", out=out, checkpoint=ckpt).count()
+
+    first.write.mode("append").parquet(src)
+    assert run() == first.count()
+    assert run() == first.count()  # nothing new: nothing is read again
+    second.write.mode("append").parquet(src)
+    assert run() == ev.count()
