@@ -58,8 +58,6 @@ def main(argv=None) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     from fleetlens.session import get_session
     spark = get_session("local[8]", 8)
-    # Show plans as they run on large inputs (no spreading of single-split scans).
-    spark.conf.set("fleetlens.spreadSmallScans", "false")
     ops = operators()
     print("| query | operator | scans (table: columns read, pushed filters) | plan nodes |")
     print("|---|---|---|---|")
