@@ -111,7 +111,7 @@ class Items:
         while lengths:
             low = lengths[0]
             high = max(low, int(low * CLASS_RATIO))
-            self.classes.append({"low": low, "high": high})
+            self.classes.append({"low": low, "high": high, "reach": high + edits_allowed(high, similarity)})
             lengths = [n for n in lengths if n > high]
         # runs that some item must share with a matching window: per run length the sorted hashes
         runs: dict[int, set] = {}
@@ -174,23 +174,29 @@ class Items:
             keys = _join(keys, out[j])
         return keys
 
-    def starts(self, flat: np.ndarray, c: dict) -> np.ndarray:
-        """Starts from which a window of the class can hold a run that it must share with an item."""
-        hit = np.zeros(len(flat) + 1, np.int64)
+    def shared_runs(self, flat: np.ndarray) -> np.ndarray:
+        """Places of runs of words that a matching window of some item must share."""
+        found = [np.zeros(0, np.int64)]
         for r, table in self.runs.items():
             h = self._run_hashes(flat, r)
-            if not len(h):
-                continue
-            at = np.flatnonzero(table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h)
-            np.add.at(hit, np.maximum(at - (c["high"] + edits_allowed(c["high"])), 0), 1)
-            hit[at + 1] -= 1
+            if len(h):
+                found.append(np.flatnonzero(table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h))
+        return np.unique(np.concatenate(found))
+
+    @staticmethod
+    def starts(flat: np.ndarray, runs: np.ndarray, c: dict) -> np.ndarray:
+        """Starts from which a window of the class can hold one of the runs."""
+        hit = np.zeros(len(flat) + 1, np.int64)
+        np.add.at(hit, np.maximum(runs - c["reach"], 0), 1)
+        hit[runs + 1] -= 1
         return np.flatnonzero((np.cumsum(hit[:-1]) > 0) & (flat != END))
 
     def candidates(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) pairs that collide in some sample."""
         pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        runs = self.shared_runs(flat)
         for c in self.classes:
-            every = self.starts(flat, c)
+            every = self.starts(flat, runs, c)
             for lo in range(0, len(every), 1 << 15):
                 starts = every[lo:lo + (1 << 15)]
                 for walk in range(WALKS):
