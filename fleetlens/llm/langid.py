@@ -42,7 +42,7 @@ ORDER = 5
 FIT_ROWS = 600
 KEEP = 0.999
 MIN_SIGMAS = 8.0
-MARGIN_BITS = 1.0
+MARGIN_BITS = 2.0
 EDGE = 1  # the code of the word boundary; characters are their code point + 2
 UNSEEN_CHARACTERS = 1 << 16  # the uniform distribution below order 1
 UND = "und"
@@ -221,18 +221,26 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         fit_rows: int = FIT_ROWS, order: int = ORDER) -> Models:
     """Fit and calibrate on at most ``fit_rows * 4 / 3`` rows a language (see above).
 
-    Words are counted by Spark jobs; what reaches the driver is the sample's
-    distinct words with their counts and the calibration texts.
+    What reaches the driver is the sample, at most that many whole texts a
+    language, and a count a language.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     extra = fit_rows // 3
-    by_hash = W.partitionBy("_lang").orderBy("_h", "_k")
-    chosen = (rows.select(F.col(key).alias("_k"), F.col(lang).alias("_lang"), F.xxhash64(key).alias("_h"))
-              .withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= fit_rows + extra)
-              .select("_k", "_lang", (F.col("_n") > fit_rows).alias("_held")).distinct())
-    sample = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_lang"), F.col(text).alias("_t")).join(
-        chosen, ["_k", "_lang"])
+    need = fit_rows + extra
+    # rows below a hash limit a language, a few more than needed, then the smallest hashes of those:
+    # no text is shuffled but the sample's, and no task sees a language's rows
+    sizes = rows.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return Models({}, order)
+    limits = spark.createDataFrame([(r["_lang"], min(1.0, (1.25 * need + 50) / r["n"])) for r in sizes],
+                                   "_lang string, _limit double")  # a row a language
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 31)) / float(1 << 31)
+    by_hash = W.partitionBy("_lang").orderBy("_h", "_t")
+    sample = (rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_t"), place.alias("_h"))
+              .join(F.broadcast(limits), "_lang").where(F.col("_h") < F.col("_limit"))
+              .withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= need)
+              .withColumn("_held", F.col("_n") > fit_rows))
     kept = [r for r in sample.select("_lang", "_t", "_held").toLocalIterator()]
     texts: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
