@@ -301,14 +301,19 @@ def _grouped(span: int):
 def _hot_intervals(hot: DataFrame, span: int) -> DataFrame:
     """Intervals of hot groups: windows counted by two hashes, pre-aggregated."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, rid, at, first, context in zip(*[b.column(i).to_pylist() for i in range(5)]):
-                data = np.frombuffer(context, np.uint8)
-                s = np.arange(len(data) - span + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(s), g)), pa.array(np.full(len(s), rid)), pa.array(first + s),
-                     *[pa.array(_mix(PrefixHashes(data, base).of(s, span)).view(np.int64)) for base in (BASE, OTHER_BASE)]],
-                    names=["g", "rid", "begin", "h1", "h2"])
+        for b in slices(batches, 2 << 20, "context"):
+            contexts = b.column(4).to_pylist()
+            data = np.frombuffer(b"".join(contexts), np.uint8)
+            size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+            n = size - span + 1
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(np.cumsum(size) - size, n) + place
+            who = np.repeat(np.arange(len(n)), n)
+            g, rid, first = (b.column(i).to_numpy()[who] for i in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g), pa.array(rid), pa.array(first + place),
+                 *[pa.array(_mix(PrefixHashes(data, base).of(at, span)).view(np.int64)) for base in (BASE, OTHER_BASE)]],
+                names=["g", "rid", "begin", "h1", "h2"])
 
     w = hot.mapInArrow(windows, "g long, rid long, begin long, h1 long, h2 long")
     n = w.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
