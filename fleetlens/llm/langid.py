@@ -22,7 +22,7 @@ predicted, on its whole text.
 
 Edge cases: null text or text without letters is ``und`` with score 0 and
 is rejected; ties go to the language first in order; no labelled rows: all
-``und``; an empty table gives no rows; other columns are ignored.
+``und``, and only texts without letters are rejected; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,7 +193,8 @@ class Models:
         """Language, score, cross-entropy, symbols, rejected."""
         if not texts or not self.langs:
             z = np.zeros(len(texts))
-            return [UND] * len(texts), z, z, z, np.ones(len(texts), bool)
+            blank = [not any(x) for x in word_lists(texts).to_pylist()] if texts else []
+            return [UND] * len(texts), z, z, z, np.array(blank, bool)
         ce, n = self.entropies(texts)
         best = ce.argmin(axis=1)
         least = ce[np.arange(len(ce)), best]

@@ -242,7 +242,7 @@ def test_language_edges(spark):
     assert (by[103][0]["lang_pred"], by[104][0]["lang_pred"], by[None][0]["lang_pred"]) == ("ab", "vz", "ab")
     assert len(by[103]) == 2 and by[105][0]["rejected"] and not by[103][0]["rejected"]
     none = langid.fit(df.where("lang is null"))
-    assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
+    assert {(r["lang_pred"], r["rejected"]) for r in langid.identify(df, none).collect()} == {("und", False)}
     assert langid.identify(df.limit(0), models).collect() == []
 
 
