@@ -36,9 +36,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeated strings cover; n_chars follows. Documents stay, if need be empty."""
-    cut = repeats.remove_repeats(docs, keep=("lang", "source", "n_chars", "text"), with_text=True)
+    cut = repeats.remove_repeats(docs.withColumn("no_text", F.col("text").isNull()),
+                                 keep=("lang", "source", "n_chars", "no_text"), with_text=True)
     changed = F.col("n_removed") > 0
-    return cut.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
+    return cut.select("doc_id", F.when(~F.col("no_text"), F.col("kept")).alias("text"), "lang", "source",
                       F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

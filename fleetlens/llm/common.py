@@ -69,3 +69,4 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int, column: str) -> It
                 lo, size = i, 0
             size += n
         yield b.slice(lo)
+    pa.default_memory_pool().release_unused()  # the worker lives on: give its room back

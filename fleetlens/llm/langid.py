@@ -273,12 +273,14 @@ def identify(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "
         for b in slices(batches, 2 << 20, "_t"):
             langs, score, ce, _, rejected = own.predict(text_rows(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(i) for i in range(b.num_columns - 1)], pa.array(langs, pa.string()), pa.array(score),
+                [*[b.column(i) for i in range(len(carried))], pa.array(langs, pa.string()), pa.array(score),
                  pa.array(ce), pa.array(rejected)], names=names)
 
-    src = docs.select(F.col(key), *keep, F.col(text).cast("string").alias("_t"))
-    names = [*src.columns[:-1], "lang_pred", "score", "cross_entropy", "rejected"]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
+    # a text that is kept is carried once, as the last column
+    carried = [key, *[c for c in keep if c != text], *[text] * (text in keep)]
+    src = docs.select(*[F.col(c) for c in carried if c != text], F.col(text).cast("string").alias("_t"))
+    names = [*carried, "lang_pred", "score", "cross_entropy", "rejected"]
+    fields = [f"`{c}` {f.dataType.simpleString()}" for c, f in zip(carried, src.schema.fields)]
     return src.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, cross_entropy double, rejected boolean"]))
 
 

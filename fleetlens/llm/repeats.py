@@ -46,7 +46,7 @@ from fleetlens.llm.common import binary_rows, materialize, slices, spread
 SPAN = 200
 GRAM = 64
 MAX_GROUP = 1 << 14
-BATCH_WINDOWS = 1 << 19
+BATCH_WINDOWS = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
 OTHER_BASE = 0xD1342543DE82EF95
 

@@ -38,7 +38,7 @@ from fleetlens.llm.common import slices, text_rows
 
 SPACE = "▁"
 BATCH_BYTES = 2 << 20
-CACHE_CHARS = 64 << 20
+CACHE_CHARS = 12 << 20
 STEP_CHARS = 48  # longest chunk of the array agenda
 # piece types of the model file format
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
