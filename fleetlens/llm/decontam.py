@@ -9,22 +9,25 @@ The CGK random walk reads a window from its start; at step j it writes the
 word under it and moves on if a random bit of (j, word) says so. Windows
 within a small edit distance fall into step again after an edit, so their
 outputs differ in few places: edit distance becomes Hamming distance.
-``WALKS`` walks are each sampled ``SAMPLES`` times at ``BITS`` output places; a
-window that agrees with an item in one sample is a candidate. An item's
-places are drawn from the steps that its own length covers; items are
-treated in length classes of ratio ``CLASS_RATIO``. For a pair that agrees in
-a share p of its outputs one sample collides with p**BITS, all of them miss
-with (1 - p**BITS)**(WALKS * SAMPLES): below 0.5 % for p of 0.5 and the
-defaults. Windows beside the true one are further chances.
-
-Windows: every start is embedded from which a window can hold a run of
-words that it must share with some item. An item of n words with at most d
-edits keeps a run of ceil((n - d) / (d + 1)) words unchanged, so windows
-without any such run of any item cannot match, and nothing is lost by not
-embedding them.
+The agreement falls with the number of edits in a walk, so items are not
+embedded whole: an item with at most d edits is cut into pieces so many that
+one of them has at most ``PIECE_EDITS`` edits, whatever the item's length.
+``WALKS`` walks over each piece are sampled ``SAMPLES`` times at ``BITS`` output
+places; a window that agrees with a piece in one sample makes the piece's
+item a candidate there. A piece's places are drawn from the steps that its own
+length covers; pieces are treated in length classes of ratio ``CLASS_RATIO``.
+The other pieces and the windows beside the true one are further chances.
+The tests hold every length class at 99 % at least with the full number of edits,
+for insertions, deletions and changes alone.
+
+Windows: an item of n words with at most d edits keeps a run of
+ceil((n - d) / (d + 1)) words unchanged, so a text without any such run of any
+item cannot match. Every start is embedded that can belong to a piece of an
+item of which the text holds a run there; nothing is lost by not embedding
+the others.
 
 Every candidate is verified by exact edit distance, with free ends, on the
-text around the window.
+text around the item's place.
 
 The items are broadcast in blocks of at most ``ITEM_BLOCK_CHARS`` characters,
 one pass over the documents a block, so the broadcast has a fixed bound.
@@ -50,10 +53,12 @@ from fleetlens.llm.common import slices, text_rows
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
-WALKS, SAMPLES, BITS = 4, 12, 3
+WALKS, SAMPLES, BITS = 6, 8, 3
+PIECE_EDITS = 1
 CLASS_RATIO = 1.3
 ITEM_BLOCK_CHARS = 16 << 20
 END, OTHER = 0, 1  # word codes: past the end, and any word of no item
+NOT_HERE = -1 << 40  # no item of the class holds the run
 
 
 def words_of(texts: list[str]) -> pa.ListArray:
@@ -82,16 +87,23 @@ def shared_run(n: int, similarity: float = SIMILARITY) -> int:
     return max(1, math.ceil((n - d) / (d + 1)))
 
 
-def window_edits(item: np.ndarray, text: np.ndarray) -> int:
-    """Least edit distance between the item and any run of the text's words."""
-    row = np.zeros(len(text) + 1, np.int64)
-    reach = np.arange(len(text) + 1)
-    for i, w in enumerate(item.tolist()):
+def pieces_of(n: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """(begin, end) of an item's pieces: one has at most ``PIECE_EDITS`` of the allowed edits."""
+    k = min(n, edits_allowed(n, similarity) // (PIECE_EDITS + 1) + 1)
+    cuts = [n * i // k for i in range(k + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def window_edits(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Least edit distance between each row's item and any run of the same row's words."""
+    row = np.zeros((len(texts), texts.shape[1] + 1), np.int64)
+    reach = np.arange(texts.shape[1] + 1)
+    for i in range(items.shape[1]):
         nxt = np.empty_like(row)
-        nxt[0] = i + 1
-        nxt[1:] = np.minimum(row[1:] + 1, row[:-1] + (text != w))
-        row = np.minimum.accumulate(nxt - reach) + reach
-    return int(row.min())
+        nxt[:, 0] = i + 1
+        nxt[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts != items[:, i, None]))
+        row = np.minimum.accumulate(nxt - reach, axis=1) + reach
+    return row.min(axis=1)
 
 
 class Items:
@@ -106,27 +118,40 @@ class Items:
         self.items = [np.array([self.code[w] for w in lists[i]], np.int64) for i in use]
         self.edits = [edits_allowed(len(x), similarity) for x in self.items]
         rng = np.random.default_rng(seed)
-        lengths = sorted({len(x) for x in self.items})
+        pieces = [(i, *p) for i, x in enumerate(self.items) for p in pieces_of(len(x), similarity)]
+        self.owner = np.array([i for i, _, _ in pieces], np.int64)
+        self.offset = np.array([lo for _, lo, _ in pieces], np.int64)
+        self.longest = max((hi - lo for _, lo, hi in pieces), default=0)
+        words = [self.items[i][lo:hi] for i, lo, hi in pieces]
+        # an item's pieces differ by one word at most and are in one class
+        shortest = [min(hi - lo for lo, hi in pieces_of(len(x), similarity)) for x in self.items]
+        lengths = sorted(set(shortest))
         self.classes: list[dict] = []
+        class_of: dict[int, int] = {}
         while lengths:
             low = lengths[0]
             high = max(low, int(low * CLASS_RATIO))
-            self.classes.append({"low": low, "high": high, "reach": high + edits_allowed(high, similarity)})
+            class_of |= {n: len(self.classes) for n in lengths if n <= high}
+            self.classes.append({"low": low, "high": high})
             lengths = [n for n in lengths if n > high]
-        # runs that some item must share with a matching window: per run length the sorted hashes
-        runs: dict[int, set] = {}
-        for x in self.items:
+        # runs that some item must share with a matching window: per run length the sorted hashes and, per class,
+        # from how far before the run to how far behind its begin the items' pieces can begin
+        runs: dict[int, dict[int, np.ndarray]] = {}
+        for x, d, n in zip(self.items, self.edits, shortest):
             r = shared_run(len(x), similarity)
-            runs.setdefault(r, set()).update(self._run_hashes(x, r).tolist())
-        self.runs = {r: np.array(sorted(h), np.uint64) for r, h in runs.items()}
+            known = runs.setdefault(r, {})
+            for o, h in enumerate(self._run_hashes(x, r).tolist()):
+                span = known.setdefault(h, np.full((len(self.classes), 2), NOT_HERE, np.int64))
+                span[class_of[n]] = np.maximum(span[class_of[n]], (o + d, len(x) - n - o + d))
+        self.runs = {r: (np.array(sorted(h), np.uint64), np.array([h[k] for k in sorted(h)], np.int64)) for r, h in runs.items()}
         self.walk_seeds = rng.integers(1, 1 << 62, WALKS).astype(np.uint64)
         for c in self.classes:
-            own = [i for i, x in enumerate(self.items) if c["low"] <= len(x) <= c["high"]]
-            # two steps a word on average: the walk over the shortest item's words
+            own = [p for p, i in enumerate(self.owner) if c["low"] <= shortest[i] <= c["high"]]
+            # two steps a word on average: the walk over the shortest piece's words
             c["steps"] = 2 * c["low"]
             c["places"] = [[np.sort(rng.choice(c["steps"], min(BITS, c["steps"]), replace=False)) for _ in range(SAMPLES)]
                            for _ in range(WALKS)]
-            flat, starts = self._flat([self.items[i] for i in own])
+            flat, starts = self._flat([words[i] for i in own])
             c["tables"] = []
             for walk in range(WALKS):
                 out = self.embed(flat, starts, walk, c["steps"])
@@ -174,29 +199,33 @@ class Items:
             keys = _join(keys, out[j])
         return keys
 
-    def shared_runs(self, flat: np.ndarray) -> np.ndarray:
-        """Places of runs of words that a matching window of some item must share."""
-        found = [np.zeros(0, np.int64)]
-        for r, table in self.runs.items():
+    def shared_runs(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of runs of words that a matching window of some item must share, and the pieces' spans around them."""
+        at, span = [np.zeros(0, np.int64)], [np.zeros((0, len(self.classes), 2), np.int64)]
+        for r, (table, spans) in self.runs.items():
             h = self._run_hashes(flat, r)
             if len(h):
-                found.append(np.flatnonzero(table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h))
-        return np.unique(np.concatenate(found))
+                row = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                at.append(np.flatnonzero(table[row] == h))
+                span.append(spans[row[at[-1]]])
+        return np.concatenate(at), np.concatenate(span)
 
     @staticmethod
-    def starts(flat: np.ndarray, runs: np.ndarray, c: dict) -> np.ndarray:
-        """Starts from which a window of the class can hold one of the runs."""
+    def starts(flat: np.ndarray, runs: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """Starts of pieces of the items that hold one of the runs."""
+        here = span[:, 0] > NOT_HERE
+        runs, span = runs[here], span[here]
         hit = np.zeros(len(flat) + 1, np.int64)
-        np.add.at(hit, np.maximum(runs - c["reach"], 0), 1)
-        hit[runs + 1] -= 1
+        np.add.at(hit, np.maximum(runs - span[:, 0], 0), 1)
+        np.add.at(hit, np.clip(runs + span[:, 1] + 1, 0, len(flat)), -1)
         return np.flatnonzero((np.cumsum(hit[:-1]) > 0) & (flat != END))
 
     def candidates(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) pairs that collide in some sample."""
+        """(start, piece) pairs that collide in some sample."""
         pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        runs = self.shared_runs(flat)
-        for c in self.classes:
-            every = self.starts(flat, runs, c)
+        runs, span = self.shared_runs(flat)
+        for k, c in enumerate(self.classes):
+            every = self.starts(flat, runs, span[:, k])
             for lo in range(0, len(every), 1 << 15):
                 starts = every[lo:lo + (1 << 15)]
                 for walk in range(WALKS):
@@ -207,8 +236,8 @@ class Items:
                         n = b - a
                         who = np.repeat(np.arange(len(keys)), n)
                         if len(who):
-                            item = owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(who))]
-                            pairs.append(np.unique(np.stack([starts[who], item], axis=1), axis=0))
+                            piece = owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(who))]
+                            pairs.append(np.unique(np.stack([starts[who], piece], axis=1), axis=0))
         found = np.unique(np.concatenate(pairs), axis=0)
         return found[:, 0], found[:, 1]
 
@@ -228,19 +257,27 @@ class Items:
         flat = np.full(len(words) + len(texts), END, np.int64)
         flat[np.arange(len(words)) + doc] = words
         begins = ends - sizes
-        start, item = self.candidates(flat)
+        start, piece = self.candidates(flat)
+        item = self.owner[piece]
         of = np.searchsorted(ends, start)
         lens = np.array([len(x) for x in self.items])
-        # windows of an item that begin near each other are verified together
-        cell = (start - begins[of]) // np.maximum(lens[item], 1)
+        # places of an item that begin near each other are verified together
+        cell = (start - self.offset[piece] - begins[of]) // np.maximum(lens[item], 1)
+        todo = np.unique(np.stack([of, item, cell], axis=1), axis=0)
         best: dict[tuple[int, int], int] = {}
-        for t, i, k in np.unique(np.stack([of, item, cell], axis=1), axis=0).tolist():
-            n, d = len(self.items[i]), self.edits[i]
-            lo = max(begins[t], begins[t] + k * n - d)
-            hi = min(ends[t], begins[t] + (k + 2) * n + d)
-            e = window_edits(self.items[i], flat[lo:hi])
-            if e <= d:
-                best[t, i] = min(e, best.get((t, i), e))
+        for n in np.unique(lens[todo[:, 1]]).tolist():
+            same = todo[lens[todo[:, 1]] == n]
+            d = self.edits[same[0, 1]]
+            at = begins[same[:, 0]] + same[:, 2] * n - d - self.longest
+            width = np.arange(2 * n + 3 * d + 2 * self.longest)
+            for lo in range(0, len(same), 256):
+                some = same[lo:lo + 256]
+                place = at[lo:lo + 256, None] + width
+                inside = (place >= begins[some[:, 0], None]) & (place < ends[some[:, 0], None])
+                texts_at = np.where(inside, flat[np.clip(place, 0, len(flat) - 1)], END)
+                for (t, i, _), e in zip(some.tolist(), window_edits(np.stack([self.items[i] for i in some[:, 1]]), texts_at).tolist()):
+                    if e <= d:
+                        best[t, i] = min(e, best.get((t, i), e))
         return [(t, i, e) for (t, i), e in sorted(best.items())]
 
 

@@ -294,6 +294,23 @@ def test_decontamination_edges(spark):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["changed", "inserted", "deleted"])
+def test_decontamination_recall_at_the_full_number_of_edits(kind):
+    rnd = random.Random(12)
+    unknown = lambda n: [f"u{rnd.randrange(999)}" for _ in range(n)]
+    for n in (5, 9, 10, 14, 15, 20, 30, 39, 59, 100, 200):
+        items = [[f"w{rnd.randrange(4000)}" for _ in range(n)] for _ in range(100)]
+        found = decontam.Items(list(range(100)), [" ".join(x) for x in items])
+        texts = []
+        for x in items:
+            places = sorted(rnd.sample(range(1, n), decontam.edits_allowed(n)), reverse=True)
+            for at in places:
+                x[at:at + (kind != "inserted")] = [] if kind == "deleted" else unknown(1)
+            texts.append(" ".join(unknown(20) + x + unknown(20)))
+        hits = {t for t, i, _ in found.matches(texts) if t == i}
+        assert len(hits) >= 99, (n, sorted(set(range(100)) - hits))
+
+
 # --- licenses -----------------------------------------------------------------------------
 
 def test_license_cosines_and_inheritance(spark):
