@@ -1,11 +1,15 @@
 """Operator 9, license scans: sparse TF-IDF cosine, then directory inheritance.
 
-Every line of every file is compared with the license templates as a sparse
-TF-IDF vector. Document frequencies of the templates' terms are counted over
-all files (one row per term leaves a task). A term that no template holds
-weighs as much as a term that no file holds, so unrelated words lower the
-cosine. A file's own license is the template of its best line at or above
-``threshold``.
+Every run of words of every file that is as long as a template is compared with
+it as a sparse TF-IDF vector, across line breaks; a shorter file is one run. The
+templates are short statements, the standard headers and the titles and
+opening clauses of licence files. Document frequencies are counted over all
+files, for the templates' terms first and then for the other terms of the runs
+that could reach ``threshold`` if those weighed the least (one row per term
+leaves a task). A run's cosine is at most its dot product over the norm without
+repeated terms, both differences of prefix sums; the runs that this bound
+admits are compared exactly. A file's own license is the template of its best
+run at or above ``threshold``; ``line`` is the line of the run's first word.
 
 A file without one inherits from the nearest licence file (``LICENSE``,
 ``COPYING`` and the like) in its directory or a directory above. Directories
@@ -25,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +39,35 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import materialize, slices, text_rows
 
 THRESHOLD = 0.6
-# SPDX names with statements and opening lines by which licenses are given.
+_GNU = ("{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version.")
+# SPDX names with statements, standard headers, titles and opening clauses of the licenses.
 TEMPLATES = {
-    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0"],
+    "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.",
+                 _GNU.format("This program", "Affero"), "GNU Affero General Public License Version 3, 19 November 2007"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0",
+                   "Apache License Version 2.0, January 2004",
+                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                   "compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted "
                      "provided that the following conditions are met", "Licensed under the BSD 3-Clause License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License version 3"],
-    "ISC": ["Released under the ISC License."],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International",
+                  "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International",
+                     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License version 3",
+                _GNU.format("This program", ""), "GNU General Public License Version 3, 29 June 2007"],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any "
+            "purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+            "notice appear in all copies."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", _GNU.format("This library", "Lesser"),
+                 "GNU Lesser General Public License Version 3, 29 June 2007"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a "
             "copy of this software and associated documentation files"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+                "Mozilla Public License Version 2.0"],
 }
 # Names of licence files, without extension.
 LICENSE_FILES = ["LICENSE", "LICENCE", "COPYING", "NOTICE", "UNLICENSE"]
@@ -60,13 +80,16 @@ def terms(line: str) -> list[str]:
 
 
 class Matcher:
-    """Templates as unit vectors over their terms."""
+    """Templates as unit vectors over their terms. ``others`` has the files in which a term outside them stands."""
 
-    def __init__(self, templates: Mapping[str, list[str]], frequency: Mapping[str, int], n_files: int):
+    def __init__(self, templates: Mapping[str, list[str]], frequency: Mapping[str, int], n_files: int,
+                 others: Mapping[str, int] | None = None):
         names, lines = zip(*[(name, terms(t)) for name in sorted(templates) for t in templates[name]])
-        self.names = names
-        self.idf = {t: math.log((1 + n_files) / (1 + frequency.get(t, 0))) + 1 for line in lines for t in line}
-        self.unknown = math.log(1 + n_files) + 1
+        self.names, self.lengths = names, [len(line) for line in lines]
+        weight = lambda files: math.log((1 + n_files) / (1 + files)) + 1
+        self.idf = {t: weight(frequency.get(t, 0)) for line in lines for t in line}
+        # terms outside the templates: counted, or as light as a term can be
+        self.others = None if others is None else {t: weight(n) for t, n in others.items()}
         column = {t: i for i, t in enumerate(sorted(self.idf))}
         self.column = column
         self.vectors = np.zeros((len(lines), len(column)))
@@ -74,45 +97,79 @@ class Matcher:
             for t, n in Counter(line).items():
                 self.vectors[row, column[t]] = n * self.idf[t]
         self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
+        # per term, and last for all others: its part of each dot product, and its square
+        idf = np.array([self.idf[t] for t in column])
+        self.part = np.vstack([self.vectors.T * idf[:, None], np.zeros(len(lines))])
+        self.square = np.append(idf ** 2, 1.0)
         self.rare = {t for t in self.idf if frequency.get(t, 0) * 10 <= n_files} or set(self.idf)
         common = [column[t] for t in self.idf if t not in self.rare]
-        # the most that a line without any rare term can score
+        # the most that a run without any rare term can score
         self.common_bound = float(np.sqrt((self.vectors[:, common] ** 2).sum(axis=1)).max()) if common else 0.0
 
+    def runs(self, words: list[str], threshold: float) -> list[tuple[float, int, int]]:
+        """(bound, template, first word) of each run that could reach the threshold, best bound first."""
+        if not words or (self.common_bound < threshold and self.rare.isdisjoint(words)):
+            return []
+        outside = len(self.column)
+        codes = np.fromiter((self.column.get(w, outside) for w in words), np.int64, len(words))
+        square = self.square[codes]
+        if self.others:
+            for i in np.flatnonzero(codes == outside):
+                square[i] = self.others.get(words[i], 1.0) ** 2
+        norm = np.append(0.0, np.cumsum(square))
+        dots = np.vstack([np.zeros(len(self.names)), np.cumsum(self.part[codes], axis=0)])
+        found = []
+        for k, m in enumerate(self.lengths):
+            m = min(m, len(words))
+            bound = (dots[m:, k] - dots[:-m, k]) / np.sqrt(norm[m:] - norm[:-m])
+            found += [(float(bound[s]), k, int(s)) for s in np.flatnonzero(bound >= threshold - 1e-9)]
+        return sorted(found, key=lambda x: (-x[0], x[1], x[2]))
+
+    def outside(self, text: str, threshold: float) -> set[str]:
+        """The terms outside the templates in the text's runs that could reach the threshold."""
+        words = terms(text)
+        return {w for _, k, s in self.runs(words, threshold) for w in words[s:s + self.lengths[k]] if w not in self.column}
+
+    def cosine(self, words: list[str], k: int) -> float:
+        dot = norm = 0.0
+        for t, n in Counter(words).items():
+            if t in self.column:
+                dot += n * self.idf[t] * self.vectors[k, self.column[t]]
+                norm += (n * self.idf[t]) ** 2
+            else:
+                norm += (n * (self.others or {}).get(t, 1.0)) ** 2
+        return float(dot / math.sqrt(norm))
+
     def best(self, text: str, threshold: float) -> tuple[str | None, float, int | None]:
-        """(template name, cosine, line number) of the best line, if it reaches the threshold."""
-        found: tuple[str | None, float, int | None] = (None, 0.0, None)
-        skip = self.common_bound < threshold
-        for number, line in enumerate(text.split("\n")):
-            words = terms(line)
-            if not words or (skip and self.rare.isdisjoint(words)):
-                continue
-            v, rest = np.zeros(len(self.column)), 0.0
-            for t, n in Counter(words).items():
-                if t in self.column:
-                    v[self.column[t]] = n * self.idf[t]
-                else:
-                    rest += (n * self.unknown) ** 2
-            cosine = self.vectors @ v / math.sqrt(float(v @ v) + rest)
-            top = int(cosine.argmax())
-            if cosine[top] >= threshold and cosine[top] > found[1] + 1e-12:
-                found = (self.names[top], float(cosine[top]), number)
-        return found
-
-
-def term_frequencies(files: DataFrame, text: str, templates: Mapping[str, list[str]] = TEMPLATES) -> tuple[dict[str, int], int]:
-    """In how many files each template term stands, and the number of files (null texts are empty files).
-
-    The driver receives a row per template term.
+        """(template name, cosine, line number) of the best run, if it reaches the threshold."""
+        words = terms(text)
+        found: tuple[float, int, int] | None = None
+        for bound, k, s in self.runs(words, threshold):
+            if found and bound < found[0] - 1e-9:
+                break
+            cosine = self.cosine(words[s:s + self.lengths[k]], k)
+            if cosine >= threshold and (not found or cosine > found[0] + 1e-12
+                                        or (cosine > found[0] - 1e-12 and (k, s) < found[1:])):
+                found = (cosine, k, s)
+        if not found:
+            return None, 0.0, None
+        lines = (n for n, line in enumerate(text.split("\n")) for _ in terms(line))
+        return self.names[found[1]], found[0], next(islice(lines, found[2], None))
+
+
+def term_frequencies(files: DataFrame, text: str, vocabulary: frozenset[str]) -> tuple[dict[str, int], int]:
+    """In how many files each term stands, and the number of files (null texts are empty files).
+
+    The driver receives a row per term of the vocabulary.
     """
-    vocabulary = frozenset(t for lines in templates.values() for line in lines for t in terms(line))
+    shared = files.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         n = 0
         for b in slices(batches, 4 << 20, "_t"):
             for t in text_rows(b.column(0)):
-                seen.update(vocabulary.intersection(terms(t)))
+                seen.update(shared.value.intersection(terms(t)))
             n += b.num_rows
         yield pa.RecordBatch.from_pydict({"term": [*seen, None], "n": [*seen.values(), n]},
                                          schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
@@ -123,6 +180,24 @@ def term_frequencies(files: DataFrame, text: str, templates: Mapping[str, list[s
     return {t: n for t, n in counts.items() if t is not None}, counts.get(None, 0)
 
 
+def outside_terms(files: DataFrame, text: str, templates: Mapping[str, list[str]], frequency: Mapping[str, int],
+                  n_files: int, threshold: float) -> frozenset[str]:
+    """Terms outside the templates in any run that could reach the threshold."""
+    shared = files.sparkSession.sparkContext.broadcast((dict(templates), frequency, n_files))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = None
+        for b in slices(batches, 4 << 20, "_t"):
+            matcher = matcher or Matcher(*shared.value)
+            seen: set[str] = set()
+            for t in text_rows(b.column(0)):
+                seen |= matcher.outside(t, threshold)
+            yield pa.RecordBatch.from_pydict({"term": sorted(seen)}, schema=pa.schema([("term", pa.string())]))
+
+    rows = files.select(F.col(text).cast("string").alias("_t")).mapInArrow(run, "term string").distinct().collect()
+    return frozenset(r["term"] for r in rows)
+
+
 def folder_of(path: Column) -> Column:
     """Directory of a path, the empty string for a name without one."""
     return F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
@@ -131,8 +206,11 @@ def folder_of(path: Column) -> Column:
 def own_licenses(files: DataFrame, key: str, path: str, text: str, templates: Mapping[str, list[str]] = TEMPLATES,
                  threshold: float = THRESHOLD) -> DataFrame:
     """(key, path, own, cosine, line) of each file."""
-    frequency, n_files = term_frequencies(files, text, templates)
-    shared = files.sparkSession.sparkContext.broadcast((dict(templates), frequency, n_files))
+    vocabulary = frozenset(t for lines in templates.values() for line in lines for t in terms(line))
+    frequency, n_files = term_frequencies(files, text, vocabulary)
+    beside = outside_terms(files, text, templates, frequency, n_files, threshold)
+    others = term_frequencies(files, text, beside)[0] if beside else {}
+    shared = files.sparkSession.sparkContext.broadcast((dict(templates), frequency, n_files, others))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = None

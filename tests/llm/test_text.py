@@ -329,6 +329,31 @@ def test_license_cosines_and_inheritance(spark):
     assert licenses.scan_licenses(df.limit(0)).collect() == []
 
 
+def test_wrapped_inline_and_prefixed_license_headers(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+    apache = """Copyright 2015 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+    said = [("GPL-3.0", gpl), ("GPL-3.0", gpl.replace("\n# ", " ")), ("LGPL-3.0", gpl.replace("program", "library").replace("GNU", "GNU Lesser")),
+            ("AGPL-3.0", gpl.replace("GNU", "GNU Affero")), ("Apache-2.0", apache), ("Apache-2.0", apache.replace("\n", " ")),
+            ("MIT", "Copyright (c) 2020 Jane Doe. Released under the MIT License."),
+            ("MIT", "Some example code for you. Released under\nthe MIT License. More words follow here."),
+            ("MPL-2.0", "x = 1  # This Source Code Form is subject to the\n# terms of the Mozilla Public\n# License, v. 2.0.")]
+    files = [(n, f"f/{n}", f"first line\n{t}\nimport os") for n, (_, t) in enumerate(said)]
+    files += [(100 + n, f"g/{n}", f"plain prose number {n} of the other files, under the roof of a house") for n in range(200)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert [got[n]["own"] for n in range(len(said))] == [name for name, _ in said]
+    assert got[0]["line"] == 1 and got[4]["line"] == 3
+    assert all(got[100 + n]["own"] is None for n in range(200))
+
+
 def test_license_query_against_statements(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
