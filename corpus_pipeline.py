@@ -17,6 +17,13 @@ from fleetlens.llm.queries import TOKENIZERS, tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key made of all columns: never null, ordered by doc_id, rows without one last."""
+    return docs.select(*COLUMNS, F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"),
+        "lang", "source", "n_chars").alias("row_key"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject. Null texts and texts without letters are rejected."""
     models = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -25,12 +32,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id (repeated rows: one of them)."""
-    groups = simhash.near_duplicates(docs, shingle=4, radius=4)
-    keep = materialize(groups.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("n")), "kept-documents")
-    kept = docs.select(*COLUMNS).join(keep.select("doc_id"), "doc_id", "left_semi")
+    """One row of each near-duplicate group: the one with the smallest doc_id (repeated rows: one of them).
+
+    A row without an id is kept if its group has no row with one. Rows that share an id but are in different groups
+    are judged apart; in one group, the smallest text hash and then the other columns decide.
+    """
+    rows = with_row_key(docs)
+    groups = simhash.near_duplicates(rows, key="row_key", shingle=4, radius=4)
+    keep = materialize(groups.where("row_key = component").groupBy("row_key").agg(F.count("*").alias("n")), "kept-documents")
+    kept = rows.join(keep.select("row_key"), "row_key", "left_semi")
     if keep.where("n > 1").take(1):  # repeated rows of a kept document
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.dropDuplicates(["row_key"])
     return kept.select(*COLUMNS)
 
 
@@ -44,10 +56,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = materialize(found.select("doc_id").distinct(), "leaks")
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text contains no benchmark item, whether or not they have an id or share it."""
+    rows = with_row_key(docs)
+    found = decontam.contaminated(rows, table(spark, sf_dir, "benchmark"), key="row_key")
+    leaks = materialize(found.select("row_key").distinct(), "leaks")
+    return rows.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force."""
 
 import os
+import random
 import sys
 
 import pytest
@@ -49,3 +50,19 @@ def test_stages_with_awkward_rows(spark):
         for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, frame, SF)
             assert len(out.collect()) <= len(rows)
+
+
+def test_rows_without_an_id_and_with_a_shared_id(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    a, b, c, d, e = (" ".join(word() for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (None, c), (8, d), (8, e), (8, e), (None, None), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(*r, "en", None, 1) for r in rows], schema), SF)
+    want = [(None, a), (None, b), (7, c), (8, d), (8, e), (None, None)]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in got.collect())
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, f"{a} {leak} {b}"), (None, a), (3, f"{leak} {c}"), (3, c), (4, None), (5, d)]
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame([(*r, "en", None, 1) for r in rows], schema), SF)
+    want = [rows[1], rows[3], rows[4], rows[5]]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in got.collect())
