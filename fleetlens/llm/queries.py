@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    chat, covertree, decontam, langid, licenses, repeats, simhash, spm, tokens, urls,
+    chat, covertree, decontam, langid, licenses, periodic, pii, repeats, simhash, spm, tokens, trie, urls,
 )
 from fleetlens.llm.common import materialize, table
 
@@ -93,6 +94,67 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "host", "path", "rule", "verdict"))
 
 
+def looped_tail(doc_id, words: list[bytes]) -> list[bytes]:
+    """The words of op11's fixture: where the hash of the id is a multiple of ten, a tail repeats one stretch."""
+    h = zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    loop = words[a:a + p]
+    return words[:a] + (loop * ((n - a) // p + 1))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=looped_tail)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"),
+                                                               r["period"].cast("string")), F.lit("\n")))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_list(F.col("spans")).alias("spans"))
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """op13's conversations: the first h turns of the conversation c - c % 20, then c's own after its first h.
+
+    Takes (conv, ordinal, turn_key, words); returns the rebuilt turns (with depth from 1) and (conv, n_turns). A
+    conversation lends at most three turns, to twenty conversations at most.
+    """
+    sizes = materialize(turns.groupBy("conv").agg(F.count(F.lit(1)).alias("own")), "conversation-sizes")
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    first = turns.where("ordinal < 3").groupBy(F.col("conv").alias("base")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "turn_key", "words"))).alias("lent"))
+    convs = sizes.select("conv", "own", h.cast("int").alias("h"), (F.col("conv") - F.col("conv") % 20).alias("base"))
+    convs = convs.join(first, "base", "left").select("conv", "own", "h", F.slice(F.coalesce(
+        "lent", F.array().cast(first.schema["lent"].dataType)), F.lit(1), F.col("h")).alias("lent"))
+    convs = materialize(convs.withColumn("n_lent", F.size("lent").cast("long")), "conversation-heads")
+    lent = convs.select("conv", F.posexplode("lent").alias("at", "t")).select(
+        "conv", (F.col("at") + 1).cast("long").alias("depth"), "t.turn_key", "t.words")
+    # conv is unique on one side; written first, so that a conversation with many turns can be split by the planner
+    own = turns.join(convs.select("conv", "h", "n_lent"), "conv").where("ordinal >= h").select(
+        "conv", (F.col("ordinal") - F.col("h") + F.col("n_lent") + 1).alias("depth"), "turn_key", "words")
+    lengths = convs.select("conv", (F.col("n_lent") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("n_turns"))
+    return lent.unionByName(own), materialize(lengths, "conversation-lengths")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*rebuilt(trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +164,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_token_counts, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_sentencepiece,
-        op6_language_id, op7_exact_top_k, op8_decontamination, op9_license_scan, op10_url_filters, pipeline)}
+        op6_language_id, op7_exact_top_k, op8_decontamination, op9_license_scan, op10_url_filters,
+        op11_periodic_runs, op12_pii, op13_prefix_trie, pipeline)}
 
 
 SQL_OP1 = r"""
@@ -190,5 +253,49 @@ LEFT JOIN node d ON d.url = p.url LEFT JOIN blocked b ON b.n = d.n
 """
 
 
+SQL_OP13 = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS o
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, count(*) AS own, c - c % 20 AS base, xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(CAST(c AS VARCHAR), '')],
+    lambda r, v: list_reduce([xor(r, v)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+                             lambda a, z: xor(a >> 1, 3988292384::BIGINT * (a & 1))))) % 4 AS h
+  FROM src GROUP BY c
+), rebuilt AS (
+  SELECT k.c, 0 AS part, s.o, s.role, s.text FROM convs k JOIN src s ON s.c = k.base AND s.o < k.h
+  UNION ALL SELECT k.c, 1, s.o, s.role, s.text FROM convs k JOIN src s ON s.c = k.c AND s.o >= k.h
+), placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, o) AS d,
+         sha256(length(role) || ':' || role || text) AS t,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt
+), member AS (
+  SELECT c, d, words, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS p FROM placed
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), long AS (SELECT c, max(d) AS n FROM member GROUP BY c
+), node AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM member GROUP BY d, p
+), linked AS (
+  SELECT n.*, u.conv_id AS parent_conv_id FROM node n
+  LEFT JOIN node u ON u.d = n.d - 1 AND u.p = left(n.p, 64 * (n.d - 1)::BIGINT)
+), kids AS (SELECT d - 1 AS d, parent_conv_id AS conv_id, count(*) AS n FROM linked WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT m.d, m.p, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM linked n LEFT JOIN kids k ON k.d = n.d AND k.conv_id = n.conv_id
+  JOIN member m ON m.c = n.conv_id AND m.d <= n.d GROUP BY m.d, m.p
+), ends AS (
+  SELECT m.d, m.p, string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) AS ids
+  FROM member m JOIN long l ON l.c = m.c AND l.n = m.d GROUP BY m.d, m.p
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, n.parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+       b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM linked n JOIN below b ON b.d = n.d AND b.p = n.p
+LEFT JOIN kids k ON k.d = n.d AND k.conv_id = n.conv_id LEFT JOIN ends e ON e.d = n.d AND e.p = n.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": SQL_OP1.strip(), "op7_exact_top_k": SQL_OP7.strip(), "op10_url_filters": SQL_OP10.strip()}
+    return {"op1_chat_formatting": SQL_OP1.strip(), "op7_exact_top_k": SQL_OP7.strip(), "op10_url_filters": SQL_OP10.strip(),
+            "op13_prefix_trie": SQL_OP13.strip()}

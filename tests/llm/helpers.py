@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -79,3 +80,73 @@ def components(edges):
         ra, rb = sorted((root(a), root(b)))
         parent[rb] = ra
     return sorted((x, root(x)) for x in parent)
+
+
+def runs(words, min_length=24):
+    """Maximal runs (start, length, smallest period) of a sequence, one period after another."""
+    out = {}
+    n = len(words)
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(min_length, 3 * q):
+                out.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((s, length, q) for (s, length), q in out.items())
+
+
+def personal_data(text):
+    """(kind, start, end) by the plain patterns and checks."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()][::-1]
+        total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits))
+        if 12 <= len(digits) <= 19 and total % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return sorted(out, key=lambda x: (x[1], ["email", "ip", "card", "phone"].index(x[0])))
+
+
+def prefix_trie(rows):
+    """Rows of the prefix trie of (conv, turn, role, text) rows, by walking every rebuilt conversation."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+    members, words, ends = {}, {}, {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (c % 20 if c >= 0 else -(-c % 20))
+        path = own.get(base, [])[:h] + ts[h:]
+        name = b""
+        members.setdefault((0, name), []).append(c)
+        for d, (role, text) in enumerate(path, 1):
+            name = hashlib.sha256(name + f"{len(role)}:{role}{text}".encode()).digest()
+            members.setdefault((d, name), []).append(c)
+            words[d, name] = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        ends.setdefault((len(path), name), []).append(c)
+    at = {}
+    for (d, name), cs in members.items():
+        for c in cs:
+            at[c, d] = (d, name)
+    above = {n: at[members[n][0], n[0] - 1] for n in members if n[0]}
+    kids, leaves, saved = {}, {}, {}
+    for n, u in above.items():
+        kids[u] = kids.get(u, 0) + 1
+    for n in sorted(members, key=lambda n: -n[0]):
+        leaves[n] = leaves.get(n, 0) + (n not in kids)
+        saved[n] = saved.get(n, 0) + (len(members[n]) - 1) * words.get(n, 0)
+        if n in above:
+            leaves[above[n]] = leaves.get(above[n], 0) + leaves[n]
+            saved[above[n]] = saved.get(above[n], 0) + saved[n]
+    return [(min(cs), n[0], min(members[above[n]]) if n in above else None, len(cs), kids.get(n, 0), leaves[n], saved[n],
+             hashlib.sha256(",".join(map(str, sorted(ends.get(n, [])))).encode()).hexdigest()) for n, cs in members.items()]
