@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.session import materialize
+
 # ---------------------------------------------------------------- X1 versions
 
 HEX40 = "^[0-9a-f]{40}$"
@@ -234,40 +236,61 @@ def url_inventory(df: DataFrame, col: str) -> DataFrame:
 
 # ------------------------------------------------------- X7 nested settings
 
-def flatten_settings(df: DataFrame, col: str, id_cols: Sequence[str], max_depth: int = 6,
+def flatten_settings(df: DataFrame, col: str, id_cols: Sequence[str], max_depth: int | None = None,
                      sep: str = ".") -> DataFrame:
-    """Nested JSON settings to (path, value) rows.
+    """Nested JSON settings to (path, value) rows, to any depth.
 
     Objects are descended into (``-`` becomes ``_`` in keys only); any
     other value (string, number, boolean, list) is a leaf, rendered as
     text: strings raw, everything else as JSON of the same value (a number
     may be respelled, e.g. ``2.0`` as ``2``); JSON null is NULL. An empty object yields no row; text that
-    is not JSON yields no row. ``status`` is ``ok``, or ``too-deep`` for an
-    object below ``max_depth`` levels, given whole as JSON: it is reported,
-    never dropped; pass a larger ``max_depth``. Each level is one ``explode_outer`` of the
-    node's object entries (leaves pass through as the outer row) in the
-    same stage: no union, no exchange, no higher-order function.
+    is not JSON yields no row. ``status`` is ``ok``.
+
+    The descent is a frontier loop: each round opens every object left by
+    one level (one ``explode_outer``, no exchange), writes the children once
+    to the checkpoint folder, and goes on with those that are objects
+    themselves. So the rounds are as many as the deepest document has
+    levels, however deep, and a round costs what is left at its level; the
+    driver reads one flag a round. With ``max_depth`` the loop stops there, and an
+    object below it is one row, whole as JSON, with status ``too-deep``.
     """
     def norm(k):
         return F.replace(k, F.lit("-"), F.lit("_"))
 
-    cur = (df.select(*id_cols, F.lit("").alias("_path"), F.try_parse_json(F.col(col)).alias("_v"))
-           .filter(F.col("_v").isNotNull()))
-    for _ in range(max_depth):
-        obj = F.try_variant_get(F.col("_v"), "$", "map<string,variant>")
-        step = cur.select(*id_cols, "_path", "_v", obj.isNull().alias("_leaf"),
-                          F.explode_outer(obj).alias("_k", "_c"))
+    def text(v):
+        return F.try_variant_get(v, "$", "string")
+
+    doc = F.try_parse_json(F.col(col))
+    cur = df.select(*id_cols, F.lit("").alias("_path"), doc.alias("_v")).filter(F.col("_v").isNotNull())
+    cur = cur.withColumn("_obj", F.try_variant_get("_v", "$", "map<string,variant>"))
+    found = []
+    level = 0
+    while max_depth is None or level < max_depth:
+        # a leaf passes through as the outer row (only whole documents that are no objects do)
+        step = cur.select(*id_cols, "_path", "_v", F.col("_obj").isNull().alias("_leaf"), F.explode_outer("_obj").alias("_k", "_c"))
+        child = F.when(F.col("_path") == "", norm(F.col("_k"))).otherwise(F.concat(F.col("_path"), F.lit(sep), norm(F.col("_k"))))
         leaf = F.col("_leaf")
-        child_path = F.when(F.col("_path") == "", norm(F.col("_k"))).otherwise(
-            F.concat(F.col("_path"), F.lit(sep), norm(F.col("_k"))))
-        cur = step.filter(leaf | F.col("_k").isNotNull()).select(
-            *id_cols,
-            F.when(leaf, F.col("_path")).otherwise(child_path).alias("_path"),
-            F.when(leaf, F.col("_v")).otherwise(F.col("_c")).alias("_v"))
-    deep = F.schema_of_variant(F.col("_v")).startswith("OBJECT")
-    return cur.select(*id_cols, F.col("_path").alias("path"),
-                      F.try_variant_get(F.col("_v"), "$", "string").alias("value"),
-                      F.when(F.coalesce(deep, F.lit(False)), F.lit("too-deep")).otherwise(F.lit("ok")).alias("status"))
+        step = (step.filter(leaf | F.col("_k").isNotNull())
+                .select(*id_cols, F.when(leaf, F.col("_path")).otherwise(child).alias("_path"), F.when(leaf, F.col("_v")).otherwise(F.col("_c")).alias("_v"))
+                .withColumn("_obj", F.try_variant_get("_v", "$", "map<string,variant>")))
+        opened = F.col("_obj").isNotNull()
+        done = materialize(step.select(*id_cols, "_path", F.when(~opened, text(F.col("_v"))).alias("_value"),
+                                       F.when(opened, F.col("_v")).alias("_node")), "settings")
+        found.append(done.filter("_node is null").select(*id_cols, F.col("_path").alias("path"), F.col("_value").alias("value"),
+                                                         F.lit("ok").alias("status")))
+        rest = done.filter("_node is not null")
+        level += 1
+        if rest.isEmpty():
+            break
+        cur = rest.select(*id_cols, "_path", F.col("_node").alias("_v"))
+        if level == max_depth:
+            found.append(cur.select(*id_cols, F.col("_path").alias("path"), text(F.col("_v")).alias("value"),
+                                    F.lit("too-deep").alias("status")))
+        cur = cur.withColumn("_obj", F.try_variant_get("_v", "$", "map<string,variant>"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 # Settings sections. ``services.<name>.<key>`` becomes
@@ -286,37 +309,39 @@ def command_defaults(df: DataFrame, col: str, id_cols: Sequence[str]) -> DataFra
     Keys below an option's name stay part of its value (as JSON). Where two
     sections give ``launch`` one option, a service's value is taken before
     the provider's and the provider's before launch's own. Empty sections
-    give nothing; a document that is not JSON gives no row.
+    give nothing; a document that is not JSON gives no row. Each row of
+    ``df`` is a document of its own: its options are resolved inside the row
+    and exploded, so nothing is shuffled.
     """
     def norm(k):
         return F.replace(k, F.lit("-"), F.lit("_"))
 
-    doc = F.try_parse_json(F.col(col))
-
-    def section(path: str, kind: str):
-        return F.try_variant_get(doc, path, kind)
-
-    def options(entries, prefix, rank):
-        return F.transform(F.coalesce(F.map_entries(entries), F.array().cast("array<struct<key:string,value:variant>>")),
-                           lambda e: F.struct(F.concat(prefix, norm(e["key"])).alias("option"),
-                                              F.try_variant_get(e["value"], "$", "string").alias("value"),
-                                              F.lit(rank).alias("rank")))
-
-    services = F.map_entries(section("$.services", "map<string,variant>"))
-    of_services = F.flatten(F.transform(
-        F.coalesce(services, F.array().cast("array<struct<key:string,value:variant>>")),
-        lambda s: options(F.try_variant_get(s["value"], "$", "map<string,variant>"),
-                          F.concat(norm(s["key"]), F.lit("_")), 2)))
-    rows = df.select(*id_cols, F.explode(F.concat(
-        options(section(f"$.{LAUNCH}", "map<string,variant>"), F.lit(""), 0),
-        options(section(f"$.providers.{PROVIDER}", "map<string,variant>"), F.lit(PROVIDER + "_"), 1),
-        of_services)).alias("_o"))
-    commands = F.when(F.col("_o.rank") == 1, F.array(*[F.lit(c) for c in (LAUNCH, *OTHER_COMMANDS)])).otherwise(
-        F.array(F.lit(LAUNCH)))
-    return (rows.withColumn("command", F.explode(commands))
-            .groupBy(*id_cols, "command", F.col("_o.option").alias("option"))
-            .agg(F.max_by(F.struct("_o.value"), F.col("_o.rank")).alias("_v"))
-            .select(*id_cols, "command", "option", F.col("_v.value").alias("value")))
+    none = F.array().cast("array<struct<option:string,value:string>>")
+
+    def options(entries, prefix):
+        """Of a section's entries, in order."""
+        return F.coalesce(F.transform(F.map_entries(entries), lambda e: F.struct(
+            F.concat(prefix, norm(e["key"])).alias("option"), F.try_variant_get(e["value"], "$", "string").alias("value"))), none)
+
+    def resolved(options_col: str):
+        """One entry per option, the last one of each."""
+        names, values = F.reverse(F.col(options_col)["option"]), F.reverse(F.col(options_col)["value"])
+        return F.transform(F.array_distinct(names), lambda k: F.struct(
+            k.alias("option"), F.get(values, F.array_position(names, k).cast("int") - 1).alias("value")))
+
+    sections = df.select(*id_cols, F.try_variant_get(F.try_parse_json(F.col(col)), "$", f"struct<{LAUNCH}:map<string,variant>,"
+                         f"providers:struct<{PROVIDER}:map<string,variant>>,services:map<string,map<string,variant>>>").alias("_s"))
+    listed = sections.select(
+        *id_cols, options(F.col("_s")[LAUNCH], F.lit("")).alias("_launch"),
+        options(F.col("_s")["providers"][PROVIDER], F.lit(PROVIDER + "_")).alias("_provider"),
+        F.flatten(F.coalesce(F.transform(F.map_entries(F.col("_s")["services"]), lambda s: options(
+            s["value"], F.concat(norm(s["key"]), F.lit("_")))), F.array(none))).alias("_services"))
+    ranked = listed.select(*id_cols, F.concat("_launch", "_provider", "_services").alias("_all"), "_provider")
+    own = ranked.select(*id_cols, resolved("_all").alias("_all"), resolved("_provider").alias("_provider"))
+    per_command = F.explode(F.array(F.struct(F.lit(LAUNCH).alias("command"), F.col("_all").alias("options")), *[
+        F.struct(F.lit(c).alias("command"), F.col("_provider").alias("options")) for c in OTHER_COMMANDS]))
+    return (own.select(*id_cols, per_command.alias("_c")).select(*id_cols, "_c.command", F.explode("_c.options").alias("_o"))
+            .select(*id_cols, "command", "_o.option", "_o.value"))
 
 
 # ------------------------------------------------------- X8 storage layout

@@ -132,11 +132,12 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[st
     (marked with a flag) decides both; the distinct keys are at most one
     row per key, so no request is duplicated. A name requested more than
     ``hot_rows`` times (found by a partial count) is salted over tasks;
-    other names join unsalted, so the existing-key table is not copied."""
+    other names join unsalted, so the existing-key table is not copied. A null
+    key is a name like any other: it is present if the existing names hold one."""
     keys = _cols(key)
     ex = existing.select(*keys).distinct().withColumn("_exists", F.lit(True))
     hot = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    return (salted_join(new, ex, keys, "left", salts, hot=hot)
+    return (salted_join(new, ex, keys, "left", salts, null_safe=True, hot=hot)
             .withColumn("status", F.when(F.col("_exists"), F.lit("rejected")).otherwise(F.lit("accepted")))
             .drop("_exists"))
 
@@ -212,32 +213,61 @@ def invalid_rules(rules: DataFrame, len_col: str) -> DataFrame:
     return rules.filter(~_valid_length(len_col))
 
 
+# Ports are 32-bit whole numbers; shifted by this they start at 0 and have 33 dyadic levels.
+_PORT_SHIFT = 1 << 31
+
+
+def port_pieces(lo_col: str, hi_col: str):
+    """The port range as disjoint dyadic pieces: an array of (level, piece), piece ``p`` of level ``k`` being the
+    ports ``p * 2**k`` to ``(p + 1) * 2**k - 1`` (shifted to start at 0). At most two a level; empty for an empty range."""
+    lo, hi = (f"CAST(least(greatest(CAST({c} AS BIGINT), {-_PORT_SHIFT}), {_PORT_SHIFT - 1}) AS BIGINT) + {_PORT_SHIFT}L"
+              for c in (lo_col, hi_col))
+    # on the way up, an odd left end or an odd right end is a piece of its own
+    left, right = f"shiftright({lo} + shiftleft(1L, k) - 1, k)", f"shiftright({hi} + 1, k)"
+    piece = "named_struct('level', k, 'piece', {})"
+    return F.expr(f"""IF({lo_col} IS NULL OR {hi_col} IS NULL, NULL, filter(flatten(transform(sequence(0, 32), k -> array(
+        IF({left} < {right} AND {left} % 2 = 1, {piece.format(left)}, NULL),
+        IF({left} < {right} AND {right} % 2 = 1, {piece.format(right + " - 1")}, NULL)))), x -> x IS NOT NULL))""")
+
+
 def match_rules(flows: DataFrame, rules: DataFrame, ip_col: str, port_col: str,
                 net_col: str, len_col: str, lo_col: str, hi_col: str,
                 lengths: Sequence[int] = tuple(range(33))) -> DataFrame:
     """Flows admitted by a rule: source IP inside the rule's CIDR and port
     inside its range.
 
-    A CIDR test is a range condition, which Spark can only plan as a
-    nested-loop join. Each distinct address is instead expanded once per
-    prefix length (``lengths``, by default the whole domain 0..32) and its
-    network number computed; the match becomes an equi-join on (length,
-    network). Flows then join their address's rules and keep those whose
-    port range holds. A rule network with host bits set is reduced to its
-    network start; rules outside 0..32 admit nothing (``invalid_rules``).
+    Both tests are range conditions, which Spark can only plan as a
+    nested-loop join or as a filter after an address has met all its rules.
+    Here both are equi-joins. Each distinct address is expanded once per
+    prefix length (``lengths``, by default the whole domain 0..32) and met
+    with the distinct networks of the rules. A rule's port range is cut into
+    disjoint dyadic pieces; a flow then looks up, per network of its
+    address, its port's piece at each level that the network's rules use
+    (one level if they name single ports). A flow meets the rules that admit
+    it, each once, and no others, so a network with very many port rules
+    multiplies nothing. A rule network with host bits set is reduced to its
+    network start; rules outside 0..32 (``invalid_rules``) and rules with an
+    empty or null range admit nothing. Ports are whole 32-bit numbers.
     """
     bad = [x for x in lengths if not 0 <= int(x) <= 32]
     if bad:
         raise ValueError(f"prefix lengths {bad} are outside 0..32")
+    r = (rules.filter(_valid_length(len_col)).withColumn(net_col, _network_of(net_col, len_col))
+         .withColumnRenamed(len_col, "_rlen").withColumnRenamed(net_col, "_rnet")
+         .withColumn("_p", F.explode(port_pieces(lo_col, hi_col))))
+    nets = r.groupBy("_rlen", "_rnet").agg(F.collect_set("_p.level").alias("_levels"))  # at most 33 levels
     keyed = (flows.select(F.col(ip_col).alias("_ip")).filter(F.col("_ip").isNotNull()).distinct()
              .withColumn("_len", F.explode(F.array(*[F.lit(int(x)) for x in lengths])))
              .withColumn("_net", _network_of("_ip", "_len")))
-    r = (rules.filter(_valid_length(len_col)).withColumn(net_col, _network_of(net_col, len_col))
-         .withColumnRenamed(len_col, "_rlen").withColumnRenamed(net_col, "_rnet"))
-    by_address = (keyed.join(r, (F.col("_len") == F.col("_rlen")) & (F.col("_net") == F.col("_rnet")))
-                  .drop("_len", "_net"))
-    return (flows.join(by_address, F.col(ip_col) == F.col("_ip"))
-            .filter(F.col(port_col).between(F.col(lo_col), F.col(hi_col))).drop("_ip")
+    by_address = (keyed.join(nets, (F.col("_len") == F.col("_rlen")) & (F.col("_net") == F.col("_rnet")))
+                  .select("_ip", "_len", "_net", "_levels"))
+    asked = (flows.join(by_address, F.col(ip_col) == F.col("_ip")).drop("_ip")
+             .withColumn("_level", F.explode("_levels")).drop("_levels")
+             .withColumn("_piece", F.expr(f"shiftright(CAST(`{port_col}` AS BIGINT) + {_PORT_SHIFT}L, _level)")))
+    r = r.withColumn("_rlevel", F.col("_p.level")).withColumn("_rpiece", F.col("_p.piece")).drop("_p")
+    met = asked.join(r, (F.col("_len") == F.col("_rlen")) & (F.col("_net") == F.col("_rnet"))
+                     & (F.col("_level") == F.col("_rlevel")) & (F.col("_piece") == F.col("_rpiece")))
+    return (met.drop("_len", "_net", "_level", "_piece", "_rlevel", "_rpiece")
             .withColumnRenamed("_rlen", len_col).withColumnRenamed("_rnet", net_col))
 
 
@@ -321,7 +351,8 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: str | Sequence[str]
     Full outer join on the keys; ``compare`` columns are compared null-safe
     (``<=>``), so NULL to NULL is unchanged. ``keys`` must identify one row
     per snapshot (as instance ids do); reduce a snapshot with repeated keys
-    first (``dedupe_rules`` or an aggregate), or its rows would pair up.
+    first (``dedupe_rules`` or an aggregate), or its rows would pair up;
+    ``bag_diff`` compares snapshots whose rows repeat.
     """
     keys = _cols(keys)
     b = before.select(*keys, *[F.col(c).alias(f"before_{c}") for c in compare]).withColumn("_b", F.lit(True))
@@ -343,6 +374,26 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: str | Sequence[str]
     return j.withColumn("change", change).drop("_a", "_b")
 
 
+def bag_diff(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """added / removed / kept copies of each row between two snapshots with repeated rows.
+
+    One row per different row and change: ``columns``, ``change``, ``copies``.
+    A row with m copies before and n after has min(m, n) kept copies and the
+    rest added or removed, so the added copies are those of ``after EXCEPT ALL before``
+    and the removed ones those of ``before EXCEPT ALL after``. NULLs are equal
+    to each other. One aggregate over both snapshots decides everything: copies are counted
+    before the shuffle, so a row that makes up a third of a snapshot
+    ships one count per task.
+    """
+    columns = list(columns)
+    counts = (before.select(*columns, F.lit(1).alias("_b"), F.lit(0).alias("_a"))
+              .unionByName(after.select(*columns, F.lit(0).alias("_b"), F.lit(1).alias("_a")))
+              .groupBy(*columns).agg(F.sum("_b").alias("_b"), F.sum("_a").alias("_a")))
+    parts = F.array(*[F.struct(F.lit(name).alias("change"), n.cast("bigint").alias("copies")) for name, n in (
+        ("kept", F.least("_b", "_a")), ("removed", F.col("_b") - F.col("_a")), ("added", F.col("_a") - F.col("_b")))])
+    return counts.select(*columns, F.explode(parts).alias("_p")).select(*columns, "_p.change", "_p.copies").filter("copies > 0")
+
+
 # --- set operations -------------------------------------------------------
 
 def new_members(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -350,6 +401,11 @@ def new_members(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.subtract(before)
 
 
+def new_copies(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Copies of rows of ``now`` beyond those in ``before`` (EXCEPT ALL)."""
+    return now.exceptAll(before)
+
+
 def combine_rules(a: DataFrame, b: DataFrame) -> DataFrame:
     """Keep-all union by column name (no exchange)."""
     return a.unionByName(b, allowMissingColumns=True)

@@ -83,6 +83,28 @@ def q_snapshot_diff(spark, sf_dir):
     return joins.snapshot_diff(snap(False), snap(True), "o_custkey", ["status"])
 
 
+# Statuses per customer: many orders of a customer share one, so rows repeat.
+_BAG = "SELECT o_custkey, o_orderstatus FROM orders WHERE"
+
+
+@query("bag_diff", "J8", sql=f"""
+WITH b AS ({_BAG} {BEFORE}), a AS ({_BAG} {AFTER}),
+x AS (SELECT 'added' AS change, * FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT 'removed', * FROM (FROM b EXCEPT ALL FROM a)
+      UNION ALL SELECT 'kept', * FROM (FROM a INTERSECT ALL FROM b))
+SELECT o_custkey, o_orderstatus, change, count(*) AS copies FROM x GROUP BY ALL
+""")
+def q_bag_diff(spark, sf_dir):
+    return joins.bag_diff(snapshot(spark, sf_dir, False), snapshot(spark, sf_dir, True), ["o_custkey", "o_orderstatus"])
+
+
+@query("new_copies", "U1", sql=f"""
+{_BAG} {AFTER} EXCEPT ALL {_BAG} {BEFORE}
+""")
+def q_new_copies(spark, sf_dir):
+    cols = ["o_custkey", "o_orderstatus"]
+    return joins.new_copies(snapshot(spark, sf_dir, True).select(*cols), snapshot(spark, sf_dir, False).select(*cols))
+
+
 @query("new_members", "U1", sql=f"""
 SELECT o_custkey FROM orders WHERE {AFTER} EXCEPT SELECT o_custkey FROM orders WHERE {BEFORE}
 """)

@@ -18,7 +18,7 @@ resumes exactly once (a fresh folder starts from the beginning).
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fleetlens.operators.joins import admit_commands
+from fleetlens.operators.joins import admit_commands, dedupe_rules
 from fleetlens.session import scratch_path
 
 EVENT_SCHEMA = T.StructType([
@@ -94,16 +94,28 @@ def write_arrivals(events: DataFrame, path: str, batches: int = 4, heartbeat: st
         part = events.filter(F.col("ts") >= F.lit(first + i * step).cast("timestamp_ntz")) if i else events
         if i + 1 < batches:
             part = part.filter(F.col("ts") < F.lit(first + (i + 1) * step).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
     if heartbeat:
-        end = events.sparkSession.range(1).select(*[
-            (F.lit(last).cast("timestamp_ntz") + F.expr(f"INTERVAL {heartbeat}")).alias(f.name) if f.name == "ts"
-            else F.lit(HEARTBEAT if f.name == "event_type" else None).cast(f.dataType).alias(f.name)
-            for f in events.schema.fields])
-        end.write.mode("append").parquet(path)
+        write_heartbeat(events.sparkSession, path, events.schema,
+                        F.lit(last).cast("timestamp_ntz") + F.expr(f"INTERVAL {heartbeat}"))
     return path
 
 
+def write_heartbeat(spark: SparkSession, path: str, schema: T.StructType, at) -> None:
+    """Append one row of type ``heartbeat`` with the time ``at``; its other columns are null."""
+    spark.range(1).select(*[
+        at.alias(f.name) if f.name == "ts"
+        else F.lit(HEARTBEAT if f.name == "event_type" else None).cast(f.dataType).alias(f.name)
+        for f in schema.fields]).write.mode("append").parquet(path)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that the stateful processors need."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != provider:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+
+
 def _await(query, name: str, timeout_s: float | None) -> None:
     query.awaitTermination(timeout_s)
     if query.isActive:
@@ -136,6 +148,31 @@ def run_available(sdf: DataFrame, name: str, output_mode: str = "append", timeou
     return spark.read.schema(sdf.schema).parquet(out)
 
 
+# The end of event time: later than any event.
+END_OF_TIME = "9999-01-01 00:00:00"
+
+
+def run_to_end(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], name: str,
+               schema: T.StructType = EVENT_SCHEMA, max_files_per_trigger: int | None = None,
+               timeout_s: float | None = None) -> DataFrame:
+    """Stream a table's own files through ``build`` (append mode) and then end its event time.
+
+    The events are read where they are; beside them the stream watches a
+    folder of its own for heartbeats. When all files are read, one heartbeat
+    row at ``END_OF_TIME`` is put there and the query goes on from its
+    checkpoint: the watermark passes every window, session and timer, and all
+    of them are emitted. Only for tables that are complete: rows that come
+    after the end are late.
+    """
+    beats = scratch_path(spark, "heartbeats")
+    out, checkpoint = _places(spark, name, None, None)
+    rows = event_stream(spark, path, schema, max_files_per_trigger)
+    plan = build(rows.unionByName(event_stream(spark, beats, schema)))
+    run_available(plan, name, "append", timeout_s, out, checkpoint)
+    write_heartbeat(spark, beats, schema, F.lit(END_OF_TIME).cast("timestamp_ntz"))
+    return run_available(plan, name, "append", timeout_s, out, checkpoint)
+
+
 def run_available_updates(sdf: DataFrame, name: str, timeout_s: float | None = None,
                           out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run an update-mode streaming plan over all available input. Each
@@ -198,6 +235,48 @@ def stream_dedupe(events: DataFrame, keys: Iterable[str], watermark: str | None
     return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
+def dedupe_into(events: DataFrame, keys: Iterable[str], name: str, watermark: str | None = None,
+                order: Iterable[str] = ("ts", "event_id"), carry: Iterable[str] = (), buckets: int = 32,
+                timeout_s: float | None = None, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over all available input into a table that holds each key once; returns the table.
+
+    The table itself is what a repeat is held against: each micro-batch keeps
+    the first row of a key (by ``order``), drops the keys that the table has,
+    and adds the rest. So a repeat is dropped however long after, and after a
+    restart, without a state that grows with the keys. The table lies in
+    ``batch_id=<n>/bucket=<b>`` folders: a batch reads only the buckets that
+    its own keys fall in, and a repeated batch replaces its own folder and
+    ignores what it or later ones wrote. With ``watermark`` repeats within that delay are dropped in
+    the stream first (a bounded state), and rows later than that are lost.
+    Null keys are equal to each other.
+    """
+    spark, keys, carry = events.sparkSession, list(keys), list(carry)
+    out, checkpoint = _places(spark, name, out, checkpoint)
+    rows = stream_dedupe(events, keys, watermark) if watermark else events
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    columns = T.StructType([rows.schema[c] for c in (*keys, *carry)])
+    schema = T.StructType([*columns.fields, T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        first = dedupe_rules(batch, keys, list(order), carry).withColumn("bucket", bucket).persist()
+        touched = [r.bucket for r in first.select("bucket").distinct().collect()]  # at most ``buckets``
+        have = (spark.read.schema(schema).parquet(out).where(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id))
+                .select("bucket", *[F.col(k).alias(f"_have_{k}") for k in keys]).withColumnRenamed("bucket", "_bucket"))
+        same = F.col("bucket") == F.col("_bucket")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_have_{k}"))
+        new = first.join(have, same, "left_anti").select(*columns.names, "bucket")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(out, f"batch_id={batch_id}"))
+        first.unpersist()
+
+    # an empty first folder, so that the table can be read before the first batch
+    spark.createDataFrame([], T.StructType([f for f in schema.fields if f.name not in ("batch_id", "bucket")])).write.mode(
+        "ignore").parquet(os.path.join(out, "batch_id=-1", "bucket=-1"))
+    _await(rows.writeStream.outputMode("append").foreachBatch(write_batch)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), name, timeout_s)
+    return spark.read.schema(schema).parquet(out).select(*columns.names)
+
+
 # ------------------------------------------------------------------ T5
 def admit_stream(requests: DataFrame, command_col: str, state_col: str) -> DataFrame:
     """Command admission on a stream: stream-static join with the fixed
@@ -297,10 +376,7 @@ def track_state_processor(events: DataFrame, member_col: str, cluster_col: str,
     """The same stream of newest-state changes with a custom stateful
     processor (``transformWithStateInPandas``, append mode), for state
     logic that a built-in aggregate cannot express."""
-    spark = events.sparkSession
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != provider:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    use_rocksdb(events.sparkSession)
     rows = events.select(F.col(member_col).alias("member"), F.col(cluster_col).alias("cluster"),
                          F.col(ts_col).alias("ts"), F.col(id_col).alias("event_id"),
                          F.col(state_col).alias("state"))
@@ -309,96 +385,6 @@ def track_state_processor(events: DataFrame, member_col: str, cluster_col: str,
         outputMode="Append", timeMode="None")
 
 
-CLUSTER_STATUS_SCHEMA = T.StructType([
-    T.StructField("cluster", T.LongType()),
-    T.StructField("bucket", T.IntegerType()),
-    T.StructField("version", T.LongType()),
-    T.StructField("members", T.LongType()),
-    T.StructField("laggards", T.LongType()),
-    T.StructField("all_reached", T.BooleanType()),
-])
-
-
-class ClusterProgress(StatefulProcessor):
-    """Per bucket of a cluster's members: each member's newest (ts, id, state) in a map state
-    (RocksDB-backed, so many members spill to disk) plus running member
-    and laggard counts, updated incrementally. Emits the bucket's status, with an increasing ``version``, in every micro-batch
-    that changes it; ``all_reached`` is true once every member's newest
-    state is the target."""
-
-    def __init__(self, target: str):
-        self.target = target
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.members = handle.getMapState(
-            "members", T.StructType([T.StructField("member", T.LongType())]),
-            T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("event_id", T.LongType()),
-                          T.StructField("state", T.StringType())]))
-        self.counts = handle.getValueState(
-            "counts", T.StructType([T.StructField("version", T.LongType()),
-                                    T.StructField("members", T.LongType()),
-                                    T.StructField("laggards", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        version, n, lag = self.counts.get() or (0, 0, 0)
-        changed = False
-        newest = (row for pdf in rows if not pdf.empty
-                  for row in pdf.sort_values(["member", "ts", "event_id"]).groupby("member", sort=False).tail(1)
-                  .itertuples(index=False))
-        for row in newest:  # one Arrow batch at a time
-            mkey = (int(row.member),)
-            cand = (pd.Timestamp(row.ts), int(row.event_id))
-            prev = self.members.getValue(mkey)  # None when absent: one round trip
-            if prev is not None and (pd.Timestamp(prev[0]), prev[1]) >= cand:
-                continue
-            if prev is None:
-                n += 1
-            else:
-                lag -= int(prev[2] != self.target)
-            lag += int(row.state != self.target)
-            self.members.updateValue(mkey, (cand[0].to_pydatetime(), cand[1], row.state))
-            changed = True
-        if not changed:
-            return
-        version += 1
-        self.counts.update((version, n, lag))
-        yield pd.DataFrame({"cluster": [int(key[0])], "bucket": [int(key[1])], "version": [version], "members": [n],
-                            "laggards": [lag], "all_reached": [lag == 0]})
-
-    def close(self) -> None:
-        pass
-
-
-def track_cluster(events: DataFrame, member_col: str, cluster_col: str, state_col: str,
-                  target: str, ts_col: str = "ts", id_col: str = "event_id", buckets: int = 16) -> DataFrame:
-    """Stream of status changes (members, laggards, all_reached) per bucket
-    of a cluster's members, emitted by a stateful processor keyed by
-    (cluster, bucket): a cluster's members, state and per-batch work are
-    spread over ``buckets`` tasks. ``newest_status`` sums the buckets."""
-    spark = events.sparkSession
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != provider:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    rows = events.select(F.col(member_col).alias("member"), F.col(cluster_col).alias("cluster"),
-                         F.col(ts_col).alias("ts"), F.col(id_col).alias("event_id"),
-                         F.col(state_col).alias("state"))
-    # Map-side combine first: a hot cluster ships at most one row per member
-    # per partition and micro-batch, not every event.
-    spread = _combined(rows).withColumn("bucket", F.pmod(F.xxhash64("member"), F.lit(buckets)).cast("int"))
-    return spread.groupBy("cluster", "bucket").transformWithStateInPandas(
-        statefulProcessor=ClusterProgress(target), outputStructType=CLUSTER_STATUS_SCHEMA,
-        outputMode="Append", timeMode="None")
-
-
-def newest_status(statuses: DataFrame) -> DataFrame:
-    """Status per cluster from a ``track_cluster`` output: each bucket's newest
-    row (``max_by`` version), summed."""
-    latest = statuses.groupBy("cluster", "bucket").agg(
-        F.max_by(F.struct("members", "laggards"), F.col("version")).alias("s"))
-    return (latest.groupBy("cluster").agg(F.sum("s.members").alias("members"), F.sum("s.laggards").alias("laggards"))
-            .withColumn("all_reached", F.col("laggards") == 0))
-
-
 def cluster_status(changes: DataFrame, target: str) -> DataFrame:
     """Fold state changes into per-cluster status: members, laggards and
     whether every member's newest state is ``target`` (partial aggregates)."""

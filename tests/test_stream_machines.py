@@ -1,0 +1,297 @@
+"""Stateful stream operators: the same answer however the input is cut, late rows, silent hosts, restarts."""
+
+import datetime as dt
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SMALL_SF
+from fleetlens.streaming import machines, streams
+
+START = dt.datetime(2024, 1, 1)
+TYPES = {"purchase": "ok", "signup": "ssh-protocol", "error": "timeout", "view": "authentication", "click": None}
+
+
+def at(seconds):
+    return START + dt.timedelta(seconds=seconds)
+
+
+def land(spark, folder, batches):
+    """One file per micro-batch, in order of ``batches`` (rows of EVENT_SCHEMA each)."""
+    for rows in batches:
+        spark.createDataFrame(rows, streams.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def splits(spark, tmp_path, rows):
+    """The rows in one file, in time order, and dealt at random."""
+    rnd = random.Random(3)
+    by_time = sorted(rows, key=lambda r: r[1] or START)
+    third = len(rows) // 3
+    dealt = rows[:]
+    rnd.shuffle(dealt)
+    for name, parts in (("one", [rows]), ("ordered", [by_time[:third], by_time[third:2 * third], by_time[2 * third:]]),
+                        ("shuffled", [dealt[:third], dealt[third:]])):
+        yield land(spark, str(tmp_path / name), parts)
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    return [tuple(r) for r in spark.read.parquet(os.path.join(SMALL_SF, "events.parquet")).collect()]
+
+
+# ------------------------------------------------------------------ T1
+def status(rows, target="purchase"):
+    newest = {}
+    for eid, ts, member, state, value, _ in rows:
+        rank = [(v is not None, v or 0) for v in (ts, eid, value and int(value), state)]
+        if member not in newest or rank > newest[member][0]:
+            newest[member] = rank, None if value is None else int(value), state
+    out = {}
+    for _, cluster, state in newest.values():
+        n, lag = out.get(cluster, (0, 0))
+        out[cluster] = n + 1, lag + (state != target)
+    return out
+
+
+def test_moving_members_any_split(spark, tmp_path, events):
+    """Clusters by value: members move all the time; null members, ids, times, states and clusters among them."""
+    odd = [(None, at(5), 7, "purchase", 3.0, None), (None, None, 900, "purchase", 3.0, None), (1, at(9), None, "purchase", 2.0, None),
+           (2, at(9), None, None, 2.0, None), (3, at(1), 901, "purchase", None, None), (3, at(1), 901, "x", 4.0, None),
+           (2 ** 60 + 1, at(1), 902, "purchase", 1.0, None), (2 ** 60, at(1), 902, "x", 5.0, None)]
+    rows = events[:400] + odd
+    for folder in splits(spark, tmp_path, rows):
+        s = streams.event_stream(spark, folder, max_files_per_trigger=1).withColumn("cluster", F.col("value").cast("int"))
+        got = machines.newest_status(streams.run_available(
+            machines.track_cluster(s, "user_id", "cluster", "event_type", "purchase"), "moves")).collect()
+        assert {r.cluster: (r.members, r.laggards) for r in got} == status(rows), folder
+        assert all(r.all_reached == (r.laggards == 0) for r in got)
+
+
+def test_a_cluster_that_loses_its_members_is_corrected(spark, tmp_path):
+    folder = land(spark, str(tmp_path / "in"), [[(1, at(1), 7, "purchase", 1.0, None)], [(2, at(2), 7, "purchase", 2.0, None)]])
+    s = streams.event_stream(spark, folder, max_files_per_trigger=1).withColumn("cluster", F.col("value").cast("int"))
+    out = streams.run_available(machines.track_cluster(s, "user_id", "cluster", "event_type", "purchase"), "empty_cluster")
+    assert sorted((r.cluster, r.version, r.members, r.all_reached) for r in out.collect()) == [
+        (1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, True)]
+    assert [tuple(r) for r in machines.newest_status(out).collect()] == [(2, 1, 0, True)]
+
+
+# ------------------------------------------------------------------ T2
+def test_silent_hosts_are_down_at_their_deadline(spark, tmp_path, events):
+    hosts = [(u, at(3600 * u)) for u in range(30)] + [(3, at(0)), (None, at(0)), (77, None)]  # 15..29 never send anything
+    table = spark.createDataFrame(hosts, "user_id long, since timestamp_ntz")
+    limit = dt.timedelta(hours=20)
+    want = set()
+    for u, since in {h[0]: h for h in hosts[:30]}.values():
+        seen = [(r[1], r[3] != "error") for r in events if r[2] == u and since <= r[1] <= since + limit]
+        good = [t for t, ok in seen if ok]
+        want.add((u, since, since + limit, "up" if good else "down", len(seen), len(good), min(good, default=None)))
+    assert {w[3] for w in want} == {"up", "down"}
+    for folder in splits(spark, tmp_path, events):
+        got = streams.run_to_end(spark, folder, lambda e: machines.health_deadlines(
+            e.withColumn("ok", F.col("event_type") != "error"), table, "user_id", "ok", "20 hours", watermark="60 days"),
+            "deadlines", max_files_per_trigger=1)
+        assert {tuple(r) for r in got.collect()} == want, folder
+
+
+def test_deadline_edges_and_unlisted_hosts(spark, tmp_path):
+    table = spark.createDataFrame([(1, at(0)), (2, at(0)), (3, at(0))], "user_id long, since timestamp_ntz")
+    rows = [(1, at(90), 1, "ok", None, None),  # at the deadline itself
+            (2, at(90) + dt.timedelta(microseconds=1), 2, "ok", None, None), (3, at(-1), 3, "ok", None, None),
+            (4, at(10), 9, "ok", None, None), (5, at(10), None, "ok", None, None), (6, at(10), 3, None, None, None)]
+    got = streams.run_to_end(spark, land(spark, str(tmp_path / "in"), [rows]), lambda e: machines.health_deadlines(
+        e.withColumn("ok", F.col("event_type") == "ok"), table, "user_id", "ok"), "edges")
+    assert {(r.user_id, r.status, r.probes, r.successes) for r in got.collect()} == {(1, "up", 1, 1), (2, "down", 0, 0), (3, "down", 1, 0)}
+
+
+def test_a_deadline_comes_with_the_watermark_not_before(spark, tmp_path):
+    """A wait goes on over a restart; the report comes in the run whose events pass the deadline."""
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    table = spark.createDataFrame([(1, at(0)), (2, at(0))], "user_id long, since timestamp_ntz")
+
+    def run():
+        e = streams.event_stream(spark, src).withColumn("ok", F.col("event_type") == "ok")
+        plan = machines.health_deadlines(e, table, "user_id", "ok", "1 hour", watermark="1 second")
+        return {(r.user_id, r.status) for r in streams.run_available(plan, "wait", out=out, checkpoint=ckpt).collect()}
+
+    land(spark, src, [[(1, at(60), 1, "ok", None, None)]])
+    assert run() == set()
+    land(spark, src, [[(2, at(7200), 5, "ok", None, None)]])  # any host's event moves the watermark
+    assert run() == {(1, "up"), (2, "down")}
+
+
+# ------------------------------------------------------------------ T3
+def chains(rows, limit, expiry):
+    """Brute force: one pass over each host's attempts in order of (ts, id)."""
+    by_host, out = {}, set()
+    for eid, ts, u, kind, _, _ in rows:
+        by_host.setdefault(u, []).append((ts, eid, kind))
+    for u, attempts in by_host.items():
+        chain = []
+        for ts, _, kind in sorted(attempts) + [(dt.datetime(9999, 1, 1), 0, None)]:
+            if chain and (ts - chain[-1]).total_seconds() > expiry:
+                out.add((u, chain[0], chain[-1], len(chain), "open"))
+                chain = []
+            chain.append(ts)
+            how = {"purchase": "succeeded", "signup": "fatal"}.get(kind, "exhausted" if len(chain) >= limit else None)
+            if how:
+                out.add((u, chain[0], ts, len(chain), how))
+                chain = []
+    return out
+
+
+def test_attempt_outcomes_any_split(spark, tmp_path, events):
+    want = chains(events, 3, 12 * 3600)
+    assert {w[4] for w in want} == {"succeeded", "fatal", "exhausted", "open"}
+    kind = "CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'connection-refused' WHEN 'view' THEN 'authentication' " \
+           "WHEN 'signup' THEN 'ssh-protocol' END"
+    for folder in splits(spark, tmp_path, events):
+        got = streams.run_to_end(spark, folder, lambda e: machines.attempt_outcomes(
+            e.withColumn("ok", F.col("event_type") == "purchase").withColumn("kind", F.expr(kind)),
+            "user_id", "ok", "kind", 3, 12 * 3600, watermark="60 days"), "outcomes", max_files_per_trigger=1)
+        assert {tuple(r) for r in got.collect()} == want, folder
+
+
+def test_attempts_equal_batch_retry_chains(spark, tmp_path, events):
+    """Without fatal kinds, a limit or an expiry, the successes close the chains of the batch operator."""
+    from fleetlens.operators import windows
+    batch = windows.retry_chains(spark.createDataFrame(events, streams.EVENT_SCHEMA).withColumn("ok", F.col("event_type") == "purchase"),
+                                 "user_id", "ts", "event_id", "ok", 10 ** 6)
+    want = {(r.user_id, r.first_ts, r.last_ts, r.attempts, r.outcome) for r in batch.collect()}
+    got = streams.run_to_end(spark, land(spark, str(tmp_path / "in"), [events]), lambda e: machines.attempt_outcomes(
+        e.withColumn("ok", F.col("event_type") == "purchase").withColumn("kind", F.lit("timeout")),
+        "user_id", "ok", "kind", 10 ** 6, 365 * 86400), "as_batch")
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_open_chains_wait_for_their_expiry(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+
+    def run():
+        e = streams.event_stream(spark, src).withColumn("ok", F.lit(False)).withColumn("kind", F.lit("timeout"))
+        plan = machines.attempt_outcomes(e, "user_id", "ok", "kind", 3, 100, watermark="1 second")
+        got = streams.run_available(plan, "expiry", out=out, checkpoint=ckpt).collect()
+        return sorted((r.user_id, (r.chain_start - START).seconds, r.attempts, r.outcome) for r in got)
+
+    land(spark, src, [[(1, at(0), 1, "x", None, None), (2, at(50), 1, "x", None, None), (3, at(60), 2, "x", None, None)]])
+    assert run() == []
+    land(spark, src, [[(4, at(150), 1, "x", None, None), (5, at(155), 9, "x", None, None)]])  # 100 s later: still the same chain
+    assert run() == [(1, 0, 3, "exhausted")]
+    land(spark, src, [[(6, at(400), 8, "x", None, None)]])
+    assert run() == [(1, 0, 3, "exhausted"), (2, 60, 1, "open"), (9, 155, 1, "open")]
+
+
+# ------------------------------------------------------------------ T4
+def test_repeats_are_held_against_the_table_also_after_expiry_and_restart(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+
+    def run():
+        e = streams.event_stream(spark, src, max_files_per_trigger=1)
+        got = streams.dedupe_into(e, ["user_id", "event_type"], "rules", "1 hour", carry=["value"], out=out, checkpoint=ckpt, buckets=4)
+        return sorted(map(tuple, got.collect()), key=repr)
+
+    land(spark, src, [[(1, at(0), 1, "a", 1.0, None), (2, at(1), 1, "a", 2.0, None), (3, at(2), None, "a", 3.0, None)],
+                      [(4, at(10 ** 6), 2, "b", 4.0, None)]])
+    first = [(1, "a", 1.0), (2, "b", 4.0), (None, "a", 3.0)]
+    assert run() == sorted(first, key=repr)
+    land(spark, src, [[(5, at(2 * 10 ** 6), 1, "a", 5.0, None), (6, at(2 * 10 ** 6), None, "a", 6.0, None),
+                       (7, at(2 * 10 ** 6), 3, None, 7.0, None)]])  # long forgotten by the state, still in the table
+    want = sorted(first + [(3, None, 7.0)], key=repr)
+    assert run() == want
+    assert run() == want
+
+
+def test_a_repeated_batch_replaces_its_own_rows(spark, tmp_path, events):
+    """The last batch runs again after a failure: the table stays the same."""
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    land(spark, src, [events[:300], events[300:700], events[700:]])
+
+    def run():
+        e = streams.event_stream(spark, src, max_files_per_trigger=1)
+        return sorted(map(tuple, streams.dedupe_into(e, ["user_id", "event_type"], "again", out=out, checkpoint=ckpt).collect()))
+
+    want = sorted({(r[2], r[3]) for r in events})
+    assert run() == want
+    commits = os.path.join(ckpt, "commits")
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    for f in (last, f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, f)):
+            os.remove(os.path.join(commits, f))
+    assert run() == want
+
+
+def test_stream_state_is_bounded_by_the_watermark(spark, tmp_path):
+    batches = [[(100 * b + i, at(86400 * b), 100 * b + i, "a", None, None) for i in range(100)] for b in range(5)]
+    e = streams.event_stream(spark, land(spark, str(tmp_path / "in"), batches), max_files_per_trigger=1)
+    q = (streams.stream_dedupe(e, ["user_id"], "1 hour").writeStream.format("noop").trigger(availableNow=True)
+         .option("checkpointLocation", str(tmp_path / "ckpt")).start())
+    q.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows) <= 200 and rows[-1] <= 200  # 500 keys went through
+
+
+# ------------------------------------------------------------------ T5
+def asof(rows):
+    changes = [(r[2], r[1], r[0], r[5]) for r in rows if r[3] == "change"]
+    out = set()
+    for eid, ts, u, kind, _, command in rows:
+        if kind == "request":
+            before = [(t, i, s) for c, t, i, s in changes if c == u and t <= ts]
+            out.add((eid, command, max(before)[2] if before else None))
+    return out
+
+
+@pytest.mark.parametrize("cut", ["one", "late state", "late request"])
+def test_live_admission(spark, tmp_path, cut):
+    rows = [(1, at(10), 1, "change", None, "stopped"), (2, at(20), 1, "request", None, "start"), (3, at(30), 1, "change", None, "running"),
+            (4, at(30), 1, "request", None, "start"), (5, at(40), 2, "request", None, "stop"), (6, at(5), 1, "request", None, "stop"),
+            (7, at(50), 1, "change", None, None), (8, at(60), 1, "request", None, "stop"), (9, at(50), None, "change", None, "running"),
+            (10, at(60), None, "request", None, "stop"), (11, at(70), 3, "change", None, "running"), (12, at(70), 3, "change", None, "stopped"),
+            (13, at(70), 3, "request", None, "start")]
+    parts = {"one": [rows], "late state": [[r for r in rows if r[3] == "request"], [r for r in rows if r[3] == "change"]],
+             "late request": [[r for r in rows if r[3] == "change"], [r for r in rows if r[3] == "request"]]}[cut]
+
+    def build(e):
+        beat = F.col("event_type") == streams.HEARTBEAT
+        return machines.admit_live(e.filter(beat | (F.col("event_type") == "request")).withColumn("command", F.col("props")),
+                                   e.filter(beat | (F.col("event_type") == "change")).withColumn("state", F.col("props")),
+                                   "user_id", "command", "state")
+
+    got = streams.run_to_end(spark, land(spark, str(tmp_path / "in"), parts), build, "live", max_files_per_trigger=1).collect()
+    assert {(r.event_id, r.command, r.state) for r in got} == asof(rows)
+    decisions = {r.event_id: (r.decision, r.exit_code) for r in got}
+    assert decisions[2] == ("ok", 0) and decisions[4] == ("nothing-to-do", 0) and decisions[5] == ("invalid", 1)
+    assert decisions[8] == ("invalid", 1) and decisions[10] == ("ok", 0) and decisions[13] == ("ok", 0)
+
+
+def test_state_later_than_the_watermark_is_dropped(spark, tmp_path):
+    """The request has been answered by then; it stays as it was answered."""
+    batches = [[(1, at(0), 1, "request", None, "stop"), (2, at(10 ** 5), 9, "request", None, "stop")], [(3, at(10 ** 5 + 1), 9, "request", None, "x")],
+               [(4, at(-5), 1, "change", None, "running"), (5, at(10 ** 5 - 5), 9, "change", None, "running")]]
+    folder = land(spark, str(tmp_path / "in"), batches)
+
+    def build(e):
+        beat = F.col("event_type") == streams.HEARTBEAT
+        return machines.admit_live(e.filter(beat | (F.col("event_type") == "request")).withColumn("command", F.col("props")),
+                                   e.filter(beat | (F.col("event_type") == "change")).withColumn("state", F.col("props")),
+                                   "user_id", "command", "state", watermark="1 minute")
+
+    # both sides hold the watermark back: a change stream that is behind keeps requests waiting
+    got = {r.event_id: r.state for r in streams.run_to_end(spark, folder, build, "late", max_files_per_trigger=1).collect()}
+    assert got[2] == "running" and set(got) == {1, 2, 3}
+
+
+def test_empty_input(spark, tmp_path):
+    folder = land(spark, str(tmp_path / "in"), [[]])
+    hosts = spark.createDataFrame([(1, at(0))], "user_id long, since timestamp_ntz")
+    got = streams.run_to_end(spark, folder, lambda e: machines.health_deadlines(
+        e.withColumn("ok", F.lit(True)), hosts, "user_id", "ok"), "none")
+    assert [(r.user_id, r.status) for r in got.collect()] == [(1, "down")]
+    got = streams.run_to_end(spark, folder, lambda e: machines.attempt_outcomes(
+        e.withColumn("ok", F.lit(True)).withColumn("kind", F.lit("timeout")), "user_id", "ok", "kind", 3, 60), "none")
+    assert got.collect() == []
+    s = streams.event_stream(spark, folder).withColumn("cluster", F.lit(1))
+    assert streams.run_available(machines.track_cluster(s, "user_id", "cluster", "event_type", "x"), "none").collect() == []

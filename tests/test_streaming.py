@@ -11,7 +11,7 @@ from conftest import SMALL_SF
 from fleetlens.operators import joins, windows
 from fleetlens.plans import derived as d
 from fleetlens.plans.rules_bindings import CLUSTER_STATE, COMMAND
-from fleetlens.streaming import streams
+from fleetlens.streaming import machines, streams
 
 
 @pytest.fixture(scope="module")
@@ -90,9 +90,9 @@ def test_track_cluster_emits_progress(spark, split_events):
     ev, _, shuffled = split_events
     s = _stream(spark, shuffled).withColumn("cluster", F.col("user_id") % 10)
     statuses = streams.run_available(
-        streams.track_cluster(s, "user_id", "cluster", "event_type", "purchase"), "t1_test_cluster")
+        machines.track_cluster(s, "user_id", "cluster", "event_type", "purchase"), "t1_test_cluster")
     assert statuses.groupBy("cluster").count().filter("count > 1").count() > 0  # several versions
-    got = {r.cluster: (r.members, r.laggards) for r in streams.newest_status(statuses).collect()}
+    got = {r.cluster: (r.members, r.laggards) for r in machines.newest_status(statuses).collect()}
     assert got == _batch_status(ev)
 
 
