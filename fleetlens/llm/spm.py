@@ -18,7 +18,7 @@ bytes (a model file of fixed size), so executors need no such path.
 
 Edge cases: a null or empty text has no ids and decodes to the empty
 string; a very long text is one row, never cut off; memory is bounded by
-the row, the batch and ``CACHE_CHARS``.
+the row, the batch and two generations of ``CACHE_CHARS`` in each Python worker.
 """
 
 from __future__ import annotations
@@ -215,32 +215,65 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Encoder:
-    """Encodes texts, each distinct chunk once while it stays in the cache."""
+    """Encodes texts, each distinct chunk once while it stays in the cache.
+
+    The cache has two generations. A chunk that is met joins the younger one;
+    when that holds ``CACHE_CHARS``, it becomes the older one and the former
+    older one goes. So chunks that stay in use stay known, and only those not
+    met for a whole generation are encoded (and checked) again.
+    """
 
     def __init__(self, model: bytes, check: bool = True):
         self.vocab, self.check = Vocabulary(model), check
-        self.ids: dict[str, list[int]] = {}
-        self.digits: dict[str, str] = {}
+        self.number = list(range(len(self.vocab.scores) + 1))  # one object per id, shared by all chunks
+        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
         self.held = 0
 
+    def _know(self, chunks: set[str]) -> None:
+        """Bring chunks into the younger generation."""
+        if self.held > CACHE_CHARS:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old, number = self.young, self.old, self.number
+        missing = [c for c in chunks if c not in young]
+        new = []
+        for c in missing:
+            known = old.get(c)
+            if known is None:
+                new.append(c)
+            else:
+                young[c] = known
+        for c, ids in zip(new, self.vocab.encode_chunks(new, self.check)):
+            young[c] = tuple([number[i] for i in ids]), ",".join(map(str, ids))
+        self.held += sum(map(len, missing)) + 40 * len(missing)
+
     def batch(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
         """Ids of each text, and the same as decimal text."""
         cut = [self.vocab.chunks(t) for t in texts]
-        if self.held > CACHE_CHARS:
-            self.ids, self.digits, self.held = {}, {}, 0
-        new = list(set().union(*cut).difference(self.ids))
-        for c, ids in zip(new, self.vocab.encode_chunks(new, self.check)):
-            self.ids[c] = ids
-            self.digits[c] = ",".join(map(str, ids))
-            self.held += len(c) + 40
-        get, digits = self.ids.__getitem__, self.digits.__getitem__
-        return ([list(chain.from_iterable(map(get, chunks))) for chunks in cut],
-                [",".join(map(digits, chunks)) for chunks in cut])
+        self._know(set().union(*cut))
+        get = self.young.__getitem__
+        ids, digits = [], []
+        for chunks in cut:
+            both = list(map(get, chunks))
+            ids.append(list(chain.from_iterable([x for x, _ in both])))
+            digits.append(",".join([y for _, y in both]))
+        return ids, digits
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.batch(texts)[0]
 
 
+def worker_encoder(model: bytes, check: bool) -> Encoder:
+    """This Python worker's encoder: tasks that run in one worker one after another share it, and with it the
+    vocabulary's tables and the chunk cache. A worker keeps the encoder of one model."""
+    key = hashlib.sha256(model).hexdigest(), check
+    held = getattr(pa, "_fleetlens_encoder", None)  # a module that the worker keeps between tasks
+    if held is None or held[0] != key:
+        held = key, Encoder(model, check)
+        pa._fleetlens_encoder = held
+    return held[1]
+
+
 def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text",
                   keep: tuple[str, ...] = (), with_ids: bool = False, check: bool = True) -> DataFrame:
     """(key, *keep, n_tokens, ids_sha256, decoded_sha256[, ids]) for each whole text.
@@ -255,7 +288,7 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
         for b in slices(batches, BATCH_BYTES, "_t"):
-            enc = enc or Encoder(model.value, check)
+            enc = enc or worker_encoder(model.value, check)
             ids, digits = enc.batch(text_rows(b.column(b.num_columns - 1)))
             decoded = enc.vocab.lib.decode(ids, num_threads=1) if ids else []
             digest = [hashlib.sha256(x.encode()).hexdigest() for x in digits]
