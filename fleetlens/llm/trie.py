@@ -44,10 +44,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import materialize, slices, spread
-from fleetlens.operators.joins import HOT_ROWS, salted_join
+from fleetlens.operators.joins import salted_join
 from fleetlens.operators.windows import assign_ordinals
 
 BLOCK = 1024
+SPREAD_CHILDREN = 256  # a parent with more children is looked up in salted copies
 PIECE_BITS = 10  # a piece joins the ids of one range of 2**10
 WORDS = r"[^\x20\x09-\x0D]+"
 SUM = "decimal(38,0)"
@@ -200,7 +201,7 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     counts = materialize(children.groupBy("_pd", "pa", "pb").agg(F.count(F.lit(1)).alias("n_children")), "trie-children")
     parents = named.select(F.col("depth").alias("_pd"), F.col("a").alias("pa"), F.col("b").alias("pb"),
                            F.col("conv_id").alias("parent_conv_id"))
-    linked = salted_join(children, parents, ["_pd", "pa", "pb"], "left", hot=counts.where(F.col("n_children") > HOT_ROWS))
+    linked = salted_join(children, parents, ["_pd", "pa", "pb"], "left", hot=counts.where(F.col("n_children") > SPREAD_CHILDREN))
     columns = ["depth", "a", "b", "words", "conv_id", "n_convs", "parent_conv_id"]
     linked = linked.select(*columns).unionByName(named.where("depth = 0").withColumn(
         "parent_conv_id", F.lit(None).cast("long")).select(*columns))
