@@ -1,20 +1,26 @@
 """Operator 1, chat formatting by incremental black-box rendering.
 
 A template is any function from a list of (role, text) turns to a string.
-The operator renders successive turn prefixes and compares consecutive
-outputs: what a prefix adds to the one before is the turn's span. When an
-output does not begin with the one before it, the template has rewritten
-history, and the turn is marked ``rewrites``. Inside a span the text's place
-is found by rendering the turn with two different one-character texts: the
-outputs part where the text begins, and what follows is the tail.
-
-Turns of a conversation are read in order (turn, role, text; nulls first)
-and streamed: at most ``window`` turns are held and re-rendered, so time
-grows in proportion to the turns and memory is bounded. Where the window
-moves on, the last span is rendered again from the shorter history; if it
-differs, the template looks further back than the window, and the turn is
-marked ``rewrites`` too. A conversation is one sequence, so one task streams
-it; a task holds a few turns of it, whatever its length.
+The operator renders every successive turn prefix of a conversation and
+compares consecutive outputs: what a prefix adds to the one before is the
+turn's span. When an output does not begin with the one before it, the
+template has rewritten history: the turn is marked ``rewrites``, ``keeps``
+says how much of the earlier output stands, and the span is what follows it.
+So the outputs can be put together again from the spans, whatever the
+template does. Inside a span the text's place is found by rendering the turn
+with two different one-character texts: the outputs part where the text
+begins, and what follows is the tail.
+
+Turns of a conversation are read in order (turn, role, text; nulls first).
+Nothing is assumed about the template: it may number its turns, drop old
+ones or look back as far as it likes, so each prefix is rendered whole, and a
+conversation's turns and last output are held until it ends. Its time grows
+with the square of its length; it is one task's work. For conversations too
+long for that, a template's author may promise with ``lookback`` that a turn's
+rendering depends on no more than so many turns before it: then at most twice
+as many are held and rendered, and time grows with the length. Where the
+held turns move on, the last span is rendered again from the shorter history,
+and a turn that breaks the promise is marked ``rewrites``.
 
 Edge cases: null text or role is empty; repeated rows are turns of their
 own; a null conversation key is one conversation; an empty table gives no
@@ -43,7 +49,6 @@ _SPECIAL = re.compile("|".join(map(re.escape, ["\\", *CONTROL])))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _SPAN = re.compile(r"\[INST\] (?P<user>.*) \[/INST\]|\[ROLE\] (?P<role>.*?) \[/ROLE\] (?P<text>.*) \[/END\]"
                    r"| (?P<assistant>.*) </s>", re.S)
-WINDOW = 32
 PROBES = ("\ue000", "\ue001")
 
 
@@ -80,45 +85,62 @@ def read_span(span: str) -> Turn:
     return unescape(m["role"]), unescape(m["text"])
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common beginning, by halving."""
+    if a.startswith(b):
+        return len(b)
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # the first lo characters agree; the first hi + 1 do not, or there are no more
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 class Renderer:
     """Spans of one conversation's turns, a turn at a time."""
 
-    def __init__(self, template: Template, window: int = WINDOW):
-        self.template, self.window = template, window
+    def __init__(self, template: Template, lookback: int | None = None):
+        self.template = template
+        self.most = None if lookback is None else 2 * (lookback + 1)
         self.held: list[Turn] = []
         self.out = self.start = template([])
+        self.before = 0  # length of the output of turns no longer held, less that of the held ones' opening
 
     def _text_place(self, role: str, skip: int) -> tuple[int, int]:
         """Lengths of what stands before and after the text in the span."""
         a, b = (self.template([*self.held, (role, p)]) for p in PROBES)
-        at = next((i for i in range(min(skip, len(a)), min(len(a), len(b))) if a[i] != b[i]), len(a))
+        at = max(skip, common_length(a, b)) if len(a) > skip else len(a)
         return at - skip, max(0, len(a) - at - 1)
 
-    def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
-        """(span, where its text begins, where it ends, history rewritten)."""
+    def add(self, role: str, text: str) -> tuple[str, int, int, bool, int]:
+        """(span, where its text begins, where it ends, history rewritten, length of the earlier output that stands)."""
         out = self.template([*self.held, (role, text)])
-        rewrites = not out.startswith(self.out)
-        common = len(self.out)
-        if rewrites:
-            common = next((i for i, (x, y) in enumerate(zip(out, self.out)) if x != y), min(len(out), len(self.out)))
-        span = out[common:]
+        common = common_length(out, self.out)
+        rewrites = common < len(self.out)
+        span, keeps = out[common:], self.before + common
         head, tail = self._text_place(role, common)
         self.held.append((role, text))
         self.out = out
-        if len(self.held) >= self.window:
+        if self.most is not None and len(self.held) >= self.most:
             self.held = self.held[len(self.held) // 2:]
-            before, self.out = self.template(self.held[:-1]), self.template(self.held)
-            rewrites |= not self.out.startswith(before) or self.out[len(before):] != span
-        return span, max(0, head), max(0, len(span) - tail), rewrites
+            before, shorter = self.template(self.held[:-1]), self.template(self.held)
+            rewrites |= not shorter.startswith(before) or shorter[len(before):] != span
+            self.before += len(out) - len(shorter)
+            self.out = shorter
+        return span, max(0, head), max(0, len(span) - tail), rewrites, keeps
 
 
 def format_turns(conversations: DataFrame, template: Template = instruct_template, conv: str = "conv_id",
-                 turn: str = "turn", role: str = "role", text: str = "text", window: int = WINDOW) -> DataFrame:
+                 turn: str = "turn", role: str = "role", text: str = "text", lookback: int | None = None) -> DataFrame:
     """One row per turn: conv, ordinal (from 0), start (the template's opening, first turn only), span,
-    text_from, text_to, loss (an assistant's turn), rewrites.
+    text_from, text_to, loss (an assistant's turn), rewrites, keeps.
 
     A conversation's formatted text is its rows' ``start`` and ``span`` in
-    order. Rows leave in order, each conversation in one partition.
+    order; after a turn that rewrites, it is the first ``keeps`` characters of
+    what came before, and the span. Rows leave in order, each conversation in one partition.
     """
     src = conversations.select(F.col(conv).alias("_c"), F.col(turn).alias("_n"),
                                F.coalesce(F.col(role).cast("string"), F.lit("")).alias("_r"),
@@ -133,17 +155,17 @@ def format_turns(conversations: DataFrame, template: Template = instruct_templat
             rows = []
             for c, who, what in zip(b.column(0).to_pylist(), text_rows(b.column(1)), text_rows(b.column(2))):
                 if r is None or c != now:
-                    now, r, n = c, Renderer(template, window), 0
-                span, lo, hi, rewrites = r.add(who, what)
-                rows.append((n, r.start if n == 0 else "", span, lo, hi, who == "assistant", rewrites))
+                    now, r, n = c, Renderer(template, lookback), 0
+                span, lo, hi, rewrites, keeps = r.add(who, what)
+                rows.append((n, r.start if n == 0 else "", span, lo, hi, who == "assistant", rewrites, keeps))
                 n += 1
             cols = list(zip(*rows))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds)]], names=names)
 
-    names = ["_c", "ordinal", "start", "span", "text_from", "text_to", "loss", "rewrites"]
+    names = ["_c", "ordinal", "start", "span", "text_from", "text_to", "loss", "rewrites", "keeps"]
     return src.mapInArrow(run, f"_c {kind}, ordinal long, start string, span string, text_from long, text_to long, "
-                               "loss boolean, rewrites boolean").withColumnRenamed("_c", conv)
+                               "loss boolean, rewrites boolean, keeps long").withColumnRenamed("_c", conv)
 
 
 def digest(turns: DataFrame, conv: str = "conv_id", read: Callable[[str], Turn] = read_span,
@@ -169,7 +191,7 @@ def digest(turns: DataFrame, conv: str = "conv_id", read: Callable[[str], Turn]
         kinds = None
         for b in slices(batches, 4 << 20, "span"):
             kinds = kinds or [b.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            for c, n, start, span, lo, hi, loss, rewrites in zip(*[b.column(i).to_pylist() for i in range(8)]):
+            for c, n, start, span, lo, hi, loss, rewrites, keeps in zip(*[b.column(i).to_pylist() for i in range(9)]):
                 if n == 0:
                     if state:
                         close()
@@ -181,7 +203,7 @@ def digest(turns: DataFrame, conv: str = "conv_id", read: Callable[[str], Turn]
                     masked = plain(span[lo:hi])
                     state[3] += len(masked)
                     state[4].update(masked.encode())
-                state[5] += len(start) + len(span)
+                state[5] = len(start) + len(span) if n == 0 else keeps + len(span)
                 state[6] += rewrites
             if done:
                 yield rows()

@@ -37,13 +37,14 @@ def test_escape_round_trip():
 
 
 def test_spans_are_found_without_knowing_the_template():
-    for window in (4, 32):
-        r = chat.Renderer(chat.instruct_template, window)
+    for lookback in (None, 1, 15):
+        r = chat.Renderer(chat.instruct_template, lookback)
         whole, turns = r.start, []
         for i in range(41):
             turn = ("user", "assistant", "system")[i % 3], NASTY[i % len(NASTY)]
             turns.append(turn)
-            span, lo, hi, rewrites = r.add(*turn)
+            span, lo, hi, rewrites, keeps = r.add(*turn)
+            assert keeps == len(whole)
             whole += span
             assert not rewrites and chat.unescape(span[lo:hi]) == turn[1]
         assert whole == chat.instruct_template(turns)
@@ -60,10 +61,41 @@ def test_rewriting_templates_are_detected():
     def counted(turns):  # numbers its turns: looks back further than any window
         return "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
 
-    r = chat.Renderer(counted, window=4)
+    r = chat.Renderer(counted, lookback=1)  # a broken promise shows
     assert any(r.add("user", "x")[3] for _ in range(8))
 
 
+@pytest.mark.parametrize("turns", [50, 500])
+def test_any_template_at_any_length(turns):
+    """Numbering, truncating, counting, alternating and last-turn-only templates: outputs come back from the spans, and every
+    prefix that rewrites is marked."""
+    def numbered(ts):
+        return "".join(f"[{i}]{r}:{t}\n" for i, (r, t) in enumerate(ts))
+
+    def truncating(ts):
+        return "".join(f"{r}:{t}\n" for r, t in ts[-40:])
+
+    def counting(ts):
+        return f"{len(ts)} turns\n" + "".join(t for _, t in ts)
+
+    def last_only(ts):
+        return "".join(f"<{r}>{t if r != 'assistant' or i == len(ts) - 1 else '...'}\n" for i, (r, t) in enumerate(ts))
+
+    def once(ts):  # rewrites at one prefix, undone by the next
+        return ("!" if len(ts) == 41 else "") + numbered(ts)
+
+    said = [(("user", "assistant")[i % 2], f"t{i} ") for i in range(turns)]
+    for template in (numbered, truncating, counting, last_only, once, chat.instruct_template):
+        r = chat.Renderer(template)
+        out = r.start
+        for n, turn in enumerate(said, 1):
+            span, lo, hi, rewrites, keeps = r.add(*turn)
+            before, out = out, out[:keeps] + span
+            assert out == template(said[:n])
+            assert rewrites == (not out.startswith(before))
+    assert [n for n in range(1, 51) if not truncating(said[:n]).startswith(truncating(said[:n - 1]))] == list(range(41, 51))
+
+
 def test_chat_digests(spark):
     rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(NASTY)]
     rows += [(2, 0, "user", None), (2, 0, "user", None), (3, 1, None, "x"), (None, 0, "assistant", "y")]
