@@ -21,9 +21,17 @@ verifies both the order and every equality, and a batch in which a hash
 collision has misled the sort is sorted again on its bytes. Windows equal to
 a neighbour are marked.
 
-Hot groups: equal contexts are collapsed before the sort. A group with more
-than ``MAX_GROUP`` contexts is not one task's: its windows are counted by
-two independent 64-bit hashes with pre-aggregation before the shuffle.
+Equal texts are one text: a text is named by 120 bits of its SHA-256, its
+anchors and marks are kept once however often it occurs, and all of a text
+that occurs more than once is marked by a count of the names.
+
+Hot groups: the contexts of groups with more than ``MAX_GROUP`` occurrences
+are collapsed to the different ones by a grouped count before the sort, and
+their marks are joined back to the occurrences. A group that has more than
+``MAX_GROUP`` different contexts is not one task's: its windows are counted by two independent
+64-bit hashes, pre-aggregated, and every hash pair that counts is verified by
+the bytes of all its windows (their least and greatest must be the same);
+windows of a pair that fails this are counted again by their bytes.
 
 Edge cases: null text is empty; texts shorter than ``span`` lose nothing;
 repeated rows are texts of their own (and so lose all of a text of ``span``
@@ -193,44 +201,55 @@ def anchors(data: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _with_row_hash(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+NAME = ("_r1", "_r2")  # 60 bits each of a text's SHA-256
+
+
+def _named(df: DataFrame, of: str, names: tuple[str, str]) -> DataFrame:
+    """``df`` with 2 x 60 bits of the SHA-256 of the bytes in ``of``."""
+    hashed = df.withColumn("_sha", F.sha2(of, 256))
+    return hashed.withColumns({n: F.conv(F.substring("_sha", at, 15), 16, 10).cast("long")
+                               for n, at in zip(names, (1, 16))}).drop("_sha")
+
+
+def _with_name(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(key).alias("_k"), *[F.col(c) for c in keep], t.cast("binary").alias("_t"),
-                       F.xxhash64(F.col(key), F.col(text)).alias("rid"))
+    return _named(docs.select(F.col(key).alias("_k"), *[F.col(c) for c in keep], t.cast("binary").alias("_t")), "_t", NAME)
 
 
 def _anchor_rows(rows: DataFrame, span: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4 << 20, "_t"):
-            out = [(rid, anchors(t, span, gram)) for rid, t in zip(b.column(0).to_pylist(), binary_rows(b.column(1)))]
-            cols = [np.concatenate([x[i] for _, x in out]) for i in range(4)]
-            rid = np.repeat(np.array([r for r, _ in out], np.int64), [len(x[0]) for _, x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(rid), *map(pa.array, cols[1:])],
-                                             names=["g", "rid", "at", "first", "last"])
+            out = [anchors(t, span, gram) for t in binary_rows(b.column(2))]
+            cols = [np.concatenate([x[i] for x in out]) for i in range(4)]
+            n = [len(x[0]) for x in out]
+            names = [pa.array(np.repeat(b.column(i).to_numpy(), n)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *names, *map(pa.array, cols[1:])],
+                                             names=["g", *NAME, "at", "first", "last"])
 
-    return rows.select("rid", "_t").mapInArrow(run, "g long, rid long, at long, first long, last long")
+    return rows.select(*NAME, "_t").mapInArrow(run, "g long, _r1 long, _r2 long, at long, first long, last long")
 
 
 def _contexts(rows: DataFrame, lists: DataFrame, span: int) -> DataFrame:
-    """(g, hot, rid, at, first, context): the bytes of each repeated anchor's windows."""
+    """(g, hot, name, at, first, context): the bytes of each repeated anchor's windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4 << 20, "_t"):
-            for rid, t, marks in zip(b.column(0).to_pylist(), binary_rows(b.column(1)), b.column(2)):
+            for r1, r2, t, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary_rows(b.column(2)), b.column(3)):
                 m = marks.values
                 at, first, last = (m.field(i).to_numpy() for i in (1, 2, 3))
                 for lo in range(0, len(at), 4096):
                     part = slice(lo, lo + 4096)
+                    n = len(at[part])
                     yield pa.RecordBatch.from_arrays(
-                        [m.field(0)[part], m.field(4)[part], pa.array(np.full(len(at[part]), rid)), pa.array(at[part]),
+                        [m.field(0)[part], m.field(4)[part], pa.array(np.full(n, r1)), pa.array(np.full(n, r2)), pa.array(at[part]),
                          pa.array(first[part]),
                          pa.array([t[i:j + span] for i, j in zip(first[part].tolist(), last[part].tolist())], pa.binary())],
-                        names=["g", "hot", "rid", "at", "first", "context"])
+                        names=["g", "hot", *NAME, "at", "first", "context"])
 
-    return rows.select("rid", "_t").join(lists, "rid").select("rid", "_t", "marks").mapInArrow(
-        run, "g long, hot boolean, rid long, at long, first long, context binary")
+    return rows.select(*NAME, "_t").join(lists, list(NAME)).select(*NAME, "_t", "marks").mapInArrow(
+        run, "g long, hot boolean, _r1 long, _r2 long, at long, first long, context binary")
 
 
-def _runs(rid: np.ndarray, first: np.ndarray, n: np.ndarray, dup: np.ndarray, span: int) -> pa.RecordBatch:
+def _runs(r1: np.ndarray, r2: np.ndarray, first: np.ndarray, n: np.ndarray, dup: np.ndarray, span: int) -> pa.RecordBatch:
     """Covered intervals of contexts from their windows' marks (``n`` windows each, end to end)."""
     owner = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(dup)) - np.repeat(np.cumsum(n) - n, n)
@@ -240,19 +259,20 @@ def _runs(rid: np.ndarray, first: np.ndarray, n: np.ndarray, dup: np.ndarray, sp
     begin = on[new]
     end = on[np.r_[np.flatnonzero(new)[1:], len(on)] - 1] if len(on) else on
     who = owner[begin]
-    return pa.RecordBatch.from_arrays([pa.array(rid[who]), pa.array(first[who] + place[begin]),
-                                       pa.array(first[who] + place[end] + span)], names=["rid", "begin", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(r1[who]), pa.array(r2[who]), pa.array(first[who] + place[begin]),
+                                       pa.array(first[who] + place[end] + span)], names=[*NAME, "begin", "end"])
 
 
 def _grouped(span: int):
-    """Intervals from contexts that come sorted by anchor hash."""
-    def solve(g: np.ndarray, rid: np.ndarray, at: np.ndarray, first: np.ndarray, contexts: list[bytes]) -> pa.RecordBatch:
+    """Intervals from contexts, each with its number of copies, that come sorted by anchor hash."""
+    def solve(g: np.ndarray, r1: np.ndarray, r2: np.ndarray, at: np.ndarray, first: np.ndarray, copies: np.ndarray,
+              contexts: list[bytes]) -> pa.RecordBatch:
         n = np.fromiter(map(len, contexts), np.int64, len(contexts)) - span + 1
         before = at - first
         ids: dict[tuple, int] = {}
         kind = np.fromiter((ids.setdefault(k, len(ids)) for k in zip(g.tolist(), before.tolist(), contexts)),
                            np.int64, len(contexts))
-        times = np.bincount(kind)
+        times = np.bincount(kind, weights=copies)
         one = np.unique(kind, return_index=True)[1]  # one context of each kind
         kinds_in = np.unique(g[one], return_inverse=True)
         lonely = np.bincount(kinds_in[1])[kinds_in[1]] == 1  # the only kind of its group
@@ -275,7 +295,7 @@ def _grouped(span: int):
             dup[target] |= found
         # every context gets the marks of its kind
         take = np.repeat(offsets[kind], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return _runs(rid, first, n, dup[take], span)
+        return _runs(r1, r2, first, n, dup[take], span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -283,67 +303,112 @@ def _grouped(span: int):
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows))
-            return solve(*[np.array(c, np.int64) for c in cols[:4]], list(cols[4]))
+            return solve(*[np.array(c, np.int64) for c in cols[:6]], list(cols[6]))
 
         for b in batches:
-            for row in zip(*[b.column(i).to_pylist() for i in range(5)]):
+            for row in zip(*[b.column(i).to_pylist() for i in range(7)]):
                 if held and windows >= BATCH_WINDOWS and row[0] != held[-1][0]:
                     yield flush(held)
                     held, windows = [], 0
                 held.append(row)
-                windows += len(row[4]) - span + 1
+                windows += len(row[6]) - span + 1
         if held:
             yield flush(held)
 
     return run
 
 
-def _hot_intervals(hot: DataFrame, span: int) -> DataFrame:
-    """Intervals of hot groups: windows counted by two hashes, pre-aggregated."""
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2 << 20, "context"):
-            contexts = b.column(4).to_pylist()
-            data = np.frombuffer(b"".join(contexts), np.uint8)
-            size = np.fromiter(map(len, contexts), np.int64, len(contexts))
-            n = size - span + 1
-            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(np.cumsum(size) - size, n) + place
-            who = np.repeat(np.arange(len(n)), n)
-            g, rid, first = (b.column(i).to_numpy()[who] for i in (0, 1, 3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g), pa.array(rid), pa.array(first + place),
-                 *[pa.array(_mix(PrefixHashes(data, base).of(at, span)).view(np.int64)) for base in (BASE, OTHER_BASE)]],
-                names=["g", "rid", "begin", "h1", "h2"])
-
-    w = hot.mapInArrow(windows, "g long, rid long, begin long, h1 long, h2 long")
-    n = w.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return (w.join(materialize(n, "repeat-windows"), ["h1", "h2"], "left_semi")
-            .select("rid", "begin", (F.col("begin") + span).alias("end")))
+GROUPED = ("g", *NAME, "at", "first", "copies", "context")
+INTERVALS = "_r1 long, _r2 long, begin long, end long"
+
+
+def _sorted_intervals(contexts: DataFrame, span: int) -> DataFrame:
+    """Intervals of the contexts' windows by the suffix sort, a group a task."""
+    return spread(contexts.select(*GROUPED), "g").sortWithinPartitions("g").mapInArrow(_grouped(span), INTERVALS)
+
+
+def _counted_intervals(contexts: DataFrame, span: int) -> DataFrame:
+    """Intervals of the windows of different contexts (named, first = 0) of groups that are too large for a task:
+    windows counted by two hashes, and each pair that counts verified by its windows' bytes."""
+    def windows(with_bytes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, (64 << 10) if with_bytes else (2 << 20), "context"):
+                contexts = b.column(3).to_pylist()
+                data = np.frombuffer(b"".join(contexts), np.uint8)
+                size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+                n = size - span + 1
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(np.cumsum(size) - size, n) + place
+                who = np.repeat(np.arange(len(n)), n)
+                cols = [pa.array(b.column(i).to_numpy()[who]) for i in (0, 1)] + [pa.array(place), pa.array(b.column(2).to_numpy()[who])]
+                cols += [pa.array(_mix(PrefixHashes(data, base).of(at, span)).view(np.int64)) for base in (BASE, OTHER_BASE)]
+                if with_bytes:
+                    whole = data.tobytes()
+                    cols.append(pa.array([whole[i:i + span] for i in at.tolist()], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=[*NAME, "begin", "copies", "h1", "h2", *["bytes"] * with_bytes])
+
+        return contexts.select(*NAME, "copies", "context").mapInArrow(
+            run, "_r1 long, _r2 long, begin long, copies long, h1 long, h2 long" + ", bytes binary" * with_bytes)
+
+    pair = ["h1", "h2"]
+    counted = materialize(windows(False).groupBy(*pair).agg(F.sum("copies").alias("n")).where("n > 1").select(*pair), "repeat-windows")
+    there = windows(True).join(counted, pair, "left_semi")
+    checked = materialize(there.groupBy(*pair).agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+                          .select(*pair, (F.col("least") == F.col("most")).alias("same")), "repeat-pairs")
+    out = windows(False).join(checked.where("same"), pair, "left_semi").select(*NAME, "begin")
+    if checked.where("not same").take(1):  # a collision of both hashes
+        mixed = windows(True).join(checked.where("not same"), pair, "left_semi")
+        equal = mixed.groupBy("bytes").agg(F.sum("copies").alias("n")).where("n > 1").select("bytes")
+        out = out.unionAll(mixed.join(equal, "bytes", "left_semi").select(*NAME, "begin"))
+    return out.select(*NAME, "begin", (F.col("begin") + span).alias("end"))
+
+
+def _hot_intervals(hot: DataFrame, span: int, max_group: int) -> DataFrame:
+    """Intervals of hot groups' contexts: solved once per different context, then joined back to all its places."""
+    name = ("_c1", "_c2")
+    hot = materialize(_named(hot.select("g", *NAME, "at", "first", "context"), "context", name), "repeat-hot-contexts")
+    # equal contexts hold their anchor at the same place
+    each = materialize(hot.groupBy(*name).agg(F.any_value("g").alias("g"), F.any_value(F.col("at") - F.col("first")).alias("at"),
+                                              F.count(F.lit(1)).alias("copies"), F.any_value("context").alias("context"))
+                       .select("g", *[F.col(c).alias(n) for c, n in zip(name, NAME)], "at", F.lit(0).cast("long").alias("first"),
+                               "copies", "context"), "repeat-each-context")
+    big = materialize(each.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("g"), "repeat-big-groups")
+    solved = _sorted_intervals(each.join(big, "g", "left_anti"), span)
+    if big.take(1):
+        solved = solved.unionAll(_counted_intervals(each.join(big, "g", "left_semi"), span))
+    # at most a few hundred windows a context, merged to few intervals
+    marks = materialize(solved.select(*[F.col(n).alias(c) for c, n in zip(name, NAME)], "begin", "end"), "repeat-hot-marks")
+    return hot.select(*name, *NAME, "first").join(marks, list(name)).select(
+        *NAME, (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end")).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM,
                    max_group: int = MAX_GROUP) -> DataFrame:
-    """(rid, marks): per text, by the hash of its row, the byte intervals that repeated strings cover."""
+    """(``NAME``, marks): per different text, by the bits of its hash, the byte intervals that repeated strings cover."""
     if not 0 < gram <= span <= 1 << 11:
         raise ValueError("needs 0 < gram <= span <= 2048")
-    rows = _with_row_hash(docs, key, text)
+    rows = _with_name(docs, key, text)
     found = _anchor_rows(rows, span, gram)
-    groups = materialize(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    # an anchor repeats if it stands in two texts or at two places of one: some column differs
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in (*NAME, "at") for f in (F.min, F.max)]
+    differs = " or ".join(f"min_{c} <> max_{c}" for c in (*NAME, "at"))
+    groups = materialize(found.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *ends).where(differs)
                          .select("g", (F.col("n") > max_group).alias("hot")), "repeat-anchors")
-    lists = (found.join(groups, "g").groupBy("rid")
-             .agg(F.collect_list(F.struct("g", "at", "first", "last", "hot")).alias("marks")))
+    lists = materialize(found.join(groups, "g").groupBy(*NAME)
+                        .agg(F.collect_set(F.struct("g", "at", "first", "last", "hot")).alias("marks")), "repeat-lists")
     if groups.where("hot").take(1):
         contexts = materialize(_contexts(rows, lists, span), "repeat-contexts")
         cold, hot = contexts.where("not hot"), contexts.where("hot")
     else:
         cold, hot = _contexts(rows, lists, span), None
-    fields = ("g", "rid", "at", "first", "context")
-    marks = (spread(cold.select(*fields), "g").sortWithinPartitions("g")
-             .mapInArrow(_grouped(span), "rid long, begin long, end long"))
+    marks = _sorted_intervals(cold.withColumn("copies", F.lit(1).cast("long")), span)
     if hot is not None:
-        marks = marks.unionAll(_hot_intervals(hot.select(*fields), span))
-    return materialize(marks.distinct().groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("marks")),
-                       "repeat-marks")
+        marks = marks.unionAll(_hot_intervals(hot, span, max_group))
+    size = F.octet_length("_t").cast("long")
+    copied = (rows.where(size >= span).groupBy(*NAME).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("end")).where("n > 1")
+              .select(*NAME, F.lit(0).cast("long").alias("begin"), "end"))
+    return materialize(marks.unionAll(copied).distinct().groupBy(*NAME)
+                       .agg(F.collect_list(F.struct("begin", "end")).alias("marks")), "repeat-marks")
 
 
 def merge_intervals(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -364,8 +429,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     ``kept`` (with_text): the remaining bytes as text; a character that a
     removed run cuts through is dropped.
     """
-    rows = _with_row_hash(docs, key, text, keep)
-    joined = rows.join(repeated_spans(docs, key, text, span), "rid", "left").drop("rid")
+    rows = _with_name(docs, key, text, keep)
+    joined = rows.join(repeated_spans(docs, key, text, span), list(NAME), "left").drop(*NAME)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4 << 20, "_t"):

@@ -46,30 +46,63 @@ def test_repeats_against_brute_force(spark):
         helpers.repeats(docs, 200), key=repr)
 
 
+def merged_marks(df, **options):
+    return {(r["_r1"], r["_r2"], x) for r in repeats.repeated_spans(df, **options).collect()
+            for x in repeats.merge_intervals([(i["begin"], i["end"]) for i in r["marks"]])}
+
+
 def test_hot_groups_give_the_same_marks(spark):
     _, df = some_documents(spark)
-    found = [{(r["rid"], x) for r in repeats.repeated_spans(df, max_group=m).collect()
-              for x in repeats.merge_intervals([(i["begin"], i["end"]) for i in r["marks"]])} for m in (3, 1 << 14)]
-    assert found[0] == found[1] and found[0]
+    found = [merged_marks(df, max_group=m) for m in (1, 3, 1 << 14)]
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_hot_groups_with_misleading_hashes(spark, monkeypatch):
+    """Every window hash of the counted groups collides: the bytes decide."""
+    _, df = some_documents(spark)
+    right = merged_marks(df)
+    seen = []
+    monkeypatch.setattr(repeats, "_counted_intervals", lambda c, span, f=repeats._counted_intervals: seen.append(1) or f(c, span))
+    monkeypatch.setattr(repeats, "OTHER_BASE", repeats.BASE)
+    monkeypatch.setattr(repeats, "_mix", lambda x: x & np.uint64(1))  # anchors too: a few groups hold all
+    assert merged_marks(df, max_group=2) == right and seen
+
+
+def test_many_equal_rows_take_linear_room(spark):
+    """A text of 3,000 copies without an id: one row of marks, a context per anchor and row at most, whole result."""
+    text = " ".join(f"w{i * i}" for i in range(80))
+    other = "start " + text[100:420] + " end"
+    df = spark.createDataFrame([(None, text)] * 3000 + [(1, other), (2, "y" * 150)], DOCS)
+    rows = repeats._with_name(df, "doc_id", "text")
+    anchors = len(repeats.anchors(text.encode())[0])
+    marks = repeats.repeated_spans(df, max_group=500)
+    assert marks.count() == 2
+    found = repeats._anchor_rows(rows, 200, 64).groupBy("g").count().agg({"count": "sum"}).first()[0]
+    assert found <= 3002 * (anchors + 10)
+    got = repeats.remove_repeats(df).collect()
+    assert len(got) == 3002
+    size = len(text)
+    assert all((r["n_removed"], r["n_spans"]) == (size, 1) for r in got if r["n_bytes"] == size)
+    assert {(r["doc_id"], r["n_removed"]) for r in got if r["doc_id"] is not None} == {(1, 320), (2, 0)}
 
 
 def test_repeats_small_spans_and_batches(spark, monkeypatch):
     rnd = random.Random(5)
     docs = [(i, "".join(rnd.choice("ab") for _ in range(rnd.randrange(0, 90)))) for i in range(40)]
     df = spark.createDataFrame(docs, DOCS)
-    rows = repeats._with_row_hash(df, "doc_id", "text")
+    rows = repeats._with_name(df, "doc_id", "text")
     got = {}
-    found = [(g, rid, a, f, t[f:la + 12]) for rid, t in ((r["rid"], bytes(r["_t"])) for r in rows.collect())
+    found = [(g, r1, r2, a, f, 1, t[f:la + 12]) for r1, r2, t in ((r["_r1"], r["_r2"], bytes(r["_t"])) for r in rows.collect())
              for g, a, f, la in zip(*[x.tolist() for x in repeats.anchors(t, 12, 5)])]
     import pyarrow as pa
     found.sort()
-    batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary() if i == 4 else pa.int64())
-                                        for i in range(5)], names=list("abcde"))
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary() if i == 6 else pa.int64())
+                                        for i in range(7)], names=list("abcdefg"))
     monkeypatch.setattr(repeats, "BATCH_WINDOWS", 50)
     for b in repeats._grouped(12)(iter([batch])):
-        for rid, lo, hi in zip(*[c.to_pylist() for c in b.columns]):
-            got.setdefault(rid, []).append((lo, hi))
-    ids = {r["_k"]: r["rid"] for r in rows.collect()}
+        for r1, r2, lo, hi in zip(*[c.to_pylist() for c in b.columns]):
+            got.setdefault((r1, r2), []).append((lo, hi))
+    ids = {r["_k"]: (r["_r1"], r["_r2"]) for r in rows.collect()}
     for k, n, removed, spans, _ in helpers.repeats(docs, 12):
         merged = repeats.merge_intervals(got.get(ids[k], []))
         assert (sum(b - a for a, b in merged), len(merged)) == (removed, spans)
