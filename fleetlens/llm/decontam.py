@@ -32,27 +32,35 @@ text around the item's place.
 The items are broadcast in blocks of at most ``ITEM_BLOCK_CHARS`` characters,
 one pass over the documents a block, so the broadcast has a fixed bound.
 
-Edge cases: null or empty text contains nothing; items of fewer than
-``min_words`` words are not looked for; equal items are separate items;
-repeated documents are each reported; an empty table gives no rows; other
-columns are ignored.
+Items that allow no edit (those under five words) need no embedding: they are
+looked up exactly, by a hash of the run of words and then the words.
+
+Characters of scripts that are written without spaces are words of their own.
+
+Edge cases: null or empty text contains nothing; items without a word are
+contained in nothing, and items under ``min_words`` words (1: none) are not
+looked for; equal items are separate items; items and documents may have keys
+of any type; repeated documents are each reported; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fleetlens.llm.common import slices, text_rows
 
 SIMILARITY = 0.8
-MIN_WORDS = 5
+MIN_WORDS = 1
 WALKS, SAMPLES, BITS = 6, 8, 3
 PIECE_EDITS = 1
 CLASS_RATIO = 1.3
@@ -61,9 +69,15 @@ END, OTHER = 0, 1  # word codes: past the end, and any word of no item
 NOT_HERE = -1 << 40  # no item of the class holds the run
 
 
+# scripts that are written without spaces
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                       "\U00020000-\U0003ffff])")
+
+
 def words_of(texts: list[str]) -> pa.ListArray:
     """Lower-cased words of each text (one empty word if it has none)."""
-    lower = pc.utf8_lower(pa.array(texts, pa.large_string()))
+    spaced = [t if t.isascii() or not _UNSPACED.search(t) else _UNSPACED.sub(r" \1 ", t) for t in texts]
+    lower = pc.utf8_lower(pa.array(spaced, pa.large_string()))
     return pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(lower, r"[^\pL\pM\pN_]+", " "), " "), " ")
 
 
@@ -111,11 +125,22 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, seed: int = 8):
         lists = [[w for w in x if w] for x in words_of(texts).to_pylist()] if texts else []
-        use = [i for i, x in enumerate(lists) if len(x) >= min_words]
-        self.ids = [ids[i] for i in use]
+        use = [i for i, x in enumerate(lists) if len(x) >= max(1, min_words)]
         vocabulary = sorted({w for i in use for w in lists[i]})
         self.code = {w: c + 2 for c, w in enumerate(vocabulary)}
-        self.items = [np.array([self.code[w] for w in lists[i]], np.int64) for i in use]
+        # items with edits are embedded; the others follow them and are looked up
+        use.sort(key=lambda i: edits_allowed(len(lists[i]), similarity) == 0)
+        self.ids = [ids[i] for i in use]
+        every = [np.array([self.code[w] for w in lists[i]], np.int64) for i in use]
+        self.words = [len(x) for x in every]
+        self.items = [x for x in every if edits_allowed(len(x), similarity) > 0]
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # per length: sorted hashes, words, item numbers
+        for r in sorted({len(x) for x in every[len(self.items):]}):
+            own = [i for i in range(len(self.items), len(every)) if len(every[i]) == r]
+            rows = np.stack([every[i] for i in own])
+            h = self._run_hashes(rows.ravel(), r)[::r]
+            order = np.argsort(h, kind="stable")
+            self.exact[r] = h[order], rows[order], np.array(own)[order]
         self.edits = [edits_allowed(len(x), similarity) for x in self.items]
         rng = np.random.default_rng(seed)
         pieces = [(i, *p) for i, x in enumerate(self.items) for p in pieces_of(len(x), similarity)]
@@ -241,9 +266,24 @@ class Items:
         found = np.unique(np.concatenate(pairs), axis=0)
         return found[:, 0], found[:, 1]
 
+    def exact_matches(self, flat: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, 0) for each item without edits that a text holds."""
+        found: list[np.ndarray] = []
+        for r, (table, rows, owner) in self.exact.items():
+            h = self._run_hashes(flat, r)
+            lo, hi = np.searchsorted(table, h), np.searchsorted(table, h, side="right")
+            at = np.flatnonzero(hi > lo)
+            n = (hi - lo)[at]
+            row = np.repeat(lo[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            at = np.repeat(at, n)
+            same = (flat[at[:, None] + np.arange(r)] == rows[row]).all(axis=1)
+            pairs = np.stack([np.searchsorted(ends, at[same]), owner[row[same]]], axis=1)
+            found.append(np.unique(pairs, axis=0))
+        return [(t, i, 0) for t, i in np.concatenate(found).tolist()] if found else []
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text, item, edits) for each item that a text contains."""
-        if not self.items or not texts:
+        if not self.ids or not texts:
             return []
         lists = words_of(texts)
         coded = lists.flatten().dictionary_encode()
@@ -257,6 +297,9 @@ class Items:
         flat = np.full(len(words) + len(texts), END, np.int64)
         flat[np.arange(len(words)) + doc] = words
         begins = ends - sizes
+        short = self.exact_matches(flat, ends)
+        if not self.items:
+            return short
         start, piece = self.candidates(flat)
         item = self.owner[piece]
         of = np.searchsorted(ends, start)
@@ -278,7 +321,7 @@ class Items:
                 for (t, i, _), e in zip(some.tolist(), window_edits(np.stack([self.items[i] for i in some[:, 1]]), texts_at).tolist()):
                     if e <= d:
                         best[t, i] = min(e, best.get((t, i), e))
-        return [(t, i, e) for (t, i), e in sorted(best.items())]
+        return sorted([(t, i, e) for (t, i), e in best.items()] + short)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
@@ -292,10 +335,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     src = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
     k_type, i_type = (df.schema[c].dataType.simpleString() for df, c in ((src, "_k"), (bench, "_i")))
     schema = f"_k {k_type}, _i {i_type}, n_words long, edits long"
+    i_arrow = to_arrow_type(bench.schema["_i"].dataType)
     out = None
     for n in range(n_blocks):
         rows = bench.where(F.pmod(F.xxhash64("_i", "_t"), F.lit(n_blocks)) == n).orderBy("_i", "_t").collect()
-        shared = spark.sparkContext.broadcast(([r["_i"] for r in rows], [r["_t"] for r in rows]))
+        ids = [r["_i"].asDict(True) if isinstance(r["_i"], Row) else r["_i"] for r in rows]
+        shared = spark.sparkContext.broadcast((ids, [r["_t"] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             found = None
@@ -306,11 +351,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     t, i, e = (list(x) for x in zip(*hits))
                     yield pa.RecordBatch.from_pydict({
                         "_k": b.column(0).take(pa.array(t)), "_i": [found.ids[x] for x in i],
-                        "n_words": [len(found.items[x]) for x in i], "edits": e},
-                        schema=pa.schema([("_k", b.column(0).type), ("_i", kinds[i_type]), ("n_words", pa.int64()),
+                        "n_words": [found.words[x] for x in i], "edits": e},
+                        schema=pa.schema([("_k", b.column(0).type), ("_i", i_arrow), ("n_words", pa.int64()),
                                           ("edits", pa.int64())]))
 
-        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
         part = src.mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
     return out.select(F.col("_k").alias(key), F.col("_i").alias("item_id"), "n_words", "edits",

@@ -302,7 +302,7 @@ def test_decontamination_recall_against_brute_force(spark):
     for d in range(240):
         body = [rnd.choice(vocab) for _ in range(rnd.randrange(0, 150))]
         if d % 2:
-            w = items[1 + d // 2 % 9][1].split()
+            w = items[d // 2 % 10][1].split()
             at = rnd.randrange(len(body) + 1)
             body[at:at] = edit(w, rnd.randrange(0, decontam.edits_allowed(len(w)) + 1), rnd)
         t = " ".join(body)
@@ -312,7 +312,7 @@ def test_decontamination_recall_against_brute_force(spark):
         spark.createDataFrame([(*r, 0) for r in docs], DOCS + ", edits int").repartition(3),
         spark.createDataFrame(items + [(99, None)], "item_id long, text string"), block_chars=400)
     found = {(r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()}
-    want = {(d, i, e) for d, t in docs for i, it in items if len(it.split()) >= 5 and (e := helpers.contained(t, it)) is not None}
+    want = {(d, i, e) for d, t in docs for i, it in items if (e := helpers.contained(t, it)) is not None}
     assert found <= want  # exact verification: no false alarms
     assert len(found) >= 0.98 * len(want) and len(want) > 100, sorted(want - found)
 
@@ -326,6 +326,23 @@ def test_decontamination_edges(spark):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_short_items_scripts_without_spaces_and_any_key_type(spark):
+    docs = spark.createDataFrame([(1, "The ANSWER is forty-two, I said."), (2, "answer is forty three"), (3, "yes"), (4, "oh yes, yes"),
+                                  (5, "今日は東京へ行きます。"), (6, "今日は京都へ行きます。"), (7, None), (8, "answer is"), (9, "forty two answer is")], DOCS)
+    items = [("a", "answer is forty two"), ("b", "Yes!"), ("c", "東京へ行"), ("d", "answer is forty two"), ("e", "..."), ("f", None), ("g", "")]
+    want = {(1, "a"), (1, "d"), (3, "b"), (4, "b"), (5, "c")}
+    for kind, cast in (("string", "i"), ("struct<i:string>", "named_struct('i', i)"), ("binary", "cast(i as binary)"),
+                       ("smallint", "cast(ascii(i) as smallint)"), ("decimal(9,2)", "cast(ascii(i) as decimal(9,2))"), ("date", "date_add(date'2020-01-01', ascii(i))")):
+        bench = spark.createDataFrame(items, "i string, text string").selectExpr(f"{cast} as item_id", "text")
+        got = decontam.contaminated(docs, bench)
+        assert got.schema["item_id"].dataType.simpleString() == kind
+        names = {repr(r["item_id"]): r["i"] for r in spark.createDataFrame(items, "i string, text string").selectExpr("i", f"{cast} as item_id").collect()}
+        assert {(r["doc_id"], names[repr(r["item_id"])]) for r in got.collect()} == want, kind
+        assert {(r["edits"], r["similarity"]) for r in got.collect()} == {(0, 1.0)}
+    few = decontam.contaminated(docs, spark.createDataFrame(items, "item_id string, text string"), min_words=2)
+    assert {(r["doc_id"], r["item_id"]) for r in few.collect()} == want - {(3, "b"), (4, "b")}
+
+
 @pytest.mark.parametrize("kind", ["changed", "inserted", "deleted"])
 def test_decontamination_recall_at_the_full_number_of_edits(kind):
     rnd = random.Random(12)
