@@ -23,6 +23,7 @@ the row, the batch and two generations of ``CACHE_CHARS`` in each Python worker.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -286,6 +287,13 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
         model = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
         for b in slices(batches, BATCH_BYTES, "_t"):
             enc = enc or worker_encoder(model.value, check)
