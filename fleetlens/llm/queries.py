@@ -71,14 +71,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_tree(docs: DataFrame) -> DataFrame:
-    """``documents`` as files of a derived tree: a source's files in folders of 64 and of 8; the first file of
-    each folder of 8 is its LICENSE, the first of each 64 that of the folder above."""
+    """``documents`` as files of a derived tree: folders of 64 ids with folders of 8 in them. A document that speaks of
+    a license is a LICENSE file, of its inner folder if its id is even, else of the outer one."""
     d = F.col("doc_id")
-    outer, inner = (d / 64).cast("long"), (d / 8).cast("long") % 8
+    outer, inner = F.shiftright(d, 6), F.pmod(F.shiftright(d, 3), F.lit(8))
+    speaks = F.col("text").rlike("(?i)licen[sc]e")
     return docs.select("doc_id", "text", F.when(
-        d % 64 == 0, F.concat_ws("/", "source", outer, F.lit("LICENSE"))).when(
-        d % 8 == 0, F.concat_ws("/", "source", outer, inner, F.lit("LICENSE"))).otherwise(
-        F.concat_ws("/", "source", outer, inner, F.concat(d.cast("string"), F.lit(".txt")))).alias("path"))
+        speaks & (d % 2 != 0), F.concat_ws("/", F.lit("files"), outer, F.lit("LICENSE"))).when(
+        speaks, F.concat_ws("/", F.lit("files"), outer, inner, F.lit("LICENSE"))).otherwise(
+        F.concat_ws("/", F.lit("files"), outer, inner, F.concat(d.cast("string"), F.lit(".txt")))).alias("path"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,11 +191,11 @@ FROM marked GROUP BY conv_id
 
 SQL_OP7 = """
 WITH v AS (
-  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
@@ -209,26 +210,51 @@ WITH RECURSIVE rules(host, path, verdict) AS (
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages
+), tag AS (
+  SELECT url, lower(regexp_extract(t, '^<([A-Za-z]+)', 1)) AS kind, ' ' || t AS t
+  FROM (SELECT url, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) AS t FROM page WHERE contains(url, '://'))
+), attr AS (
+  SELECT url, kind, lower(regexp_extract(a, '^\s([A-Za-z-]+)', 1)) AS name,
+         regexp_replace(regexp_replace(a, '^\s[A-Za-z-]+\s*=\s*', '', 's'), '^(?:"(.*)"|''(.*)'')$', '\1\2', 's') AS v, n
+  FROM (SELECT url, kind, unnest(regexp_extract_all(t, '\s[A-Za-z-]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)', 0, 'is')) AS a, n
+        FROM (SELECT *, row_number() OVER () AS n FROM tag))
+), plain AS (
+  SELECT url, kind, name, n, trim(replace(replace(replace(replace(replace(list_aggregate(list_transform(string_split(v, '&#'), lambda p, i:
+    CASE WHEN i = 1 THEN p
+         WHEN regexp_matches(p, '^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]);') THEN
+           chr(CAST(regexp_extract(p, '^([0-9]+);', 1) AS INTEGER)) || regexp_extract(p, '^[0-9]+;(.*)$', 1, 's')
+         WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{1,2};') THEN
+           chr(CAST('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]+);', 1) AS INTEGER)) || regexp_extract(p, '^[xX][0-9a-fA-F]+;(.*)$', 1, 's')
+         ELSE '&#' || p END), 'string_agg', ''),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), ' ') AS v
+  FROM attr
 ), raw AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>', 0, 'is'),
-                   '\bhref\s*=\s*["'']?([^"''>\s]+)', 1, 'is'),
-    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>', 0, 'is'),
-                   '\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1, 'is')]) AS target
-  FROM page WHERE contains(url, '://')
+  SELECT url, trim(v, ' ') AS target FROM plain WHERE name = 'href' AND n IN (
+    SELECT n FROM plain WHERE kind = 'link' AND name = 'rel' AND list_contains(regexp_split_to_array(lower(v), '\s+'), 'canonical'))
+  UNION ALL
+  SELECT url, trim(regexp_replace(regexp_extract(v, '^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(.*)$', 1, 'is'),
+                                  '^(?:"([^"]*)".*|''([^'']*)''.*)$', '\1\2', 's'), ' ')
+  FROM plain WHERE name = 'content' AND n IN (SELECT n FROM plain WHERE kind = 'meta' AND name = 'http-equiv' AND lower(v) = 'refresh')
 ), ends AS (
   SELECT url AS a, CASE
     WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
     WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || target
     WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || target
+    WHEN starts_with(target, '?') THEN regexp_extract(url, '^(.*?://[^?#]*)', 1, 's') || target
+    WHEN starts_with(target, '#') OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
     ELSE rtrim(regexp_extract(url, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1, 's'), '/') || '/' || target END AS b
   FROM raw WHERE target <> ''
-), node(url, n) AS (
-  SELECT u, regexp_extract(u, '^(.*?://)', 1, 's')
-         || translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'),
-                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-         || regexp_extract(u, '^.*?://[^/?#]*([^#]*)', 1, 's')
+), named AS (
+  SELECT u, regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+         regexp_extract(u, '^(.*?://)', 1, 's') || translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS head,
+         regexp_extract(u, '^.*?://[^?#]*(\?[^#]*)', 1, 's') AS query
   FROM (SELECT url AS u FROM page WHERE contains(url, '://') UNION SELECT a FROM ends UNION SELECT b FROM ends)
+), node(url, n) AS (
+  SELECT u, head || CASE WHEN path = '' THEN '/' ELSE coalesce(list_reduce(list_prepend('', string_split(substr(path, 2), '/')), lambda done, s:
+      CASE s WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || s END), '')
+    || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END END || query
+  FROM named
 ), edge AS (
   SELECT x.n AS a, y.n AS b FROM ends e JOIN node x ON x.url = e.a JOIN node y ON y.url = e.b
   UNION SELECT y.n, x.n FROM ends e JOIN node x ON x.url = e.a JOIN node y ON y.url = e.b
@@ -238,7 +264,7 @@ WITH RECURSIVE rules(host, path, verdict) AS (
   SELECT u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
          arg_max(r.verdict, length(r.host || r.path)) AS verdict
   FROM (SELECT host, path FROM page
-        UNION SELECT regexp_extract(n, '^.*?://([^/?#]*)', 1, 's'), regexp_extract(n, '^.*?://[^/?#]*([^?#]*)', 1, 's') FROM node) u
+        UNION SELECT regexp_extract(n, '^.*?://([^/?#]*)', 1, 's'), regexp_extract(n, '^.*?://[^/?#]*([^?#]*)', 1, 's') FROM node WHERE n IS NOT NULL) u
   JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
   GROUP BY u.host, u.path
 ), blocked AS (

@@ -9,6 +9,14 @@ components are found by a distributed job, and a component that holds a
 blocked URL blocks its members. A URL with an allow rule of its own stays
 allowed.
 
+Every canonical link and every refresh of a page counts. Attribute values are
+read whole, quoted or not; the named references of markup characters and
+numeric ones up to 255 are decoded; a tag ends at its first ``>``. Targets
+are resolved against the page's URL: ``//``, ``/``, ``?``, ``.`` and ``..``;
+targets of schemes without ``://`` (``mailto:``) are no links. As nodes, URLs
+lose their fragment, dot segments and upper case in the host, and an empty
+path is ``/``.
+
 Edge cases: a null URL or one without ``://`` has empty host and path,
 no rule and verdict ``allow``; null html has no edges; repeated pages are
 judged row by row alike; an empty table gives an empty result. Columns
@@ -28,10 +36,15 @@ from fleetlens.llm.components import connected_components
 RULE_SCHEMA = "host string, path string, verdict string"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
-_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)"
+_LINK = r"(?is)<link\b[^>]*>"
+_META = r"(?is)<meta\b[^>]*>"
+_CANONICAL = (r"(?is)\srel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'"
+              r"|canonical(?![^\s/>]))")
+_REFRESH = r"(?is)\shttp-equiv\s*=\s*(?:\"\s*refresh\s*\"|'\s*refresh\s*'|refresh(?![^\s/>]))"
+_VALUE = r"(?is)\s{}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+# seconds, a separator, and the target with or without ``url=``
+_TARGET = r"(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(.*)$"
+_NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 
 
 def url_host(url: Column) -> Column:
@@ -44,30 +57,59 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; ``/`` if empty."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    walked = F.aggregate(segments, F.lit(""), lambda done, s: F.when(s == "..", F.regexp_replace(done, "/[^/]*$", ""))
+                         .when(s == ".", done).otherwise(F.concat(done, F.lit("/"), s)))
+    closed = F.concat(walked, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(path == "", "/").when(path.contains("/."), closed).otherwise(path)
+
+
 def url_node(url: Column) -> Column:
-    """The URL as a graph node: fragment dropped, host lower-cased; null without ``://``."""
+    """The URL as a graph node: fragment and dot segments dropped, host lower-cased; null without ``://``."""
     return F.when(url.contains("://"), F.concat(
-        F.regexp_extract(url, r"(?s)^(.*?://)", 1), url_host(url),
-        F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
+        F.regexp_extract(url, r"(?s)^(.*?://)", 1), url_host(url), _without_dots(url_path(url)),
+        F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)))
+
+
+def _value(tag: Column, name: str) -> Column:
+    """An attribute's value, decoded and trimmed; empty if there is none."""
+    raw = F.concat(*[F.regexp_extract(tag, _VALUE.format(name), i) for i in (1, 2, 3)])
+    parts = F.split(raw, "&#")
+    digits = r"^([0-9]{1,3}|[xX][0-9a-fA-F]{1,2});"
 
+    def decoded(p: Column) -> Column:
+        number = F.regexp_extract(p, digits, 1)
+        code = F.when(number.rlike("^[xX]"), F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number).try_cast("int")
+        return F.when(p.rlike(digits) & (code < 256), F.concat(F.char(code), F.regexp_replace(p, digits, ""))
+                      ).otherwise(F.concat(F.lit("&#"), p))
 
-def _groups(text: Column, pattern: str, n: int) -> Column:
-    return F.concat(*[F.regexp_extract(text, pattern, i) for i in range(1, n + 1)])
+    text = F.when(raw.contains("&#"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+                  ).otherwise(raw)
+    for reference, char in _NAMED:
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return F.trim(text)
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) nodes of every canonical link and refresh redirect in the pages."""
     u = F.col(url)
-    found = pages.where(u.contains("://") & F.col(html).rlike("(?i)canonical|refresh")).select(
-        u.alias("u"),
-        F.explode(F.array(_groups(F.regexp_extract(html, _LINK, 0), _HREF, 3),
-                          _groups(F.regexp_extract(html, _META, 0), _URL, 1))).alias("to"))
+    links = F.transform(F.filter(F.regexp_extract_all(html, F.lit(_LINK), F.lit(0)), lambda t: t.rlike(_CANONICAL)),
+                        lambda t: _value(t, "href"))
+    moves = F.transform(F.filter(F.regexp_extract_all(html, F.lit(_META), F.lit(0)), lambda t: t.rlike(_REFRESH)),
+                        lambda t: F.regexp_replace(F.regexp_extract(_value(t, "content"), _TARGET, 1), r"(?s)^([\"'])(.*?)\1.*$", "$2"))
+    found = (pages.where(u.contains("://") & F.col(html).rlike("(?i)canonical|refresh"))
+             .select(u.alias("u"), F.explode(F.concat(links, moves)).alias("to")).select("u", F.trim("to").alias("to")))
     root = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract("u", r"(?s)^(.*?://[^?#]*)", 1)
     folder = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
     to = F.col("to")
     absolute = (F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
                 .when(to.startswith("//"), F.concat(F.regexp_extract("u", r"(?s)^(.*?:)//", 1), to))
                 .when(to.startswith("/"), F.concat(root, to))
+                .when(to.startswith("?"), F.concat(page, to))
+                .when(to.startswith("#") | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
                 .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), to)))
     return (found.where(to != "").select(url_node(F.col("u")).alias("src"), url_node(absolute).alias("dst"))
             .where("src != dst").distinct())

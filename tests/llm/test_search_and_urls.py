@@ -38,8 +38,9 @@ def brute(vectors, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(2048, 4096), (3, 40)])
-def test_top_k_against_brute_force(spark, blocks):
+@pytest.mark.parametrize("cell", [4096, 20])
+def test_top_k_against_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 1024 if cell > 100 else 3)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(4, 6))
     rows = [(i, (centres[i % 4] + 0.1 * rng.normal(size=6)).astype(float).tolist()) for i in range(300)]
@@ -47,7 +48,7 @@ def test_top_k_against_brute_force(spark, blocks):
     rows += [(50, rows[50][1]), (51, rows[51][1])]  # repeated rows
     odd = [(600, None), (650, []), (601, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (602, [math.nan] * 6), (603, [math.inf] * 6), (None, rows[0][1])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows + odd], "vec_id long, embedding array<double>, score int")
-    got = covertree.top_k(df, F.col("vec_id") % 50 == 0, query_block=blocks[0], data_block=blocks[1])
+    got = covertree.top_k(df, F.col("vec_id") % 50 == 0, cell=cell)
     ints = list({i: (i, [math.floor(256 * x) for x in v]) for i, v in rows}.values())
     assert helpers.rows(got, "query_id", "rank", "vec_id", "score") == sorted(brute(ints, 5), key=repr)
 
@@ -63,12 +64,49 @@ def test_cover_tree_radii_hold_their_points():
     rng = np.random.default_rng(2)
     x = np.floor(256 * rng.normal(size=(500, 8)))
     x[100:160] = x[0]
+    x[200:300] = x[200] + rng.integers(0, 3, (100, 8))
     tree = covertree.CoverTree(x, leaf=8)
-    for n, points in enumerate(tree.members):
-        d = np.sqrt(((x[points] - x[tree.centre[n]]) ** 2).sum(axis=1))
-        assert d.max() <= tree.radius[n] + 1e-6
-        if tree.children[n]:
-            assert sorted(np.concatenate([tree.members[c] for c in tree.children[n]]).tolist()) == sorted(points.tolist())
+    assert sorted(tree.order.tolist()) == list(range(500)) and tree.lo[0] == 0 and tree.hi[0] == 500
+    for n in range(len(tree.lo)):
+        points = tree.order[tree.lo[n]:tree.hi[n]]
+        assert len(points) and np.sqrt(((x[points] - x[tree.centre[n]]) ** 2).sum(axis=1)).max() <= tree.r[n] + 1e-6
+        kids = range(tree.first[n], tree.last[n])
+        if tree.is_leaf[n]:
+            assert len(points) <= 8 or tree.r[n] == 0
+            continue
+        assert [tree.lo[kids[0]], *[tree.hi[c] for c in kids]] == [tree.lo[n], *[tree.lo[c] for c in kids[1:]], tree.hi[n]]
+        centres = x[[tree.centre[c] for c in kids]]
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))[~np.eye(len(kids), dtype=bool)]
+        assert apart.min() > tree.r[n] / 2 - 1e-6
+        if len(kids) < covertree.FAN:
+            assert max(tree.r[c] for c in kids) <= tree.r[n] / 2 + 1e-6
+
+
+def clustered(rng, n, dims, clusters, width):
+    return np.floor(256 * (rng.normal(size=(clusters, dims))[rng.integers(0, clusters, n)] + width * rng.normal(size=(n, dims))))
+
+
+@pytest.mark.parametrize("dims, most", [(6, 0.25), (64, 0.25)])
+def test_tight_clusters_are_pruned(dims, most):
+    """Share of the pairs that are scored, with exact results, in one part and without a first k-th score."""
+    x = clustered(np.random.default_rng(3), 4096, dims, 40, 0.01)
+    ids = np.arange(len(x))
+    asked = ids[::50]
+    best, names, scored = covertree.dual_search(covertree.CoverTree(x[asked], covertree.QUERY_LEAF), asked, np.full(len(asked), -np.inf),
+                                                covertree.CoverTree(x), ids, 5)
+    for row, q in enumerate(asked.tolist()):
+        want = sorted((-int(x[q] @ x[p]), p) for p in ids.tolist() if p != q)[:5]
+        assert [(-int(s), p) for s, p in zip(best[row], names[row].tolist())] == want
+    assert scored < most * len(asked) * len(x), scored / (len(asked) * len(x))
+
+
+def test_cells_are_pruned_across_tasks(spark):
+    x = clustered(np.random.default_rng(4), 3000, 16, 30, 0.01)
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scored = spark.sparkContext.accumulator(0)
+    got = covertree.top_k(df, F.col("vec_id") % 50 == 0, cell=100, scored=scored)
+    assert helpers.rows(got, "query_id", "rank", "vec_id", "score") == brute([(i, v.astype(int).tolist()) for i, v in enumerate(x)], 5)
+    assert scored.value < 0.3 * 60 * 3000, scored.value / (60 * 3000)
 
 
 PAGES = "page_id long, url string, html string, verdict string"
@@ -100,6 +138,35 @@ def test_redirect_equivalence(spark):
     assert sorted(map(repr, sql)) == sorted(repr((p[0], *got[p[0]])) for p in pages)
 
 
+def test_every_tag_escape_and_relative_target(spark):
+    """Each page leads to a blocked URL by another way of writing the link, or just does not."""
+    link = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://bad.net/p?a=1&b=2", ""),
+        (2, "http://a.com/", link.format("http://ok.com/") + link.format("http://bad.net/p?a=1&amp;b=2")),  # the second tag
+        (3, "http://b.com/", "<meta http-equiv=refresh content='0'>"
+            + '<META HTTP-EQUIV="Refresh" CONTENT="5; URL=\'http://bad.net/p?a=1&#38;b=2\'">'),
+        (4, "http://c.com/x/y/z", link.format("../../q;v=1")), (5, "http://c.com/q;v=1", REFRESH.format("http://bad.net/;x;y")),
+        (6, "http://bad.net/;x;y", ""), (7, "http://d.com/s?old", link.format("?new")), (8, "http://d.com/s?new", link.format("http://bad.net/./a/../")),
+        (9, "http://bad.net", ""), (10, "http://e.com/", '<link href=http://bad.net rel=canonical>'),
+        (11, "http://f.com/", '<link rel="shortcut  canonical" href="http://bad.net/&#x70;?a=1&amp;b=2">'),
+        (12, "http://g.com/", '<meta http-equiv="refresh" content="0, http://bad.net/">'),
+        (20, "http://h.com/", link.format("mailto:x@bad.net")), (21, "http://i.com/", '<link rel="noncanonical" href="http://bad.net/">'),
+        (22, "http://j.com/", '<link rel="stylesheet" href="http://bad.net/"> canonical'), (23, "http://k.com/", link.format("#top")),
+        (24, "http://l.com/", '<meta name="refresh" content="0; url=http://bad.net/">'), (25, "http://m.com/", link.format("")),
+        (26, "http://n.com/", '<meta http-equiv="refresh" content="30">'), (27, "http://o.com/a/", link.format("..")), (28, "http://o.com/", ""),
+    ]
+    df = spark.createDataFrame([(*p, "v") for p in pages], PAGES)
+    got = {r["page_id"]: r for r in urls.judge_urls(df, queries.RULES).collect()}
+    assert {k: r["verdict"] for k, r in got.items()} == {p[0]: "block" if p[0] < 20 else "allow" for p in pages}
+    assert got[27]["alias_group"] == got[28]["alias_group"] == "http://o.com/" and got[2]["alias_group"] == "http://a.com/"
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", pages)
+    sql = {r[0]: r[4] for r in con.execute(queries.SQL_OP10).fetchall()}
+    assert sql == {k: r["verdict"] for k, r in got.items()}
+
+
 def test_long_alias_chains_and_hubs(spark):
     rnd = random.Random(1)
     edges = [(f"http://c{i}.com/", f"http://c{i + 1}.com/") for i in range(40)] + [("http://hub.com/", f"http://s{i}.com/") for i in range(50)]

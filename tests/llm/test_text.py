@@ -412,3 +412,88 @@ def test_license_query_against_statements(spark):
     want = {d: {n for n, s in said.items() if s in t} for d, t in texts.items()}
     assert any(want.values())
     assert all((own[d] in w) if w else own[d] is None for d, w in want.items())
+    rows = queries.op9_license_scan(spark, sf).collect()
+    assert sum(r["licensed_by"] not in (None, "file") for r in rows) > 50  # inheritance is exercised
+
+
+LICENSE_PROBES = [
+    ("GPL-2.0", licenses._GNU.format("Foo", "", "2")), ("LGPL-2.1", licenses._GNU.format("This library", "Lesser", "2.1")),
+    ("GPL-3.0", licenses._GNU.format("Foo", "", "3")), (None, licenses._GNU.format("This program", "", "1")),
+    ("BSD-2-Clause", licenses._BSD + licenses._BSD_END + " and more"),
+    ("BSD-3-Clause", licenses._BSD + licenses._BSD_3.replace("the copyright holder", "Acme Corp") + licenses._BSD_END),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-NC-SA-3.0", "Licensed under CC BY-NC-SA 3.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("0BSD", f"{licenses._ISC}.\n\n{licenses._AS_IS}"),
+    ("ISC", f"{licenses._ISC}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{licenses._AS_IS}"),
+    (None, "This file is not licensed under the Apache License, Version 2.0."), (None, "Never released under the MIT License."),
+    ("MIT", "MIT License\n\nCopyright (c) 2020 X"), ("MIT", "# MIT License"), (None, "We compare the MIT license plate with others"),
+    (None, "Er ging mit der Lizenz nach Hause"), ("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n====\n1. Definitions"), ("MPL-1.1", "Licensed under the Mozilla Public License, version 1.1."),
+]
+
+
+def test_versions_variants_titles_and_negations():
+    """In files of their own: the answer depends on no other file."""
+    m = licenses.Matcher()
+    assert [m.best(t)[0] for _, t in LICENSE_PROBES] == [name for name, _ in LICENSE_PROBES]
+    for t in m.templates:
+        name, cosine, line = m.best(f"first line\n{t.text}\nlast line")
+        assert (name, line) == (t.name, 1) and cosine > 1 - 1e-9
+
+
+def test_best_runs_against_all_runs(monkeypatch):
+    """Every run of every template's length, from the formula, in texts cut into blocks of any size."""
+    m = licenses.Matcher(threshold=0.6)
+    lines = [licenses.terms(t.text) for t in m.templates]
+    files = {w: sum(w in x for x in lines) for x in lines for w in x}
+    weight = lambda w: np.log((1 + len(lines)) / (1 + files.get(w, 0))) + 1
+
+    def brute(text):
+        words, best = licenses.terms(text), None
+        ends = [i for i, c in enumerate(text) if c == "\n"]
+        places = [x.start() for x in licenses._TERM.finditer(text.lower())]
+        row = [sum(e < p for e in ends) for p in places]
+        for k, t in enumerate(m.templates):
+            n = min(len(lines[k]), len(words))
+            for s in range(len(words) - n + 1) if n else ():
+                run = words[s:s + n]
+                if not set(t.need.split()) <= set(run) or set(t.ban.split()) & set(run):
+                    continue
+                if licenses.NEGATIONS & (set(words[max(0, s - 3):s]) | (set(run) - set(lines[k]))):
+                    continue
+                if t.title and ((s and row[s - 1] == row[s]) or (s + n < len(words) and row[s + n - 1] == row[s + n])):
+                    continue
+                vocabulary = sorted({*run, *lines[k]})
+                a, b = (np.array([x.count(w) * weight(w) for w in vocabulary]) for x in (run, lines[k]))
+                c = float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+                if c >= 0.6 and (best is None or (-round(c, 9), k, s) < (-round(best[0], 9), *best[1:])):
+                    best = c, k, s
+        return (None, 0.0, None) if best is None else (m.templates[best[1]].name, best[0], row[best[2]])
+
+    rnd = random.Random(9)
+    pool = [w for t in m.templates for w in t.text.split()] + ["mit", "not", "license", "word", "\n", "\n", "2.0", "v3", "the"] * 20
+    for n in range(60):
+        text = " ".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 60)))
+        for _ in range(rnd.randrange(3)):
+            w = rnd.choice(m.templates).text.split()
+            for _ in range(rnd.randrange(3)):
+                w[rnd.randrange(len(w))] = rnd.choice(pool)
+            text += rnd.choice([" ", "\n"]) + " ".join(w) + rnd.choice([" ", "\n"]) + " ".join(rnd.choice(pool) for _ in range(30))
+        want = brute(text)
+        for block in (1 << 18, 700):
+            monkeypatch.setattr(licenses, "BLOCK", block)
+            name, cosine, line = m.best(text)
+            assert (name, line) == (want[0], want[2]) and abs(cosine - want[1]) < 1e-9, (n, block)
+
+
+def test_a_very_long_text_is_read_in_blocks():
+    import tracemalloc
+    text = ("plain words of prose without any of it, " * 26 + "\n") * 50_000  # 52 MB
+    text += "Released under\nthe MIT License.\n" + "more words " * 1000
+    m = licenses.Matcher()
+    tracemalloc.start()
+    got = m.best(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == "MIT" and got[2] == 50_000 and peak < 100e6
+    assert m.best("x" * 3_000_000 + " Released under the MIT License. " + "y" * 3_000_000)[0] == "MIT"
