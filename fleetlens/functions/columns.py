@@ -324,10 +324,12 @@ def command_defaults(df: DataFrame, col: str, id_cols: Sequence[str]) -> DataFra
             F.concat(prefix, norm(e["key"])).alias("option"), F.try_variant_get(e["value"], "$", "string").alias("value"))), none)
 
     def resolved(options_col: str):
-        """One entry per option, the last one of each."""
-        names, values = F.reverse(F.col(options_col)["option"]), F.reverse(F.col(options_col)["value"])
-        return F.transform(F.array_distinct(names), lambda k: F.struct(
+        """One entry per option, the last one of each. Rows without a repeated option pass as they are."""
+        entries = F.col(options_col)
+        names, values = F.reverse(entries["option"]), F.reverse(entries["value"])
+        last = F.transform(F.array_distinct(names), lambda k: F.struct(
             k.alias("option"), F.get(values, F.array_position(names, k).cast("int") - 1).alias("value")))
+        return F.when(F.size(F.array_distinct(names)) < F.size(names), last).otherwise(entries)
 
     sections = df.select(*id_cols, F.try_variant_get(F.try_parse_json(F.col(col)), "$", f"struct<{LAUNCH}:map<string,variant>,"
                          f"providers:struct<{PROVIDER}:map<string,variant>>,services:map<string,map<string,variant>>>").alias("_s"))
@@ -337,11 +339,12 @@ def command_defaults(df: DataFrame, col: str, id_cols: Sequence[str]) -> DataFra
         F.flatten(F.coalesce(F.transform(F.map_entries(F.col("_s")["services"]), lambda s: options(
             s["value"], F.concat(norm(s["key"]), F.lit("_")))), F.array(none))).alias("_services"))
     ranked = listed.select(*id_cols, F.concat("_launch", "_provider", "_services").alias("_all"), "_provider")
-    own = ranked.select(*id_cols, resolved("_all").alias("_all"), resolved("_provider").alias("_provider"))
-    per_command = F.explode(F.array(F.struct(F.lit(LAUNCH).alias("command"), F.col("_all").alias("options")), *[
-        F.struct(F.lit(c).alias("command"), F.col("_provider").alias("options")) for c in OTHER_COMMANDS]))
-    return (own.select(*id_cols, per_command.alias("_c")).select(*id_cols, "_c.command", F.explode("_c.options").alias("_o"))
-            .select(*id_cols, "command", "_o.option", "_o.value"))
+    own = ranked.select(*id_cols, F.explode(F.array(
+        F.struct(F.lit(False).alias("shared"), resolved("_all").alias("options")),
+        F.struct(F.lit(True).alias("shared"), resolved("_provider").alias("options")))).alias("_s"))
+    commands = F.when(F.col("shared"), F.array(*[F.lit(c) for c in OTHER_COMMANDS])).otherwise(F.array(F.lit(LAUNCH)))
+    return (own.select(*id_cols, "_s.shared", F.explode("_s.options").alias("_o"))
+            .select(*id_cols, F.explode(commands).alias("command"), "_o.option", "_o.value"))
 
 
 # ------------------------------------------------------- X8 storage layout

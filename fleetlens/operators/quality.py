@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from fleetlens.functions.truthy import is_defined, is_truthy
 
 # Violation message formats.
-MSG_MISSING = 'Error: Missing option "{missing}" is required by "{option}{space}{value}".'
-MSG_ANY = ('Error: "{option}{space}{value}" requires at least one of the following options '
-           'to be set: {at_least}')
+MSG_MISSING = 'Error: Missing option "{missing}" is required by "{label}".'
+MSG_ANY = 'Error: "{label}" requires at least one of the following options to be set: {at_least}'
 
 
 @dataclass(frozen=True)
@@ -53,7 +52,7 @@ def check_requirements(df: DataFrame, id_cols: Sequence[str], rules: Iterable[Ru
         trig = _trigger(df, rule)
         label = _label(rule)
         for req in rule.all_of:
-            msg = MSG_MISSING.format(missing=req, option=label, space="", value="")
+            msg = MSG_MISSING.format(missing=req, label=label)
             cand.append(F.when(trig & ~is_truthy(df, req), F.struct(
                 F.lit(rule.option).alias("option"), F.lit("requires_all").alias("rule"),
                 F.lit(req).alias("missing"), F.lit(msg).alias("message"))))
@@ -62,7 +61,7 @@ def check_requirements(df: DataFrame, id_cols: Sequence[str], rules: Iterable[Ru
             for req in rule.any_of:
                 none_defined = none_defined & ~is_defined(req)
             listed = ", ".join(f'"{r}"' for r in rule.any_of)
-            msg = MSG_ANY.format(option=label, space="", value="", at_least=listed)
+            msg = MSG_ANY.format(label=label, at_least=listed)
             cand.append(F.when(trig & none_defined, F.struct(
                 F.lit(rule.option).alias("option"), F.lit("requires_any").alias("rule"),
                 F.lit(", ".join(rule.any_of)).alias("missing"), F.lit(msg).alias("message"))))

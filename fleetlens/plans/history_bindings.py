@@ -107,3 +107,15 @@ FROM documents
 def q_map_rows(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return rowmap.map_rows(docs, document_stats, "n_bytes long, n_lines long", keep=["doc_id"])
+
+
+@query("map_until_failure", "M1", sql="""
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes,
+       CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines,
+       CAST(NULL AS VARCHAR) AS error, 'ok' AS status
+FROM documents
+""")
+def q_map_until_failure(spark, sf_dir):
+    """A function that no row makes fail: every wave runs."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("lang"), "text")
+    return rowmap.map_until_failure(docs, document_stats, "n_bytes long, n_lines long", keep=["doc_id"], waves=4)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fleetlens.plans import derived as d
 from fleetlens.plans.fleet_bindings import CONSENSUS_SQL
 from fleetlens.plans.registry import query
-from fleetlens.sources import manifests, report, text
+from fleetlens.session import scratch_path
+from fleetlens.sources import log_files, manifests, report, text
 from fleetlens.sources.tables import read_table
 
 # ------------------------------------------------------------------ S1
@@ -136,6 +137,24 @@ def q_read_operation_log(spark, sf_dir):
     return text.read_operation_log(e, "line").drop("line")
 
 
+# Some messages go on over two more lines.
+_MORE = "CASE WHEN event_id % 7 = 0 THEN concat(chr(10), '  at step ', CAST(event_id % 5 AS STRING), chr(10), '  done') ELSE '' END"
+
+
+@query("read_log_files", "S5", sql=f"""
+SELECT date_trunc('millisecond', ts) AS ts, concat('fleet.', {MODULE}) AS logger, {LEVEL} AS level, {HOST} AS host,
+       concat({MESSAGE}, {_MORE.replace("AS STRING", "AS VARCHAR")}) AS message, 'ok' AS status
+FROM events WHERE event_id % 101 <> 0
+""")
+def q_read_log_files(spark, sf_dir):
+    """The well-formed lines of the events' log, written as files and read back in blocks of 256 KiB."""
+    e = read_table(spark, sf_dir, "events").filter("event_id % 101 <> 0")
+    folder = scratch_path(spark, "logs")
+    line = d.col(_log_line("date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS')"))
+    e.select(F.concat(line, F.expr(_MORE)).alias("value")).write.text(folder)
+    return log_files.read_log_files(spark, folder, 1 << 18).select("ts", "logger", "level", "host", "message", "status")
+
+
 # ------------------------------------------------------------------ S6
 NODE_STATE = """CASE WHEN n_regionkey = 4 THEN 'stopped'
   WHEN n_regionkey = 3 AND s_suppkey % 17 = 0 THEN 'stopped' ELSE 'running' END"""

@@ -128,7 +128,7 @@ def test_java_major_matches_python_rule(spark):
 
 
 def _python_requires(scope, option, when_value, all_of, any_of):
-    """The reference's rule, re-typed: trigger on a truthy option (equal to
+    """The rule in plain Python: trigger on a truthy option (equal to
     the value if given); all_of needs truthy values, any_of one non-None."""
     out = []
     v = scope[option]
@@ -142,10 +142,10 @@ def _python_requires(scope, option, when_value, all_of, any_of):
 def test_requires_matches_python_rule(spark):
     from fleetlens.operators import quality
     rnd = random.Random(8)
-    choices = [None, "", "x", "magic"]
+    choices = [None, "", "x", "gp3"]
     rows = [(i, *[rnd.choice(choices) for _ in range(4)]) for i in range(800)]
     df = spark.createDataFrame(rows, "i int, o string, a string, b string, c string")
-    for when in (None, "magic"):
+    for when in (None, "gp3"):
         got = {}
         for r in quality.requires(df, ["i"], "o", all_of=["a", "b"], any_of=["b", "c"], when_value=when).collect():
             got.setdefault(r.i, []).append((r.rule, r.missing))
