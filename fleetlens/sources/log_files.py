@@ -49,7 +49,8 @@ class Block(InputPartition):
         self.file, self.lo, self.hi, self.end = file, lo, hi, end
 
 
-def _open(path: str):
+def open_file(path: str):
+    """A file for reading at any place: local, or on a file system that Arrow knows."""
     if "://" in path and not path.startswith("file:"):
         from pyarrow import fs
         system, place = fs.FileSystem.from_uri(path)
@@ -77,7 +78,7 @@ def messages(block: Block) -> Iterator[tuple[str, int, str]]:
     """(file, start, text) of a block's messages. Holds one message and a step of the file."""
     if block.lo >= block.end:
         return
-    with _open(block.file) as f:
+    with open_file(block.file) as f:
         # from a byte before the block, so that a first line at its very begin shows as one
         at = max(0, block.lo - 1)
         f.seek(at)
@@ -150,7 +151,7 @@ class LogStreamReader(DataSourceStreamReader):
 
     def _last_first_line(self, file: str, size: int) -> int:
         """Where the last message of a file that may still grow begins."""
-        with _open(file) as f:
+        with open_file(file) as f:
             hi, tail = size, b""
             while hi > 0:
                 lo = max(0, hi - STEP)
