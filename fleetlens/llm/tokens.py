@@ -3,7 +3,8 @@
 A flat token file is a run of fixed-width little-endian ids with one
 end-of-document id after each document and no index. It is held as
 consecutive blocks (file, block, data); ``pack_documents`` writes such
-blocks, ``read_token_files`` cuts raw files into them. Each block is
+blocks, ``read_token_files`` reads raw files as them, by byte ranges, from a
+file system that all executors share. Each block is
 searched for the separator as one array and gives its separators' places;
 nothing else of it is kept. A prefix scan over the blocks' summaries then
 stitches documents that cross blocks: how many separators and where the
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import materialize, slices, text_rows
+from fleetlens.llm.common import materialize, slices, spread, text_rows
+from fleetlens.sources.log_files import open_file
 
 BLOCK_TOKENS = 1 << 19
 CHUNK = 1024
@@ -86,20 +88,26 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, eod: int, key
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of raw flat files at ``path`` (one file is read by one task, block by block)."""
+    """Blocks of raw flat files at ``path``, of any size: the files are listed with their lengths, and each block's
+    byte range is read by itself, so the blocks of one file are many tasks' work and none is held whole."""
+    step = block_tokens * width
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # their contents are not read here
+    ranges = spread(files.where("length > 0").select(
+        F.col("path").alias("file"), "length",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {step}"))).alias("block")), "file", "block")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = block_tokens * width
         for b in batches:
-            for file, data in zip(b.column(0).to_pylist(), b.column(1)):
-                data = memoryview(data.as_buffer())
-                if len(data) % width:
-                    raise ValueError(f"{file}: {len(data)} bytes are not whole {width}-byte ids")
-                for i, lo in enumerate(range(0, len(data), step)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([file]), pa.array([i], pa.int64()), pa.array([bytes(data[lo:lo + step])], pa.binary()),
-                         pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "data", "names"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+            for file, length, block in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                if length % width:
+                    raise ValueError(f"{file}: {length} bytes are not whole {width}-byte ids")
+                with open_file(file) as f:
+                    f.seek(block * step)
+                    data = f.read(min(step, length - block * step))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary()),
+                                                  pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "data", "names"])
+
+    return ranges.mapInArrow(run, BLOCKS)
 
 
 def separators(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
