@@ -17,8 +17,8 @@ import sys
 
 from fleetlens.plans.registry import operators, queries
 
-STREAMING = {"health_windows", "health_windows_sliding", "attempt_sessions", "stream_dedupe", "track_cluster",
-             "admit_stream", "track_state"}
+STREAMING = {"health_windows", "health_windows_sliding", "health_deadlines", "attempt_sessions", "attempt_outcomes",
+             "stream_dedupe", "admit_stream", "admit_live", "track_state", "track_cluster", "track_cluster_moves"}
 
 KEEP = {"Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin",
         "BroadcastNestedLoopJoin", "CartesianProduct", "HashAggregate", "SortAggregate",
@@ -63,7 +63,7 @@ def main(argv=None) -> int:
     print("|---|---|---|---|")
     for name in sorted(queries()):
         if name in STREAMING:
-            print(f"| `{name}` | {ops[name]} | stream | see `streaming/streams.py` |")
+            print(f"| `{name}` | {ops[name]} | stream | see `streaming/` |")
             continue
         s = summarize(explain_text(queries()[name](spark, sf_dir)))
         scans = ", ".join(f"{t}: {c} cols, {p} pushed" for t, c, p in s["scans"])

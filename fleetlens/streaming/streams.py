@@ -13,6 +13,9 @@ by time, and writes its updates per micro-batch through an idempotent
 checkpoints in a folder of the caller's, or a fresh one in the shared
 checkpoint folder: a query that is started again on the caller's folders
 resumes exactly once (a fresh folder starts from the beginning).
+
+The operators whose state no built-in aggregate expresses (members that move,
+deadlines, attempt outcomes, admission by the live state) are in ``machines``.
 """
 
 from __future__ import annotations
