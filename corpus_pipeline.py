@@ -56,7 +56,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text contains no benchmark item, whether or not they have an id or share it."""
+    """Rows whose text contains no benchmark item, whether or not they have an id or share it. Null and empty texts
+    contain none and stay; of repeated rows all stay or go."""
     rows = with_row_key(docs)
     found = decontam.contaminated(rows, table(spark, sf_dir, "benchmark"), key="row_key")
     leaks = materialize(found.select("row_key").distinct(), "leaks")
@@ -64,7 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encoded documents, checked against the sentencepiece library."""
+    """Encoded documents, checked against the sentencepiece library: a row for each row, null and empty texts with no ids."""
     return spm.encode_decode(docs, tokenizer_path(TOKENIZERS["pieces"]), keep=("lang", "source", "n_chars"))
 
 

@@ -41,15 +41,29 @@ def test_stages(spark):
             assert set(after) == set(before) and all(r["n_tokens"] >= 0 for r in after.values())
 
 
-def test_stages_with_awkward_rows(spark):
+def test_stages_with_awkward_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
     text = "One two three four five six seven eight nine ten. " * 8
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text + "x", "en", "s", 1),
             (4, "#" * 50000, "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (docs, docs.limit(0)):
-        for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, frame, SF)
-            assert len(out.collect()) <= len(rows)
+    for name in ("row_key", "component", "no_text", "_t", "_r1", "rejected", "fp", "n_removed", "kept"):
+        docs = docs.withColumn(name, F.lit(7))
+    want = [
+        [rows[0], rows[1], rows[4]],  # texts without letters are rejected
+        [rows[0], rows[2], rows[4], rows[5]],  # a repeated row, and an empty text beside a null one, go
+        [(1, "", "en", "s", 0)] * 2 + [rows[2], rows[3], (None, "x", "en", "s", 1), (4, "", "en", "s", 0)],
+        rows,
+        [(1, "en", "s", 1)] * 2 + [(2, None, None, None), (3, "en", "s", 0), (None, "en", "s", 1), (4, "en", "s", 5)]]
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        columns = out.columns if n < 4 else ["doc_id", "lang", "source", "n_chars"]
+        assert n == 4 or columns == list(corpus_pipeline.COLUMNS)
+        got = [tuple(r[c] for c in columns) for r in out.collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want[n])), name
+        if n == 4:
+            assert {r["doc_id"]: r["n_tokens"] for r in out.where("doc_id in (2, 3)").collect()} == {2: 0, 3: 0}
+        assert stage(spark, docs.limit(0), SF).collect() == []
 
 
 def test_rows_without_an_id_and_with_a_shared_id(spark):
