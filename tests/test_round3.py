@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as X
@@ -59,6 +60,28 @@ def test_many_port_rules_do_not_multiply_flows(spark):
     assert "BroadcastNestedLoop" not in _final_plan(out) and "Cartesian" not in _final_plan(out)
 
 
+@pytest.mark.parametrize("list_rules", [1, 7, 1024])
+def test_rules_met_in_lists_and_flows_of_one_file_by_many_tasks(spark, tmp_path, list_rules):
+    """Many rules admit each flow: the result is dealt out over tasks although the flows lie in one file, and does
+    not depend on how the rules are listed. Rules and flows repeat, some are null, and both have a column ``note``."""
+    rnd = random.Random(21)
+    rules = [(j, (10 << 24) + rnd.randrange(0, 4) * 256, rnd.choice([8, 16, 24]), 100, 100 + rnd.randrange(0, 20), "r") for j in range(120)]
+    rules += rules[:30] * 2 + [(500, None, 8, 1, 200, "r"), (501, 10 << 24, 8, None, 200, None)]
+    flows = [(i, (10 << 24) + rnd.randrange(0, 1024), 95 + rnd.randrange(0, 30), "f") for i in range(200)]
+    flows += flows[:20] + [(900, None, 100, "f"), (901, 10 << 24, None, None)]
+    for name, rows, schema in (("f", flows, "fid bigint, ip bigint, port int, note string"),
+                               ("r", rules, "rid bigint, net bigint, plen int, lo int, hi int, note string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+    f, r = (spark.read.parquet(str(tmp_path / name)) for name in "fr")
+    out = joins.match_rules(f, r, "ip", "port", "net", "plen", "lo", "hi", list_rules=list_rules)
+    assert out.columns == ["fid", "ip", "port", "note", "rid", "net", "plen", "lo", "hi", "note"]
+    want = [(*x, rid, net >> 32 - plen << 32 - plen, plen, lo, hi, note) for x in flows for rid, net, plen, lo, hi, note in rules
+            if None not in (x[1], x[2], net, lo) and net >> 32 - plen == x[1] >> 32 - plen and lo <= x[2] <= hi]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 5000
+    from test_scale_paths import _final_plan
+    assert "RoundRobinPartitioning(8)" in _final_plan(out)
+
+
 def test_bag_diff_equals_except_all(spark):
     rnd = random.Random(7)
     rows = lambda n: [(rnd.choice([1, 2, None]), rnd.choice(["a", None])) for _ in range(n)]
