@@ -172,48 +172,83 @@ def newest_status(statuses: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T2
+WAIT_SPAN = 3600 * MICROS  # hosts whose deadlines fall in the same hour
+WAIT_SLOTS = 64            # and the same of so many slots (by a hash of the host) wait together
+
+
 class Deadline(StatefulProcessor):
-    """One listed host: probes counted up to its deadline, and a timer that reports it then."""
+    """The listed hosts of one span of time and slot: probes counted up to each host's deadline, and one timer, for the
+    earliest deadline to come, that reports the hosts whose deadline has passed.
+
+    The list is written once and again when some of it is reported; probes are kept apart, a map entry a host that has any.
+    """
+
+    OUT = _struct(host_key=T.StringType(), deadline=T.LongType(), probes=T.LongType(), successes=T.LongType(), first_ok=T.LongType())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.wait = handle.getValueState("wait", _struct(
-            deadline=T.LongType(), probes=T.LongType(), successes=T.LongType(), first_ok=T.LongType()))
+        self.waiting = handle.getValueState("waiting", _struct(hosts=T.ArrayType(T.StringType()), deadlines=T.ArrayType(T.LongType())))
+        self.seen = handle.getMapState("seen", _struct(host=T.StringType()), _struct(
+            probes=T.LongType(), successes=T.LongType(), first_ok=T.LongType()))
+
+    def _wait(self, hosts: list[str], deadlines: list[int]) -> None:
+        self.waiting.update((hosts, deadlines))
+        self.handle.registerTimer(min(deadlines) // 1000 + 1)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.wait.update((initialState.deadline, 0, 0, None))
-        self.handle.registerTimer(initialState.deadline // 1000 + 1)
+        self._wait(list(initialState.hosts), [int(d) for d in initialState.deadlines])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.wait.get()
-        if held is None:  # reported already
-            return
-        deadline, probes, successes, first = held
+        new: dict[str, tuple] = {}
         for r in rows:
-            probes, successes = probes + r.probes, successes + r.successes
-            if r.first_ok is not None:
-                first = r.first_ok if first is None else min(first, r.first_ok)
-        self.wait.update((deadline, probes, successes, first))
+            new[r.host_key] = _add_probes(new.get(r.host_key), (r.probes, r.successes, r.first_ok))
+        if new and self.waiting.exists():  # else all are reported already
+            for host, counts in new.items():
+                self.seen.updateValue((host,), _add_probes(self.seen.getValue((host,)), counts))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.wait.get()
+        held = self.waiting.get()
         if held is None:
             return
-        deadline, probes, successes, first = held
-        self.wait.clear()
-        yield Row(host_key=key[0], deadline=deadline, probes=probes, successes=successes, first_ok=first)
+        fired, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        seen = {k[0]: tuple(v) for k, v in self.seen.iterator()}
+        rest: tuple[list[str], list[int]] = ([], [])
+        for host, deadline in zip(*held):
+            at = deadline // 1000 + 1
+            if at > fired and at >= passed:
+                rest[0].append(host)
+                rest[1].append(deadline)
+                continue
+            probes, successes, first = seen.get(host, (0, 0, None))
+            if host in seen:
+                self.seen.removeKey((host,))
+            yield Row(host_key=host, deadline=deadline, probes=probes, successes=successes, first_ok=first)
+        if rest[0]:
+            self._wait(*rest)
+        else:
+            self.waiting.clear()
+            self.seen.clear()
 
     def close(self) -> None:
         pass
 
 
+def _add_probes(held: tuple | None, new: tuple) -> tuple:
+    """Probes and successes added up, and the earlier first success."""
+    if held is None:
+        return new
+    firsts = [x for x in (held[2], new[2]) if x is not None]
+    return held[0] + new[0], held[1] + new[1], min(firsts, default=None)
+
+
 def _probes_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Probes, successes and the first success of each host within a record batch."""
     for b in batches:
         if b.num_rows:
-            t = pa.Table.from_batches([b]).group_by("host_key").aggregate([("probes", "sum"), ("successes", "sum"), ("first_ok", "min")])
-            t = t.select(["host_key", "probes_sum", "successes_sum", "first_ok_min"]).rename_columns(b.schema.names)
+            t = pa.Table.from_batches([b]).group_by(["span", "slot", "host_key"]).aggregate(
+                [("probes", "sum"), ("successes", "sum"), ("first_ok", "min")])
+            t = t.select(["span", "slot", "host_key", "probes_sum", "successes_sum", "first_ok_min"]).rename_columns(b.schema.names)
             yield from t.combine_chunks().to_batches()
 
 
@@ -227,24 +262,29 @@ def health_deadlines(events: DataFrame, hosts: DataFrame, host_col: str, ok_col:
     left out). It is ``up`` if a probe from ``since`` to the deadline, both
     included, succeeded, else ``down``: also when no probe came at all. Probes
     of other hosts or times are ignored; a null ``ok`` is a failure. State is
-    one row per host still waited for, and probes are added up per record
+    what each host still waited for needs; hosts whose deadlines fall in one
+    hour are dealt over ``WAIT_SLOTS`` lists, each with one timer, so that most
+    of the work is a list's and not a host's. Probes are added up per record
     batch before the shuffle. A restarted query goes on waiting.
     """
     use_rocksdb(events.sparkSession)
     listed = (hosts.where(F.col(host_col).isNotNull() & F.col(since_col).isNotNull())
               .groupBy(F.col(host_col).alias("_host")).agg(F.max(since_col).alias("_since"))
-              .withColumn("_deadline", F.col("_since") + F.expr(f"INTERVAL {limit}")))
-    starts = listed.select(_key("_host").alias("host_key"), _micros("_deadline").alias("deadline"))
+              .withColumn("_deadline", F.col("_since") + F.expr(f"INTERVAL {limit}"))
+              .withColumn("_span", F.floor(_micros("_deadline") / WAIT_SPAN))
+              .withColumn("_slot", F.pmod(F.xxhash64(_key("_host")), F.lit(WAIT_SLOTS))))
+    starts = (listed.groupBy(F.col("_span").alias("span"), F.col("_slot").alias("slot"))
+              .agg(F.collect_list(F.struct(_key("_host").alias("host"), _micros("_deadline").alias("deadline"))).alias("l"))
+              .select("span", "slot", F.col("l.host").alias("hosts"), F.col("l.deadline").alias("deadlines")))
     ok = F.coalesce(F.col(ok_col), F.lit(False))
     probes = drop_heartbeats(events.withWatermark("event_time", watermark))
     # null-safe: an inferred "host is not null" would be pushed below the watermark and take the heartbeats away
     met = probes.join(listed, F.col(host_col).eqNullSafe(F.col("_host")) & F.col("ts").between(F.col("_since"), F.col("_deadline")))
-    counted = met.select(_key("_host").alias("host_key"), F.lit(1).cast("long").alias("probes"), ok.cast("long").alias("successes"),
+    counted = met.select(F.col("_span").alias("span"), F.col("_slot").alias("slot"), _key("_host").alias("host_key"), F.lit(1).cast("long").alias("probes"), ok.cast("long").alias("successes"),
                          F.when(ok, _micros("ts")).alias("first_ok"))
-    done = counted.mapInArrow(_probes_of_batch, counted.schema).groupBy("host_key").transformWithState(
-        statefulProcessor=Deadline(), outputStructType=_struct(
-            host_key=T.StringType(), deadline=T.LongType(), probes=T.LongType(), successes=T.LongType(), first_ok=T.LongType()),
-        outputMode="Append", timeMode="EventTime", initialState=starts.groupBy("host_key"))
+    done = counted.mapInArrow(_probes_of_batch, counted.schema).groupBy("span", "slot").transformWithState(
+        statefulProcessor=Deadline(), outputStructType=Deadline.OUT,
+        outputMode="Append", timeMode="EventTime", initialState=starts.groupBy("span", "slot"))
     host = F.substring("host_key", 2, 1 << 30).cast(hosts.schema[host_col].dataType)
     return done.select(host.alias(host_col), _instant("deadline", f"- INTERVAL {limit}").alias("since"), _instant("deadline").alias("deadline"),
                        F.when(F.col("successes") > 0, "up").otherwise("down").alias("status"), "probes", "successes",
@@ -261,28 +301,31 @@ class InTimeOrder(StatefulProcessor):
     """Hands a key's rows to ``step`` in order of (ts, rank) once the watermark has passed them.
 
     Subclasses give the fields of a row (``ts`` first, then those that order
-    rows of one time), the folded value's schema, ``step(folded, row)``
+    rows of one time), the folded value's and the output's schema (``key`` first), ``step(folded, row)``
     (outputs; it returns the new folded value) and, if time alone can end
     something, ``due(folded)`` and ``expire(folded)``.
     """
 
     ROW: T.StructType
     FOLDED: T.StructType
+    OUT: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.ROW)
+        # an entry holds the rows of one call, a list a column: a state call and its conversion are a key's, not a row's
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.ROW]))
         self.folded = handle.getValueState("folded", self.FOLDED)
         self.timer = handle.getValueState("timer", _struct(due=T.LongType()))
+        self.made = Row(*self.OUT.names)
 
-    def step(self, folded: tuple | None, row: tuple, out: list[Row]) -> tuple | None:
+    def step(self, folded: tuple | None, row: tuple, out: list[tuple]) -> tuple | None:
         raise NotImplementedError
 
     def due(self, folded: tuple | None) -> int | None:
         """The time at which the folded value ends by itself."""
         return None
 
-    def expire(self, folded: tuple, out: list[Row]) -> tuple | None:
+    def expire(self, folded: tuple, out: list[tuple]) -> tuple | None:
         return folded
 
     def _wake(self, at: int | None) -> None:
@@ -294,19 +337,20 @@ class InTimeOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        new = [t for t in (tuple(r[f] for f in self.ROW.names) for r in rows) if t[0] > passed]
+        # the columns of the input are the key and then those of ROW
+        new = [t for t in (tuple(r)[1:] for r in rows) if t[0] > passed]
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendValue(tuple(map(list, zip(*new))))
             self._wake(min(t[0] for t in new))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((tuple(t) for t in self.waiting.get()), key=_rank)
+        held = sorted((t for lists in self.waiting.get() for t in zip(*lists)), key=_rank)
         ready = [t for t in held if t[0] < passed]
         folded = self.folded.get()
         folded = None if folded is None else tuple(folded)
-        out: list[Row] = []
+        out: list[tuple] = []
         for t in ready:
             end = self.due(folded)
             if end is not None and end < t[0]:
@@ -323,7 +367,7 @@ class InTimeOrder(StatefulProcessor):
         if ready:
             rest = held[len(ready):]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([tuple(map(list, zip(*rest)))])
             else:
                 self.waiting.clear()
         else:
@@ -332,7 +376,7 @@ class InTimeOrder(StatefulProcessor):
         nexts = [x for x in (end, rest[0][0] if rest else None) if x is not None]
         self._wake(min(nexts, default=None))
         for r in out:
-            yield Row(key=key[0], **r.asDict())
+            yield self.made(key[0], *r)
 
     def close(self) -> None:
         pass
@@ -355,14 +399,14 @@ class Attempts(InTimeOrder):
         outcome = {"ok": "succeeded", "fatal": "fatal"}.get(row[2], "exhausted" if attempts >= self.limit else None)
         if outcome is None:
             return start, row[0], attempts
-        out.append(Row(start=start, last=row[0], attempts=attempts, outcome=outcome))
+        out.append((start, row[0], attempts, outcome))
         return None
 
     def due(self, folded):
         return None if folded is None else folded[1] + self.expiry
 
     def expire(self, folded, out):
-        out.append(Row(start=folded[0], last=folded[1], attempts=folded[2], outcome="open"))
+        out.append((folded[0], folded[1], folded[2], "open"))
         return None
 
 
@@ -385,7 +429,7 @@ def attempt_outcomes(events: DataFrame, key: str, ok_col: str, kind_col: str, li
     ok = F.coalesce(F.col(ok_col), F.lit(False))
     rows = classify_failures(drop_heartbeats(events.withWatermark("event_time", watermark)), kind_col)
     action = F.when(ok, "ok").when(F.col("action") == "retry", "retry").otherwise("fatal")
-    rows = rows.select(_key(key).alias("key"), F.col("event_time"), _micros("ts").alias("ts"),
+    rows = rows.select(_key(key).alias("key"), _micros("ts").alias("ts"),
                        F.col(id_col).cast("long").alias("id"), action.alias("action"))
     done = rows.groupBy("key").transformWithState(
         statefulProcessor=Attempts(limit, expiry_seconds * MICROS), outputStructType=Attempts.OUT, outputMode="Append", timeMode="EventTime")
@@ -409,7 +453,7 @@ class LiveState(InTimeOrder):
     def step(self, folded, row, out):
         if row[1] == 0:
             return (row[3],)
-        out.append(Row(id=row[2], ts=row[0], command=row[4], state=folded[0] if folded else None))
+        out.append((row[2], row[0], row[4], folded[0] if folded else None))
         return folded
 
 
@@ -430,7 +474,7 @@ def admit_live(requests: DataFrame, changes: DataFrame, cluster_col: str, comman
     def side(df: DataFrame, kind: int) -> DataFrame:
         state, command = (F.col(state_col), F.lit(None)) if kind == 0 else (F.lit(None), F.col(command_col))
         df = drop_heartbeats(df.withWatermark("event_time", watermark))
-        return df.select(_key(cluster_col).alias("key"), "event_time", _micros("ts").alias("ts"), F.lit(kind).alias("kind"),
+        return df.select(_key(cluster_col).alias("key"), _micros("ts").alias("ts"), F.lit(kind).alias("kind"),
                          F.col(id_col).cast("long").alias("id"), state.cast("string").alias("state"), command.cast("string").alias("command"))
 
     answered = side(changes, 0).unionByName(side(requests, 1)).groupBy("key").transformWithState(

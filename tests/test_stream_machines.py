@@ -295,3 +295,77 @@ def test_empty_input(spark, tmp_path):
     assert got.collect() == []
     s = streams.event_stream(spark, folder).withColumn("cluster", F.lit(1))
     assert streams.run_available(machines.track_cluster(s, "user_id", "cluster", "event_type", "x"), "none").collect() == []
+
+
+class _State:
+    """A stand-in for state variables and the handle that counts calls."""
+
+    def __init__(self, calls, value=None):
+        self.calls, self.value, self.timers = calls, value, []
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return _State(self.calls)
+
+    getListState = getMapState = getValueState  # noqa: N815
+
+    def get(self):
+        self.calls.append("get")
+        return self.value if self.value is not None else None
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def appendValue(self, value):  # noqa: N802
+        self.calls.append("append")
+        self.value = [*(self.value or []), value]
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("timer")
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_rows_of_a_call_take_one_list_entry():
+    """Holding back many rows of a key is one state call, whatever their number."""
+    from pyspark.sql import Row
+    calls = []
+    p = machines.LiveState()
+    handle = _State(calls)
+    p.init(handle)
+    row = Row("key", *machines.LiveState.ROW.names)
+    list(p.handleInputRows(("v1",), iter([row("v1", i, 1, i, None, "start") for i in range(1, 501)]), handle))
+    assert calls.count("append") == 1 and len(calls) <= 5
+    assert [len(c) for c in p.waiting.value[0]] == [500] * len(machines.LiveState.ROW.names)
+
+
+def test_hosts_of_an_hour_wait_in_lists(spark, tmp_path):
+    """3,000 hosts, most of them silent, with deadlines within an hour or two: they are reported each at its own
+    deadline, from at most a list a slot and hour, not a state a host."""
+    n = 3000
+    start = dt.datetime(2024, 1, 1)
+    hosts = spark.createDataFrame([(i, start + dt.timedelta(seconds=i)) for i in range(n)], "user_id bigint, since timestamp_ntz")
+    rows = [(i, start + dt.timedelta(seconds=i + i % 5000), i, "click" if i % 3 else "error", 0.0, "") for i in range(0, n, 10)]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, streams.EVENT_SCHEMA).write.parquet(folder)
+    got = streams.run_to_end(spark, folder, lambda e: machines.health_deadlines(
+        e.withColumn("ok", F.col("event_type") != "error"), hosts, "user_id", "ok", "30 minutes"), "waiting").collect()
+    want = {i: (start + dt.timedelta(seconds=i + 1800), "down", 0, 0, None) for i in range(n)}
+    for i, ts, user, kind, _, _ in rows:
+        if ts <= start + dt.timedelta(seconds=user + 1800):
+            ok = kind != "error"
+            want[user] = (want[user][0], "up" if ok else "down", 1, int(ok), ts if ok else None)
+    assert len(got) == n
+    assert {r.user_id: (r.deadline, r.status, r.probes, r.successes, r.first_ok) for r in got} == want
+    p, calls = machines.Deadline(), []
+    handle = _State(calls)
+    p.init(handle)
+    from pyspark.sql import Row
+    p.handleInitialState((1, 2), Row(hosts=[f"v{i}" for i in range(n)], deadlines=[10 ** 9 - 1000 * i for i in range(n)]), handle)
+    assert calls == ["update", "timer"] and handle.timers == [(10 ** 9 - 1000 * (n - 1)) // 1000 + 1]
