@@ -193,3 +193,16 @@ def test_queries_on_the_small_table(spark):
         helpers.repeats(docs, 200), key=repr)
     got = queries.op4_simhash_near_dedup(spark, sf)
     assert helpers.rows(got, "doc_id", "fingerprint", "component_id") == sorted(helpers.simhash_components(docs), key=repr)
+
+
+def test_comparing_neighbours_takes_little_memory():
+    """Places of the bytes compared are made for a few thousand pairs at a time."""
+    import tracemalloc
+    data = np.frombuffer(bytes(range(97, 123)) * 3000, np.uint8)
+    x = np.arange(60_000)
+    tracemalloc.start()
+    way = repeats._compare_bytes(data, x, x + 26 * (x % 2) + x % 3, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int(w) for w in way[:3]] == [0, -1, -1] and ((way == 0) == (x % 3 == 0)).all()
+    assert peak < 40 << 20
